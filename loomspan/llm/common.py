@@ -11,6 +11,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -56,8 +58,9 @@ def _remove_written() -> None:
             return
 
 
-def bounded_batches(spark: SparkSession, size: str = "8m", rows: int = 4000) -> None:
-    """Cap the bytes of one Arrow batch, so that a Python worker's memory doesn't follow document length."""
+def prepared(spark: SparkSession, size: str = "8m", rows: int = 4000) -> None:
+    """Send the package to the workers, and cap the bytes of one Arrow batch, so that a worker's memory doesn't follow document length."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

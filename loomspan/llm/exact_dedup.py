@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, written
+from .common import lower_ascii, prepared, written
 
 #: Parts of the filter; each is built by one task.
 SEGMENTS = 64
@@ -100,6 +100,7 @@ def copies(docs: DataFrame, *, filter_bits: int = 1 << 26) -> DataFrame:
     the input, and just one of them is kept. Other columns are ignored.
     """
     spark = docs.sparkSession
+    prepared(spark)
     norm = lower_ascii(F.col("text"))
     base = docs.select("doc_id", F.sha2(norm.cast("binary"), 256).alias("text_sha256"), F.xxhash64(norm).alias("h"))
     bits = filter_bits // SEGMENTS
