@@ -99,10 +99,12 @@ def mixed(docs: DataFrame) -> DataFrame:
 def mixture(docs: DataFrame) -> DataFrame:
     """docs as often as the mix takes each: absent, once, or up to MOST times. A text without words is taken as a text with words of its hash would be."""
     sizes = written(sized(docs), "sizes")
-    p = written(thresholds(sizes, targets(sizes)), "mix").select(F.col("source").alias("loomspan_s"), "whole", "threshold", "included")
-    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("text", F.lit("")))
+    names = ("source", "whole", "threshold", "included")
+    p = written(thresholds(sizes, targets(sizes)), "mix").select(*[F.col(c).alias(f"loomspan_{c}") for c in names])
+    key = F.concat(F.coalesce(docs.doc_id.cast("string"), F.lit("")), F.lit("|"), F.coalesce(docs.text, F.lit("")))
     h = F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
-    more = (h < F.col("threshold")) | ((h == F.col("threshold")) & F.col("included"))
-    joined = docs.join(_small(p), docs.source.eqNullSafe(F.col("loomspan_s")))
-    times = (F.col("whole") + more.cast("long")).cast("int")
-    return joined.withColumn("loomspan_n", F.explode(F.sequence(F.lit(0), times))).where("loomspan_n > 0").select(*[docs[c] for c in docs.columns])
+    more = (h < F.col("loomspan_threshold")) | ((h == F.col("loomspan_threshold")) & F.col("loomspan_included"))
+    joined = docs.join(_small(p), docs.source.eqNullSafe(F.col("loomspan_source")))
+    times = (F.col("loomspan_whole") + more.cast("long")).cast("int")
+    taken = joined.select(*[docs[c] for c in docs.columns], F.sequence(F.lit(0), times).alias("loomspan_n"))
+    return taken.withColumn("loomspan_n", F.explode("loomspan_n")).where("loomspan_n > 0").drop("loomspan_n")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, langid, mixing, pii, simhash, substring_dedup, suffix_dedup
+from . import ann, bpe, exact_dedup, langid, mixing, pii, simhash, substring_dedup, suffix_dedup, token_store
+from .common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +38,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/loomspan-store-{uuid.uuid4().hex}"
+    token_store.write(docs, folder)
+    return token_store.digests(token_store.read(spark, folder, token_store.keys_of(docs))).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicated(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
@@ -96,7 +105,7 @@ FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN y ON d.source IS NO
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ann, op2_mixing, op3_langid, op4_suffix_dedup, op5_simhash, op7_substring_dedup, op8_bpe, op9_pii, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_ann, op2_mixing, op3_langid, op4_suffix_dedup, op5_simhash, op6_token_store, op7_substring_dedup, op8_bpe, op9_pii, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
