@@ -18,8 +18,11 @@ rank of that bit, the fingerprint, the entry.
 
 from __future__ import annotations
 
+import json
 import os
+import string
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,38 +42,73 @@ SPREAD = 2
 SHARDS = 10_000  # at most
 
 
+def _by_word(spec: dict) -> tuple[bool, bool]:
+    """Whether a tokenizer drops white space before anything looks beyond a word, and whether it lower-cases."""
+    normal = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    split = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+    drops = split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") is True
+    return drops and set(normal) <= {"NFC", "Replace", "Lowercase"}, "Lowercase" in normal
+
+
+#: Punctuation that, after a letter or digit, is split from a word; an apostrophe may belong to a contraction.
+_TAIL = string.punctuation.replace("'", "").encode()
+
+
 class _Ids:
-    """Whole-document encoding by the tokenizers library, which is asked once for each distinct word of a task.
+    """Whole-document encoding by the tokenizers library.
 
-    The tokenizer drops white space and looks at nothing beyond a word, so a
-    document's ids are its words' ids.
+    Where the tokenizer drops white space and looks at nothing beyond a word,
+    a document's ids are its words' ids, and the library is asked once for each
+    distinct word of a worker; a word's closing punctuation is split from it by
+    the tokenizer in any case, so it is asked for apart. Other tokenizers get
+    whole documents. Both caches start afresh when full.
     """
 
-    def __init__(self, spec: str, width: str, cache: int = 150_000) -> None:
+    def __init__(self, spec: str, width: str, words: int = 250_000, cores: int = 700_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.width, self.cache = Tokenizer.from_str(spec), width, cache
+        self.by_word, self.lower = _by_word(json.loads(spec))
+        self.marks = {t["content"][:2].encode() for t in json.loads(spec).get("added_tokens", [])}
+        self.tokenizer, self.width, self.most = Tokenizer.from_str(spec), width, (words, cores)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.words: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {}
+
+    def _asked(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        kind = {"<u2": "H", "<u4": "I"}[self.width]
+        for a in range(0, len(texts), 10_000):
+            out += [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[a : a + 10_000], add_special_tokens=False)]
+        return out
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Put the ids of new words into the cache."""
+        parts: dict[bytes, tuple[bytes, bytes]] = {}
+        for w in new:
+            core = w.rstrip(_TAIL)
+            if core is not w and (not core or any(m in w for m in self.marks) or not (core[-1:].isalnum() or core[-1] > 127 and core.decode()[-1].isalnum())):
+                core = w
+            parts[w] = (core, w[len(core) :])
+        if len(self.cores) > self.most[1]:
+            self.cores = {}
+        cores = self.cores
+        unknown = list({p for pair in parts.values() for p in pair if p not in cores})
+        cores.update(zip(unknown, self._asked([u.decode() for u in unknown]), strict=True))
+        self.words.update((w, cores[a] + cores[b] if b else cores[a]) for w, (a, b) in parts.items())
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        known = self.words
-        new = list({w for ws in split for w in ws if w not in known})
-        if len(known) + len(new) > self.cache:
-            known = self.words = {}
-            new = list({w for ws in split for w in ws})
-        for a in range(0, len(new), 10_000):
-            part = new[a : a + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, self.width).tobytes()
         end = np.array([END], self.width).tobytes()
-        out = [b"".join([known[w] for w in ws]) + end for ws in split]
-        if len(known) > self.cache:
+        if not self.by_word:
+            return [ids + end for ids in self._asked([t.decode() for t in texts])]
+        # special tokens are told before lower-casing, so a text that might hold one keeps its case
+        split = [(t.lower() if self.lower and not any(m in t for m in self.marks) else t).split() for t in texts]
+        if len(self.words) > self.most[0]:
             self.words = {}
-        return out
+        known = self.words
+        self._learn([w for w in set().union(*split) if w not in known])
+        return [b"".join([known[w] for w in ws]) + end for ws in split]
 
 
 #: The encoder of this Python worker; later tasks find its cache filled.

@@ -252,7 +252,7 @@ def test_bpe(docs, rows, empty, library):
 
 def test_bpe_merges_are_the_librarys(library):
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
-        own = bpe.WordBpe(f.read(), cache=50)
+        own = bpe.WordBpe(f.read(), words=20, pieces=30)
     r = random.Random(4)
     for _ in range(500):
         t = "".join(r.choices("thecraionßéΣİ'12 .,-<|>́中\U0001f600‍\xa0", k=r.randint(1, 60)))
@@ -275,6 +275,15 @@ def test_token_store(spark, docs, rows, empty, library, tmp_path):
     assert token_store.read(spark, str(tmp_path / "none"), token_store.keys_of(empty)).count() == 0
 
 
+def test_whole_documents_where_words_depend_on_white_space(spark, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(1, " a  b\nThe end"), (0, None)], "doc_id long, text string")
+    token_store.write(docs, str(tmp_path / "s"), path=path)
+    got = {g.doc_id: g for g in token_store.read(spark, str(tmp_path / "s"), token_store.keys_of(docs)).collect()}
+    want = Tokenizer.from_file(path).encode(" a  b\nThe end", add_special_tokens=False).ids + [2]
+    assert np.frombuffer(got[1].ids, got[1].width).tolist() == want and got[1].start == 1
+
+
 def test_perfect_hash():
     keys = np.random.default_rng(0).integers(-(2**63), 2**63, 5000)
     levels, slots = token_store.perfect_hash(keys)
