@@ -14,8 +14,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import lower_ascii, prepared, written
 
@@ -90,34 +91,41 @@ def possibly_repeated(hashes: DataFrame, column: str, filter_bits: int) -> list[
     return maps
 
 
-def copies(docs: DataFrame, *, filter_bits: int = 1 << 26) -> DataFrame:
-    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Texts are equal when identical after lower-casing A-Z; null counts as
-    empty, and empty texts are copies of one another. The largest doc_id of a
-    group stays. Null ids are smaller than all others: keep_id is null only if
-    the whole group has none. Rows that tie on doc_id differ by their place in
-    the input, and just one of them is kept. Other columns are ignored.
-    """
+def _filter(docs: DataFrame, filter_bits: int):
+    """Pass one over docs, and a function that adds `maybe` to rows with a hash column h, keeping their other columns."""
     spark = docs.sparkSession
     prepared(spark)
-    norm = lower_ascii(F.col("text"))
-    base = docs.select("doc_id", F.sha2(norm.cast("binary"), 256).alias("text_sha256"), F.xxhash64(norm).alias("h"))
     bits = filter_bits // SEGMENTS
-    maps = spark.sparkContext.broadcast(possibly_repeated(docs.select(F.xxhash64(norm).alias("h")), "h", filter_bits))
+    hashed = docs.select(F.xxhash64(lower_ascii(F.col("text"))).alias("h"))
+    maps = spark.sparkContext.broadcast(possibly_repeated(hashed, "h", filter_bits))
+
+    def tested(rows: DataFrame) -> DataFrame:
+        rest = [c for c in rows.columns if c != "h"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                h = batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
+                seg, pos, maybe = _segment(h), _positions(h, bits), np.zeros(len(h), bool)
+                for s in np.unique(seg):
+                    bitmap, own = np.frombuffer(maps.value[s], np.uint8), seg == s
+                    p = pos[own]
+                    maybe[own] = ((bitmap[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1).all(axis=1)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(maybe)], [*rest, "maybe"])
+
+        schema = T.StructType([rows.schema[c] for c in rest] + [T.StructField("maybe", T.BooleanType())])
+        return rows.mapInArrow(run, schema)
+
+    return tested
 
-    def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
-            seg, pos, maybe = _segment(h), _positions(h, bits), np.zeros(len(h), bool)
-            for s in np.unique(seg):
-                bitmap, rows = np.frombuffer(maps.value[s], np.uint8), seg == s
-                p = pos[rows]
-                maybe[rows] = ((bitmap[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1).all(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_sha256"), pa.array(maybe)], ["doc_id", "text_sha256", "maybe"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = base.mapInArrow(tested, f"doc_id {kind}, text_sha256 string, maybe boolean").withColumn("row", F.monotonically_increasing_id())
+def _digested(docs: DataFrame) -> tuple[Column, Column]:
+    norm = lower_ascii(F.col("text"))
+    return F.sha2(norm.cast("binary"), 256).alias("text_sha256"), F.xxhash64(norm).alias("h")
+
+
+def _copies(docs: DataFrame, tested) -> tuple[DataFrame, DataFrame]:
+    """The rows of copies() that passed straight through, and those that were shuffled."""
+    rows = tested(docs.select("doc_id", *_digested(docs))).withColumn("row", F.monotonically_increasing_id())
     rows = written(rows, "exact")  # narrow rows without texts; the row number must not change from here on
     alone = rows.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     groups = (
@@ -128,21 +136,32 @@ def copies(docs: DataFrame, *, filter_bits: int = 1 << 26) -> DataFrame:
     )
     salted = rows.where("maybe").withColumn("salt", F.pmod(F.col("row"), F.lit(SALTS)).cast("int"))
     shared = salted.join(groups, ["text_sha256", "salt"]).select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256")
+    return alone, shared
+
+
+def copies(docs: DataFrame, *, filter_bits: int = 1 << 26) -> DataFrame:
+    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when identical after lower-casing A-Z; null counts as
+    empty, and empty texts are copies of one another. The largest doc_id of a
+    group stays. Null ids are smaller than all others: keep_id is null only if
+    the whole group has none. Rows that tie on doc_id differ by their place in
+    the input, and just one of them is kept. Other columns are ignored.
+    """
+    alone, shared = _copies(docs, _filter(docs, filter_bits))
     return alone.unionByName(shared)
 
 
 def deduplicated(docs: DataFrame, *, filter_bits: int = 1 << 26) -> DataFrame:
-    """The rows of docs that stay, with all their columns.
+    """The rows of docs that stay, with all their columns; rows that repeat both doc_id and text leave one row.
 
-    Rows that repeat both doc_id and text leave one row. Only the rows that go
-    are joined away, by id and digest.
+    Texts that pass the filter as single go straight through. Only the others
+    are shuffled, to the ids and digests that stay.
     """
-    found = copies(docs, filter_bits=filter_bits)
-    norm = lower_ascii(F.col("text"))
-    gone = found.where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct()
-    keep = found.where("kept and group_size > 1").select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("keep_sha")).distinct()
-    both = gone.join(keep, gone.gone_id.eqNullSafe(keep.keep_id) & (gone.gone_sha == keep.keep_sha)).select("gone_id", "gone_sha")
-    marked = docs.withColumn("loomspan_sha", F.sha2(norm.cast("binary"), 256))
-    repeated = marked.join(both, marked.doc_id.eqNullSafe(both.gone_id) & (marked.loomspan_sha == both.gone_sha), "left_semi").dropDuplicates(["doc_id", "loomspan_sha"])
-    once = marked.join(gone, marked.doc_id.eqNullSafe(gone.gone_id) & (marked.loomspan_sha == gone.gone_sha), "left_anti")
-    return once.unionByName(repeated).drop("loomspan_sha")
+    tested = _filter(docs, filter_bits)
+    _, shared = _copies(docs, tested)
+    stay = shared.where("kept").select(F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_sha"))
+    rows = tested(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("whole"), F.col("doc_id").alias("own_id"), *_digested(docs)))
+    alone = rows.where(~F.col("maybe")).select("whole.*")
+    some = rows.where("maybe").join(stay, F.col("own_id").eqNullSafe(F.col("stay_id")) & (F.col("text_sha256") == F.col("stay_sha")), "left_semi")
+    return alone.unionByName(some.dropDuplicates(["own_id", "text_sha256"]).select("whole.*")).select(*docs.columns)
