@@ -17,7 +17,6 @@ out by the same test.
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -33,7 +32,7 @@ PROJECTIONS = 8
 #: Rows of the sample that the coarse tree is fitted on, and cells at most.
 SAMPLE, CELLS = 20_000, 4096
 #: Rows of a block, and of a leaf in it.
-BLOCK, LEAF = 4096, 64
+BLOCK, LEAF = 4096, 256
 
 
 def chi_square(x: float, m: int = PROJECTIONS) -> float:
@@ -91,54 +90,46 @@ class _Cells:
 
 
 class _Tree:
-    """A kd-tree over the projections of one block."""
+    """A kd-tree over the projections of one block, kept as the boxes of its leaves from left to right."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, points: np.ndarray) -> None:
-        order = np.arange(len(ids))
-        self.nodes: list[tuple] = []  # low, high, left, right or first, last
-        self._build(points, order, 0, len(order))
-        self.ids, self.vectors, self.points = ids[order], vectors[order], points[order]
-
-    def _build(self, points: np.ndarray, order: np.ndarray, a: int, b: int) -> int:
-        own = points[order[a:b]]
-        low, high = own.min(axis=0), own.max(axis=0)
-        at = len(self.nodes)
-        self.nodes.append((low, high, None, a, b))
-        if b - a > LEAF:
-            axis, mid = int(np.argmax(high - low)), (b - a) // 2
+        order, cuts = np.arange(len(ids)), [0]
+
+        def build(a: int, b: int) -> None:
+            if b - a <= LEAF:
+                cuts.append(b)
+                return
+            own = points[order[a:b]]
+            axis, mid = int(np.argmax(own.max(axis=0) - own.min(axis=0))), (b - a) // 2
             order[a:b] = order[a:b][np.argpartition(own[:, axis], mid)]
-            self.nodes[at] = (low, high, True, self._build(points, order, a, a + mid), self._build(points, order, a + mid, b))
-        return at
+            build(a, a + mid)
+            build(a + mid, b)
+
+        build(0, len(ids))
+        self.ids, self.vectors, points, self.cuts = ids[order], vectors[order], points[order], cuts
+        self.low, self.high = np.minimum.reduceat(points, cuts[:-1]), np.maximum.reduceat(points, cuts[:-1])
 
     def search(self, q: np.ndarray, point: np.ndarray, own: int, k: int, constant: float, ruled: float, bound: float) -> tuple[np.ndarray, np.ndarray]:
         """ids and inner products of the k best. constant: M^2 + |q|^2; ruled: the chi-square quantile; bound: a k-th inner product known from elsewhere."""
         best_ids, best = np.empty(0, np.int64), np.empty(0)
-        kth = bound
-
-        def apart(node: int) -> float:
-            low, high = self.nodes[node][:2]
-            return float((np.maximum(np.maximum(low - point, point - high), 0) ** 2).sum())
-
-        queue = [(apart(0), 0)]
-        while queue:
-            far, node = heapq.heappop(queue)
-            if far > ruled * max(constant - 2 * kth, 0.0):
+        kth, slack = bound, 1e-9 * constant
+        gap = np.maximum(np.maximum(self.low - point, point - self.high), 0)
+        far = (gap * gap).sum(axis=1)
+        for leaf in np.argsort(far, kind="stable").tolist():
+            if far[leaf] > ruled * max(constant - 2 * kth, 0.0):
                 break
-            _, _, inner, a, b = self.nodes[node]
-            if inner:
-                heapq.heappush(queue, (apart(a), a))
-                heapq.heappush(queue, (apart(b), b))
+            a, b = self.cuts[leaf], self.cuts[leaf + 1]
+            # a matrix product sums in an order of its own: it only tells which rows are worth the exact sum
+            near = a + np.flatnonzero(self.vectors[a:b] @ q >= kth - slack)
+            if not len(near):
                 continue
-            score = (self.vectors[a:b] * q).sum(axis=1)
-            ids = self.ids[a:b]
+            score, ids = (self.vectors[near] * q).sum(axis=1), self.ids[near]
             keep = (score >= kth) & (ids != own)
-            if keep.any():
-                best_ids, best = np.concatenate([best_ids, ids[keep]]), np.concatenate([best, score[keep]])
-                if len(best) > k:
-                    top = np.lexsort((best_ids, -best))[:k]
-                    best_ids, best = best_ids[top], best[top]
-                if len(best) == k:
-                    kth = max(kth, float(best.min()))
+            best_ids, best = np.concatenate([best_ids, ids[keep]]), np.concatenate([best, score[keep]])
+            if len(best) >= k:
+                top = np.lexsort((best_ids, -best))[:k]
+                best_ids, best = best_ids[top], best[top]
+                kth = max(kth, float(best[-1]))
         return best_ids, best
 
 

@@ -10,7 +10,9 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import string
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,18 +42,24 @@ def _byte_letters() -> dict[int, str]:
     return out
 
 
+#: Punctuation that is split from letters before it; an apostrophe may belong to a contraction.
+_TAIL = string.punctuation.replace("'", "")
+
+
 class WordBpe:
     """Encoder and decoder for a tokenizer file with NFC, lower case, a split pattern, byte letters and a word-end suffix."""
 
-    def __init__(self, spec: str, cache: int = 150_000) -> None:
+    def __init__(self, spec: str, words: int = 150_000, pieces: int = 500_000) -> None:
         j = json.loads(spec)
-        model, self.cache = j["model"], cache
+        model, self.most = j["model"], (words, pieces)
+        if model.get("type", "BPE") != "BPE" or not model.get("end_of_word_suffix"):
+            raise ValueError("this needs a tokenizer file of the word-end BPE kind")
         self.vocab: dict[str, int] = model["vocab"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         #: (left id, right id) in one number -> rank; the result of each rank
         self.rank = {self.vocab[a] << 20 | self.vocab[b]: r for r, (a, b) in enumerate(pairs)}
         self.made = [self.vocab[a + b] for a, b in pairs]
-        self.suffix: str = model["end_of_word_suffix"] or ""
+        self.suffix: str = model["end_of_word_suffix"]
         letters = _byte_letters()
         self.inner = [self.vocab[letters[b]] for b in range(256)]
         self.final = [self.vocab[letters[b] + self.suffix] for b in range(256)]
@@ -61,7 +69,7 @@ class WordBpe:
         self.special = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.marks = {t[:2].encode() for t in self.added}
         self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
         self.strings = [""] * (max([*self.vocab.values(), *self.added.values()]) + 1)
         for text, i in [*self.vocab.items(), *self.added.items()]:
             self.strings[i] = text
@@ -88,46 +96,47 @@ class WordBpe:
                 heapq.heappush(queue, s << 40 | h)
         return [s for s in symbols if s >= 0]
 
-    def piece(self, piece: str) -> list[int]:
+    def piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
             raw = piece.encode()
-            ids = self.merge([*(self.inner[b] for b in raw[:-1]), self.final[raw[-1]]])
-            if len(self.pieces) >= self.cache:
+            ids = array("i", self.merge([*(self.inner[b] for b in raw[:-1]), self.final[raw[-1]]])).tobytes()
+            if len(self.pieces) >= self.most[1]:
                 self.pieces.clear()
             if len(piece) <= 64:
                 self.pieces[piece] = ids
         return ids
 
-    def _plain(self, text: str) -> list[int]:
+    def _plain(self, text: str) -> bytes:
         if text.isascii():
             text = text.lower()
-            if text.isalpha():
-                return self.piece(text)
         else:
             # lower case is by code point here: no rule for a final sigma
             text = unicodedata.normalize("NFC", text)
             text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
-        return [i for p in self.split.findall(text) for i in self.piece(p)]
+        # the common case: letters, and perhaps punctuation after them
+        core = text.rstrip(_TAIL)
+        if core.isalpha():
+            return self.piece(core) + (self.piece(text[len(core) :]) if len(core) < len(text) else b"")
+        return b"".join(map(self.piece, self.split.findall(text)))
 
     def word(self, raw: bytes) -> bytes:
-        """The ids of one word without ASCII blanks, as little-endian 32-bit integers."""
-        ids: list[int] = []
+        """The ids of one word without ASCII blanks, as 32-bit integers in native order."""
         text = raw.decode()
         if self.special and any(m in raw for m in self.marks):
-            for part in self.special.split(text):
-                ids += [self.added[part]] if part in self.added else self._plain(part) if part else []
+            ids = b"".join(array("i", [self.added[part]]).tobytes() if part in self.added else self._plain(part) for part in self.special.split(text) if part)
         else:
             ids = self._plain(text)
-        packed = np.array(ids, "<i4").tobytes()
-        if len(self.words) >= self.cache:
+        if len(self.words) >= self.most[0]:
             self.words.clear()
         if len(raw) <= 64:
-            self.words[raw] = packed
-        return packed
+            self.words[raw] = ids
+        return ids
 
     def encode(self, raw: bytes) -> bytes:
         words, get = self.words, self.word
+        if not any(m in raw for m in self.marks):
+            raw = raw.lower()  # fewer distinct words; special tokens are told by their case
         return b"".join([words.get(w) or get(w) for w in raw.split()])
 
     def decode(self, ids) -> str:
@@ -165,7 +174,7 @@ def encoded(docs: DataFrame, *, path: str | None = None, decode: bool = False) -
         for whole in batches:
             for batch in slices(whole, "text"):
                 packed = [bpe.encode(t) for t in text_bytes(batch.column("text"))]
-                ids = np.frombuffer(b"".join(packed), "<i4")
+                ids = np.frombuffer(b"".join(packed), np.int32)
                 ends = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
                 out = [batch.column(c) for c in rest] + [pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))]
                 if decode:

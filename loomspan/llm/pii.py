@@ -90,11 +90,9 @@ def disclosing_terms(docs: DataFrame, contexts: DataFrame, n_docs: int, *, discl
     pairs = near.distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
     pairs = written(pairs, "pairs")
     entities = contexts.select("entity", F.xxhash64("around").alias("c")).distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    wanted = pairs.select("term").distinct()
-    if wanted.count() <= 100_000:  # the size is checked; more terms are joined by a shuffle
-        wanted = F.broadcast(wanted)
+    # counts of all terms are summed in each task and then joined, so the join makes a row for each pair and no more
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    df = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    df = words.groupBy("term").agg(F.count("*").alias("n_t"))
     n = F.lit(float(n_docs))
     pmi = F.log2(n * F.col("both") / (F.col("n_e") * F.col("n_t")))
     information = F.log2(n / F.col("n_e"))
