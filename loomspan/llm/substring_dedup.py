@@ -32,6 +32,8 @@ WINDOW = 50
 GRAM = 8
 #: Distinct runs of one minimiser that are sorted in one piece; the windows of a larger bucket are dealt by their hash.
 BUCKET = 2000
+#: Repeated runs that a task remembers.
+REMEMBERED = 200_000
 _LAST = (1 << 63) - 1  # what a null id counts as: later than all others, and not earlier than another null
 
 
@@ -43,7 +45,13 @@ def _words_of(texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.nda
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, sig, first, count, mini, content of each run, one row for equal runs of a slice (the smallest id); `sure` for those that an earlier document of the slice covers."""
+    """doc, sig, first, count, mini, content of each run, one row for equal runs of a slice (the smallest id); `sure` for those that an earlier document of the slice covers.
+
+    A task remembers the smallest id it has sent on for each run that repeats:
+    later documents are sure at once, so a passage of most documents leaves a
+    task a few times only. A full memory only sends more rows on.
+    """
+    sent: dict[tuple[int, int], int] = {}
     for whole in batches:
         for batch in slices(whole, "text"):
             doc = np.array([_LAST if d is None else d for d in batch.column("doc").to_pylist()], np.int64)
@@ -64,6 +72,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             group = np.cumsum(np.concatenate([[0], (m[1:] != m[:-1]) | (c[1:] != c[:-1])])) if len(m) else np.empty(0, np.int64)
             least = np.full(int(group[-1]) + 1 if len(group) else 0, _LAST, np.int64)
             np.minimum.at(least, group, d)
+            lead = np.flatnonzero(np.bincount(group, minlength=len(least)) > 1)
+            begin = np.searchsorted(group, lead)
+            for g, key in zip(lead.tolist(), zip(m[begin].tolist(), c[begin].tolist(), strict=True), strict=True):
+                known = sent.get(key)
+                if known is not None and known < least[g]:
+                    least[g] = known
+                elif known is not None or len(sent) < REMEMBERED:
+                    sent[key] = int(least[g])
             sure = d > least[group]
             # what is settled needs no partner: it goes where its document's rows go
             m = np.where(sure, sig[text][order], m)

@@ -36,6 +36,8 @@ STEP = 8
 BUCKET = 2000
 #: Rows that are merged together where buckets are small.
 ROWS = 40_000
+#: Repeated runs that a task remembers, or those of one more slice.
+REMEMBERED = 200_000
 
 
 def transform(shard: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +91,13 @@ def repeated_intervals(shards: list[bytes], window: int = WINDOW) -> tuple[np.nd
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, sig, first, count, mini, content of each run. Of equal runs of a slice one goes on, marked `twice`; the others are `sure` repeats."""
+    """doc, sig, first, count, mini, content of each run. Of equal runs of a slice one goes on, marked `twice`; the others are `sure` repeats.
+
+    A task remembers which runs it has sent on so marked: later ones are sure
+    at once, so a passage of most documents leaves each task about once. A full
+    memory only sends more rows on.
+    """
+    sent: set[tuple[int, int]] = set()
     for whole in batches:
         for batch in slices(whole, "text"):
             doc, sig = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "sig"))
@@ -106,6 +114,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             same = np.zeros(len(m), bool)
             same[1:] = (m[1:] == m[:-1]) & (c[1:] == c[:-1])
             twice = ~same & np.append(same[1:], False) if len(m) else same
+            lead = np.flatnonzero(twice)
+            keys = list(zip(m[lead].tolist(), c[lead].tolist(), strict=True))
+            again = lead[np.array([k in sent for k in keys], bool)]
+            same[again], twice[again] = True, False
+            if len(sent) < REMEMBERED:
+                sent.update(keys)
             m = np.where(same, sig[text], m)  # what is settled needs no partner
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[text], sig[text], first.astype(np.int32), count.astype(np.int32), m, c, same, twice)], ["doc", "sig", "first", "count", "mini", "content", "sure", "twice"])
 

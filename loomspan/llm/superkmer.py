@@ -14,8 +14,8 @@ import numpy as np
 _ODD = 0x9E3779B97F4A7C15
 #: The inverse of _ODD modulo 2**64.
 _INVERSE = pow(_ODD, -1, 1 << 64)
-#: Low bits of a key that hold a place, so that the smallest key is the leftmost.
-_PLACE = 26
+#: Low bits of a key that hold a place, so that the smallest key is the leftmost. Texts of any length that Arrow can hold fit.
+_PLACE = 32
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -62,7 +62,6 @@ def runs(elements: np.ndarray, lengths: np.ndarray, window: int, gram: int) -> t
     none = np.empty(0, np.int64)
     if n < window:
         return none, none, none, np.empty(0, np.uint64)
-    assert n < 1 << _PLACE
     hashes = gram_hashes(elements, gram)
     low = np.uint64((1 << _PLACE) - 1)
     least = _sliding_least((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), window - gram + 1)
