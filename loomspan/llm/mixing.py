@@ -21,6 +21,8 @@ HASH_BITS = 60
 LEVEL_BITS = 12
 #: No document is repeated more often.
 MOST = 3
+#: A table with a row for each of so many sources is broadcast; a larger one is joined by shuffle.
+FEW = 100_000
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -54,30 +56,31 @@ def thresholds(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
     """For each source: whole (times every document is taken), threshold (hashes below it are taken once more), and included (whether documents at the threshold are, too)."""
     share = F.col("target") / F.col("source_size")
     whole = F.when(F.col("source_size") > 0, F.floor(share)).otherwise(F.lit(0)).cast("long")
+    wanted = written(wanted, "targets")
+    hinted = F.broadcast if wanted.count() <= FEW else lambda table: table
     state = wanted.select("source", "source_size", "target", whole.alias("whole")).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
     state = state.withColumns({"prefix": F.lit(0).cast("long"), "before": F.lit(0).cast("long")})
+    carried = ("source_size", "target", "whole", "budget")
     for level in range(HASH_BITS // LEVEL_BITS):
         above, below = HASH_BITS - level * LEVEL_BITS, HASH_BITS - (level + 1) * LEVEL_BITS
-        inside = sizes.withColumn("prefix", F.shiftright("hash", above))
-        at = state.select(F.col("source").alias("s"), F.col("prefix").alias("p"), "before", "budget")
-        cells = (
-            inside.groupBy("source", "prefix", F.shiftright("hash", below).alias("bucket")).agg(F.sum("size").alias("n")).join(at, F.col("source").eqNullSafe(F.col("s")) & (F.col("prefix") == F.col("p")))
-        )
+        at = hinted(state.select(F.col("source").alias("s"), "prefix", "before", *carried))
+        # only the boundary bucket's rows are summed again, in each task first
+        inside = sizes.join(at, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("hash", above) == F.col("prefix")))
+        same = [F.first(c).alias(c) for c in carried]
+        cells = inside.groupBy("source", F.shiftright("hash", below).alias("bucket")).agg(F.sum("size").alias("n"), F.first("before").alias("before"), *same)
         w = W.partitionBy("source").orderBy("bucket")
         cells = cells.withColumn("upto", F.col("before") + F.sum("n").over(w))
         # the first bucket that passes the budget, or the last one if none does
-        crossed = cells.groupBy("source").agg(
-            F.min(F.when(F.col("upto") > F.col("budget"), F.struct("bucket", "upto", "n"))).alias("over"), F.max(F.struct("bucket", "upto", "n")).alias("last")
-        ).withColumn("hit", F.coalesce("over", "last"))
-        found = crossed.select(F.col("source").alias("s"), F.col("hit.bucket").alias("prefix"), (F.col("hit.upto") - F.col("hit.n")).alias("before"), F.col("hit.n").alias("n"))
-        state = state.drop("prefix", "before", "n").join(found, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+        here = F.struct("bucket", "upto", "n")
+        crossed = cells.groupBy("source").agg(F.coalesce(F.min(F.when(F.col("upto") > F.col("budget"), here)), F.max(here)).alias("hit"), *same)
+        state = crossed.select("source", *carried, F.col("hit.bucket").alias("prefix"), (F.col("hit.upto") - F.col("hit.n")).alias("before"), F.col("hit.n").alias("n"))
     nearer = F.abs(F.col("before") + F.col("n") - F.col("budget")) <= F.abs(F.col("before") - F.col("budget"))
     return state.select("source", "source_size", "target", "whole", F.col("prefix").alias("threshold"), (nearer & (F.col("budget") > 0)).alias("included"))
 
 
-def _small(plan: DataFrame, most: int = 100_000) -> DataFrame:
+def _small(plan: DataFrame) -> DataFrame:
     """plan has a row for each source; broadcast it if a count shows that it is small, so that a hot source isn't shuffled to one task."""
-    return F.broadcast(plan) if plan.count() <= most else plan
+    return F.broadcast(plan) if plan.count() <= FEW else plan
 
 
 def mixed(docs: DataFrame) -> DataFrame:
