@@ -42,7 +42,7 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     folder = f"{shared_folder(spark)}/loomspan-store-{uuid.uuid4().hex}"
     token_store.write(docs, folder)
-    return token_store.digests(token_store.read(spark, folder, token_store.keys_of(docs))).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_store.digests(spark, folder, token_store.keys_of(docs)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,7 +111,7 @@ class _Ids:
         return [b"".join([known[w] for w in ws]) + end for ws in split]
 
 
-#: The encoder of this Python worker; later tasks find its cache filled.
+#: The encoder of this Python worker; later tasks find its cache filled, and tasks of later stages drop it.
 _loaded: dict[tuple[int, str], _Ids] = {}
 
 
@@ -123,6 +123,11 @@ def _encoder(spec: str, width: str) -> _Ids:
     return _loaded[key]
 
 
+def _forget() -> None:
+    """Drop the cache: a later stage has no use for it. A function of the module, since nested ones are sent with copies of what they name."""
+    _loaded.clear()
+
+
 def _key_hash(doc: Column, place: Column) -> tuple[Column, Column]:
     """The key's hash and its fingerprint, which another hash function gives."""
     parts = (F.coalesce(doc, F.lit(0)), doc.isNull(), place)
@@ -154,6 +159,7 @@ def write(docs: DataFrame, folder: str, *, path: str | None = None, docs_per_sha
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by shard, doc_id: blocks of whole documents."""
+        _forget()
         step = int(width[-1])
         held: list[tuple] = []
         size = block = place = 0
@@ -192,6 +198,7 @@ def write(docs: DataFrame, folder: str, *, path: str | None = None, docs_per_sha
 
     def offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """An entry for each document; only the blocks' narrow columns are read again."""
+        _forget()
         for batch in batches:
             shard, block, docs_, places, lengths = (batch.column(c).to_pylist() for c in ("shard", "block", "docs", "places", "lengths"))
             n = [len(x) for x in lengths]
@@ -248,6 +255,7 @@ def slots_of(levels: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries sorted by bucket: the hash and slots of each bucket. Keys whose 64-bit hashes collide go to a list beside it."""
+    _forget()
     held, rows = None, []
 
     def made() -> pa.RecordBatch:
@@ -323,39 +331,45 @@ def look_up(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
     return index.join(asked, "bucket").select("n", "levels", "slots", "left", "asked").mapInArrow(run, "doc_id long, place int, shard int, block int, offset long, length long")
 
 
-def read(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
-    """doc_id, place, start (ids of all documents before it), ids (raw bytes), width of the keys' documents, from the files."""
+def _sections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys' documents of joined blocks."""
+    _forget()
+    for batch in batches:
+        for start, payload, width, wanted in zip(*(batch.column(c).to_pylist() for c in ("start", "payload", "width", "wanted")), strict=True):
+            step = int(width[-1])
+            columns = [
+                pa.array([w["doc_id"] for w in wanted], pa.int64()),
+                pa.array([w["place"] for w in wanted], pa.int32()),
+                pa.array([start + w["offset"] for w in wanted], pa.int64()),
+                pa.array([payload[w["offset"] * step : (w["offset"] + w["length"]) * step] for w in wanted], pa.binary()),
+                pa.array([width] * len(wanted), pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "place", "start", "ids", "width"])
+
+
+def _blocks_of(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
     at = look_up(spark, folder, keys).groupBy("shard", "block").agg(F.collect_list(F.struct("doc_id", "place", "offset", "length")).alias("wanted"))
     blocks = spark.read.parquet(f"{folder}/blocks").select("shard", "block", "payload", "width")
     starts = spark.read.parquet(f"{folder}/starts")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start, payload, width, wanted in zip(*(batch.column(c).to_pylist() for c in ("start", "payload", "width", "wanted")), strict=True):
-                step = int(width[-1])
-                columns = [
-                    pa.array([w["doc_id"] for w in wanted], pa.int64()),
-                    pa.array([w["place"] for w in wanted], pa.int32()),
-                    pa.array([start + w["offset"] for w in wanted], pa.int64()),
-                    pa.array([payload[w["offset"] * step : (w["offset"] + w["length"]) * step] for w in wanted], pa.binary()),
-                    pa.array([width] * len(wanted), pa.string()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "place", "start", "ids", "width"])
+    return blocks.join(at, ["shard", "block"]).join(starts, ["shard", "block"]).select("start", "payload", "width", "wanted")
 
-    found = blocks.join(at, ["shard", "block"]).join(starts, ["shard", "block"]).select("start", "payload", "width", "wanted")
-    return found.mapInArrow(run, "doc_id long, place int, start long, ids binary, width string")
 
+def read(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
+    """doc_id, place, start (ids of all documents before it), ids (raw bytes), width of the keys' documents, from the files."""
+    return _blocks_of(spark, folder, keys).mapInArrow(_sections, "doc_id long, place int, start long, ids binary, width string")
 
-def digests(rows: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers) from read()."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, crc = [], []
-            for raw, width in zip(batch.column("ids").to_pylist(), batch.column("width").to_pylist(), strict=True):
-                ids = np.frombuffer(raw, width)
-                n.append(len(ids))
-                crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n, crc = [], []
+        for raw, width in zip(batch.column("ids").to_pylist(), batch.column("width").to_pylist(), strict=True):
+            ids = np.frombuffer(raw, width)
+            n.append(len(ids))
+            crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+
+def digests(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers) of what read() gives; one Python worker a task does both."""
+    return _blocks_of(spark, folder, keys).mapInArrow(lambda batches: _digested(_sections(batches)), "doc_id long, start long, n_tokens long, ids_crc32 long")

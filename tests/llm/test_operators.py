@@ -262,7 +262,7 @@ def test_bpe_merges_are_the_librarys(library):
 def test_token_store(spark, docs, rows, empty, library, tmp_path):
     folder = str(tmp_path / "store")
     token_store.write(docs, folder, docs_per_shard=10)
-    got = token_store.digests(token_store.read(spark, folder, token_store.keys_of(docs))).collect()
+    got = token_store.digests(spark, folder, token_store.keys_of(docs)).collect()
     made = sorted(((r[0] is None, r[0] or 0, np.array(library.encode(r[1] or "", add_special_tokens=False).ids + [2], "<u4")) for r in rows), key=lambda x: (x[0], x[1], x[2].astype("<u2").tobytes()))
     want, start = [], 0
     for null, i, ids in made:
