@@ -80,6 +80,12 @@ def rank_contexts(spark, sf_dir):
     return _ranks(retrieval.rank_contexts(_queries(spark, sf_dir).where("query_id % 100 = 0"), _corpus(spark, sf_dir)))
 
 
+@register(f"{_TOP} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r")
+def rank_contexts_batch(spark, sf_dir):
+    """Every query of the stated set against every context; rank_contexts, as its SQL says, takes one in five of them."""
+    return _ranks(retrieval.rank_contexts(_queries(spark, sf_dir), _corpus(spark, sf_dir)))
+
+
 #: Three "models": prefixes of the vectors.
 PREFIXES = (16, 32, 64)
 _MODELS = f"""WITH v AS (SELECT 'm' || d AS model, vec_id, CAST(embedding[1:d] AS DOUBLE[]) AS e FROM embeddings, (VALUES {", ".join(f"({d})" for d in PREFIXES)}) p(d)),

@@ -73,3 +73,13 @@ def test_judgements(spark):
     queries, corpus, relevant = evaluation.judgements(ex)
     assert {r.doc_id: r.context for r in corpus.collect()} == {"d1": "new", "d2": "x"}
     assert {r.query_id: r.doc_ids for r in relevant.collect()} == {"q1": ["d1", "d2"], "q2": ["d1"]} and queries.count() == 2
+
+
+def test_every_stated_query_is_ranked(spark, tmp_path):
+    from loomspan.plans import all_queries
+
+    rows = [(i, [1.0, float(i)], i % 3) for i in range(121)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = all_queries()["rank_contexts_batch"][0](spark, str(tmp_path)).collect()
+    ranks = {q: sorted(r["rank"] for r in got if r.query_id == q) for q in {r.query_id for r in got}}
+    assert ranks == {q: list(range(1, 122)) for q in range(0, 121, 20)}
