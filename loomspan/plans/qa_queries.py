@@ -133,6 +133,38 @@ def qa_validation_report(spark, sf_dir):
     return qa.validation_report(_checked(spark, sf_dir)).withColumn("valid_percentage", F.round("valid_percentage", 6))
 
 
+#: As _EXAMPLES with whole texts as contexts; the answer starts in the middle, and out of bounds is the text's own length.
+_WHOLE_EXAMPLES = """SELECT doc_id, cast(doc_id as string) AS id, CASE WHEN doc_id % 7 = 6 THEN null ELSE 'What?' END AS question, text AS context,
+named_struct('text', CASE doc_id % 7 WHEN 3 THEN array('zz#zz') WHEN 4 THEN array('a', 'b') WHEN 5 THEN cast(array() as array<string>) ELSE array(substring(text, mid + 1, 5)) END,
+'answer_start', CASE doc_id % 7 WHEN 1 THEN array(mid + 1) WHEN 2 THEN array(length(text)) WHEN 5 THEN cast(array() as array<int>) ELSE array(mid) END) AS answers
+FROM (SELECT doc_id, text, cast(floor(length(text) / 2) as int) AS mid FROM {docs})"""
+_WHOLE_ISSUES = """WITH c AS (SELECT doc_id, doc_id % 7 AS k, text AS context, length(text) AS len, length(text) // 2 AS mid, substr(text, length(text) // 2 + 1, 5) AS t FROM documents),
+s AS (SELECT *, CASE k WHEN 1 THEN mid + 1 WHEN 2 THEN len ELSE mid END AS s, CASE k WHEN 3 THEN 'zz#zz' ELSE t END AS a FROM c),
+i AS (SELECT doc_id, CASE WHEN k = 6 THEN 'Missing required field: question' WHEN context IS NULL THEN 'Missing required field: context' WHEN k = 5 THEN 'Must have at least one answer'
+  WHEN k = 4 THEN 'Answer text and start lists must have same length' WHEN s >= len THEN 'Answer 0: start position ' || s || ' out of context bounds (context length: ' || len || ')'
+  WHEN substr(context, s + 1, length(a)) = a THEN NULL WHEN strpos(context, a) = 0 THEN 'Answer 0: text ''' || a || '...'' not found in context'
+  ELSE 'Answer 0: text found at different position (expected ' || s || ', found ' || (strpos(context, a) - 1) || ')' END AS issue FROM s)"""
+
+
+def _whole_checked(spark, sf_dir):
+    return qa.issues(spark.sql(_WHOLE_EXAMPLES, docs=documents(spark, sf_dir)))
+
+
+@register(f"{_WHOLE_ISSUES} SELECT doc_id, coalesce(issue, '') AS issues FROM i")
+def qa_validate_whole(spark, sf_dir):
+    return _whole_checked(spark, sf_dir).select("doc_id", F.array_join("issues", "; ").alias("issues"))
+
+
+@register(f"{_WHOLE_ISSUES} SELECT issue, count(*) AS n FROM i WHERE issue IS NOT NULL GROUP BY issue ORDER BY n DESC, issue LIMIT 10")
+def qa_issue_histogram_whole(spark, sf_dir):
+    return qa.issue_histogram(_whole_checked(spark, sf_dir))
+
+
+@register(f"{_WHOLE_ISSUES} SELECT count(*) AS total, count(*) FILTER (issue IS NULL) AS valid, count(*) FILTER (issue IS NOT NULL) AS invalid, round(count(*) FILTER (issue IS NULL) * 100.0::DOUBLE / count(*), 6) AS valid_percentage FROM i")
+def qa_validation_report_whole(spark, sf_dir):
+    return qa.validation_report(_whole_checked(spark, sf_dir)).withColumn("valid_percentage", F.round("valid_percentage", 6))
+
+
 def _turns(spark, sf_dir):
     """Each user turn with the assistant's next one."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")

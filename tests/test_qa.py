@@ -79,3 +79,13 @@ def test_issues(spark):
     assert "expected 2, found 6" in got[6][0] and "not found" in got[6][1] and "out of context bounds" in got[6][2]
     report = qa.validation_report(qa.issues(spark.createDataFrame(rows, schema))).first()
     assert (report.total, report.valid, report.invalid) == (7, 1, 6)
+
+
+def test_whole_texts_are_validated(spark, tmp_path):
+    from loomspan.plans import all_queries
+
+    text = "".join(chr(0x4E00 + i) for i in range(9000))  # no letter comes twice
+    spark.createDataFrame([(i, text) for i in range(7)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.issues for r in all_queries()["qa_validate_whole"][0](spark, str(tmp_path)).collect()}
+    assert got[0] == "" and "expected 4501, found 4500" in got[1] and "start position 9000 out of context bounds (context length: 9000)" in got[2]
+    assert "'zz#zz...' not found" in got[3]
