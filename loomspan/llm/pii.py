@@ -79,21 +79,25 @@ def _base_spans(matched: DataFrame) -> DataFrame:
     return long.select("row", "kind", (F.col("end") - F.length("value")).alias("start"), "end", "value")
 
 
-def disclosing_terms(docs: DataFrame, contexts: DataFrame, n_docs: int, *, disclosure: float, support: int) -> DataFrame:
+def disclosing_terms(docs: DataFrame, contexts: DataFrame, n_texts: int, *, disclosure: float, support: int) -> DataFrame:
     """entity, term of all pairs whose term discloses the entity.
 
-    contexts: row, entity, around. A term must be near the entity in at least
-    `support` different contexts, so that copies of one passage don't count.
-    n(t) counts documents of the whole corpus.
+    contexts: row, id, entity, around; id is the hash of the row's text. N, n(e),
+    n(e, t) and n(t) all count different texts of the whole corpus, so that copies
+    of a text count once in each of them. A term must also be near the entity in at
+    least `support` different contexts. An entity that is in every text has no
+    information, and no term discloses it.
     """
-    near = contexts.select("entity", F.xxhash64("around").alias("c"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("around"), F.lit(TERM), F.lit(0)))).alias("term"))
-    pairs = near.distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
-    pairs = written(pairs, "pairs")
-    entities = contexts.select("entity", F.xxhash64("around").alias("c")).distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    places = contexts.select("entity", "id", "around").distinct()
+    near = places.select("entity", "id", F.xxhash64("around").alias("c"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("around"), F.lit(TERM), F.lit(0)))).alias("term"))
+    pairs = near.groupBy("entity", "term").agg(F.countDistinct("id").alias("both"), F.countDistinct("c").alias("places")).where(F.col("places") >= support)
+    pairs = written(pairs.drop("places"), "pairs")
+    entities = contexts.select("entity", "id").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     # counts of all terms are summed in each task and then joined, so the join makes a row for each pair and no more
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).distinct()
+    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
     df = words.groupBy("term").agg(F.count("*").alias("n_t"))
-    n = F.lit(float(n_docs))
+    n = F.lit(float(n_texts))
     pmi = F.log2(n * F.col("both") / (F.col("n_e") * F.col("n_t")))
     information = F.log2(n / F.col("n_e"))
     return pairs.join(df, "term").join(entities, "entity").where((information > 0) & (pmi >= F.lit(disclosure) * information)).select("entity", "term")
@@ -107,6 +111,7 @@ def found(docs: DataFrame, *, disclosure: float = 0.9, support: int = 3) -> Data
     """
     matched = written(_matched(docs), "pii")
     base = written(_base_spans(matched), "spans")
+    identity = F.xxhash64(F.coalesce("text", F.lit("")))
     texts = matched.where("text is not null").select("row", "text")
     own = base.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end", "value")).alias("spans"))
     around = lambda s: F.concat(  # noqa: E731  a word cut by the edge of the reach is no word
@@ -114,9 +119,10 @@ def found(docs: DataFrame, *, disclosure: float = 0.9, support: int = 3) -> Data
         F.lit(" \n "),
         F.regexp_replace(F.substring("text", (s["end"] + 1).cast("int"), F.lit(REACH)), r"\p{L}+$", ""),
     )
-    contexts = own.join(texts, "row").select("row", F.explode(F.transform("spans", lambda s: F.struct(F.concat(s["kind"].cast("string"), F.lit(":"), F.lower(s["value"])).alias("entity"), around(s).alias("around")))).alias("x"))
-    contexts = written(contexts.select("row", "x.entity", "x.around"), "contexts")
-    flagged = written(disclosing_terms(docs, contexts, matched.count(), disclosure=disclosure, support=support), "terms")
+    contexts = own.join(texts, "row").select("row", identity.alias("id"), F.explode(F.transform("spans", lambda s: F.struct(F.concat(s["kind"].cast("string"), F.lit(":"), F.lower(s["value"])).alias("entity"), around(s).alias("around")))).alias("x"))
+    contexts = written(contexts.select("row", "id", "x.entity", "x.around"), "contexts")
+    n_texts = docs.select(identity.alias("id")).distinct().count()
+    flagged = written(disclosing_terms(docs, contexts, n_texts, disclosure=disclosure, support=support), "terms")
     at = contexts.select("row", "entity").distinct().join(flagged, "entity").select("row", "term").distinct().join(texts, "row")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})"), F.col("term"), F.lit(r"(?!\p{L})"))
     cut = at.select("row", F.posexplode(F.arrays_zip(F.regexp_extract_all("text", pattern, F.lit(0)).alias("m"), F.transform(F.split("text", pattern, -1), F.length).alias("l"))), "term").where("col.m is not null")

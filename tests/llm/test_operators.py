@@ -322,6 +322,17 @@ def test_pii_terms(spark):
     assert set(clean) == set(range(5)) and all("[EMAIL]" in t and "zanzibarite" not in t and "@" not in t for t in clean.values())
 
 
+def test_pii_terms_in_a_group_of_copies(spark):
+    """Copies of a page count once for the term as for the value, so a word that stands only beside the value is still a span."""
+    r = random.Random(8)
+    vocab = ["".join(r.choices("bcdfgaeiou", k=6)) for _ in range(60)]
+    page = "Dear {} quagmirella jo@firm.example.org " + " ".join(vocab[:8])
+    texts = [page.format(vocab[0])] * 200 + [page.format(vocab[i]) for i in (1, 2, 3)] + [" ".join(r.choices(vocab, k=30)) for _ in range(400)]
+    found = {x.doc_id: x for x in pii.found(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)).collect()}
+    assert all("quagmirella" in [s.value for s in found[i].spans if s.kind == pii.TERM_KIND] for i in range(203))
+    assert all(not found[i].spans for i in range(203, len(texts)))
+
+
 def _vectors(n=900, dims=16, seed=0):
     rng = np.random.default_rng(seed)
     x = rng.standard_normal((n, dims)).astype(np.float32)
