@@ -29,13 +29,23 @@ def rounded(metrics: DataFrame, two: tuple[str, ...] = ("model_size_mb", "infere
     return metrics.select(*[F.round(c, 2 if c in two else 4).alias(c) if t == "double" else F.col(c) for c, t in metrics.dtypes])
 
 
+#: Rows of a table that a page can show.
+PAGE_ROWS = 1000
+
+
 def chart_page(tables: dict[str, DataFrame]) -> str:
-    """An HTML page with a table for each name; tables are report tables, one row for each model and metric."""
+    """An HTML page with a table for each name; tables are report tables, one row for each model and metric.
+
+    A table of more than PAGE_ROWS rows is an error; write_report writes whole tables.
+    """
     from html import escape
 
     parts = []
     for name, df in tables.items():
+        rows = df.limit(PAGE_ROWS + 1).collect()
+        if len(rows) > PAGE_ROWS:
+            raise ValueError(f"table {name} has more than {PAGE_ROWS} rows")
         head = "".join(f"<th>{escape(c)}</th>" for c in df.columns)
-        body = "".join("<tr>" + "".join(f"<td>{escape(str(v))}</td>" for v in r) + "</tr>" for r in df.limit(1000).collect())
+        body = "".join("<tr>" + "".join(f"<td>{escape(str(v))}</td>" for v in r) + "</tr>" for r in rows)
         parts.append(f"<h2>{escape(name)}</h2><table><tr>{head}</tr>{body}</table>")
     return "<!doctype html><meta charset='utf-8'><title>Model comparison</title>" + "".join(parts)

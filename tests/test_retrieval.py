@@ -83,3 +83,10 @@ def test_every_stated_query_is_ranked(spark, tmp_path):
     got = all_queries()["rank_contexts_batch"][0](spark, str(tmp_path)).collect()
     ranks = {q: sorted(r["rank"] for r in got if r.query_id == q) for q in {r.query_id for r in got}}
     assert ranks == {q: list(range(1, 122)) for q in range(0, 121, 20)}
+
+
+def test_a_page_shows_whole_tables_only(spark):
+    df = spark.range(report.PAGE_ROWS + 1)
+    with pytest.raises(ValueError, match="more than"):
+        report.chart_page({"t": df})
+    assert report.chart_page({"t": df.where("id > 0")}).count("<tr><td>") == report.PAGE_ROWS
