@@ -18,7 +18,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any letter have no language and go."""
+    """Documents without any letter have no language and go, as do those that match no language's profile."""
     return langid.accepted(docs)
 
 

@@ -131,13 +131,14 @@ def _distances(texts: list[str], known: dict[str, dict[str, int]], length: int)
     return out, compared
 
 
-def predicted(docs: DataFrame, learned: DataFrame, *, length: int = LENGTH) -> DataFrame:
+def predicted(docs: DataFrame, learned: DataFrame, *, length: int = LENGTH, lettered: str | None = None) -> DataFrame:
     """docs with lang_pred and score (0 to 1) in place of text, from profiles().
 
     The score is 1 less the distance over the largest possible one. A null
     text, or one without letters, is `und` with score 0, as is every text when
     nothing was learned. Languages at equal distance go by code point. Profiles
-    are fetched and broadcast: `length` short rows for each language.
+    are fetched and broadcast: `length` short rows for each language. With
+    `lettered`, a column of that name says whether the text has letters.
     """
     known: dict[str, dict[str, int]] = {}
     for r in learned.orderBy("lang", "rank").collect():
@@ -146,7 +147,7 @@ def predicted(docs: DataFrame, learned: DataFrame, *, length: int = LENGTH) -> D
     prepared(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast({k: known[k] for k in names})
     rest = [c for c in docs.columns if c not in ("text", "lang_pred", "score")]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest), "lang_pred string, score double"])
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest), "lang_pred string, score double", *([f"{lettered} boolean"] if lettered else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -157,7 +158,8 @@ def predicted(docs: DataFrame, learned: DataFrame, *, length: int = LENGTH) -> D
                 score = np.zeros(len(far))
                 score[some] = 1 - far[some, best[some]] / (length * compared[some])
                 lang = [names[b] if s else UNKNOWN for b, s in zip(best.tolist(), some.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(lang, pa.string()), pa.array(score)], [*rest, "lang_pred", "score"])
+                more = [pa.array(compared > 0)] if lettered else []
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(lang, pa.string()), pa.array(score), *more], [*rest, "lang_pred", "score", *([lettered] if lettered else [])])
 
     return docs.select(*rest, "text").mapInArrow(run, schema)
 
@@ -174,7 +176,11 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of docs that have a language: those without any letter go. All columns stay.
+    """The rows of docs that have a language. All columns stay.
+
+    A text without any letter goes, and one that shares no n-gram with any
+    profile (score 0). Where nothing was learned, no text can match, and all
+    with letters stay.
 
     A row's columns travel with its text through the prediction, so nothing is joined back.
     """
@@ -182,5 +188,7 @@ def accepted(docs: DataFrame) -> DataFrame:
     learned = written(profiles(docs.where(~held)), "profiles")
     names = docs.columns
     packed = docs.select(F.struct(*[docs[c] for c in names]).alias("loomspan_row"), F.col("text"))
-    out = predicted(packed, learned).where(F.col("lang_pred") != UNKNOWN)
+    out = predicted(packed, learned, lettered="lettered").where("lettered")
+    if not learned.isEmpty():
+        out = out.where("score > 0")
     return out.select("loomspan_row.*").select(*names)

@@ -151,6 +151,15 @@ def test_language(spark, docs, rows, empty):
     assert kept.columns == docs.columns and kept.count() == sum(any(c.isalpha() for c in r[1] or "") for r in rows)
 
 
+def test_accepted_languages(spark):
+    """A text that matches no profile goes; where no row has a lang, all with letters stay."""
+    made = [(i, "stone river thing with", "en", "s", 0) for i in range(20)] + [(20, "ψωξ ψωξ", None, "s", 0), (21, "12 ...", "en", "s", 0)]
+    df = spark.createDataFrame(made, SCHEMA)
+    ids = lambda d: {r.doc_id for r in langid.accepted(d).collect()}
+    assert ids(df) == set(range(20))
+    assert ids(df.selectExpr("doc_id", "text", "cast(null as string) AS lang", "source", "n_chars")) == set(range(21))
+
+
 def test_language_profiles_and_distance(spark):
     r = random.Random(1)
     words = {"aa": ["kala", "vesi", "maa", "puu"], "bb": ["stone", "river", "thing", "with"], "cc": ["où", "être", "déjà", "ça"]}
