@@ -1,39 +1,30 @@
 """Removal of word passages that stand in an earlier document, by super-k-mer partitioning.
 
 Each text's windows of 50 words are cut into super-k-mers: runs of windows
-that share a minimiser. A run's windows that also start in a document with a
-smaller id are to be found. All rows of one minimiser meet, and
-
-* a run whose whole content stands in an earlier document is settled at once;
-* where a minimiser has several different runs, each distinct one travels as
-  one packed string to the minimiser's bucket, and sorting the bucket's
-  windows tells, exactly, the smallest id that each window starts in;
-* a run that is alone with its minimiser has no partner and stays out.
-
-Every map task merges equal runs first, so a passage that a third of all
-documents share reaches its bucket once for each Arrow batch.
+that share a minimiser (see superkmer). Each distinct run whose minimiser
+stands in two documents travels as one packed string, with the smallest id that
+has it, to the minimiser's bucket. There all windows are sorted, which tells,
+exactly, the smallest id that each window starts in; a document's windows with
+a smaller one than its own go. A passage that a third of all documents share is
+one string in its bucket.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import prepared, slices, text_bytes, written
-from .superkmer import runs
+from .superkmer import FLAG, LEVEL, PIECE, RUN, compared, ranges, runs, table
 
 WINDOW = 50
 GRAM = 8
-#: Distinct runs of one minimiser that are sorted in one piece; the windows of a larger bucket are dealt by their hash.
-BUCKET = 2000
-#: Repeated runs that a task remembers.
-REMEMBERED = 200_000
 _LAST = (1 << 63) - 1  # what a null id counts as: later than all others, and not earlier than another null
 
 
@@ -44,116 +35,98 @@ def _words_of(texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.nda
     return words, elements, np.array([len(w) for w in words], np.int64)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, sig, first, count, mini, content of each run, one row for equal runs of a slice (the smallest id); `sure` for those that an earlier document of the slice covers.
+def _ends(words: list[bytes]) -> list[int]:
+    """Where each word begins in the words joined by one space, and one place more than where the last ends."""
+    return [0, *accumulate(len(w) + 1 for w in words)]
 
-    A task remembers the smallest id it has sent on for each run that repeats:
-    later documents are sure at once, so a passage of most documents leaves a
-    task a few times only. A full memory only sends more rows on.
-    """
-    sent: dict[tuple[int, int], int] = {}
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text"):
-            doc = np.array([_LAST if d is None else d for d in batch.column("doc").to_pylist()], np.int64)
-            sig = batch.column("sig").to_numpy(zero_copy_only=False)
+            doc, sig = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "sig"))
             words, elements, lengths = _words_of(text_bytes(batch.column("text")))
-            text, first, count, mini = runs(elements, lengths, WINDOW, GRAM)
-            joined = {}
+            text, first, count, off, mini = runs(elements, lengths, WINDOW, GRAM)
             content = np.empty(len(text), np.int64)
+            held = joined = ends = None
             for i, (t, a, n) in enumerate(zip(text.tolist(), first.tolist(), count.tolist(), strict=True)):
-                if t not in joined:
-                    ends = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words[t]])])
-                    joined = {t: (b" ".join(words[t]), ends.tolist())}
-                whole_text, ends = joined[t]
-                content[i] = xxhash.xxh64_intdigest(whole_text[ends[a] : ends[a + n + WINDOW - 1] - 1]) - (1 << 63)
-            mini = mini.view(np.int64)
-            order = np.lexsort((first, sig[text], doc[text], content, mini))
-            m, c, d = mini[order], content[order], doc[text][order]
-            group = np.cumsum(np.concatenate([[0], (m[1:] != m[:-1]) | (c[1:] != c[:-1])])) if len(m) else np.empty(0, np.int64)
-            least = np.full(int(group[-1]) + 1 if len(group) else 0, _LAST, np.int64)
-            np.minimum.at(least, group, d)
-            lead = np.flatnonzero(np.bincount(group, minlength=len(least)) > 1)
-            begin = np.searchsorted(group, lead)
-            for g, key in zip(lead.tolist(), zip(m[begin].tolist(), c[begin].tolist(), strict=True), strict=True):
-                known = sent.get(key)
-                if known is not None and known < least[g]:
-                    least[g] = known
-                elif known is not None or len(sent) < REMEMBERED:
-                    sent[key] = int(least[g])
-            sure = d > least[group]
-            # what is settled needs no partner: it goes where its document's rows go
-            m = np.where(sure, sig[text][order], m)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d, sig[text][order], first[order].astype(np.int32), count[order].astype(np.int32), m, c, sure)], ["doc", "sig", "first", "count", "mini", "content", "sure"])
+                if t != held:
+                    held, joined, ends = t, b" ".join(words[t]), _ends(words[t])
+                content[i] = xxhash.xxh64_intdigest(joined[ends[a] : ends[a + n + WINDOW - 1] - 1]) - (1 << 63)
+            yield table(RUN, [doc[text], sig[text], first.astype(np.int32), count.astype(np.int32), off.astype(np.int32), mini.view(np.int64), content])
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            out: list[tuple] = []
+            for text, parts in zip(text_bytes(batch.column("text")), batch.column("parts").to_pylist(), strict=True):
+                words = text.split()
+                out += [(p["mini"], p["content"], p["w"], p["off"], b" ".join(words[p["first"] : p["first"] + p["count"] + WINDOW - 1])) for p in parts]
+            yield table(LEVEL, list(zip(*out, strict=True)) or [()] * 5)
+
+
+def _split(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for key, sub, w, off, packed in zip(*(batch.column(c).to_pylist() for c in ("key", "sub", "w", "off", "packed")), strict=True):
+                words = packed.split()
+                ends = _ends(words)
+                for at, n, low, high in ranges(off, len(words) - WINDOW + 1, width):
+                    part = packed[ends[at] : ends[at + n + WINDOW - 1] - 1]
+                    shared = packed[ends[off - low] : ends[off - high + WINDOW] - 1]  # what every window of the whole range has
+                    out.append((key, sub, at, w, off - at, part, xxhash.xxh64_intdigest(b"%d %d " % (key, low) + shared) - (1 << 63), xxhash.xxh64_intdigest(part) - (1 << 63)))
+            yield table(PIECE, list(zip(*out, strict=True)) or [()] * 8)
+
+    return run
 
 
 def _sorted_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows mini, doc, sig, first, packed, sorted by mini: the windows of each bucket, sorted, and the runs of those that start in an earlier document."""
+    """LEVEL rows sorted by key and sub: each bucket's windows are sorted, and equal ones get the smallest id that any of them has.
+
+    A window that a single run holds gets this run's own.
+    """
     held, rows = None, []
 
-    def flush() -> Iterator[tuple[int, int, int, int]]:
+    def flush() -> Iterator[tuple]:
         windows, of = [], []
-        for k, (_, _, _, packed) in enumerate(rows):
-            words = packed.split()
-            ends = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])]).tolist()
-            for i in range(len(words) - WINDOW + 1):
+        for k, (_, _, packed) in enumerate(rows):
+            ends = _ends(packed.split())
+            for i in range(len(ends) - WINDOW):
                 windows.append(packed[ends[i] : ends[i + WINDOW] - 1])
                 of.append((k, i))
         order = sorted(range(len(windows)), key=windows.__getitem__)
-        flagged: dict[int, list[int]] = {}
+        least = [[0] * (packed.count(b" ") + 2 - WINDOW) for _, _, packed in rows]
         at = 0
         while at < len(order):
             end = at + 1
             while end < len(order) and windows[order[end]] == windows[order[at]]:
                 end += 1
-            if end > at + 1:
-                least = min(rows[of[o][0]][0] for o in order[at:end])
-                for o in order[at:end]:
-                    if rows[of[o][0]][0] > least:
-                        flagged.setdefault(of[o][0], []).append(of[o][1])
+            smallest = min(rows[of[o][0]][1] for o in order[at:end])
+            for o in order[at:end]:
+                k, i = of[o]
+                least[k][i] = smallest
             at = end
-        for k, places in flagged.items():
-            doc, sig, first, _ = rows[k]
-            for a, n in _stretches(sorted(places)):
-                yield doc, sig, first + a, n
+        for k, (sub, _, _) in enumerate(rows):
+            begin = 0
+            for i in range(1, len(least[k]) + 1):
+                if i == len(least[k]) or least[k][i] != least[k][begin]:
+                    yield held, sub, begin, i - begin, least[k][begin]
+                    begin = i
 
-    def packed_rows(out) -> pa.RecordBatch:
-        cols = list(zip(*out, strict=True)) or [(), (), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], ["doc", "sig", "first", "count"])
+    def flagged(out) -> pa.RecordBatch:
+        return table(FLAG, list(zip(*out, strict=True)) or [()] * 5)
 
     for batch in batches:
         out = []
-        for mini, *row in zip(*(batch.column(c).to_pylist() for c in ("mini", "doc", "sig", "first", "packed")), strict=True):
-            if mini != held:
+        for key, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "sub", "w", "packed")), strict=True):
+            if key != held:
                 out += flush()
-                held, rows = mini, []
-            rows.append(row)
-        yield packed_rows(out)
-    yield packed_rows(list(flush()))
-
-
-def _stretches(places: list[int]) -> Iterator[tuple[int, int]]:
-    begin = last = None
-    for p in places:
-        if last is None or p != last + 1:
-            if last is not None:
-                yield begin, last - begin + 1
-            begin = p
-        last = p
-    if last is not None:
-        yield begin, last - begin + 1
-
-
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window of the packed runs of a hot minimiser, as a 128-bit hash."""
-    for batch in batches:
-        out: list[tuple] = []
-        for doc, sig, first, packed in zip(*(batch.column(c).to_pylist() for c in ("doc", "sig", "first", "packed")), strict=True):
-            words = packed.split()
-            ends = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])]).tolist()
-            for i in range(len(words) - WINDOW + 1):
-                out.append((doc, sig, first + i, xxhash.xxh3_128_digest(packed[ends[i] : ends[i + WINDOW] - 1])))
-        cols = list(zip(*out, strict=True)) or [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], ["doc", "sig", "first", "w"])
+                held, rows = key, []
+            if not rows or rows[-1][0] != row[0]:  # rows alike in id and text send theirs more than once
+                rows.append(row)
+        yield flagged(out)
+    yield flagged(list(flush()))
 
 
 def _key_columns() -> tuple[Column, ...]:
@@ -165,38 +138,8 @@ def _key_columns() -> tuple[Column, ...]:
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """doc, sig, first, count: runs of windows that also start in a document with a smaller id."""
     prepared(docs.sparkSession)
-    keyed = docs.select(*_key_columns())
-    cut = keyed.mapInArrow(_cut, "doc long, sig long, first int, count int, mini long, content long, sure boolean").repartition("mini")
-    w = W.partitionBy("mini", "content", "sure")
-    seen = cut.withColumn("least", F.min("doc").over(w)).withColumn("place", F.row_number().over(w.orderBy("doc", "sig", "first")))
-    seen = seen.withColumn("kinds", F.sum(F.when((F.col("place") == 1) & ~F.col("sure"), 1).otherwise(0)).over(W.partitionBy("mini")))
-    settled = F.col("sure") | (F.col("doc") > F.col("least"))
-    # a document's own repeats of a run go along: each must hear what is found
-    open_ = ~settled & (F.col("kinds") > 1)
-    seen = written(seen.where(settled | open_).select("doc", "sig", "first", "count", "mini", settled.alias("settled"), "kinds"), "runs")
-    whole = seen.where("settled").select("doc", "sig", "first", "count")
-    wanted = seen.where("not settled").groupBy("doc", "sig").agg(F.collect_list(F.struct("first", "count", "mini", "kinds")).alias("parts"))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole_batch in batches:
-            for batch in slices(whole_batch, "text"):
-                out: list[tuple] = []
-                for doc, sig, text, parts in zip(*(batch.column(c).to_pylist() for c in ("doc", "sig", "text", "parts")), strict=True):
-                    words = text.encode().split()
-                    out += [(p["mini"], p["kinds"], doc, sig, p["first"], b" ".join(words[p["first"] : p["first"] + p["count"] + WINDOW - 1])) for p in parts]
-                cols = list(zip(*out, strict=True)) or [()] * 6
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["mini", "kinds", "doc", "sig", "first", "packed"])
-
-    texts = keyed.join(wanted, ["doc", "sig"]).select("doc", "sig", "text", "parts")
-    packed = written(texts.mapInArrow(pack, "mini long, kinds long, doc long, sig long, first int, packed binary"), "packed")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucket = packed.where(F.col("kinds") <= BUCKET).select("mini", "doc", "sig", "first", "packed").repartition(parts, "mini").sortWithinPartitions("mini")
-    normal = bucket.mapInArrow(_sorted_windows, "doc long, sig long, first int, count int")
-    hot = packed.where(F.col("kinds") > BUCKET).select("doc", "sig", "first", "packed").repartition(parts).mapInArrow(_window_rows, "doc long, sig long, first int, w binary")
-    least = hot.groupBy("w").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
-    late = hot.join(least, "w").where("doc > least").select("doc", "sig", "first", F.lit(1).alias("count"))
-    return whole.unionByName(normal).unionByName(late)
+    found = compared(docs.select(*_key_columns()), width=WINDOW - GRAM + 1, cut=_cut, pack=_pack, split=_split, merge=_sorted_windows, weight=F.min("doc"), again=F.min, partnered=F.min("doc") < F.max("doc"))
+    return found.where("doc > w").select("doc", "sig", "first", "count")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -209,7 +152,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     they never remove each other's words. Other columns are ignored.
     """
     found = repeated_windows(docs)
-    spans = found.groupBy("doc", "sig").agg(F.sort_array(F.collect_set(F.struct("first", "count"))).alias("spans"))
+    spans = written(found.groupBy("doc", "sig").agg(F.sort_array(F.collect_set(F.struct("first", "count"))).alias("spans")), "spans")
     keyed = docs.select("doc_id", *_key_columns())
     joined = keyed.join(spans, ["doc", "sig"], "left").select("doc_id", "text", "spans")
 

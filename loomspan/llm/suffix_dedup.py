@@ -2,17 +2,19 @@
 
 Texts are cut into super-k-mers of 200-byte windows (see superkmer): every
 window belongs to just one run, and equal windows to runs of one minimiser.
-Runs with equal content are repeats as they are. Where different runs share a
-minimiser, each distinct run is a shard with a transform of its own, and the
-shards of a bucket are merged by refining their interleave: with rows in order
-of their first k symbols, dealing them stably by the symbol that stands before
-puts them in order of k + 1 symbols. No suffix of one shard is compared with
-one of another. Rows that are still in one interval after 200 bytes start
-equal strings.
-
-A symbol is eight bytes, so 25 rounds do: a shard of n bytes has n + 8 rows,
-one for each suffix and one for the end of each of the eight chains of
-positions that are eight apart.
+Each distinct run of a minimiser that has any partner is a shard, with the
+number of its copies as its weight and a Burrows-Wheeler transform of its own.
+
+The shards of a minimiser are merged by refining their interleave. A symbol is
+eight bytes. To begin with, the rows that hold a window's last symbol are in
+order of this symbol; each round deals them stably by the symbol that stands
+before, which the transform knows, so that they are in order of one symbol
+more. No suffix of one shard is compared with one of another. A row that is
+alone in its interval is done, and the number of rounds it took is the common
+prefix that it has with any other row. Rows that are still in one interval when
+25 symbols, 200 bytes, are dealt start equal strings.
+
+A window is repeated if its interval has two rows, or its shard two copies.
 """
 
 from __future__ import annotations
@@ -23,151 +25,196 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import prepared, slices, text_bytes, written
-from .superkmer import runs
+from .superkmer import FLAG, LEVEL, PIECE, RUN, compared, ranges, runs, table
 
 WINDOW = 200
 GRAM = 32
 STEP = 8
-#: Distinct runs of one minimiser that are merged in one piece; the windows of a larger bucket are dealt by their hash.
-BUCKET = 2000
-#: Rows that are merged together where buckets are small.
-ROWS = 40_000
-#: Repeated runs that a task remembers, or those of one more slice.
-REMEMBERED = 200_000
+#: Bytes of shards that are merged together where buckets are small.
+BYTES = 1 << 19
 
 
-def transform(shard: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The suffix start of each row of the shard's transform, and the symbol before it (0 for none, as bytes of a big-endian number).
+def _symbols(joined: bytes) -> np.ndarray:
+    """The eight bytes from each place on, as a number in the order of the bytes; zero bytes follow the end."""
+    raw = np.frombuffer(joined + bytes(STEP - 1), np.uint8).astype(np.uint64)
+    out = np.zeros(len(joined), np.uint64)
+    for i in range(STEP):
+        out = (out << np.uint64(8)) | raw[i : i + len(joined)]
+    return out
 
-    Rows are in order of their symbols, where the end comes before any symbol.
-    Rows that tie follow the order of their chains.
-    """
-    n = len(shard)
-    padded = shard + bytes(2 * STEP)
-    ends = [r + STEP * max(0, -(-(n - r) // STEP)) for r in range(STEP)]
-    chain = {r: k for k, r in enumerate(sorted(range(STEP), key=lambda r: (padded[r : ends[r]], r)))}
-    places = [p for r in range(STEP) for p in range(r, ends[r] + 1, STEP)]
-    rows = sorted(places, key=lambda p: (padded[p : ends[p % STEP]], chain[p % STEP]))
-    words = np.lib.stride_tricks.sliding_window_view(np.frombuffer(padded, np.uint8), STEP)
-    symbols = np.ascontiguousarray(words[np.maximum(np.array(rows) - STEP, 0)]).view(">u8")[:, 0]
-    return np.array(rows), symbols
-
-
-def repeated_intervals(shards: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(shard, place) of all windows that occur in several shards. No shard holds a window twice."""
-    made = [transform(s) for s in shards]
-    sizes = [len(r) for r, _ in made]
-    place = np.concatenate([r for r, _ in made])
-    symbol = np.concatenate([s for _, s in made])
-    # small numbers in the order of the symbols; 0 is that of a chain's first row, before which the end stands
-    first = place < STEP
-    number = np.zeros(len(place), np.int64)
-    number[~first] = np.unique(symbol[~first], return_inverse=True)[1] + 1
-    small = np.uint16 if number.max(initial=0) < 1 << 16 and len(shards) < 1 << 16 else np.int64
-    number = number.astype(small)
-    turn = np.repeat(np.arange(len(shards)), sizes).astype(small)  # the interleave: whose row is next
-    interval = np.zeros(len(place), np.int64)
-    for _ in range(window // STEP):
-        # the rows of a shard come in its own order, so dealing out its symbols in turn tells each row's symbol
-        seq = np.empty_like(number)
-        seq[np.argsort(turn, kind="stable")] = number
-        order = np.argsort(seq, kind="stable")
-        turn, seq, interval = turn[order], seq[order], interval[order]
-        new = np.ones(len(seq), bool)
-        new[1:] = (seq[1:] != seq[:-1]) | (interval[1:] != interval[:-1])
-        interval = np.cumsum(new)
-    row = np.empty(len(place), np.int64)
-    row[np.argsort(turn, kind="stable")] = np.arange(len(place))
-    at, of = place[row], turn.astype(np.int64)
-    full = at + window <= np.array([len(s) for s in shards])[of]
-    # a window's interval holds windows only: it has as many full symbols
-    many = np.bincount(interval[full], minlength=int(interval[-1]) + 1) > 1
-    hit = full & many[interval]
-    return of[hit], at[hit]
 
+def _dense(keys: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on in the order of the keys."""
+    order = np.argsort(keys)
+    held = keys[order]
+    new = np.zeros(len(keys), np.int64)
+    new[1:] = held[1:] != held[:-1]
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.cumsum(new)
+    return out
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, sig, first, count, mini, content of each run. Of equal runs of a slice one goes on, marked `twice`; the others are `sure` repeats.
 
-    A task remembers which runs it has sent on so marked: later ones are sure
-    at once, so a passage of most documents leaves each task about once. A full
-    memory only sends more rows on.
+class Transforms:
+    """The transforms of shards, laid one after another.
+
+    A row stands for a place that has a whole symbol; `place` says which, in
+    the text of all shards. Rows of a shard are in order of the symbols from
+    their place on. `before` is the symbol before a row (a number in the order
+    of the symbols, -1 for none), and `back` the row of that symbol's place.
+    """
+
+    def __init__(self, shards: list[bytes], window: int) -> None:
+        joined = b"".join(shards)
+        lengths = np.array([len(s) for s in shards], np.int64)
+        self.begin = np.cumsum(lengths) - lengths
+        ends = self.begin + lengths
+        of = np.repeat(np.arange(len(shards)), lengths)
+        whole = np.arange(len(joined)) + STEP <= ends[of]
+        places = np.flatnonzero(whole)
+        number = np.full(len(joined), -1, np.int64)
+        number[places] = _dense(_symbols(joined)[places])
+        # order within each shard: by the first symbol, then by twice as many until no two rows tie or a window is told.
+        # The rank of a row is the first place of its class, so a class that splits leaves all other ranks as they are.
+        key = of[places] * (len(places) + 1) + number[places]
+        sorted_ = np.argsort(key)
+        order, key = places[sorted_], key[sorted_]
+        at, told = np.arange(len(order)), 1
+        rank = np.full(len(joined), -1, np.int64)
+        while True:
+            new = np.ones(len(at), bool)
+            new[1:] = key[1:] != key[:-1]
+            own = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))] if len(at) else at
+            rank[order[at]] = own
+            tie = ~new
+            tie[:-1] |= tie[1:]
+            at, own = at[tie], own[tie]
+            if not len(at) or told * STEP >= window:
+                break
+            later = order[at] + told * STEP
+            next_ = np.where(later < ends[of[order[at]]], rank[np.minimum(later, len(rank) - 1)], -1) + 1
+            key = own * (len(places) + 2) + next_
+            sub = np.argsort(key)
+            order[at], key = order[at][sub], key[sub]
+            told *= 2
+        self.place = order
+        row = np.full(len(joined), -1, np.int64)
+        row[self.place] = np.arange(len(self.place))
+        self.shard = of[self.place]
+        self.first = number[self.place]
+        has = self.place - STEP >= self.begin[self.shard]
+        earlier = np.where(has, self.place - STEP, 0)
+        self.before = np.where(has, number[earlier], -1)
+        self.back = np.where(has, row[earlier], -1)
+
+
+def common_prefixes(shards: list[bytes], buckets: list[int], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """shard, place and symbols for each window: how many of the window's last symbols any other window of its bucket has as well.
+
+    Shards of a bucket stand together, and none holds a window twice.
     """
-    sent: set[tuple[int, int]] = set()
+    made = Transforms(shards, window)
+    last = made.place - (window - STEP)  # where the window begins whose last symbol this row starts with
+    row = np.flatnonzero(last >= made.begin[made.shard])
+    window_of = last[row]
+    common = np.zeros(len(made.place) + 1, np.int64)  # by the window's number
+    number = np.arange(len(row))
+    interval = np.array(buckets, np.int64)[made.shard[row]]
+    symbol = made.first[row]
+    for k in range(window // STEP):
+        if k:
+            symbol, row = made.before[row], made.back[row]
+        if not len(row):
+            break
+        order = np.argsort(symbol * (int(interval.max(initial=0)) + 1) + interval)
+        row, number, symbol, interval = row[order], number[order], symbol[order], interval[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1])
+        interval = np.cumsum(new) - 1
+        more = np.bincount(interval)[interval] > 1
+        row, number, interval = row[more], number[more], interval[more]
+        common[number] = k + 1
+    n = len(window_of)
+    of = np.searchsorted(made.begin, window_of, side="right") - 1 if n else window_of
+    return of, window_of - made.begin[of], common[:n]
+
+
+def _stretches(of: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """shard, first window and number of windows of consecutive windows of one shard."""
+    order = np.lexsort((at, of))
+    of, at = of[order], at[order]
+    cut = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (at[1:] != at[:-1] + 1)])) if len(of) else np.empty(0, np.int64)
+    return of[cut], at[cut], np.diff(np.append(cut, len(of)))
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    digest = xxhash.xxh64_digest
     for whole in batches:
         for batch in slices(whole, "text"):
             doc, sig = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "sig"))
             texts = text_bytes(batch.column("text"))
             joined = b"".join(texts)
             lengths = np.array([len(t) for t in texts], np.int64)
-            text, first, count, mini = runs(np.frombuffer(joined, np.uint8).astype(np.uint64) + np.uint64(1), lengths, WINDOW, GRAM)
+            text, first, count, off, mini = runs(np.frombuffer(joined, np.uint8).astype(np.uint64) + np.uint64(1), lengths, WINDOW, GRAM)
             begin = (np.cumsum(lengths) - lengths)[text] + first
-            digest = xxhash.xxh64_digest
-            content = np.frombuffer(b"".join([digest(joined[a:b]) for a, b in zip(begin.tolist(), (begin + count + WINDOW - 1).tolist(), strict=True)]), "<i8").astype(np.int64)
-            mini = mini.view(np.int64)
-            order = np.lexsort((content, mini))
-            m, c, text, first, count = mini[order], content[order], text[order], first[order], count[order]
-            same = np.zeros(len(m), bool)
-            same[1:] = (m[1:] == m[:-1]) & (c[1:] == c[:-1])
-            twice = ~same & np.append(same[1:], False) if len(m) else same
-            lead = np.flatnonzero(twice)
-            keys = list(zip(m[lead].tolist(), c[lead].tolist(), strict=True))
-            again = lead[np.array([k in sent for k in keys], bool)]
-            same[again], twice[again] = True, False
-            if len(sent) < REMEMBERED:
-                sent.update(keys)
-            m = np.where(same, sig[text], m)  # what is settled needs no partner
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[text], sig[text], first.astype(np.int32), count.astype(np.int32), m, c, same, twice)], ["doc", "sig", "first", "count", "mini", "content", "sure", "twice"])
+            content = np.frombuffer(b"".join([digest(joined[a:b]) for a, b in zip(begin.tolist(), (begin + count + WINDOW - 1).tolist(), strict=True)]), "<i8")
+            yield table(RUN, [doc[text], sig[text], first.astype(np.int32), count.astype(np.int32), off.astype(np.int32), mini.view(np.int64), content.astype(np.int64)])
 
 
-_SPANS = "doc long, sig long, first int, count int"
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            out: list[tuple] = []
+            for text, parts in zip(text_bytes(batch.column("text")), batch.column("parts").to_pylist(), strict=True):
+                out += [(p["mini"], p["content"], p["w"], p["off"], text[p["first"] : p["first"] + p["count"] + WINDOW - 1]) for p in parts]
+            yield table(LEVEL, list(zip(*out, strict=True)) or [()] * 5)
+
 
+def _split(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for key, sub, w, off, packed in zip(*(batch.column(c).to_pylist() for c in ("key", "sub", "w", "off", "packed")), strict=True):
+                for at, n, low, high in ranges(off, len(packed) - WINDOW + 1, width):
+                    part = packed[at : at + n + WINDOW - 1]
+                    shared = packed[off - low : off - high + WINDOW]  # what every window of the whole range has
+                    out.append((key, sub, at, w, off - at, part, xxhash.xxh64_intdigest(b"%d %d " % (key, low) + shared) - (1 << 63), xxhash.xxh64_intdigest(part) - (1 << 63)))
+            yield table(PIECE, list(zip(*out, strict=True)) or [()] * 8)
 
-def _span_batch(doc, sig, first, count) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(sig, pa.int64()), pa.array(first, pa.int32()), pa.array(count, pa.int32())], ["doc", "sig", "first", "count"])
+    return run
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows mini, doc, sig, first, packed, sorted by mini: the stretches of windows that several shards hold."""
+    """LEVEL rows sorted by key and sub: the stretches of windows that are repeated."""
     rows: list[tuple] = []
     size, held = 0, None
 
     def flush() -> pa.RecordBatch:
-        if len(rows) < 2:
-            return _span_batch([], [], [], [])
-        of, at = repeated_intervals([r[3] for r in rows])
-        order = np.lexsort((at, of))
-        of, at = of[order], at[order]
-        cut = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (at[1:] != at[:-1] + 1)])) if len(of) else np.empty(0, np.int64)
-        n = np.diff(np.append(cut, len(of)))
-        own = [rows[k] for k in of[cut].tolist()]
-        return _span_batch([r[0] for r in own], [r[1] for r in own], [r[2] + a for r, a in zip(own, at[cut].tolist(), strict=True)], n.tolist())
+        if not rows:
+            return table(FLAG, [()] * 5)
+        keys = np.array([r[0] for r in rows], np.int64)
+        bucket = np.concatenate([[0], np.cumsum(keys[1:] != keys[:-1])])
+        of, at, common = common_prefixes([r[3] for r in rows], bucket.tolist())
+        weight = np.array([r[2] for r in rows], np.int64)
+        hit = (common * STEP >= WINDOW) | (weight[of] > 1)
+        of, at, many = _stretches(of[hit], at[hit])
+        subs = np.array([r[1] for r in rows], np.int64)
+        return table(FLAG, [keys[of], subs[of], at.astype(np.int32), many.astype(np.int32), np.zeros(len(of), np.int64)])
 
     for batch in batches:
-        for mini, *row in zip(*(batch.column(c).to_pylist() for c in ("mini", "doc", "sig", "first", "packed")), strict=True):
-            if mini != held and size >= ROWS:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "sub", "w", "packed")), strict=True):
+            if row[0] != held and size >= BYTES:
                 yield flush()
                 rows, size = [], 0
-            held = mini
-            rows.append(row)
-            size += len(row[3]) + STEP
+            held = row[0]
+            if not rows or rows[-1][:2] != row[:2]:  # rows alike in id and text send theirs more than once
+                rows.append(row)
+                size += len(row[3])
     yield flush()
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window of the packed runs of a hot minimiser, as a 128-bit hash."""
-    for batch in batches:
-        out: list[tuple] = []
-        for doc, sig, first, packed in zip(*(batch.column(c).to_pylist() for c in ("doc", "sig", "first", "packed")), strict=True):
-            out += [(doc, sig, first + i, xxhash.xxh3_128_digest(packed[i : i + WINDOW])) for i in range(len(packed) - WINDOW + 1)]
-        cols = list(zip(*out, strict=True)) or [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], ["doc", "sig", "first", "w"])
-
-
 def _key_columns() -> tuple[Column, ...]:
     """doc and sig (hash of the text), which name a row together: rows that share both are alike in all that follows."""
     text = F.coalesce("text", F.lit(""))
@@ -177,37 +224,8 @@ def _key_columns() -> tuple[Column, ...]:
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """doc, sig, first, count: stretches of 200-byte windows that also start anywhere else."""
     prepared(docs.sparkSession)
-    keyed = docs.select(*_key_columns())
-    cut = keyed.mapInArrow(_cut, "doc long, sig long, first int, count int, mini long, content long, sure boolean, twice boolean").repartition("mini")
-    w = W.partitionBy("mini", "content", "sure")
-    seen = cut.withColumn("settled", F.col("sure") | (F.count("*").over(w) > 1) | F.max("twice").over(w)).withColumn("place", F.row_number().over(w.orderBy("doc", "sig", "first")))
-    seen = seen.withColumn("kinds", F.sum(F.when((F.col("place") == 1) & ~F.col("sure"), 1).otherwise(0)).over(W.partitionBy("mini")))
-    shard = (F.col("place") == 1) & ~F.col("sure") & (F.col("kinds") > 1)
-    seen = written(seen.where(F.col("settled") | shard).select("doc", "sig", "first", "count", "mini", "settled", shard.alias("shard"), "kinds"), "runs")
-    whole = seen.where("settled").select("doc", "sig", "first", "count")
-    wanted = seen.where("shard").groupBy("doc", "sig").agg(F.collect_list(F.struct("first", "count", "mini", "kinds")).alias("parts"))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole_batch in batches:
-            for batch in slices(whole_batch, "text"):
-                out: list[tuple] = []
-                for doc, sig, text, parts in zip(batch.column("doc").to_pylist(), batch.column("sig").to_pylist(), text_bytes(batch.column("text")), batch.column("parts").to_pylist(), strict=True):
-                    out += [(p["mini"], p["kinds"], doc, sig, p["first"], text[p["first"] : p["first"] + p["count"] + WINDOW - 1]) for p in parts]
-                cols = list(zip(*out, strict=True)) or [()] * 6
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["mini", "kinds", "doc", "sig", "first", "packed"])
-
-    # of rows that share doc and sig one stands for all; a second shard of the same place would be its own repeat
-    texts = keyed.join(wanted, ["doc", "sig"]).select("doc", "sig", "text", "parts")
-    packed = texts.mapInArrow(pack, "mini long, kinds long, doc long, sig long, first int, packed binary")
-    packed = written(packed, "packed")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    small = packed.where(F.col("kinds") <= BUCKET).drop("kinds").dropDuplicates(["mini", "doc", "sig", "first"])
-    normal = small.select("mini", "doc", "sig", "first", "packed").repartition(parts, "mini").sortWithinPartitions("mini").mapInArrow(_merged, _SPANS)
-    hot = packed.where(F.col("kinds") > BUCKET).select("doc", "sig", "first", "packed").repartition(parts).mapInArrow(_window_rows, "doc long, sig long, first int, w binary").distinct()
-    many = hot.groupBy("w").agg(F.count("*").alias("n")).where("n > 1")
-    late = hot.join(many, "w").select("doc", "sig", "first", F.lit(1).alias("count"))
-    return whole.unionByName(normal).unionByName(late)
+    found = compared(docs.select(*_key_columns()), width=WINDOW - GRAM + 1, cut=_cut, pack=_pack, split=_split, merge=_merged, weight=F.count("*"), again=F.sum, partnered=F.count("*") > 1)
+    return found.select("doc", "sig", "first", "count")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -220,7 +238,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Other columns are ignored.
     """
     found = repeated_windows(docs)
-    spans = found.groupBy("doc", "sig").agg(F.sort_array(F.collect_set(F.struct("first", "count"))).alias("spans"))
+    spans = written(found.groupBy("doc", "sig").agg(F.sort_array(F.collect_set(F.struct("first", "count"))).alias("spans")), "spans")
     joined = docs.select("doc_id", *_key_columns()).join(spans, ["doc", "sig"], "left").select("doc_id", "text", "spans")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

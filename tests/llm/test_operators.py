@@ -12,7 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import loomspan.llm as llm_package  # noqa: F401
-from loomspan.llm import ann, bpe, exact_dedup, langid, mixing, pii, simhash, substring_dedup, suffix_dedup, token_store
+from loomspan.llm import ann, bpe, exact_dedup, langid, mixing, pii, simhash, substring_dedup, suffix_dedup, superkmer, token_store
 
 from . import brute
 
@@ -181,24 +181,41 @@ def test_language_profiles_and_distance(spark):
 
 @pytest.mark.parametrize("bucket", [2000, 1])
 def test_suffixes(docs, rows, empty, monkeypatch, bucket):
-    monkeypatch.setattr(suffix_dedup, "BUCKET", bucket)
+    monkeypatch.setattr(superkmer, "BUCKET", bucket)
     got = suffix_dedup.deduplicated(docs)
     _same(got.selectExpr("doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256)"), brute.suffix_dedup(_pairs(rows)))
     assert suffix_dedup.deduplicated(empty).count() == 0
 
 
 def test_merged_transforms():
+    """Orders, common prefixes and repeated windows of shards against comparing all of them."""
     r = random.Random(5)
     for alphabet in ("ab", "abcdefgh\x00"):
         shards = [bytes(ord(r.choice(alphabet)) for _ in range(r.randint(30, 90))) for _ in range(12)]
         shards = [s for s in shards if len({s[i : i + 16] for i in range(len(s) - 15)}) == max(0, len(s) - 15)]
         shards += [shards[0][5:50] + b"zz", b"", b"short"]
-        seen = defaultdict(set)
+        made = suffix_dedup.Transforms(shards, 16)
         for k, s in enumerate(shards):
-            for i in range(len(s) - 15):
-                seen[s[i : i + 16]].add((k, i))
-        want = {x for v in seen.values() if len(v) > 1 for x in v}
-        assert set(zip(*(x.tolist() for x in suffix_dedup.repeated_intervals(shards, 16)), strict=True)) == want
+            own = [int(p - made.begin[k]) for p in made.place[made.shard == k]]
+            assert sorted(own) == list(range(max(0, len(s) - 7)))
+            key = lambda i, s=s: [s[j : j + 8] for j in range(i, len(s) - 7, 8)][:2]
+            assert [key(i) for i in own] == sorted(map(key, own))
+        buckets = [0 if k < 5 else 1 for k in range(len(shards))]
+        buckets[-3] = 1
+        windows = {(k, i): (buckets[k], s[i : i + 16]) for k, s in enumerate(shards) for i in range(len(s) - 15)}
+        want = {}
+        for x, (bucket, w) in windows.items():
+            others = [v for y, (b, v) in windows.items() if y != x and b == bucket]
+            want[x] = 2 * (w in others) or int(w[8:] in {v[8:] for v in others})
+        assert {(a, b): c for a, b, c in zip(*(x.tolist() for x in suffix_dedup.common_prefixes(shards, buckets, 16)), strict=True)} == want
+
+
+def test_ranges_of_a_hot_bucket():
+    """Every window lies in one part, and all runs are cut where the minimiser's place passes the same multiples."""
+    for off, count, width in ((168, 169, 22), (50, 20, 7), (0, 1, 1), (30, 3, 100), (44, 44, 1)):
+        parts = list(superkmer.ranges(off, count, width))
+        assert [at + i for at, n, _, _ in parts for i in range(n)] == list(range(count))
+        assert all(low % width == 0 and high == low + width - 1 and low <= off - at - n + 1 <= off - at <= high for at, n, low, high in parts)
 
 
 def test_simhash(docs, rows, empty):
@@ -237,7 +254,7 @@ def test_simhash_links(spark, monkeypatch, block):
 
 @pytest.mark.parametrize("bucket", [2000, 1])
 def test_substrings(docs, rows, empty, monkeypatch, bucket):
-    monkeypatch.setattr(substring_dedup, "BUCKET", bucket)
+    monkeypatch.setattr(superkmer, "BUCKET", bucket)
     got = substring_dedup.deduplicated(docs)
     _same(got.selectExpr("doc_id", "n_words", "n_removed", "sha2(cast(kept as binary), 256)"), brute.substring_dedup(_pairs(rows)))
     assert substring_dedup.deduplicated(empty).count() == 0
