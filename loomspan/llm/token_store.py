@@ -6,8 +6,8 @@ file system serve it:
 * blocks: shard, block, n_ids, docs and lengths of the documents in it, and
   payload, their ids one after another as raw little-endian 16- or 32-bit
   integers. Shards hold ranges of doc_id in ascending order, null ids last.
-* index: for each bucket of keys the levels of a minimal perfect hash, and for
-  each of its slots a 32-bit fingerprint and the shard, block, offset and
+* index: for each bucket of keys the levels of a minimal perfect hash, with the
+  number of bits before each word of them, and for each of its slots a 32-bit fingerprint and the shard, block, offset and
   length that a key of this slot has. Keys themselves aren't stored.
 * starts: ids before each block.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import string
 import zlib
 from array import array
@@ -50,65 +51,130 @@ def _by_word(spec: dict) -> tuple[bool, bool]:
     return drops and set(normal) <= {"NFC", "Replace", "Lowercase"}, "Lowercase" in normal
 
 
-#: Punctuation that, after a letter or digit, is split from a word; an apostrophe may belong to a contraction.
-_TAIL = string.punctuation.replace("'", "").encode()
+#: Punctuation that, after letters, is split from a word; an apostrophe may belong to a contraction.
+_TAIL = string.punctuation.replace("'", "")
+#: Bytes of text that are encoded together, and bytes of a cache of words, with what a dictionary needs for each entry.
+SLICE, CACHE, ENTRY = 8 << 20, 80 << 20, 160
+#: Words that are asked for in one text.
+ASKED = 2000
+
+
+def _words(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word in texts laid end to end, and how many words each text has. A word ends at one of the six ASCII blanks or with its text."""
+    solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    new = solid.copy()
+    new[1:] &= ~solid[:-1]
+    at = begin[:-1][begin[:-1] < len(data)]
+    new[at] = solid[at]
+    first = np.flatnonzero(new)
+    upto = np.searchsorted(first, begin)
+    return first, np.diff(upto)
 
 
 class _Ids:
     """Whole-document encoding by the tokenizers library.
 
     Where the tokenizer drops white space and looks at nothing beyond a word,
-    a document's ids are its words' ids, and the library is asked once for each
-    distinct word of a worker; a word's closing punctuation is split from it by
-    the tokenizer in any case, so it is asked for apart. Other tokenizers get
-    whole documents. Both caches start afresh when full.
+    a document's ids are its words' ids, and the library is asked for distinct
+    words. Words of letters, or of letters and closing punctuation, are asked
+    for in one text: a number of word ends in its ids that is the least
+    possible one tells that each word has just its own. Other words, and words
+    of a text where the number is greater, are asked for one by one. Other
+    tokenizers get whole documents.
+
+    The cache has an older and a newer half; a full newer one takes the place
+    of the older. Together they hold CACHE bytes at most, and one slice's words.
     """
 
-    def __init__(self, spec: str, width: str, words: int = 250_000, cores: int = 700_000) -> None:
+    def __init__(self, spec: str, width: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.by_word, self.lower = _by_word(json.loads(spec))
-        self.marks = {t["content"][:2].encode() for t in json.loads(spec).get("added_tokens", [])}
-        self.tokenizer, self.width, self.most = Tokenizer.from_str(spec), width, (words, cores)
+        self.marks = re.compile(b"|".join(re.escape(t["content"][:2].encode()) for t in json.loads(spec).get("added_tokens", [])) or b"(?!)")
+        self.tokenizer, self.width, self.kind = Tokenizer.from_str(spec), width, {"<u2": "H", "<u4": "I"}[width]
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.words: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
-
-    def _asked(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        kind = {"<u2": "H", "<u4": "I"}[self.width]
-        for a in range(0, len(texts), 10_000):
-            out += [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[a : a + 10_000], add_special_tokens=False)]
+        suffix = json.loads(spec)["model"].get("end_of_word_suffix") or ""
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.size = 0
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [array(self.kind, e.ids).tobytes() for a in range(0, len(texts), ASKED) for e in self.tokenizer.encode_batch_fast(texts[a : a + ASKED], add_special_tokens=False)]
+
+    def _learned(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of new words."""
+        if not words:
+            return {}
+        texts = b" ".join(words).decode().split(" ")
+        least = [1 if t.isalpha() else 2 if t.rstrip(_TAIL).isalpha() and not self.marks.search(w) else 0 for t, w in zip(texts, words, strict=True)]
+        plain, odd = [i for i, n in enumerate(least) if n], [i for i, n in enumerate(least) if not n]
+        out: dict[bytes, bytes] = {}
+        step = int(self.width[-1])
+        parts = [plain[a : a + ASKED] for a in range(0, len(plain), ASKED)]
+        asked = self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in p]) for p in parts], add_special_tokens=False)
+        for part, made in zip(parts, asked, strict=True):
+            ids = np.array(made.ids, self.width)
+            at = np.flatnonzero(self.ends[ids]) + 1
+            upto = np.cumsum([least[i] for i in part])
+            if len(at) != upto[-1]:
+                odd += part
+                continue
+            raw, cut = ids.tobytes(), [0, *(at[upto - 1] * step).tolist()]
+            out.update(zip([words[i] for i in part], [raw[x:y] for x, y in zip(cut, cut[1:], strict=False)], strict=True))
+        out.update(zip([words[i] for i in odd], self._each([texts[i] for i in odd]), strict=True))
         return out
 
-    def _learn(self, new: list[bytes]) -> None:
-        """Put the ids of new words into the cache."""
-        parts: dict[bytes, tuple[bytes, bytes]] = {}
-        for w in new:
-            core = w.rstrip(_TAIL)
-            if core is not w and (not core or any(m in w for m in self.marks) or not (core[-1:].isalnum() or core[-1] > 127 and core.decode()[-1].isalnum())):
-                core = w
-            parts[w] = (core, w[len(core) :])
-        if len(self.cores) > self.most[1]:
-            self.cores = {}
-        cores = self.cores
-        unknown = list({p for pair in parts.values() for p in pair if p not in cores})
-        cores.update(zip(unknown, self._asked([u.decode() for u in unknown]), strict=True))
-        self.words.update((w, cores[a] + cores[b] if b else cores[a]) for w, (a, b) in parts.items())
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        end = np.array([END], self.width).tobytes()
+    def _known(self, words: list[bytes]) -> list[bytes]:
+        new, old = self.new, self.old
+        out = [new.get(w) for w in words]
+        missing = [i for i, x in enumerate(out) if x is None]
+        unknown: list[int] = []
+        for i in missing:
+            x = old.get(words[i])
+            if x is None:
+                unknown.append(i)
+            else:
+                out[i] = new[words[i]] = x
+                self.size += len(words[i]) + len(x) + ENTRY
+        learned = self._learned([words[i] for i in unknown])
+        for i in unknown:
+            out[i] = learned[words[i]]
+        new.update(learned)
+        self.size += sum(map(len, learned)) + sum(map(len, learned.values())) + ENTRY * len(learned)
+        if self.size > CACHE // 2:
+            self.old, self.new, self.size = new, {}, 0
+        return out
+
+    def encode(self, column: pa.Array) -> pa.Array:
+        """The ids of each text of a string column, as bytes; a null text counts as empty."""
+        end = np.array([END], self.width)
         if not self.by_word:
-            return [ids + end for ids in self._asked([t.decode() for t in texts])]
-        # special tokens are told before lower-casing, so a text that might hold one keeps its case
-        split = [(t.lower() if self.lower and not any(m in t for m in self.marks) else t).split() for t in texts]
-        if len(self.words) > self.most[0]:
-            self.words = {}
-        known = self.words
-        self._learn([w for w in set().union(*split) if w not in known])
-        return [b"".join([known[w] for w in ws]) + end for ws in split]
+            return pa.array([ids + end.tobytes() for ids in self._each([t or "" for t in column.to_pylist()])], pa.binary())
+        texts = text_bytes(column)
+        if self.lower:  # special tokens are told before lower-casing, so a text that might hold one keeps its case
+            texts = [t if self.marks.search(t) else t.lower() for t in texts]
+        joined = b"".join(texts)
+        begin = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        first, many = _words(np.frombuffer(joined, np.uint8), begin)
+        # words reach to the next one here; the blanks go once words are distinct
+        spread = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(np.append(first, len(joined)).astype(np.int64)), pa.py_buffer(joined)])
+        coded = spread.dictionary_encode()
+        ids = self._known([w.rstrip(b" \t\n\v\f\r") for w in coded.dictionary.to_pylist()])
+        pool = np.frombuffer(b"".join(ids), self.width)
+        size = np.array([len(x) for x in ids], np.int64) // pool.itemsize
+        of = coded.indices.to_numpy(zero_copy_only=False)
+        length = size[of]
+        upto = np.cumsum(length)
+        flat = pool[np.arange(int(length.sum()), dtype=np.int32) + np.repeat(((np.cumsum(size) - size)[of] - (upto - length)).astype(np.int32), length)]
+        stop = np.concatenate([[0], upto])[np.concatenate([[0], np.cumsum(many)])]  # ids before each text, and in all
+        out = np.insert(flat, stop[1:], end[0])
+        offsets = (stop + np.arange(len(stop))) * pool.itemsize
+        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())
 
 
 #: The encoder of this Python worker; later tasks find its cache filled, and tasks of later stages drop it.
@@ -152,10 +218,10 @@ def write(docs: DataFrame, folder: str, *, path: str | None = None, docs_per_sha
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(spec.value, width)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 docs_ = batch.column("doc_id")
                 shard = [len(bounds) + 1 if d is None else int(np.searchsorted(bounds, d, side="left")) for d in docs_.to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), docs_, pa.array(encoder.encode(text_bytes(batch.column("text"))), pa.binary())], ["shard", "doc_id", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), docs_, encoder.encode(batch.column("text"))], ["shard", "doc_id", "payload"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by shard, doc_id: blocks of whole documents."""
@@ -242,14 +308,34 @@ def perfect_hash(keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     return levels, slots
 
 
-def slots_of(levels: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
-    """The slot of each key; -1 where no level has its bit. A key that wasn't there at building may get any slot."""
-    slots, rest, base = np.full(len(keys), -1, np.int64), np.arange(len(keys)), 0
-    for i, bits in enumerate(levels):
-        at = (_level_hash(keys[rest], i) % np.uint64(len(bits))).astype(np.int64)
-        hit = bits[at]
-        slots[rest[hit]] = base + np.cumsum(bits)[at[hit]] - 1
-        base, rest = base + int(bits.sum()), rest[~hit]
+_WORD = np.dtype([("bits", "<u8"), ("rank", "<u4")])
+
+
+def packed_level(bits: np.ndarray, base: int) -> bytes:
+    """A level as 64-bit words (the first bit lowest), each with the number of bits set before it in this and earlier levels."""
+    out = np.zeros(len(bits) // 64, _WORD)
+    out["bits"] = np.packbits(bits, bitorder="little").view("<u8")
+    each = np.bitwise_count(out["bits"]).astype(np.int64)
+    out["rank"] = base + np.cumsum(each) - each
+    return out.tobytes()
+
+
+def packed_levels(levels: list[np.ndarray]) -> list[bytes]:
+    bases = np.concatenate([[0], np.cumsum([int(x.sum()) for x in levels])]).astype(np.int64)
+    return [packed_level(x, int(b)) for x, b in zip(levels, bases, strict=False)]
+
+
+def slots_of(levels: list[bytes], keys: np.ndarray) -> np.ndarray:
+    """The slot of each key, in a time that doesn't depend on how many there are; -1 where no level has its bit. A key that wasn't there at building may get any slot."""
+    slots, rest = np.full(len(keys), -1, np.int64), np.arange(len(keys))
+    for i, raw in enumerate(levels):
+        words = np.frombuffer(raw, _WORD)
+        at = _level_hash(keys[rest], i) % np.uint64(64 * len(words))
+        word, place = words[(at >> np.uint64(6)).astype(np.int64)], at & np.uint64(63)
+        hit = ((word["bits"] >> place) & np.uint64(1)).astype(bool)
+        below = np.bitwise_count(word["bits"] & ((np.uint64(1) << place) - np.uint64(1)))
+        slots[rest[hit]] = (word["rank"] + below.astype(np.int64))[hit]
+        rest = rest[~hit]
     return slots
 
 
@@ -269,8 +355,7 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table[name] = x
         own = np.empty(int(first.sum()), _ENTRY)
         own[slots] = table[first]
-        packed = [np.packbits(x).tobytes() for x in levels]
-        return pa.RecordBatch.from_arrays([pa.array([held], pa.int64()), pa.array([len(own)], pa.int32()), pa.array([packed], pa.list_(pa.binary())), pa.array([own.tobytes()], pa.binary()), pa.array([table[~first].tobytes()], pa.binary())], ["bucket", "n", "levels", "slots", "left"])
+        return pa.RecordBatch.from_arrays([pa.array([held], pa.int64()), pa.array([len(own)], pa.int32()), pa.array([packed_levels(levels)], pa.list_(pa.binary())), pa.array([own.tobytes()], pa.binary()), pa.array([table[~first].tobytes()], pa.binary())], ["bucket", "n", "levels", "slots", "left"])
 
     for batch in batches:
         bucket = batch.column("bucket").to_numpy(zero_copy_only=False)
@@ -313,7 +398,7 @@ def look_up(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
                 marks = np.array([a["mark"] for a in asked_], np.int32).view(np.uint32)
                 # entries of keys whose 64-bit hash another key has stand after the slots, told by fingerprint alone
                 table = np.concatenate([np.frombuffer(raw, _ENTRY), np.frombuffer(left, _ENTRY)])
-                slot = slots_of([np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool) for x in levels], keys)
+                slot = slots_of(levels, keys)
                 missed = (slot < 0) | (table["fingerprint"][slot] != marks)
                 if len(table) > n:
                     others = {int(f): n + i for i, f in enumerate(table["fingerprint"][n:])}
