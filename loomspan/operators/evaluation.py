@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import written
+
 
 def similarity_statistics(scores: DataFrame) -> DataFrame:
     """mean, population deviation, least, largest and median score."""
@@ -19,6 +21,23 @@ def judged(found: DataFrame, relevant: DataFrame) -> DataFrame:
     return found.join(marks, ["query_id", "doc_id"], "left").select("query_id", "rank", F.coalesce("hit", F.lit(0.0)).alias("hit"))
 
 
+def judged_alike(found: DataFrame, corpus: DataFrame, queries: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
+    """As judged(), where a row is relevant if it is alike the query in column `on` (a label, or the context's text) and has another id; and query_id, n: how many such rows there are.
+
+    Only retrieved rows look up their value; the number of relevant rows is the
+    value's count, so no pairs of rows that are alike are made.
+    """
+    own = queries.select("query_id", F.col(on).alias("own__"))
+    theirs = corpus.select("doc_id", F.col(on).alias("theirs__"))
+    met = found.join(own, "query_id").join(theirs, "doc_id", "left")
+    hit = (F.col("own__") == F.col("theirs__")) & (F.col("query_id") != F.col("doc_id"))
+    marks = met.select("query_id", "rank", F.coalesce(hit.cast("double"), F.lit(0.0)).alias("hit"))
+    counts = corpus.groupBy(F.col(on).alias("own__")).agg(F.count("*").alias("n__"))
+    mine = corpus.select(F.col("doc_id").alias("query_id"), F.lit(1).alias("itself__"))  # a query that is in the corpus isn't relevant to itself
+    n = own.join(counts, "own__", "left").join(mine, "query_id", "left")
+    return marks, n.select("query_id", (F.coalesce("n__", F.lit(0)) - F.coalesce("itself__", F.lit(0))).alias("n"))
+
+
 def first_hits(marks: DataFrame, k: int) -> DataFrame:
     """query_id, first: zero-based place of the first relevant row, k where there is none."""
     return marks.groupBy("query_id").agg(F.coalesce(F.min(F.when((F.col("hit") > 0) & (F.col("rank") <= k), F.col("rank") - 1)), F.lit(k)).alias("first"))
@@ -36,13 +55,17 @@ def mrr(first: DataFrame, k: int, *, compat: bool = True) -> DataFrame:
 
 
 def ndcg(marks: DataFrame, k: int, *, compat: bool = True, relevant: DataFrame | None = None) -> DataFrame:
-    """Mean gain over the ideal: in compat mode a list that is relevant throughout, otherwise one with as many relevant rows as the query has."""
+    """Mean gain over the ideal: in compat mode a list that is relevant throughout, otherwise one with as many relevant rows as the query has.
+
+    relevant: query_id, doc_id, or query_id, n.
+    """
     gain = 1 / F.log2(F.col("rank") + 1)
     top = marks.where(F.col("rank") <= k)
     each = top.groupBy("query_id").agg(F.sum(F.col("hit") * gain).alias("dcg"), F.sum(gain).alias("full"))
     if compat:
         return each.agg(F.avg(F.try_divide("dcg", "full")).alias(f"ndcg_at_{k}"))
-    ideal = relevant.select("query_id", "doc_id").distinct().groupBy("query_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
+    counts = relevant if "n" in relevant.columns else relevant.select("query_id", "doc_id").distinct().groupBy("query_id").agg(F.count("*").alias("n"))
+    ideal = counts.select("query_id", F.least("n", F.lit(k)).cast("int").alias("n"))
     best = F.aggregate(F.sequence(F.lit(1), F.col("n")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
     return each.join(ideal, "query_id", "left").agg(F.avg(F.when(F.col("n") > 0, F.col("dcg") / best).otherwise(0.0)).alias(f"ndcg_at_{k}"))
 
@@ -68,7 +91,11 @@ def map_compat(marks: DataFrame, k: int, top_k: int = 10) -> DataFrame:
 
 def evaluated(found: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
     """One row with all ranking metrics, in compat mode but for the average precision."""
-    marks = judged(found, relevant)
+    return summarised(written(judged(found, relevant), "marks"), k)
+
+
+def summarised(marks: DataFrame, k: int = 10) -> DataFrame:
+    """evaluated(), from marks that are a table."""
     first = first_hits(marks, k)
     parts = [recall(first), mrr(first, k), ndcg(marks, 5), ndcg(marks, 10), mean_average_precision(marks, 5)]
     out = parts[0]
@@ -78,10 +105,10 @@ def evaluated(found: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
 
 
 def judgements(examples: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """queries (query_id, question), corpus (doc_id, context: the last of the id in order of `position`), relevant (query_id, doc_ids)."""
+    """queries (query_id, question), corpus (doc_id, context: the last of the id in order of `position`), relevant (query_id, doc_id, distinct)."""
     queries = examples.groupBy(F.col("id").alias("query_id")).agg(F.max_by("question", "position").alias("question"))
     corpus = examples.groupBy("doc_id").agg(F.max_by("context", "position").alias("context"))
-    relevant = examples.groupBy(F.col("id").alias("query_id")).agg(F.sort_array(F.collect_set("doc_id")).alias("doc_ids"))
+    relevant = examples.select(F.col("id").alias("query_id"), "doc_id").distinct()
     return queries, corpus, relevant
 
 

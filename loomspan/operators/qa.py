@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.running import sums_before
 from ..functions.text import portable_hash, word_count
+from ..staging import written
 from .lexicon import questions
 
 ANSWER = "array<struct<start:int,text:string>>"
@@ -70,26 +72,31 @@ def pairs(docs: DataFrame, spans: DataFrame, templates_: DataFrame, *, seed: int
     documents come first, so that numbering takes no single-task sort.
     """
     g = groups(chosen(spans, most=most, key=key), fewest=fewest, key=key)
-    made = docs.select(key, "text").join(g, key).withColumn("answers", anchored(F.col("answers"), F.col("text"))).where(F.size("answers") > 0)
+    placed = docs.select(key, "text").join(g, key).withColumn("answers", anchored(F.col("answers"), F.col("text"))).where(F.size("answers") > 0)
     start, end = window_start(F.col("answers"), F.col("text"), most_context)
-    made = made.withColumns({"from": start, "to": end})
+    # without texts: spans are found once, and only narrow rows are numbered
+    placed = written(placed.select(key, "label", "first", "answers", start.alias("from"), end.alias("to")), "pairs")
+    numbered = global_number(placed, [key, "first", "label"], key)
+    made = numbered.join(docs.select(key, "text"), key)
     made = made.withColumn("context", F.substr("text", F.col("from") + 1, F.col("to") - F.col("from")))
     made = made.withColumn("answers", F.transform("answers", lambda a: F.struct((a["start"] - F.col("from")).cast("int").alias("start"), a["text"].alias("text"))))
     n_templates = templates_.groupBy("label").agg(F.count("*").alias("n_t"))
     pick = portable_hash(F.concat_ws("|", F.col(key).cast("string"), "label", F.lit(str(seed))))
-    made = made.join(F.broadcast(n_templates), "label", "left").withColumn("template_no", F.pmod(pick, F.col("n_t")).cast("int"))
-    made = made.join(F.broadcast(templates_), ["label", "template_no"], "left").withColumn("question", F.coalesce("question", default_question(F.col("label"))))
-    numbered = global_number(made, [key, "first", "label"], key)
-    return numbered.select(F.concat(F.col(key).cast("string"), F.lit("_q"), F.col("number").cast("string"), F.lit("_"), "label").alias("id"), key, "label", "question", "context", "answers")
+    made = made.join(n_templates, "label", "left").withColumn("template_no", F.pmod(pick, F.col("n_t")).cast("int"))
+    made = made.join(templates_, ["label", "template_no"], "left").withColumn("question", F.coalesce("question", default_question(F.col("label"))))
+    return made.select(F.concat(F.col(key).cast("string"), F.lit("_q"), F.col("number").cast("string"), F.lit("_"), "label").alias("id"), key, "label", "question", "context", "answers")
 
 
-def global_number(df: DataFrame, order: list[str], key: str, width: int = 1024) -> DataFrame:
-    """df with `number` from 1 in the given order, which begins with the integer column key."""
-    ranged = df.withColumn("range", F.floor(F.col(key) / width))
-    counts = ranged.groupBy("range").agg(F.count("*").alias("in_range"))
-    base = counts.select("range", F.coalesce(F.sum("in_range").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    local = F.row_number().over(W.partitionBy("range").orderBy(*order))
-    return ranged.join(base, "range").withColumn("number", F.col("base") + local).drop("range", "base")
+def global_number(df: DataFrame, order: list[str], key: str) -> DataFrame:
+    """df with `number` from 1 in the given order, which begins with the integer column key.
+
+    df is read several times, so it should be a table. A row's number is its
+    place among the rows of its key, and the rows of all smaller keys.
+    """
+    counts = df.groupBy(key).agg(F.count("*").alias("n__"))
+    base = sums_before(written(counts, "counts"), key, "n__").select(key, "base")
+    local = F.row_number().over(W.partitionBy(key).orderBy(*order))
+    return df.join(base, key).withColumn("number", F.col("base") + local).drop("base")
 
 
 def ratios(train: float, validation: float, test: float) -> tuple[float, float, float]:
@@ -102,11 +109,13 @@ def split(rows: DataFrame, *, by: str = "id", train: float = 0.7, validation: fl
     """rows with `split`: in order of a hash of `by` and seed, the first int(n train) are for training, the next int(n validation) for validation, the rest for testing.
 
     Give a document's id as `by` to keep a document in one split. The place in
-    the order comes from counts of hash ranges and a local rank.
+    the order comes from counts of hash ranges and a local rank. What becomes of
+    an id is written out, so rows are read twice, for their ids and at the end.
     """
     train, validation, _ = ratios(train, validation, test)
-    keys = rows.select(F.col(by).cast("string").alias("k")).distinct().withColumn("h", F.md5(F.concat(F.col("k"), F.lit(f"|{seed}"))))
-    keys = keys.withColumn("range", F.conv(F.substring("h", 1, 3), 16, 10).cast("int"))
+    ids = written(rows.select(F.col(by).cast("string").alias("k")).distinct(), "ids")
+    keys = ids.withColumn("h", F.md5(F.concat(F.col("k"), F.lit(f"|{seed}"))))
+    keys = keys.withColumn("range", F.conv(F.substring("h", 1, 3), 16, 10).cast("int"))  # 4096 of them
     counts = keys.groupBy("range").agg(F.count("*").alias("c"))
     upto = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     counts = counts.select("range", F.coalesce(F.sum("c").over(upto), F.lit(0)).alias("base"), F.sum("c").over(W.partitionBy()).alias("n"))
@@ -126,25 +135,28 @@ def issues(example: DataFrame) -> DataFrame:
     """example with `issues`, an array of texts that is empty for a valid row.
 
     Columns id, question, context and answers(text, answer_start); a null is a
-    missing field. The first defect of structure ends the check; after that
-    each answer is checked for bounds and text.
+    missing field. A row marked `unparsable` by parsed_examples has this issue.
+    The first defect of structure ends the check; after that each answer is
+    checked for bounds and text.
     """
     text, start, context = F.col("answers.text"), F.col("answers.answer_start"), F.col("context")
+    unparsable = F.when(F.col("unparsable"), F.lit("line is no JSON object")) if "unparsable" in example.columns else F.lit(None).cast("string")
     structure = F.coalesce(
-        *[F.when(F.col(f).isNull(), F.lit(f"Missing required field: {f}")) for f in ("id", "question", "context", "answers")],
-        F.when(text.isNull() | start.isNull(), F.lit("Answers must contain 'text' and 'answer_start' fields")),
-        F.when(F.size(text) != F.size(start), F.lit("Answer text and start lists must have same length")),
-        F.when(F.size(text) == 0, F.lit("Must have at least one answer")),
+        unparsable,
+        *[F.when(F.col(f).isNull(), F.lit(f"field {f} is missing")) for f in ("id", "question", "context", "answers")],
+        F.when(text.isNull() | start.isNull(), F.lit("answers lack texts or starts")),
+        F.when(F.size(text) != F.size(start), F.lit("texts and starts differ in number")),
+        F.when(F.size(text) == 0, F.lit("no answer")),
     )
 
     def answer(x: Column, i: Column) -> Column:
-        t, s, name = x["t"], x["s"], F.concat(F.lit("Answer "), i.cast("string"), F.lit(": "))
+        t, s, name = x["t"], x["s"], F.concat(F.lit("answer "), i.cast("string"))
         found = F.instr(context, t) - 1
-        outside = F.concat(name, F.lit("start position "), s.cast("string"), F.lit(" out of context bounds (context length: "), F.length(context).cast("string"), F.lit(")"))
-        absent = F.concat(name, F.lit("text '"), F.substring(t, 1, 50), F.lit("...' not found in context"))
-        moved = F.concat(name, F.lit("text found at different position (expected "), s.cast("string"), F.lit(", found "), found.cast("string"), F.lit(")"))
+        outside = F.concat(name, F.lit(" starts at "), s.cast("string"), F.lit(", outside of "), F.length(context).cast("string"), F.lit(" characters"))
+        absent = F.concat(name, F.lit(" is absent: "), F.substring(t, 1, 50))
+        moved = F.concat(name, F.lit(" stands at "), found.cast("string"), F.lit(" instead of "), s.cast("string"))
         return (
-            F.when(t.isNull() | s.isNull(), F.concat(name, F.lit("text must be string, start must be integer")))
+            F.when(t.isNull() | s.isNull(), F.concat(name, F.lit(" has no text or no start")))
             .when((s < 0) | (s >= F.length(context)), outside)
             .when(F.substr(context, s + 1, F.length(t)) == t, F.lit(None))
             .when(found < 0, absent)
@@ -160,9 +172,30 @@ def issue_histogram(checked: DataFrame, k: int = 10) -> DataFrame:
 
 
 def validation_report(checked: DataFrame) -> DataFrame:
-    """total, valid, invalid, valid_percentage."""
-    ok = F.count(F.when(F.size("issues") == 0, 1))
-    return checked.agg(F.count("*").alias("total"), ok.alias("valid"), (F.count("*") - ok).alias("invalid"), F.try_divide(ok * 100.0, F.count("*")).alias("valid_percentage"))
+    """total, valid, invalid, valid_percentage, invalid_percentage. checked may hold a boolean column `unparsable`, whose rows are invalid."""
+    good = F.size("issues") == 0
+    ok = F.count(F.when(good, 1))
+    share = lambda n: F.try_divide(n * 100.0, F.count("*"))
+    return checked.agg(F.count("*").alias("total"), ok.alias("valid"), (F.count("*") - ok).alias("invalid"), share(ok).alias("valid_percentage"), share(F.count("*") - ok).alias("invalid_percentage"))
+
+
+def valid_label_counts(checked: DataFrame) -> DataFrame:
+    """label, n of the valid rows; a row without label counts as `unknown`."""
+    return checked.where(F.size("issues") == 0).groupBy(F.coalesce("label", F.lit("unknown")).alias("label")).agg(F.count("*").alias("n"))
+
+
+def label_counters(pairs_: DataFrame, *, key: str = "doc_id") -> DataFrame:
+    """label, pairs, documents, answers of a dataset."""
+    return pairs_.groupBy("label").agg(F.count("*").alias("n_pairs"), F.countDistinct(key).alias("n_docs"), F.sum(F.size("answers")).alias("n_answers"))
+
+
+def parsed_examples(lines: DataFrame, column: str = "value") -> DataFrame:
+    """id, question, context, answers, label and unparsable of each line of JSON; a line that is no JSON object has nulls and is marked."""
+    text = F.col(column)
+    fields = "id string, question string, context string, answers struct<text:array<string>,answer_start:array<int>>, metadata struct<entity_label:string>"
+    broken = F.try_parse_json(text).isNull() | ~F.startswith(F.trim(text), F.lit("{"))
+    x = lines.select(F.from_json(text, fields).alias("x"), F.coalesce(broken, F.lit(True)).alias("unparsable"))
+    return x.select("x.id", "x.question", "x.context", "x.answers", F.col("x.metadata.entity_label").alias("label"), "unparsable")
 
 
 def word_statistics(rows: DataFrame, *, key: str = "doc_id") -> DataFrame:

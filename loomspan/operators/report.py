@@ -24,6 +24,25 @@ def efficiency_table(metrics: DataFrame) -> DataFrame:
     return metrics.select("model", "inference_time_ms", "model_size_mb", (F.col("params") / 1e6).alias("params_m"), "mean_similarity")
 
 
+def mean_deviation(metrics: DataFrame, columns: list[str]) -> DataFrame:
+    """metric, mean and sample deviation over models, and both as one text with four places."""
+    each = long_form(metrics, columns).groupBy("metric").agg(F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("deviation"))
+    return each.withColumn("shown", F.format_string("%.4f ± %.4f", "mean", "deviation"))
+
+
+def time_similarity(metrics: DataFrame) -> DataFrame:
+    """model, inference_time_ms, mean_similarity, fastest first: the points of a scatter chart."""
+    return metrics.select("model", "inference_time_ms", "mean_similarity").orderBy("inference_time_ms", "model")
+
+
+def transposed(metrics: DataFrame, columns: list[str], key: str = "model") -> DataFrame:
+    """A row for each metric and a column for each model. A table without models raises."""
+    models = [r[0] for r in metrics.select(key).distinct().orderBy(key).collect()]  # as many as models compared
+    if not models:
+        raise ValueError("no results to report")
+    return long_form(metrics, columns, key).groupBy("metric").pivot(key, models).agg(F.first("value"))
+
+
 def rounded(metrics: DataFrame, two: tuple[str, ...] = ("model_size_mb", "inference_time_ms")) -> DataFrame:
     """Doubles rounded to four places; sizes and times to two."""
     return metrics.select(*[F.round(c, 2 if c in two else 4).alias(c) if t == "double" else F.col(c) for c, t in metrics.dtypes])

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.running import sums_before
 from ..functions.vector import dot, norm, unit
+from ..staging import written
 
-#: Queries that are sent to every task; more than these are searched in rounds of this many.
+#: Queries that are broadcast at most.
 ROUND = 4096
 
 
@@ -17,27 +19,21 @@ def similarity(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return pairs.withColumn("score", dot(F.col(a), F.col(b)) / (norm(F.col(a)) * norm(F.col(b))))
 
 
+def _meeting(corpus: DataFrame, queries: DataFrame, condition: Column) -> DataFrame:
+    """Every row of corpus with every query: queries are broadcast if a count shows that they are few, and else meet the corpus block by block, each pair of partitions in a task of its own."""
+    return corpus.join(F.broadcast(queries) if queries.count() <= ROUND else queries.hint("shuffle_replicate_nl"), condition)
+
+
 def scored(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """query_id, doc_id, score of every query against every row of the corpus.
 
     queries: query_id, embedding; corpus: doc_id, embedding. Vectors are
-    brought to unit length once, then every score is a dot product. The corpus
-    stays where it is; a bounded set of queries is broadcast to it, and the
-    number of queries is counted before.
+    brought to unit length once, then every score is a dot product. It is one
+    stage whatever the number of queries, and the corpus isn't dealt by a key.
     """
     q = queries.select("query_id", unit(F.col("embedding")).alias("q"))
     c = corpus.select("doc_id", unit(F.col("embedding")).alias("c"))
-    n = queries.count()
-    if n <= ROUND:
-        met = c.join(F.broadcast(q), F.lit(True))
-    else:  # each round has a bounded share of the queries, so what is broadcast doesn't grow with their number
-        rounds = -(-n // ROUND)
-        dealt = q.withColumn("r", F.pmod(F.xxhash64("query_id"), F.lit(2 * rounds)))
-        met = None
-        for r in range(2 * rounds):
-            part = c.join(F.broadcast(dealt.where(F.col("r") == r).drop("r")), F.lit(True))
-            met = part if met is None else met.unionByName(part)
-    return met.select("query_id", "doc_id", dot(F.col("q"), F.col("c")).alias("score"))
+    return _meeting(c, q, F.lit(True)).select("query_id", "doc_id", dot(F.col("q"), F.col("c")).alias("score"))
 
 
 def ranked(scores: DataFrame, k: int | None = None, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -66,9 +62,7 @@ def search_models(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFra
     """model, query_id, rank, doc_id, score: as retrieve(), within each model. queries and corpus also carry `model`."""
     q = queries.select("model", "query_id", unit(F.col("embedding")).alias("q"))
     c = corpus.select(F.col("model").alias("m"), "doc_id", unit(F.col("embedding")).alias("c"))
-    if queries.count() <= ROUND:
-        q = F.broadcast(q)
-    met = c.join(q, F.col("m") == F.col("model")).select("model", "query_id", "doc_id", dot(F.col("q"), F.col("c")).alias("score"))
+    met = _meeting(c, q, F.col("m") == F.col("model")).select("model", "query_id", "doc_id", dot(F.col("q"), F.col("c")).alias("score"))
     return ranked(met, k, ("model", "query_id")).select("model", "query_id", "rank", "doc_id", "score")
 
 
@@ -85,3 +79,33 @@ def search_counts(log: DataFrame) -> DataFrame:
 def exported(results: DataFrame) -> DataFrame:
     """results with the score rounded to four places."""
     return results.withColumn("score", F.round("score", 4))
+
+
+class Corpora:
+    """Corpora by name. Vectors are brought to unit length once, when a corpus is added, and kept as a table."""
+
+    def __init__(self) -> None:
+        self._held: dict[str, DataFrame] = {}
+
+    def add(self, name: str, corpus: DataFrame) -> None:
+        """corpus: embedding, and doc_id; without ids rows are called doc_0, doc_1 ... in order of the hash of their context. An empty corpus raises, and a known name is replaced."""
+        if corpus.isEmpty():
+            raise ValueError(f"corpus {name} is empty")
+        if "doc_id" not in corpus.columns:
+            corpus = numbered(corpus)
+        self._held[name] = written(corpus.select("doc_id", unit(F.col("embedding")).alias("embedding")), "corpus")
+
+    def names(self) -> list[str]:
+        return sorted(self._held)
+
+    def retrieve(self, name: str, queries: DataFrame, k: int = 10) -> DataFrame:
+        return retrieve(queries, self._held[name], k)
+
+
+def numbered(corpus: DataFrame) -> DataFrame:
+    """corpus with doc_id from the order of its contexts' hashes: ranges of their hash are counted first, so nothing is sorted in one task."""
+    ranged = corpus.withColumn("range__", F.conv(F.substring(F.md5("context"), 1, 5), 16, 10).cast("long"))
+    counts = written(ranged.groupBy("range__").agg(F.count("*").alias("n__")), "counts")
+    base = sums_before(counts, "range__", "n__").select("range__", "base")
+    local = F.row_number().over(W.partitionBy("range__").orderBy("context")) - 1
+    return ranged.join(base, "range__").withColumn("doc_id", F.concat(F.lit("doc_"), (F.col("base") + local).cast("string"))).drop("range__", "base")

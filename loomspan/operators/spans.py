@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.running import sums_before
+from ..staging import written
 from .lexicon import Entry
 
 
@@ -72,18 +74,13 @@ def label_counts(spans: DataFrame, *, key: str = "doc_id") -> DataFrame:
     return spans.groupBy(key, "label").agg(F.count("*").alias("n"))
 
 
-def running_counts(spans: DataFrame, *, key: str = "doc_id", width: int = 1024) -> DataFrame:
+def running_counts(spans: DataFrame, *, key: str = "doc_id") -> DataFrame:
     """Counts by document and label with their running sum over documents in order of an integer key.
 
-    Keys are cut into ranges of `width`: sums of ranges are few, and within a
-    range the sum is local, so no label has to pass through one task whole.
+    Counts are written out, so spans are found once; sums of ranges of keys come first, so no label passes through one task whole.
     """
-    n = label_counts(spans, key=key).withColumn("range", F.floor(F.col(key) / width))
-    ranges = n.groupBy("label", "range").agg(F.sum("n").alias("in_range"))
-    before = W.partitionBy("label").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    ranges = ranges.select("label", "range", F.coalesce(F.sum("in_range").over(before), F.lit(0)).alias("base"))
-    within = W.partitionBy("label", "range").orderBy(key).rowsBetween(W.unboundedPreceding, 0)
-    return n.join(ranges, ["label", "range"]).select(key, "label", "n", (F.col("base") + F.sum("n").over(within)).alias("running"))
+    n = written(label_counts(spans, key=key), "counts")
+    return sums_before(n, key, "n", by=("label",)).select(key, "label", "n", (F.col("base") + F.col("n")).alias("running"))
 
 
 def document_stats(spans: DataFrame, *, key: str = "doc_id") -> DataFrame:
@@ -98,7 +95,7 @@ def top_labels(spans: DataFrame, k: int = 10) -> DataFrame:
 
 
 def records(docs: DataFrame, rule: DataFrame, other: DataFrame | None = None, *, key: str = "doc_id") -> DataFrame:
-    """Extraction rows: document, merged spans, and statistics by source and label. Blank documents are left out."""
+    """Extraction rows: document, merged spans, metadata of the file, and statistics by source and label. Blank documents are left out."""
     rules = resolved(rule, key=key)
     both = merged(rules, other, key=key) if other is not None else merged(rules, key=key)
     item = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "label", "text")
@@ -113,10 +110,18 @@ def records(docs: DataFrame, rule: DataFrame, other: DataFrame | None = None, *,
         out = out.withColumn("n_other", F.lit(0))
     empty_map = F.create_map().cast("map<string,int>")
     dist_, none = F.coalesce("label_distribution", empty_map), F.array().cast(spans.schema["spans"].dataType)
+    given = lambda c, other: F.col(c) if c in docs.columns else other
     return out.select(
         key,
         "text",
         F.coalesce("spans", none).alias("spans"),
+        F.struct(
+            given("filepath", F.lit(None).cast("string")).alias("filepath"),
+            given("file_size", F.length("text")).cast("int").alias("file_size"),
+            F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("processing_time"),
+            given("hash", F.md5("text")).alias("hash"),
+            F.size(dist_).alias("total_labels_found"),
+        ).alias("metadata"),
         F.struct(
             F.coalesce("n_rule", F.lit(0)).alias("rule_based_entities"),
             F.coalesce("n_other", F.lit(0)).alias("llm_entities"),

@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import first_date, first_number, sentences
@@ -39,8 +38,6 @@ COUNTRIES: dict[str, str] = {
 }
 #: Categories of the record, and their names in it.
 SECTIONS = {"popu": "Population", "topic": "topic", "outcome": "outcome", "intervention": "intervention"}
-DATE_QUERY = "date of last literature search database inception"
-STUDIES_QUERY = "number of included studies"
 
 
 def _leaves(tree: dict, category: str, sub: str = "", field: str = "") -> Iterator[tuple[str, str, str, str, str]]:
@@ -86,24 +83,27 @@ def best_sentences(scores: DataFrame, *, key: str = "doc_id") -> DataFrame:
     return scores.groupBy(key).agg(F.max_by("sentence", F.struct("score", -F.col("sentence_no"))).alias("sentence"))
 
 
-def dates(best: DataFrame, *, key: str = "doc_id") -> DataFrame:
-    return best.select(key, first_date(F.col("sentence")).alias("date"))
+def paper_fields(papers: DataFrame, *, key: str = "doc_id", countries: dict[str, str] | None = None) -> DataFrame:
+    """key, date, number, study_country of each paper, in one pass: date and number of studies from `sentence`, and how often the countries that occur are named in `text`, most often first."""
+    each = F.array_sort(_named(countries), lambda a, b: F.when(a["n"] != b["n"], F.signum(b["n"] - a["n"]).cast("int")).when(a["country"] < b["country"], -1).otherwise(1))
+    listed = F.transform(each, lambda x: F.struct(x["country"].alias("key"), x["n"].cast("long").alias("value")))
+    return papers.select(key, first_date(F.col("sentence")).alias("date"), first_number(F.col("sentence")).alias("number"), F.map_from_entries(listed).alias("study_country"))
 
 
-def study_counts(best: DataFrame, *, key: str = "doc_id") -> DataFrame:
-    return best.select(key, first_number(F.col("sentence")).alias("number"))
+def _named(countries: dict[str, str] | None) -> Column:
+    each = F.array(*[F.struct(F.lit(c).alias("country"), F.regexp_count("text", F.lit(rf"(?i)\b(?:{p})\b")).alias("n")) for c, p in (countries or COUNTRIES).items()])
+    return F.filter(each, lambda x: x["n"] > 0)
 
 
 def country_counts(docs: DataFrame, *, key: str = "doc_id", countries: dict[str, str] | None = None) -> DataFrame:
     """key, country, n of the countries that occur, whatever the case."""
-    each = F.array(*[F.struct(F.lit(c).alias("country"), F.regexp_count("text", F.lit(rf"(?i)\b(?:{p})\b")).alias("n")) for c, p in (countries or COUNTRIES).items()])
-    return docs.select(key, F.explode(F.filter(each, lambda x: x["n"] > 0)).alias("x")).select(key, "x.country", "x.n")
+    return docs.select(key, F.explode(_named(countries)).alias("x")).select(key, "x.country", "x.n")
 
 
 def matched(scores: DataFrame, tags: DataFrame, threshold: float = 0.65, *, key: str = "doc_id") -> DataFrame:
     """key, section, sub, code, tag_id of the tags at or above the threshold that belong to a section of the record."""
     section = F.create_map(*[F.lit(x) for pair in SECTIONS.items() for x in pair])
-    hit = scores.where(F.col("score") >= threshold).join(F.broadcast(tags), "tag_id")
+    hit = scores.where(F.col("score") >= threshold).join(tags, "tag_id")
     return hit.withColumn("section", section[F.col("cat")]).where("section is not null").select(key, "section", "sub", "code", "tag_id")
 
 
@@ -113,13 +113,12 @@ def codes(hits: DataFrame, *, key: str = "doc_id") -> DataFrame:
     return first.groupBy(key, "section", "sub").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "code"))), lambda x: x["code"]).alias("codes"))
 
 
-def paper_records(hits: DataFrame, found_dates: DataFrame, numbers: DataFrame, countries: DataFrame, *, key: str = "doc_id") -> DataFrame:
-    """One row for each paper: date, number of studies, a map from sub to codes for each section, a map of countries."""
+def paper_records(hits: DataFrame, papers: DataFrame, *, key: str = "doc_id") -> DataFrame:
+    """papers (from paper_fields) with a map from sub to codes for each section."""
     by_section = codes(hits, key=key).groupBy(key).agg(
         *[F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("section") == s, F.struct("sub", "codes"))))).alias(s) for s in SECTIONS.values()]
     )
-    n = countries.groupBy(key).agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "country"))), lambda x: F.struct(x["country"], (-x["o"]).cast("long")))).alias("study_country"))
-    return found_dates.join(numbers, key, "full").join(by_section, key, "left").join(n, key, "left")
+    return papers.join(by_section, key, "left")
 
 
 def most_alike(sentence_vectors: DataFrame, phrase_vector: DataFrame, *, key: str = "doc_id") -> DataFrame:
@@ -127,8 +126,3 @@ def most_alike(sentence_vectors: DataFrame, phrase_vector: DataFrame, *, key: st
     rows = sentence_vectors.select(F.struct(key, "sentence_no", "sentence").alias("doc_id"), "embedding")
     s = scored(phrase_vector.select(F.lit(0).alias("query_id"), "embedding"), rows)
     return best_sentences(s.select(f"doc_id.{key}", "doc_id.sentence_no", "doc_id.sentence", "score"), key=key)
-
-
-def first_of(df: DataFrame, by: str, order: list) -> DataFrame:
-    """The first row of each group."""
-    return df.withColumn("loomspan_n", F.row_number().over(W.partitionBy(by).orderBy(*order))).where("loomspan_n = 1").drop("loomspan_n")

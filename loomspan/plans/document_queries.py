@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import chunks, first_date, first_number, preview
+from ..functions.text import DATE_FORMS, chunks, first_date, first_number, preview
 from ..operators import tagging
 from ..operators.entities import PROMPT_CHARACTERS
 from ..sources import files
@@ -67,20 +67,12 @@ def sentence_lengths(spark, sf_dir):
     return tagging.sentence_table(documents(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.avg(n), 6).alias("mean_length"), F.max(n).cast("long").alias("max_length"))
 
 
-_MONTH = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*"
-_DATES = [
-    rf"(?i){_MONTH}\.?\s+[0-9]{{1,2}},?\s+[0-9]{{4}}",
-    rf"(?i){_MONTH}\.?\s+[0-9]{{4}}",
-    rf"(?i)[0-9]{{1,2}}\s+{_MONTH}\.?\s+[0-9]{{4}}",
-    "[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}",
-    "[0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{4}",
-]
 #: The texts hold no dates, so some are put after them, one form for each remainder of the id.
 _DATED = """text || CASE doc_id % 7 WHEN 0 THEN ' searched on 3 May 2021 and June 2020' WHEN 1 THEN ' until 2019-04-30 only' WHEN 2 THEN ' Sept. 5, 2018 and 01/02/2017'
   WHEN 3 THEN ' 12-11-2016 or so' WHEN 4 THEN ' in march 1999' WHEN 5 THEN ' 1,240 studies' ELSE '' END"""
 
 
-@register(f"SELECT doc_id, coalesce({', '.join(f'''nullif(regexp_extract({_DATED}, '{p}'), '')''' for p in _DATES)}, 'Not specified') AS found FROM documents")
+@register(f"SELECT doc_id, coalesce({', '.join(f'''nullif(regexp_extract({_DATED}, '{p}'), '')''' for p in DATE_FORMS)}, 'Not specified') AS found FROM documents")
 def first_dates(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.expr(_DATED).alias("text")).select("doc_id", first_date(F.col("text")).alias("found"))
 

@@ -107,11 +107,11 @@ _EXAMPLES = """SELECT doc_id, cast(doc_id as string) AS id, CASE WHEN doc_id % 7
 named_struct('text', CASE doc_id % 7 WHEN 3 THEN array('zz#zz') WHEN 4 THEN array('a', 'b') WHEN 5 THEN cast(array() as array<string>) ELSE array(substring(text, 6, 5)) END,
 'answer_start', CASE doc_id % 7 WHEN 1 THEN array(3) WHEN 2 THEN array(100000) WHEN 5 THEN cast(array() as array<int>) ELSE array(5) END) AS answers FROM {docs}"""
 _ISSUES = """WITH c AS (SELECT doc_id, doc_id % 7 AS k, substr(text, 1, 400) AS context, substr(text, 6, 5) AS t FROM documents),
-i AS (SELECT doc_id, CASE k WHEN 6 THEN 'Missing required field: question' WHEN 5 THEN 'Must have at least one answer' WHEN 4 THEN 'Answer text and start lists must have same length'
-  WHEN 3 THEN CASE WHEN length(context) <= 5 THEN 'Answer 0: start position 5 out of context bounds (context length: ' || length(context) || ')' ELSE 'Answer 0: text ''zz#zz...'' not found in context' END
-  WHEN 2 THEN 'Answer 0: start position 100000 out of context bounds (context length: ' || length(context) || ')'
-  WHEN 1 THEN CASE WHEN length(context) <= 3 THEN 'Answer 0: start position 3 out of context bounds (context length: ' || length(context) || ')' WHEN substr(context, 4, length(t)) = t THEN NULL ELSE 'Answer 0: text found at different position (expected 3, found ' || (strpos(context, t) - 1) || ')' END
-  ELSE CASE WHEN length(context) <= 5 THEN 'Answer 0: start position 5 out of context bounds (context length: ' || length(context) || ')' END END AS issue FROM c)"""
+i AS (SELECT doc_id, CASE k WHEN 6 THEN 'field question is missing' WHEN 5 THEN 'no answer' WHEN 4 THEN 'texts and starts differ in number'
+  WHEN 3 THEN CASE WHEN length(context) <= 5 THEN 'answer 0 starts at 5, outside of ' || length(context) || ' characters' ELSE 'answer 0 is absent: zz#zz' END
+  WHEN 2 THEN 'answer 0 starts at 100000, outside of ' || length(context) || ' characters'
+  WHEN 1 THEN CASE WHEN length(context) <= 3 THEN 'answer 0 starts at 3, outside of ' || length(context) || ' characters' WHEN substr(context, 4, length(t)) = t THEN NULL ELSE 'answer 0 stands at ' || (strpos(context, t) - 1) || ' instead of 3' END
+  ELSE CASE WHEN length(context) <= 5 THEN 'answer 0 starts at 5, outside of ' || length(context) || ' characters' END END AS issue FROM c)"""
 
 
 def _checked(spark, sf_dir):
@@ -128,9 +128,9 @@ def qa_issue_histogram(spark, sf_dir):
     return qa.issue_histogram(_checked(spark, sf_dir))
 
 
-@register(f"{_ISSUES} SELECT count(*) AS total, count(*) FILTER (issue IS NULL) AS valid, count(*) FILTER (issue IS NOT NULL) AS invalid, round(count(*) FILTER (issue IS NULL) * 100.0::DOUBLE / count(*), 6) AS valid_percentage FROM i")
+@register(f"{_ISSUES} SELECT count(*) AS total, count(*) FILTER (issue IS NULL) AS valid, count(*) FILTER (issue IS NOT NULL) AS invalid, round(count(*) FILTER (issue IS NULL) * 100.0::DOUBLE / count(*), 6) AS valid_percentage, round(count(*) FILTER (issue IS NOT NULL) * 100.0::DOUBLE / count(*), 6) AS invalid_percentage FROM i")
 def qa_validation_report(spark, sf_dir):
-    return qa.validation_report(_checked(spark, sf_dir)).withColumn("valid_percentage", F.round("valid_percentage", 6))
+    return qa.validation_report(_checked(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("valid_percentage", "invalid_percentage")})
 
 
 #: As _EXAMPLES with whole texts as contexts; the answer starts in the middle, and out of bounds is the text's own length.
@@ -140,10 +140,10 @@ named_struct('text', CASE doc_id % 7 WHEN 3 THEN array('zz#zz') WHEN 4 THEN arra
 FROM (SELECT doc_id, text, cast(floor(length(text) / 2) as int) AS mid FROM {docs})"""
 _WHOLE_ISSUES = """WITH c AS (SELECT doc_id, doc_id % 7 AS k, text AS context, length(text) AS len, length(text) // 2 AS mid, substr(text, length(text) // 2 + 1, 5) AS t FROM documents),
 s AS (SELECT *, CASE k WHEN 1 THEN mid + 1 WHEN 2 THEN len ELSE mid END AS s, CASE k WHEN 3 THEN 'zz#zz' ELSE t END AS a FROM c),
-i AS (SELECT doc_id, CASE WHEN k = 6 THEN 'Missing required field: question' WHEN context IS NULL THEN 'Missing required field: context' WHEN k = 5 THEN 'Must have at least one answer'
-  WHEN k = 4 THEN 'Answer text and start lists must have same length' WHEN s >= len THEN 'Answer 0: start position ' || s || ' out of context bounds (context length: ' || len || ')'
-  WHEN substr(context, s + 1, length(a)) = a THEN NULL WHEN strpos(context, a) = 0 THEN 'Answer 0: text ''' || a || '...'' not found in context'
-  ELSE 'Answer 0: text found at different position (expected ' || s || ', found ' || (strpos(context, a) - 1) || ')' END AS issue FROM s)"""
+i AS (SELECT doc_id, CASE WHEN k = 6 THEN 'field question is missing' WHEN context IS NULL THEN 'field context is missing' WHEN k = 5 THEN 'no answer'
+  WHEN k = 4 THEN 'texts and starts differ in number' WHEN s >= len THEN 'answer 0 starts at ' || s || ', outside of ' || len || ' characters'
+  WHEN substr(context, s + 1, length(a)) = a THEN NULL WHEN strpos(context, a) = 0 THEN 'answer 0 is absent: ' || a
+  ELSE 'answer 0 stands at ' || (strpos(context, a) - 1) || ' instead of ' || s END AS issue FROM s)"""
 
 
 def _whole_checked(spark, sf_dir):
@@ -160,9 +160,9 @@ def qa_issue_histogram_whole(spark, sf_dir):
     return qa.issue_histogram(_whole_checked(spark, sf_dir))
 
 
-@register(f"{_WHOLE_ISSUES} SELECT count(*) AS total, count(*) FILTER (issue IS NULL) AS valid, count(*) FILTER (issue IS NOT NULL) AS invalid, round(count(*) FILTER (issue IS NULL) * 100.0::DOUBLE / count(*), 6) AS valid_percentage FROM i")
+@register(f"{_WHOLE_ISSUES} SELECT count(*) AS total, count(*) FILTER (issue IS NULL) AS valid, count(*) FILTER (issue IS NOT NULL) AS invalid, round(count(*) FILTER (issue IS NULL) * 100.0::DOUBLE / count(*), 6) AS valid_percentage, round(count(*) FILTER (issue IS NOT NULL) * 100.0::DOUBLE / count(*), 6) AS invalid_percentage FROM i")
 def qa_validation_report_whole(spark, sf_dir):
-    return qa.validation_report(_whole_checked(spark, sf_dir)).withColumn("valid_percentage", F.round("valid_percentage", 6))
+    return qa.validation_report(_whole_checked(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("valid_percentage", "invalid_percentage")})
 
 
 def _turns(spark, sf_dir):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import entities, spans
 from ..operators.lexicon import GENERIC, dimension
+from ..staging import shared_folder
 from ..streaming.incremental import document_stream, extract_stream
 from .catalog import register
 
@@ -47,9 +48,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Regular expressions cost far more than reading, so a file of few splits is dealt to all cores first."""
+    """Regular expressions cost far more than reading, so a table of fewer splits than there are cores is dealt to all of them first."""
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.sparkSession.conf.get("spark.master", "local").startswith("local") else df
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +107,7 @@ def span_top_labels(spark, sf_dir):
 @register(f"WITH {E} SELECT label, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM e WHERE label IN (SELECT label FROM lex WHERE label_group IN ('contact', 'quantity')) GROUP BY label")
 def label_semijoin(spark, sf_dir):
     known = dimension(spark, GENERIC).where(F.col("label_group").isin("contact", "quantity"))
-    hit = found(spark, sf_dir).join(F.broadcast(known), "label", "left_semi")  # as many rows as the lexicon has
+    hit = found(spark, sf_dir).join(known, "label", "left_semi")
     return hit.groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
@@ -140,7 +141,9 @@ _ANSWERS = """CASE doc_id % 5 WHEN 0 THEN 'Here:' || chr(10) || '```json' || chr
 
 
 def _shaped(x: str) -> str:
-    return f"CASE WHEN regexp_matches({x}, '(?s)^\\{{.*\\}}$|^\\[.*\\]$') AND json_valid({x}) THEN {x} END"
+    # DuckDB takes bare nan and inf for numbers, which JSON has not
+    bare = "'^\\{\"a\": (nan|inf)'"
+    return f"CASE WHEN regexp_matches({x}, '(?s)^\\{{.*\\}}$|^\\[.*\\]$') AND json_valid({x}) AND NOT regexp_matches({x}, {bare}) THEN {x} END"
 
 
 @register(
@@ -156,12 +159,7 @@ def llm_json_extract(spark, sf_dir):
 @register(f"{RES} SELECT {OUT} FROM res")
 def stream_spans(spark, sf_dir):
     """The resolved spans again, by way of a file stream."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="loomspan-")
-    folder = f"{folder}/loomspan-stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/loomspan-stream-{uuid.uuid4().hex}"
     # a pattern, because a stream source takes a plain path for a folder, and the table may be one file
     docs = document_stream(spark, f"{sf_dir}/documents.parque[t]", documents(spark, sf_dir).schema).select("doc_id", "text")
     extract_stream(docs, GENERIC, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import first_date, first_number
-from ..operators import evaluation, report, retrieval, tagging
+from ..functions.text import DATE_FORMS
+from ..operators import evaluation, report, retrieval, spans, tagging
 from ..operators.lexicon import GENERIC, dimension
+from ..staging import written
 from .catalog import register
-from .document_queries import _DATED, _DATES, PLACES
-from .span_queries import E, documents, found, spread
+from .document_queries import _DATED, PLACES
+from .span_queries import E, documents, spread
 
 _V = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), n AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v WHERE list_dot_product(e, e) > 0)"
 _Q = "q.vec_id % 20 = 0"
@@ -75,14 +76,17 @@ def search_threshold(spark, sf_dir):
     return _ranks(retrieval.search(_queries(spark, sf_dir), _corpus(spark, sf_dir), 10, 0.3))
 
 
-@register(f"{_TOP.replace(_Q, 'q.vec_id % 100 = 0')} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r")
+@register(f"{_TOP.replace('FROM n q, n c WHERE', 'FROM n q JOIN n c ON c.vec_id BETWEEN q.vec_id AND q.vec_id + 49 WHERE')} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r")
 def rank_contexts(spark, sf_dir):
-    return _ranks(retrieval.rank_contexts(_queries(spark, sf_dir).where("query_id % 100 = 0"), _corpus(spark, sf_dir)))
+    """Every query of the stated set ranks a list of contexts of its own: the fifty rows from its id on."""
+    lists = _queries(spark, sf_dir).withColumn("doc_id", F.explode(F.sequence("query_id", F.col("query_id") + 49)))
+    own = lists.select("query_id", "doc_id", F.col("embedding").alias("a")).join(_corpus(spark, sf_dir).select("doc_id", F.col("embedding").alias("b")), "doc_id")
+    return _ranks(retrieval.ranked(retrieval.similarity(own).select("query_id", "doc_id", "score")).where("score is not null"))
 
 
 @register(f"{_TOP} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r")
 def rank_contexts_batch(spark, sf_dir):
-    """Every query of the stated set against every context; rank_contexts, as its SQL says, takes one in five of them."""
+    """Every query of the stated set against every context."""
     return _ranks(retrieval.rank_contexts(_queries(spark, sf_dir), _corpus(spark, sf_dir)))
 
 
@@ -155,13 +159,14 @@ def _others(spark, sf_dir):
     return retrieval.ranked(s, 10)
 
 
-def _relevant(spark, sf_dir):
-    q = _queries(spark, sf_dir).select("query_id", "label")
-    return q.join(_corpus(spark, sf_dir).select("doc_id", "label"), "label").where("query_id <> doc_id").select("query_id", "doc_id")
+def _judged(spark, sf_dir):
+    """Marks of the retrieved rows, as a table, and the number of relevant rows of each query."""
+    marks, n = evaluation.judged_alike(_others(spark, sf_dir), _corpus(spark, sf_dir), _queries(spark, sf_dir), "label")
+    return written(marks, "marks"), n
 
 
 def _marks(spark, sf_dir):
-    return evaluation.judged(_others(spark, sf_dir), _relevant(spark, sf_dir))
+    return _judged(spark, sf_dir)[0]
 
 
 @register(f"{_HITS} SELECT round(avg((first < 1)::INT), 6) AS recall_at_1, round(avg((first < 5)::INT), 6) AS recall_at_5, round(avg((first < 10)::INT), 6) AS recall_at_10 FROM f")
@@ -182,7 +187,7 @@ i AS (SELECT query_id, (SELECT sum(1 / log2(k + 1)) FROM range(1, 6) x(k) WHERE
 SELECT round(avg(dcg / full_), 6) AS ndcg_at_5, round(avg(coalesce(dcg / best, 0)), 6) AS ndcg_standard FROM d LEFT JOIN i USING (query_id)"""
 )
 def ir_ndcg(spark, sf_dir):
-    marks, relevant = _marks(spark, sf_dir), _relevant(spark, sf_dir)
+    marks, relevant = _judged(spark, sf_dir)
     standard = evaluation.ndcg(marks, 5, compat=False, relevant=relevant).withColumnRenamed("ndcg_at_5", "ndcg_standard")
     return _six(evaluation.ndcg(marks, 5).join(F.broadcast(standard), F.lit(True)), "ndcg_at_5", "ndcg_standard")
 
@@ -198,13 +203,28 @@ def ir_map(spark, sf_dir):
     return _six(both, "map_at_5", "map_at_5_compat")
 
 
-@register("WITH c AS (SELECT conv_id AS doc_id, arg_max(text, turn) AS context FROM conversations GROUP BY conv_id), r AS (SELECT role AS query_id, count(DISTINCT conv_id) AS n FROM conversations GROUP BY role) SELECT c.doc_id, c.context, (SELECT sum(n) FROM r)::BIGINT AS n_judgements FROM c")
+@register("SELECT DISTINCT role AS query_id, conv_id AS doc_id FROM conversations")
 def ir_judgements(spark, sf_dir):
+    """The documents that are relevant to each query."""
+    return evaluation.judgements(_examples(spark, sf_dir))[2]
+
+
+@register("SELECT role AS query_id, arg_max(text, turn * 1000000000 + conv_id) AS question FROM conversations GROUP BY role")
+def ir_questions(spark, sf_dir):
+    """The question of each query, where the last one stands."""
+    return evaluation.judgements(_examples(spark, sf_dir))[0]
+
+
+@register("SELECT conv_id AS doc_id, arg_max(text, turn) AS context FROM conversations GROUP BY conv_id")
+def ir_corpus(spark, sf_dir):
+    """The context of each document, where the last one stands."""
+    return evaluation.judgements(_examples(spark, sf_dir, F.col("turn")))[1]
+
+
+def _examples(spark, sf_dir, position=None):
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    ex = c.select(F.col("role").alias("id"), F.col("conv_id").alias("doc_id"), F.col("text").alias("question"), F.col("text").alias("context"), F.col("turn").alias("position"))
-    _, corpus, _ = evaluation.judgements(ex)
-    n = ex.select("id", "doc_id").distinct().agg(F.count("*").alias("n_judgements"))
-    return corpus.join(F.broadcast(n), F.lit(True))
+    at = F.col("turn") * 1_000_000_000 + F.col("conv_id") if position is None else position
+    return c.select(F.col("role").alias("id"), F.col("conv_id").alias("doc_id"), F.col("text").alias("question"), F.col("text").alias("context"), at.alias("position"))
 
 
 _TAGS = "tags AS (SELECT vec_id AS tag_id, e, CASE (vec_id // 25) % 5 WHEN 0 THEN 'popu' WHEN 1 THEN 'topic' WHEN 2 THEN 'outcome' WHEN 3 THEN 'intervention' ELSE 'other' END AS cat, 's' || (vec_id // 25) % 3 AS sub, 'c' || (vec_id // 25) % 7 AS code FROM n WHERE vec_id % 25 = 0)"
@@ -252,20 +272,16 @@ _COUNTRY = "WITH p(country, words) AS (VALUES " + ", ".join(f"('{c}', ['{w.repla
 n AS (SELECT doc_id, country, len(list_filter(l, lambda x: list_contains(words, x))) AS n FROM t, p),
 c AS (SELECT doc_id, string_agg(country || '=' || n, ',' ORDER BY n DESC, country) AS countries FROM n WHERE n > 0 GROUP BY doc_id),
 k AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS topics FROM e GROUP BY doc_id)
-SELECT d.doc_id, coalesce({", ".join(f"nullif(regexp_extract({_DATED}, '{p}'), '')" for p in _DATES)}, 'Not specified') AS date,
+SELECT d.doc_id, coalesce({", ".join(f"nullif(regexp_extract({_DATED}, '{p}'), '')" for p in DATE_FORMS)}, 'Not specified') AS date,
 coalesce(nullif(regexp_extract({_DATED}, '\b([0-9]+)\b', 1), ''), 'Not specified') AS number, coalesce(topics, '') AS topics, coalesce(countries, '') AS countries
 FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)"""
 )
 def paper_record(spark, sf_dir):
-    docs = documents(spark, sf_dir)
-    texts = docs.select("doc_id", F.expr(_DATED).alias("sentence"))
-    dates = texts.select("doc_id", first_date(F.col("sentence")).alias("date"))
-    numbers = texts.select("doc_id", first_number(F.col("sentence")).alias("number"))
-    labels = dimension(spark, GENERIC)
-    hits = found(spark, sf_dir).select("doc_id", "label").distinct().join(F.broadcast(labels), "label")  # as many labels as the lexicon has
+    docs = spread(documents(spark, sf_dir).select("doc_id", "text"))
+    hits = spans.matches(docs, GENERIC).select("doc_id", "label").distinct().join(dimension(spark, GENERIC), "label")
     hits = hits.select("doc_id", F.lit("topic").alias("section"), F.col("label_group").alias("sub"), F.col("label").alias("code"), F.col("label_ord").alias("tag_id"))
-    countries = tagging.country_counts(spread(docs), countries=PLACES)
-    r = tagging.paper_records(hits, dates, numbers, countries)
+    papers = tagging.paper_fields(docs.withColumn("sentence", F.expr(_DATED)), countries=PLACES)
+    r = tagging.paper_records(hits, papers)
     topics = F.array_join(F.array_sort(F.flatten(F.map_values("topic"))), ",")
     listed = F.transform(F.map_entries("study_country"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
     return r.select("doc_id", "date", "number", F.coalesce(topics, F.lit("")).alias("topics"), F.coalesce(F.array_join(listed, ","), F.lit("")).alias("countries"))

@@ -1,4 +1,4 @@
-"""Every registered query with SQL against DuckDB on the smallest tables, where these are there."""
+"""Every registered query with SQL against DuckDB on small tables, where these are there."""
 
 import glob
 import os
@@ -8,7 +8,7 @@ import pytest
 
 from loomspan.plans import all_queries
 
-DATA = "/root/testdata/sf0.001"
+DATA = "/root/testdata/sf0.01"
 duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 

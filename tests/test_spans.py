@@ -76,6 +76,26 @@ def test_study_lexicon(spark):
         assert "DATE_OF_LAST_LITERATURE_SEARCH" in {r.label for r in spans.matches(one, entries).collect()}
 
 
+def test_study_spans_equal_a_plain_search(spark):
+    """All patterns over the sentences of all labels, run together, against Python's own expressions."""
+    from loomspan.plans.record_queries import SENTENCES
+
+    text = " \u00e9 ".join(b + p + a for _, b, p, a in SENTENCES)
+    entries = lexicon.study_lexicon()
+    got = {(r.label, r.start, r.end) for r in spans.matches(spark.createDataFrame([(1, text)], "doc_id int, text string"), entries).collect()}
+    assert got == {(e.label, m.start(), m.end()) for e in entries for m in re.finditer(e.pattern.replace("(?U)", ""), text)}
+    ordinary = "We may grade the two papers; a rob of 3 in 10 said or wrote so, and the ear was cut at once."
+    assert spans.matches(spark.createDataFrame([(1, ordinary)], "doc_id int, text string"), entries).count() == 0
+
+
+def test_strict_json(spark):
+    """A parser that takes NaN and Infinity for numbers would keep these answers; here they are no JSON."""
+    from loomspan.functions.text import extracted_json
+
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(('{"a": NaN}', '{"a": nan}', '{"a": Infinity}', '{"a": -inf}', '{"a": null}'))], "i int, answer string")
+    assert [r[0] for r in df.orderBy("i").select(extracted_json(df.answer)).collect()] == [None, None, None, None, '{"a": null}']
+
+
 def test_records(spark):
     docs = spark.createDataFrame([(1, "ab 12 cd"), (2, " \n "), (3, "nothing")], "doc_id long, text string")
     rule = spans.matches(docs, [Entry("NUM", "g", "[0-9]+"), Entry("W", "g", "[a-z]+ ")])
@@ -83,6 +103,7 @@ def test_records(spark):
     got = {r.doc_id: r for r in spans.records(docs, rule, other).collect()}
     assert set(got) == {1, 3} and got[3].spans == []
     assert [(s.start, s.end, s.label, s.text) for s in got[1].spans] == [(0, 3, "W", "ab "), (3, 5, "NUM", "12"), (6, 8, "X", "cd")]
+    assert got[1].metadata.total_labels_found == 3 and got[1].metadata.file_size == 8 and len(got[1].metadata.processing_time) == 26
     assert got[1].stats.rule_based_entities == 2 and got[1].stats.llm_entities == 1 and got[1].stats.label_distribution == {"NUM": 1, "W": 1, "X": 1}
 
 

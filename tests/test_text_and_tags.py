@@ -84,11 +84,9 @@ def test_records_from_tags(spark):
     scores = spark.createDataFrame([(1, 0, 0.9), (1, 1, 0.9), (1, 2, 0.65), (1, 3, 0.9), (1, 4, 0.64)], "doc_id int, tag_id int, score double")
     hits = tagging.matched(scores, tags)
     assert [(r.section, r.sub, r.codes) for r in tagging.codes(hits).collect()] == [("Population", "age", ["A", "B"])]
-    dates = spark.createDataFrame([(1, "May 2020")], "doc_id int, date string")
-    numbers = spark.createDataFrame([(1, "7")], "doc_id int, number string")
-    countries = spark.createDataFrame([(1, "UK", 2), (1, "USA", 5)], "doc_id int, country string, n int")
-    r = tagging.paper_records(hits, dates, numbers, countries).first()
-    assert r.Population == {"age": ["A", "B"]} and list(r.study_country.items()) == [("USA", 5), ("UK", 2)] and r.date == "May 2020"
+    papers = spark.createDataFrame([(1, "in May 2020 and 7 more", "UK UK USA USA USA USA USA France")], "doc_id int, sentence string, text string")
+    r = tagging.paper_records(hits, tagging.paper_fields(papers)).withColumn("countries", F.map_entries("study_country")).first()
+    assert r.Population == {"age": ["A", "B"]} and [tuple(c) for c in r.countries] == [("USA", 5), ("UK", 2), ("France", 1)] and (r.date, r.number) == ("May 2020", "2020")
 
 
 def test_best_sentence_is_the_first_on_ties(spark):
