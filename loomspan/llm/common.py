@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ..staging import shared_folder, written  # noqa: F401
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -19,45 +16,6 @@ LOWER = UPPER.lower()
 #: Word separators of all contracts: the six ASCII blanks. ``bytes.split()`` uses the same set.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which all executors reach.
-
-    A temporary folder is made only where the setting is absent, as in tests.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="loomspan-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet below the shared folder and read it back.
-
-    This cuts the lineage, survives lost executors and keeps later branches
-    from running the same Python or scan twice. Folders go at interpreter exit.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/loomspan-{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _remove_written() -> None:
-    for spark, path in _made:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001  the session may be gone already
-            return
-
-
 def prepared(spark: SparkSession, size: str = "8m", rows: int = 4000) -> None:
     """Send the package to the workers, and cap the bytes of one Arrow batch, so that a worker's memory doesn't follow document length."""
     ship(spark)

@@ -6,6 +6,11 @@ against it: a row whose positions were all set twice may have a copy and is
 shuffled to its group; the others are certainly alone and pass straight
 through. The filter only decides what is shuffled, so a crowded one costs
 traffic and never a wrong answer.
+
+A filter has BITS bits for each row, counted first, so the share of rows that
+are shuffled in vain is the same at every size, about one in two hundred. No
+more than LARGEST bits are fetched and broadcast at once: the hashes of more
+rows than these serve are cut into slices, each with a filter of its own.
 """
 
 from __future__ import annotations
@@ -24,6 +29,8 @@ from .common import lower_ascii, prepared, written
 SEGMENTS = 64
 #: Positions that a hash sets within its part.
 PROBES = 3
+#: Bits of the filter for each row, and the least and largest filter.
+BITS, SMALLEST, LARGEST = 16, 1 << 20, 1 << 30
 #: Rows of one group of copies are met by this many salted copies of the group's totals.
 SALTS = 16
 
@@ -42,10 +49,7 @@ def _segment(h: np.ndarray) -> np.ndarray:
 
 
 def possibly_repeated(hashes: DataFrame, column: str, filter_bits: int) -> list[bytes]:
-    """The filter of positions set at least twice, as one packed bitmap for each segment.
-
-    It has filter_bits bits whatever the input, so fetching and broadcasting it is bounded.
-    """
+    """The filter of positions set at least twice, as one packed bitmap for each segment, filter_bits bits in all."""
     bits = filter_bits // SEGMENTS
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,77 +95,95 @@ def possibly_repeated(hashes: DataFrame, column: str, filter_bits: int) -> list[
     return maps
 
 
-def _filter(docs: DataFrame, filter_bits: int):
-    """Pass one over docs, and a function that adds `maybe` to rows with a hash column h, keeping their other columns."""
-    spark = docs.sparkSession
-    prepared(spark)
-    bits = filter_bits // SEGMENTS
-    hashed = docs.select(F.xxhash64(lower_ascii(F.col("text"))).alias("h"))
-    maps = spark.sparkContext.broadcast(possibly_repeated(hashed, "h", filter_bits))
+def _sized(rows: int) -> tuple[int, int]:
+    """Bits of a filter, and the number of slices."""
+    wanted = max(SMALLEST, BITS * rows)
+    slices = -(-wanted // LARGEST)
+    return max(SMALLEST, 1 << (-(-wanted // slices) - 1).bit_length()), slices
+
 
-    def tested(rows: DataFrame) -> DataFrame:
-        rest = [c for c in rows.columns if c != "h"]
+def _slice(h: Column, slices: int) -> Column:
+    return F.pmod(F.hash(h), F.lit(slices))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _tested(rows: DataFrame, filters: list, bits: int) -> DataFrame:
+    """rows with `maybe`, told by their hash column h, in place of h."""
+    rest = [c for c in rows.columns if c != "h"]
+    schema = T.StructType([rows.schema[c] for c in rest] + [T.StructField("maybe", T.BooleanType())])
+    width = bits // SEGMENTS
+    out = None
+    for k, maps in enumerate(filters):
+
+        def run(batches: Iterator[pa.RecordBatch], maps=maps) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 h = batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
-                seg, pos, maybe = _segment(h), _positions(h, bits), np.zeros(len(h), bool)
+                seg, pos, maybe = _segment(h), _positions(h, width), np.zeros(len(h), bool)
                 for s in np.unique(seg):
                     bitmap, own = np.frombuffer(maps.value[s], np.uint8), seg == s
                     p = pos[own]
                     maybe[own] = ((bitmap[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1).all(axis=1)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(maybe)], [*rest, "maybe"])
 
-        schema = T.StructType([rows.schema[c] for c in rest] + [T.StructField("maybe", T.BooleanType())])
-        return rows.mapInArrow(run, schema)
-
-    return tested
+        own = rows if len(filters) == 1 else rows.where(_slice(F.col("h"), len(filters)) == k)
+        part = own.mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-def _digested(docs: DataFrame) -> tuple[Column, Column]:
+def _digested() -> tuple[Column, Column]:
     norm = lower_ascii(F.col("text"))
     return F.sha2(norm.cast("binary"), 256).alias("text_sha256"), F.xxhash64(norm).alias("h")
 
 
-def _copies(docs: DataFrame, tested) -> tuple[DataFrame, DataFrame]:
-    """The rows of copies() that passed straight through, and those that were shuffled."""
-    rows = tested(docs.select("doc_id", *_digested(docs))).withColumn("row", F.monotonically_increasing_id())
-    rows = written(rows, "exact")  # narrow rows without texts; the row number must not change from here on
+def _copies(docs: DataFrame) -> tuple[DataFrame, DataFrame, list, int]:
+    """The rows of copies() that pass straight through, those that are shuffled, and the filters with their bits."""
+    spark = docs.sparkSession
+    prepared(spark)
+    # texts are read once; from here on rows are narrow, and their numbers must not change
+    narrow = written(docs.select("doc_id", *_digested()).withColumn("row", F.monotonically_increasing_id()), "exact")
+    bits, slices = _sized(narrow.count())
+    filters = [spark.sparkContext.broadcast(possibly_repeated(narrow if slices == 1 else narrow.where(_slice(F.col("h"), slices) == k), "h", bits)) for k in range(slices)]
+    rows = _tested(narrow, filters, bits)
     alone = rows.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    some = written(rows.where("maybe"), "maybe")
     groups = (
-        rows.where("maybe")
-        .groupBy("text_sha256")
+        some.groupBy("text_sha256")
         .agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("group_size"))
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
-    salted = rows.where("maybe").withColumn("salt", F.pmod(F.col("row"), F.lit(SALTS)).cast("int"))
+    salted = some.withColumn("salt", F.pmod(F.col("row"), F.lit(SALTS)).cast("int"))
     shared = salted.join(groups, ["text_sha256", "salt"]).select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256")
-    return alone, shared
+    return alone, shared, filters, bits
 
 
-def copies(docs: DataFrame, *, filter_bits: int = 1 << 26) -> DataFrame:
+def copies(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; null counts as
     empty, and empty texts are copies of one another. The largest doc_id of a
     group stays. Null ids are smaller than all others: keep_id is null only if
     the whole group has none. Rows that tie on doc_id differ by their place in
-    the input, and just one of them is kept. Other columns are ignored.
+    the input, and just one of them is kept. An empty table gives no rows.
+    Other columns are ignored, whatever their names.
     """
-    alone, shared = _copies(docs, _filter(docs, filter_bits))
+    alone, shared, _, _ = _copies(docs)
     return alone.unionByName(shared)
 
 
-def deduplicated(docs: DataFrame, *, filter_bits: int = 1 << 26) -> DataFrame:
-    """The rows of docs that stay, with all their columns; rows that repeat both doc_id and text leave one row.
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, with all their columns.
+
+    Rows that share both doc_id and normalised text leave one row: the one
+    whose text sorts first, then the one whose columns, as JSON, sort first.
+    Rows that are alike in that, too, are alike altogether.
 
-    Texts that pass the filter as single go straight through. Only the others
-    are shuffled, to the ids and digests that stay.
+    Texts that the filter tells to be alone go straight through. Only the
+    others are shuffled, to the ids and digests that stay.
     """
-    tested = _filter(docs, filter_bits)
-    _, shared = _copies(docs, tested)
-    stay = shared.where("kept").select(F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_sha"))
-    rows = tested(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("whole"), F.col("doc_id").alias("own_id"), *_digested(docs)))
+    _, shared, filters, bits = _copies(docs)
+    stay = written(shared.where("kept").select(F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_sha")), "stay")
+    rows = _tested(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("whole"), F.col("doc_id").alias("own_id"), *_digested()), filters, bits)
     alone = rows.where(~F.col("maybe")).select("whole.*")
     some = rows.where("maybe").join(stay, F.col("own_id").eqNullSafe(F.col("stay_id")) & (F.col("text_sha256") == F.col("stay_sha")), "left_semi")
-    return alone.unionByName(some.dropDuplicates(["own_id", "text_sha256"]).select("whole.*")).select(*docs.columns)
+    first = some.groupBy("own_id", "text_sha256").agg(F.min_by("whole", F.struct("whole.text", F.to_json("whole"))).alias("whole"))
+    return alone.unionByName(first.select("whole.*")).select(*docs.columns)

@@ -1,11 +1,18 @@
 """Personal data: pattern spans, and terms whose co-occurrence gives protected values away. DataFrame operations only.
 
 The base finds e-mail addresses, IP addresses, card and phone numbers. Each
-distinct value is a protected entity. The corpus says how much a nearby term
-reveals of it: with I(e) = log2(N / n(e)) the information of an entity and
-PMI(e, t) = log2(N n(e, t) / (n(e) n(t))) what the term tells about it, a term
-with PMI >= disclosure * I(e) nearly names the entity. In documents that hold
-the entity such terms become spans too, and sanitised text has them removed.
+distinct value is a protected entity. The corpus says how much a term near it,
+a run of letters within REACH code points, reveals of it. All counts are of
+different texts, so copies of a text count once: N of all, n(e) of those with
+the entity, n(t) with the term and n(e, t) with the term near the entity. With
+I(e) = log2(N / n(e)) the information of an entity, what the term tells of it
+is estimated as log2(N (n(e, t) - DISCOUNT) / (n(e) n(t))): absolute discounting
+keeps a single meeting of two rare things from counting as much as it seems to,
+and matters less the more often they meet, so every value is assessed, however
+rare. A term that tells at least
+disclosure * I(e) nearly names the entity. In documents that hold the entity
+such terms become spans too. Sanitised text has values generalised to their
+kind, and disclosing terms removed.
 
 The patterns below accept the same strings as the plain ones of the contract.
 They start only where a run of the leading class starts (or the last match
@@ -30,9 +37,11 @@ PATTERNS = {
 }
 #: A cheap test that every text with a match passes.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-TERM = r"\p{L}{4,}"
+TERM = r"\p{L}+"
 REACH = 80  # code points of context on either side of a value
 TERM_KIND = len(KINDS)
+#: Taken off the number of texts in which a term is near an entity.
+DISCOUNT = 0.9
 
 
 def _luhn(digits: Column) -> Column:
@@ -79,35 +88,38 @@ def _base_spans(matched: DataFrame) -> DataFrame:
     return long.select("row", "kind", (F.col("end") - F.length("value")).alias("start"), "end", "value")
 
 
-def disclosing_terms(docs: DataFrame, contexts: DataFrame, n_texts: int, *, disclosure: float, support: int) -> DataFrame:
-    """entity, term of all pairs whose term discloses the entity.
+def _terms(text: Column) -> Column:
+    """The distinct runs of letters of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
-    contexts: row, id, entity, around; id is the hash of the row's text. N, n(e),
-    n(e, t) and n(t) all count different texts of the whole corpus, so that copies
-    of a text count once in each of them. A term must also be near the entity in at
-    least `support` different contexts. An entity that is in every text has no
-    information, and no term discloses it.
+
+def disclosing_terms(docs: DataFrame, contexts: DataFrame, n_texts: int, *, disclosure: float) -> DataFrame:
+    """entity, terms: the array of terms that disclose each entity that has any.
+
+    contexts: row, id, entity, around; id is the hash of the row's text. An
+    entity that is in every text has no information, and no term discloses it.
     """
-    places = contexts.select("entity", "id", "around").distinct()
-    near = places.select("entity", "id", F.xxhash64("around").alias("c"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("around"), F.lit(TERM), F.lit(0)))).alias("term"))
-    pairs = near.groupBy("entity", "term").agg(F.countDistinct("id").alias("both"), F.countDistinct("c").alias("places")).where(F.col("places") >= support)
-    pairs = written(pairs.drop("places"), "pairs")
-    entities = contexts.select("entity", "id").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    # counts of all terms are summed in each task and then joined, so the join makes a row for each pair and no more
+    near = contexts.select("entity", "id", F.explode(_terms(F.col("around"))).alias("term")).distinct()
+    pairs = written(near.groupBy("entity", "term").agg(F.count("*").alias("both")), "pairs")
+    entities = written(contexts.select("entity", "id").distinct().groupBy("entity").agg(F.count("*").alias("n_e")), "entities")
+    # counts of all terms are summed in each task and then joined, so the join makes a row for each pair and no more;
+    # both sides are tables, so that Spark can split a term or entity that very many pairs have
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).distinct()
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    df = words.groupBy("term").agg(F.count("*").alias("n_t"))
+    df = written(texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")), "terms")
     n = F.lit(float(n_texts))
-    pmi = F.log2(n * F.col("both") / (F.col("n_e") * F.col("n_t")))
+    told = F.log2(n * (F.col("both") - DISCOUNT) / (F.col("n_e") * F.col("n_t")))
     information = F.log2(n / F.col("n_e"))
-    return pairs.join(df, "term").join(entities, "entity").where((information > 0) & (pmi >= F.lit(disclosure) * information)).select("entity", "term")
+    joined = pairs.join(entities, "entity").join(df, "term")
+    return joined.where((information > 0) & (told >= F.lit(disclosure) * information)).groupBy("entity").agg(F.collect_set("term").alias("terms"))
 
 
-def found(docs: DataFrame, *, disclosure: float = 0.9, support: int = 3) -> DataFrame:
+def found(docs: DataFrame, *, disclosure: float = 0.9) -> DataFrame:
     """row, doc_id, text (null where nothing was found), spans: array of (kind, start, end, value), sorted.
 
-    One row for each row of docs; a null text counts as empty. Offsets are in
-    code points, end exclusive. Kinds are places in KINDS, and TERM_KIND.
+    One row for each row of docs, repeated ones too; a null text counts as
+    empty, and texts may have any length. Offsets are in code points, end
+    exclusive. Kinds are places in KINDS, and TERM_KIND. An empty table gives
+    no rows. Other columns are ignored, whatever their names.
     """
     matched = written(_matched(docs), "pii")
     base = written(_base_spans(matched), "spans")
@@ -122,11 +134,14 @@ def found(docs: DataFrame, *, disclosure: float = 0.9, support: int = 3) -> Data
     contexts = own.join(texts, "row").select("row", identity.alias("id"), F.explode(F.transform("spans", lambda s: F.struct(F.concat(s["kind"].cast("string"), F.lit(":"), F.lower(s["value"])).alias("entity"), around(s).alias("around")))).alias("x"))
     contexts = written(contexts.select("row", "id", "x.entity", "x.around"), "contexts")
     n_texts = docs.select(identity.alias("id")).distinct().count()
-    flagged = written(disclosing_terms(docs, contexts, n_texts, disclosure=disclosure, support=support), "terms")
-    at = contexts.select("row", "entity").distinct().join(flagged, "entity").select("row", "term").distinct().join(texts, "row")
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})"), F.col("term"), F.lit(r"(?!\p{L})"))
-    cut = at.select("row", F.posexplode(F.arrays_zip(F.regexp_extract_all("text", pattern, F.lit(0)).alias("m"), F.transform(F.split("text", pattern, -1), F.length).alias("l"))), "term").where("col.m is not null")
-    w = W.partitionBy("row", "term").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    flagged = written(disclosing_terms(docs, contexts, n_texts, disclosure=disclosure), "flagged")
+    # one pattern for all the terms of a row, so its text is searched once
+    listed = contexts.select("row", "entity").join(flagged, "entity").groupBy("row").agg(F.array_distinct(F.flatten(F.collect_set("terms"))).alias("terms"))
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
+    at = listed.join(texts, "row").select("row", "text", pattern.alias("pattern"))
+    hits = F.arrays_zip(F.regexp_extract_all("text", F.col("pattern"), F.lit(0)).alias("m"), F.transform(F.split("text", F.col("pattern"), -1), F.length).alias("l"))
+    cut = at.select("row", F.posexplode(hits)).where("col.m is not null")
+    w = W.partitionBy("row").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     cut = cut.withColumn("end", F.sum(F.col("col.l") + F.length("col.m")).over(w))
     terms = cut.select("row", F.lit(TERM_KIND).alias("kind"), (F.col("end") - F.length("col.m")).alias("start"), "end", F.col("col.m").alias("value"))
     spans = base.unionByName(terms).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end", "value"))).alias("spans"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter
 
 import xxhash
@@ -100,3 +102,106 @@ def pii(rows):
             found += own
         out.append((doc, *counts, hashlib.sha256(",".join(found).encode()).hexdigest()))
     return out
+
+
+def pii_spans(rows, reach=80, disclosure=0.9, discount=0.9):
+    """doc_id and all spans, disclosing terms included."""
+    base, near, holds, terms_of = [], Counter(), Counter(), {}
+    letters = re.compile(r"[^\W\d_]+")
+    texts = [t or "" for _, t in rows]
+    distinct = set(texts)
+    for t in distinct:
+        terms_of[t] = {w.lower() for w in letters.findall(t)}
+    n_t = Counter(w for ws in terms_of.values() for w in ws)
+    spans_of, seen_by = {}, {}
+    for t in distinct:
+        own, pairs = [], set()
+        for k, (kind, pattern, ok) in enumerate(PII):
+            for m in re.finditer(pattern, t):
+                if ok(m.group()):
+                    own.append((k, kind, m.start(), m.end()))
+                    left, right = t[max(0, m.start() - reach) : m.start()], t[m.end() : m.end() + reach]
+                    left, right = re.sub(r"^[^\W\d_]+", "", left), re.sub(r"[^\W\d_]+$", "", right)
+                    e = (k, m.group().lower())
+                    pairs |= {(e, None)} | {(e, w.lower()) for w in letters.findall(left) + letters.findall(right)}
+        spans_of[t], seen_by[t] = own, {e for e, _ in pairs}
+        near.update(p for p in pairs if p[1] is not None)
+        holds.update(seen_by[t])
+    n = len(distinct)
+    told = {}
+    for (e, w), both in near.items():
+        information = math.log2(n / holds[e])
+        if information > 0 and math.log2(n * (both - discount) / (holds[e] * n_t[w])) >= disclosure * information:
+            told.setdefault(e, set()).add(w)
+    out = []
+    for doc, text in rows:
+        t = text or ""
+        words = set().union(*[told.get(e, set()) for e in seen_by[t]])
+        found = list(spans_of[t]) + [(4, "term", m.start(), m.end()) for m in letters.finditer(t) if m.group().lower() in words]
+        out.append((doc, ",".join(f"{kind}:{a}:{b}" for _, kind, a, b in sorted(found))))
+    return out
+
+
+def languages(rows, length=300):
+    """doc_id, language, score by rank-order profiles; rows: doc_id, text, lang."""
+
+    def grams(text):
+        out = Counter()
+        for w in re.sub(r"[\W\d_]+", " ", "".join(c if c.isalpha() else " " for c in text.lower())).split():
+            padded = f" {w} "
+            out.update(g for k in (1, 2, 3) for i in range(len(padded) - k + 1) if (g := padded[i : i + k]) != " ")
+        return out
+
+    def ranks(counts):
+        return {g: i for i, g in enumerate(sorted(counts, key=lambda g: (-counts[g], g))[:length])}
+
+    by = {}
+    for doc, text, lang in rows:
+        if zlib.crc32(("" if doc is None else str(doc)).encode()) % 5 and text is not None and lang is not None:
+            by.setdefault(lang, Counter()).update(grams(text))
+    profiles = {lang: ranks(c) for lang, c in by.items()}
+    out = []
+    for doc, text, _ in rows:
+        own = ranks(grams(text or ""))
+        if not own or not profiles:
+            out.append((doc, "und", 0.0))
+            continue
+        far = {lang: sum(min(abs(r - p[g]), length) if g in p else length for g, r in own.items()) for lang, p in profiles.items()}
+        best = min(far, key=lambda lang: (far[lang], lang))
+        out.append((doc, best, 1 - far[best] / (length * len(own))))
+    return out
+
+
+def mix_times(rows, bits=60, most=3):
+    """How often each (doc_id, text) is taken, straight from sorted hashes; rows: doc_id, text, source."""
+    size = lambda t: len(words(t))
+    key = lambda d, t: int(hashlib.md5(f"{'' if d is None else d}|{t or ''}".encode()).hexdigest()[:15], 16)
+    sums = Counter()
+    for _, t, s in rows:
+        sums[s] += size(t)
+    names = sorted((s for s in sums if s is not None)) + [None] * (None in sums)
+    weight, total = {s: i % 3 + 1 for i, s in enumerate(names)}, sum(sums.values())
+    target, free = {}, set(names)
+    while free:
+        rest = total - sum(target.values())
+        want = {s: rest * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if want[s] > most * sums[s]]
+        target.update({s: float(most * sums[s]) for s in over} if over else want)
+        free = free - set(over) if over else set()
+    out = Counter()
+    for s in names:
+        whole = int(target[s] // sums[s]) if sums[s] else 0
+        budget = target[s] - whole * sums[s]
+        own = sorted((key(d, t), size(t), d, t) for d, t, x in rows if x == s)
+        upto, taken = 0, set()
+        for h in sorted({o[0] for o in own}):
+            n = sum(o[1] for o in own if o[0] == h)
+            if upto + n > budget:
+                if budget > 0 and abs(upto + n - budget) <= abs(upto - budget):
+                    taken.add(h)
+                break
+            taken.add(h)
+            upto += n
+        for h, _, d, t in own:
+            out[(d, t)] += whole + (h in taken)
+    return out

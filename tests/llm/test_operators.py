@@ -74,7 +74,7 @@ def _pairs(rows):
     return [(r[0], r[1]) for r in rows]
 
 
-def test_exact_copies(docs, rows, empty):
+def test_exact_copies(docs, rows, empty, monkeypatch):
     norm = lambda t: _sha("".join(c.lower() if c.isascii() else c for c in t or ""))
     groups = defaultdict(list)
     for r in rows:
@@ -88,11 +88,29 @@ def test_exact_copies(docs, rows, empty):
     assert kept == Counter(groups.keys()) and all(g.doc_id == g.keep_id for g in got if g.kept)
     left = exact_dedup.deduplicated(docs)
     assert left.columns == docs.columns and left.count() == len(groups)
-    # a crowded filter sends more rows around and changes nothing
-    assert Counter(map(tuple, exact_dedup.copies(docs, filter_bits=1 << 10).drop("kept").collect())) == Counter(tuple(g)[:3] + tuple(g)[4:] for g in got)
+    # a crowded filter sends more rows around, slices send some in turn, and neither changes anything
+    for smallest, largest in ((1 << 10, 1 << 10), (1 << 6, 1 << 8)):
+        monkeypatch.setattr(exact_dedup, "SMALLEST", smallest)
+        monkeypatch.setattr(exact_dedup, "LARGEST", largest)
+        assert Counter(map(tuple, exact_dedup.copies(docs).drop("kept").collect())) == Counter(tuple(g)[:3] + tuple(g)[4:] for g in got)
+        assert exact_dedup.deduplicated(docs).count() == len(groups)
     assert exact_dedup.copies(empty).count() == exact_dedup.deduplicated(empty).count() == 0
 
 
+def test_copies_of_one_id_leave_the_first_row(spark):
+    """Rows that share id and normalised text differ in case or other columns: the text that sorts first stays, then the columns as JSON."""
+    made = [(1, "some Text", "b", "s", 1), (1, "Some text", "c", "s", 1), (1, "Some text", "a", "s", 1), (0, "some text", "a", "s", 1), (2, "other", None, None, None)]
+    left = exact_dedup.deduplicated(spark.createDataFrame(made, SCHEMA).repartition(4))
+    assert Counter(map(tuple, left.collect())) == Counter([made[2], made[4]])
+
+
+def test_filters_follow_the_count():
+    assert exact_dedup._sized(0) == (1 << 20, 1)
+    for rows in (10**5, 10**7, 10**9):
+        bits, slices = exact_dedup._sized(rows)
+        assert bits <= exact_dedup.LARGEST and 16 * rows <= bits * slices <= 64 * rows
+
+
 def test_mixing(docs, rows, empty):
     got = mixing.mixed(docs).collect()
     assert len(got) == len(rows)
@@ -151,6 +169,38 @@ def test_language(spark, docs, rows, empty):
     assert kept.columns == docs.columns and kept.count() == sum(any(c.isalpha() for c in r[1] or "") for r in rows)
 
 
+def test_predictions_equal_the_plain_version(docs, rows):
+    """lang_pred and score of every row, ties of languages and very long texts included."""
+    got = Counter((g.doc_id, g.lang_pred, round(g.score, 9)) for g in langid.identified(docs).collect())
+    assert got == Counter((d, lang, round(score, 9)) for d, lang, score in brute.languages([(r[0], r[1], r[2]) for r in rows]))
+
+
+def test_equal_profiles_go_by_code_point(spark):
+    made = [(i, "the same words " * (1 if i else 30_000), lang, "s", 0) for i, lang in enumerate(("zz", "aa", "mm") * 8)]
+    assert {g.lang_pred for g in langid.identified(spark.createDataFrame(made, SCHEMA)).collect()} == {"aa"}
+
+
+def test_long_texts(spark):
+    """Texts beyond a slice's size, and one very long word."""
+    r = random.Random(5)
+    vocab = ["".join(r.choices("abcdefgh", k=6)) for _ in range(5000)]
+    long_ = " ".join(r.choices(vocab, k=330_000))
+    texts = [long_, long_[1_000_000:] + " end", "x" * 70_000, "short text"]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    raw = {g.doc_id: g for g in suffix_dedup.deduplicated(df).collect()}
+    assert (raw[0].n_removed, raw[1].n_removed, raw[2].n_removed, raw[3].n_removed) == (len(long_) - 1_000_000, len(long_) - 1_000_000, 70_000, 0)
+    words = {g.doc_id: g for g in substring_dedup.deduplicated(df).collect()}
+    whole = len(long_[1_000_000:].split()) - (long_[999_999] != " ")
+    assert words[0].n_removed == 0 and words[1].n_removed == whole and words[2].n_removed == 0
+    assert len({g.fingerprint for g in simhash.near_duplicates(df).collect()}) >= 3
+
+
+def test_mixing_without_words(spark):
+    """A source whose texts have no words has size and target 0, and none of it is taken."""
+    got = {g.doc_id: g for g in mixing.mixed(spark.createDataFrame([(0, " ", "en", "a", 0), (1, "x y z", "en", "b", 0), (2, None, "en", "a", 0)], SCHEMA)).collect()}
+    assert got[0].taken == got[2].taken == 0 and got[0].target == 0 and got[1].source_size == 3
+
+
 def test_accepted_languages(spark):
     """A text that matches no profile goes; where no row has a lang, all with letters stay."""
     made = [(i, "stone river thing with", "en", "s", 0) for i in range(20)] + [(20, "ψωξ ψωξ", None, "s", 0), (21, "12 ...", "en", "s", 0)]
@@ -359,6 +409,25 @@ def test_pii_terms_in_a_group_of_copies(spark):
     assert all(not found[i].spans for i in range(203, len(texts)))
 
 
+def test_pii_spans(docs, rows, spark):
+    """All spans against the plain version, over the common fixture and a corpus with telling words."""
+    r = random.Random(3)
+    vocab = ["".join(r.choices("bcdfgaeiou", k=r.randint(1, 6))) for _ in range(80)]
+    mail = [f"{a}@firm.example" for a in ("jo", "li", "mo", "once")]
+    texts = []
+    for i in range(120):
+        k = r.randrange(4) if i % 3 == 0 else None
+        told = "" if k is None else f" Tell{'abcd'[k]} {mail[k] if i else mail[3]} in {['Oslo', 'Bern', 'oslo', 'Rome'][k]} "
+        texts.append(" ".join(r.choices(vocab, k=r.randint(2, 40))) + told + " ".join(r.choices(vocab, k=r.randint(2, 40))))
+    texts += [texts[0]] * 5 + [texts[3], "", None, "ip 10.0.0.1 " * 30]
+    made = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    for frame, pairs in ((docs, _pairs(rows)), (spark.createDataFrame(made, SCHEMA).repartition(3), list(enumerate(texts)))):
+        got = Counter((x.doc_id, x.spans) for x in pii.report(pii.found(frame)).collect())
+        want = brute.pii_spans(pairs)
+        assert got == Counter(want)
+    assert any("term:" in w[1] for w in want)
+
+
 def _vectors(n=900, dims=16, seed=0):
     rng = np.random.default_rng(seed)
     x = rng.standard_normal((n, dims)).astype(np.float32)
@@ -388,6 +457,25 @@ def test_ann(spark, monkeypatch, block):
     assert hits >= 0.9 * 20 * len(got)
 
 
+def test_ann_verifies_less_than_all():
+    """On vectors with some structure the test leaves most rows unverified; on isotropic ones it leaves a part."""
+    r = np.random.default_rng(1)
+    centres = r.standard_normal((40, 64))
+    for spread_, most in ((0.3, 0.15), (50.0, 0.9)):
+        x = centres[r.integers(0, 40, 4000)] + spread_ * r.standard_normal((4000, 64))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        directions, ruled = ann._directions(64, 7), ann.quantile(0.9)
+        tree = ann._Tree(np.arange(4000), x, np.concatenate([x, np.zeros((4000, 1))], axis=1) @ directions)
+        hits = 0
+        for q in range(0, 4000, 100):
+            point = np.concatenate([x[q], [0.0]]) @ directions
+            got, _ = tree.search(x[q], point, q, 20, 2.0, ruled, float("-inf"))
+            score = x @ x[q]
+            score[q] = -2
+            hits += len(set(got.tolist()) & set(np.argsort(-score)[:20].tolist()))
+        assert tree.verified < most * 40 * 4000 and hits >= 0.9 * 20 * 40
+
+
 def test_ann_small(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [2.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in ann.nearest(few).orderBy("rank").collect()] == [(0, 1, 1, 4.0), (0, 2, 2, 4.0)]
