@@ -54,7 +54,7 @@ def _by_word(spec: dict) -> tuple[bool, bool]:
 #: Punctuation that, after letters, is split from a word; an apostrophe may belong to a contraction.
 _TAIL = string.punctuation.replace("'", "")
 #: Bytes of text that are encoded together, and bytes of a cache of words, with what a dictionary needs for each entry.
-SLICE, CACHE, ENTRY = 8 << 20, 80 << 20, 160
+SLICE, CACHE, ENTRY = 4 << 20, 48 << 20, 160
 #: Words that are asked for in one text.
 ASKED = 2000
 
@@ -150,6 +150,11 @@ class _Ids:
             self.old, self.new, self.size = new, {}, 0
         return out
 
+    def forget(self) -> None:
+        """Empty the cache at the end of a task, so that a worker that waits for others holds the tokenizer only."""
+        self.old, self.new, self.size = {}, {}, 0
+        pa.default_memory_pool().release_unused()
+
     def encode(self, column: pa.Array) -> pa.Array:
         """The ids of each text of a string column, as bytes; a null text counts as empty."""
         end = np.array([END], self.width)
@@ -177,7 +182,7 @@ class _Ids:
         return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())
 
 
-#: The encoder of this Python worker; later tasks find its cache filled, and tasks of later stages drop it.
+#: The encoder of this Python worker; later tasks find its tokenizer loaded, and tasks of later stages drop it.
 _loaded: dict[tuple[int, str], _Ids] = {}
 
 
@@ -222,6 +227,7 @@ def write(docs: DataFrame, folder: str, *, path: str | None = None, docs_per_sha
                 docs_ = batch.column("doc_id")
                 shard = [len(bounds) + 1 if d is None else int(np.searchsorted(bounds, d, side="left")) for d in docs_.to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), docs_, encoder.encode(batch.column("text"))], ["shard", "doc_id", "payload"])
+        encoder.forget()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by shard, doc_id: blocks of whole documents."""
