@@ -36,7 +36,8 @@ from .bpe import default_path
 from .common import prepared, slices, text_bytes
 
 END = 2  # appended to each document
-BLOCK_BYTES = 256 << 10
+BLOCK_BYTES = 64 << 10
+ROW_GROUP = 16 << 20  # bytes that a writer of payloads holds
 KEYS = 4096  # in a bucket of the index, on average
 #: Keys of a level go to twice as many bits; those that share a bit go on to the next level.
 SPREAD = 2
@@ -258,7 +259,7 @@ def write(docs: DataFrame, folder: str, *, path: str | None = None, docs_per_sha
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "shard int, doc_id long, payload binary")
     dealt = rows.repartition(n_shards + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_last(), "payload")
-    dealt.mapInArrow(pack, "shard int, block int, n_ids long, docs array<long>, places array<int>, lengths array<int>, payload binary").withColumn("width", F.lit(width)).write.parquet(f"{folder}/blocks")
+    dealt.mapInArrow(pack, "shard int, block int, n_ids long, docs array<long>, places array<int>, lengths array<int>, payload binary").withColumn("width", F.lit(width)).write.option("parquet.block.size", ROW_GROUP).parquet(f"{folder}/blocks")
     blocks = spark.read.parquet(f"{folder}/blocks")
     # running sums: over the shards (SHARDS rows at most), and within each of them
     each = blocks.select("shard", "block", "n_ids")
