@@ -34,7 +34,7 @@ PROJECTIONS = 16
 #: Rows of the sample that the coarse tree is fitted on, and cells at most.
 SAMPLE, CELLS = 20_000, 4096
 #: Rows of a block, and of a leaf in it.
-BLOCK, LEAF = 4096, 64
+BLOCK, LEAF = 4096, 256
 
 
 def chi_square(x: float, m: int = PROJECTIONS) -> float:
@@ -111,6 +111,7 @@ class _Tree:
         self.ids, self.vectors, self.points, self.cuts = ids[order], vectors[order], points[order], cuts
         self.verified = 0  # rows whose inner product was taken, over all searches
         points = self.points
+        self.squares = (points * points).sum(axis=1)
         self.low, self.high = np.minimum.reduceat(points, cuts[:-1]), np.maximum.reduceat(points, cuts[:-1])
 
     def search(self, q: np.ndarray, point: np.ndarray, own: int, k: int, constant: float, ruled: float, bound: float) -> tuple[np.ndarray, np.ndarray]:
@@ -119,12 +120,12 @@ class _Tree:
         kth, slack = bound, 1e-9 * constant
         gap = np.maximum(np.maximum(self.low - point, point - self.high), 0)
         far = (gap * gap).sum(axis=1)
+        apart = self.squares + float(point @ point) - 2 * (self.points @ point)  # squared projected distances
         for leaf in np.argsort(far, kind="stable").tolist():
             if far[leaf] > ruled * max(constant - 2 * kth, 0.0):
                 break
             a, b = self.cuts[leaf], self.cuts[leaf + 1]
-            apart = self.points[a:b] - point
-            near = a + np.flatnonzero((apart * apart).sum(axis=1) <= ruled * max(constant - 2 * kth, 0.0))
+            near = a + np.flatnonzero(apart[a:b] <= ruled * max(constant - 2 * kth, 0.0))
             self.verified += len(near)
             # a matrix product sums in an order of its own: it only tells which rows are worth the exact sum
             near = near[self.vectors[near] @ q >= kth - slack]
