@@ -22,6 +22,8 @@ from .common import prepared, slices, written
 #: Length of the profiles of languages and documents.
 LENGTH = 300
 UNKNOWN = "und"
+#: Bytes of text whose n-grams are counted together; their arrays take some hundred times as much.
+SLICE = 512 << 10
 
 
 class _Grams:
@@ -82,7 +84,7 @@ def profiles(labelled: DataFrame, *, length: int = LENGTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 langs = batch.column("lang").to_pylist()
                 names = sorted(set(langs))
                 place = {l: i for i, l in enumerate(names)}  # noqa: E741
@@ -151,7 +153,7 @@ def predicted(docs: DataFrame, learned: DataFrame, *, length: int = LENGTH, lett
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 far, compared = _distances([t or "" for t in batch.column("text").to_pylist()], sent.value, length)
                 some = (compared > 0) & bool(names)
                 best = far.argmin(axis=1) if names else np.zeros(len(far), int)
