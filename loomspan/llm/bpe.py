@@ -49,7 +49,7 @@ _TAIL = string.punctuation.replace("'", "")
 class WordBpe:
     """Encoder and decoder for a tokenizer file with NFC, lower case, a split pattern, byte letters and a word-end suffix."""
 
-    def __init__(self, spec: str, words: int = 150_000, pieces: int = 500_000) -> None:
+    def __init__(self, spec: str, words: int = 100_000, pieces: int = 250_000) -> None:
         j = json.loads(spec)
         model, self.most = j["model"], (words, pieces)
         if model.get("type", "BPE") != "BPE" or not model.get("end_of_word_suffix"):
@@ -139,12 +139,18 @@ class WordBpe:
             raw = raw.lower()  # fewer distinct words; special tokens are told by their case
         return b"".join([words.get(w) or get(w) for w in raw.split()])
 
+    def forget(self) -> None:
+        """Empty the caches at the end of a task, so that a worker that waits for others holds the vocabulary only."""
+        self.words.clear()
+        self.pieces.clear()
+        pa.default_memory_pool().release_unused()
+
     def decode(self, ids) -> str:
         """Vocabulary strings joined by one space, which is what a tokenizer file without a decoder asks for."""
         return " ".join(map(self.strings.__getitem__, ids))
 
 
-#: The encoder of this Python worker, by the file's content; later tasks find its cache filled.
+#: The encoder of this Python worker, by the file's content; later tasks find its vocabulary loaded.
 _loaded: dict[int, WordBpe] = {}
 
 
@@ -180,6 +186,7 @@ def encoded(docs: DataFrame, *, path: str | None = None, decode: bool = False) -
                 if decode:
                     out.append(pa.array([bpe.decode(ids[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)], pa.string()))
                 yield pa.RecordBatch.from_arrays(out, [*rest, "ids", *["decoded"] * decode])
+        bpe.forget()
 
     return docs.select(*rest, "text").mapInArrow(run, schema)
 
