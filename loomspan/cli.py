@@ -1,14 +1,18 @@
-"""Command line: extract spans, make or validate a question-answer dataset."""
+"""Command line: extract spans, make or validate a question-answer dataset, report on models."""
 
 from __future__ import annotations
 
 import argparse
+import json
+import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import lexicon, qa, spans
+from .operators import entities, lexicon, qa, report, spans
+from .operators.chat import ChatService
 from .sources import files
+from .staging import written
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -19,6 +23,9 @@ def _parser() -> argparse.ArgumentParser:
     e.add_argument("--out", required=True)
     e.add_argument("--resume", action="store_true")
     e.add_argument("--test", action="store_true", help="only the first three files")
+    e.add_argument("--llm", metavar="URL", help="also ask the chat model served there")
+    e.add_argument("--model", default="llama3.1:8b")
+    e.add_argument("--wait", type=float, default=1.0, help="seconds before a failed question is asked again")
     g = sub.add_parser("qa", help="question-answer dataset from extractions")
     g.add_argument("--ner", required=True)
     g.add_argument("--output", required=True)
@@ -27,9 +34,49 @@ def _parser() -> argparse.ArgumentParser:
     g.add_argument("--seed", type=int, default=42)
     v = sub.add_parser("validate", help="check a question-answer dataset")
     v.add_argument("file")
+    r = sub.add_parser("report", help="comparison tables and a page from JSON lines of metrics by model")
+    r.add_argument("--metrics", required=True)
+    r.add_argument("--output", required=True)
     return p
 
 
+def _asked(docs: DataFrame, args: argparse.Namespace) -> DataFrame | None:
+    """Answers of the chat model, written out, so that it is asked once; none where it can't be reached."""
+    if not args.llm:
+        return None
+    service = ChatService(args.llm, args.model, tuple(e.label for e in lexicon.study_lexicon()))
+    if not service.healthy():
+        print(f"no model {args.model} at {args.llm}: rules only", file=sys.stderr)
+        return None
+    return written(entities.asked(docs, service, wait=args.wait), "answers")
+
+
+def _summary(docs: DataFrame, answers: DataFrame | None, args: argparse.Namespace) -> DataFrame:
+    """One row: settings of the run, documents, questions that failed."""
+    spark = docs.sparkSession
+    settings = json.dumps({k: v for k, v in vars(args).items() if k != "command"}, sort_keys=True)
+    rate = entities.success_rate(answers if answers is not None else docs.select(F.lit(None).cast("string").alias("error")))
+    return spark.createDataFrame([(args.command, settings)], "command string, settings string").join(rate, F.lit(True))
+
+
+def _reported(metrics: DataFrame, output: str) -> None:
+    """Each comparison table as JSON and CSV files, and all on one page."""
+    numbers = [c for c, t in metrics.dtypes if c != "model" and t in ("double", "bigint")]
+    tables = {
+        "long": report.long_form(metrics, numbers),
+        "normalised": report.normalised(metrics, numbers),
+        "mean_deviation": report.mean_deviation(metrics, numbers),
+        "transposed": report.transposed(metrics, numbers),
+    }
+    if {"inference_time_ms", "model_size_mb", "params", "mean_similarity"} <= set(metrics.columns):
+        tables["efficiency"] = report.rounded(report.efficiency_table(metrics))
+        tables["time_similarity"] = report.time_similarity(metrics)
+    for name, table in tables.items():
+        files.write_report(table, f"{output.rstrip('/')}/{name}")
+    page = metrics.sparkSession.createDataFrame([(report.chart_page(tables),)], "value string")
+    page.coalesce(1).write.mode("overwrite").text(f"{output.rstrip('/')}/page")
+
+
 def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
     spark = SparkSession.builder.appName("loomspan").getOrCreate()
@@ -37,8 +84,14 @@ def main(argv: list[str] | None = None) -> int:
         docs = files.nonblank(files.text_files(spark, args.corpus))
         if args.test:
             docs = files.first_files(docs)
+        if args.resume:
+            docs = files.unprocessed(docs, args.out)
         found = spans.matches(docs, lexicon.study_lexicon())
-        files.append_extractions(spans.records(docs, found), args.out, resume=args.resume)
+        answers = _asked(docs, args)
+        labels = spark.createDataFrame([(x.label,) for x in lexicon.study_lexicon()], "label string")
+        other = written(entities.named(answers, docs, labels), "named") if answers is not None else None
+        files.append_extractions(spans.records(docs, found, other), args.out, resume=args.resume)
+        files.write_report(_summary(docs, answers, args), f"{args.out.rstrip('/')}-summary")
     elif args.command == "qa":
         records = files.extraction_rows(spark, args.ner)
         keys = records.select("doc_id").distinct()
@@ -51,6 +104,8 @@ def main(argv: list[str] | None = None) -> int:
         out = out.withColumn("answers", F.struct(F.col("answers.text").alias("text"), F.col("answers.start").alias("answer_start"))).withColumn("metadata", F.struct(F.col("label").alias("entity_label"), F.size("answers.text").alias("num_answers"))).drop("label")
         files.write_splits(out, args.output)
         files.write_report(qa.dataset_statistics(spark.read.json(args.output)), f"{args.output.rstrip('/')}-statistics")
+    elif args.command == "report":
+        _reported(spark.read.json(args.metrics), args.output)
     else:
         checked = qa.issues(files.qa_rows(spark, args.file))
         qa.validation_report(checked).show(truncate=False)

@@ -40,6 +40,13 @@ def lookup(models: list[ModelConfig], key: str) -> ModelConfig:
     raise ValueError(f"unknown model {key!r}; known: {', '.join(m.key for m in models)}")
 
 
+def saved_models(spark: SparkSession, folder: str, weights: str = "pytorch_model.bin") -> DataFrame:
+    """model, path of the subfolders of a folder that hold a file of this name; file contents aren't read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", weights).load(f"{folder.rstrip('/')}/*").select("path")
+    path = F.regexp_replace("path", "/[^/]+$", "")
+    return found.select(F.element_at(F.split(path, "/"), -1).alias("model"), path.alias("path"))
+
+
 def encoded(texts: DataFrame, load: Callable[[], Encoder], *, column: str = "text", batch: int = 32) -> DataFrame:
     """texts with `embedding`. load() runs once for each task and returns the encoder, which gets `batch` texts at a time."""
     ship(texts.sparkSession)

@@ -70,6 +70,12 @@ def asked(docs: DataFrame, client: Callable[[], Callable[[str], str]], *, key: s
     return docs.select(key, F.substring("text", 1, PROMPT_CHARACTERS).alias("text")).mapInPandas(run, f"{key} {kind}, answer string, error string")
 
 
+def named(answers: DataFrame, docs: DataFrame, labels: DataFrame, *, key: str = "doc_id") -> DataFrame:
+    """key, start, end, label, text of the entities in the rows of asked() that are valid and stand in the document."""
+    each = parsed(answers).select(key, F.explode("entities").alias("e")).select(key, "e.text", "e.label")
+    return located(docs, valid(each, labels), key=key).dropDuplicates([key, "start", "end", "label"])
+
+
 def success_rate(answers: DataFrame) -> DataFrame:
     """documents, failed, success_percentage of the rows of asked(); 0 percent without documents."""
     failed = F.count(F.when(F.col("error").isNotNull(), 1))

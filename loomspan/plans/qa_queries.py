@@ -103,15 +103,16 @@ def qa_context(spark, sf_dir):
 
 
 #: Examples with a defect that depends on the id: none, moved, out of bounds, absent, unequal lengths, no answer, no question.
-_EXAMPLES = """SELECT doc_id, cast(doc_id as string) AS id, CASE WHEN doc_id % 7 = 6 THEN null ELSE 'What?' END AS question, substring(text, 1, 400) AS context,
+_EXAMPLES = """SELECT doc_id, cast(doc_id as string) AS id, CASE WHEN doc_id % 7 = 6 THEN null ELSE 'What?' END AS question, text AS context,
 named_struct('text', CASE doc_id % 7 WHEN 3 THEN array('zz#zz') WHEN 4 THEN array('a', 'b') WHEN 5 THEN cast(array() as array<string>) ELSE array(substring(text, 6, 5)) END,
-'answer_start', CASE doc_id % 7 WHEN 1 THEN array(3) WHEN 2 THEN array(100000) WHEN 5 THEN cast(array() as array<int>) ELSE array(5) END) AS answers FROM {docs}"""
-_ISSUES = """WITH c AS (SELECT doc_id, doc_id % 7 AS k, substr(text, 1, 400) AS context, substr(text, 6, 5) AS t FROM documents),
-i AS (SELECT doc_id, CASE k WHEN 6 THEN 'field question is missing' WHEN 5 THEN 'no answer' WHEN 4 THEN 'texts and starts differ in number'
-  WHEN 3 THEN CASE WHEN length(context) <= 5 THEN 'answer 0 starts at 5, outside of ' || length(context) || ' characters' ELSE 'answer 0 is absent: zz#zz' END
-  WHEN 2 THEN 'answer 0 starts at 100000, outside of ' || length(context) || ' characters'
-  WHEN 1 THEN CASE WHEN length(context) <= 3 THEN 'answer 0 starts at 3, outside of ' || length(context) || ' characters' WHEN substr(context, 4, length(t)) = t THEN NULL ELSE 'answer 0 stands at ' || (strpos(context, t) - 1) || ' instead of 3' END
-  ELSE CASE WHEN length(context) <= 5 THEN 'answer 0 starts at 5, outside of ' || length(context) || ' characters' END END AS issue FROM c)"""
+'answer_start', CASE doc_id % 7 WHEN 1 THEN array(3) WHEN 2 THEN array(length(text)) WHEN 5 THEN cast(array() as array<int>) ELSE array(5) END) AS answers FROM {docs}"""
+_ISSUES = """WITH c AS (SELECT doc_id, doc_id % 7 AS k, text AS context, length(text) AS len, substr(text, 6, 5) AS t FROM documents),
+i AS (SELECT doc_id, CASE WHEN k = 6 THEN 'field question is missing' WHEN context IS NULL THEN 'field context is missing' WHEN k = 5 THEN 'no answer'
+  WHEN k = 4 THEN 'texts and starts differ in number'
+  WHEN k = 3 THEN CASE WHEN len <= 5 THEN 'answer 0 starts at 5, outside of ' || len || ' characters' ELSE 'answer 0 is absent: zz#zz' END
+  WHEN k = 2 THEN 'answer 0 starts at ' || len || ', outside of ' || len || ' characters'
+  WHEN k = 1 THEN CASE WHEN len <= 3 THEN 'answer 0 starts at 3, outside of ' || len || ' characters' WHEN substr(context, 4, length(t)) = t THEN NULL ELSE 'answer 0 stands at ' || (strpos(context, t) - 1) || ' instead of 3' END
+  WHEN len <= 5 THEN 'answer 0 starts at 5, outside of ' || len || ' characters' END AS issue FROM c)"""
 
 
 def _checked(spark, sf_dir):
@@ -133,7 +134,7 @@ def qa_validation_report(spark, sf_dir):
     return qa.validation_report(_checked(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("valid_percentage", "invalid_percentage")})
 
 
-#: As _EXAMPLES with whole texts as contexts; the answer starts in the middle, and out of bounds is the text's own length.
+#: As _EXAMPLES, but answers start in the middle of the text.
 _WHOLE_EXAMPLES = """SELECT doc_id, cast(doc_id as string) AS id, CASE WHEN doc_id % 7 = 6 THEN null ELSE 'What?' END AS question, text AS context,
 named_struct('text', CASE doc_id % 7 WHEN 3 THEN array('zz#zz') WHEN 4 THEN array('a', 'b') WHEN 5 THEN cast(array() as array<string>) ELSE array(substring(text, mid + 1, 5)) END,
 'answer_start', CASE doc_id % 7 WHEN 1 THEN array(mid + 1) WHEN 2 THEN array(length(text)) WHEN 5 THEN cast(array() as array<int>) ELSE array(mid) END) AS answers

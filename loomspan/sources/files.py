@@ -50,15 +50,19 @@ def qa_rows(spark: SparkSession, path: str, most: int | None = None) -> DataFram
     return rows.limit(most) if most is not None else rows
 
 
+def unprocessed(docs: DataFrame, path: str) -> DataFrame:
+    """Documents that the output at path doesn't have; all of them where there is no output yet."""
+    spark = docs.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    return pending(docs, processed_ids(spark, path)) if there else docs
+
+
 def append_extractions(records: DataFrame, path: str, *, resume: bool = True) -> None:
     """Append records as JSON lines, texts cut to a preview. With resume, documents that the output already has are skipped, so a rerun adds nothing."""
-    spark = records.sparkSession
     out = records.withColumn("text", preview(F.col("text")))
     if resume:
-        jvm = spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
-            out = pending(out.withColumn("doc_id", F.col("doc_id").cast("string")), processed_ids(spark, path))
+        out = unprocessed(out.withColumn("doc_id", F.col("doc_id").cast("string")), path)
     out.write.mode("append").json(path)
 
 
