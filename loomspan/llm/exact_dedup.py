@@ -10,7 +10,9 @@ traffic and never a wrong answer.
 A filter has BITS bits for each row, counted first, so the share of rows that
 are shuffled in vain is the same at every size, about one in two hundred. No
 more than LARGEST bits are fetched and broadcast at once: the hashes of more
-rows than these serve are cut into slices, each with a filter of its own.
+rows than these serve are cut into slices, each with a filter of its own. Then
+filters are kept as tables, and one after another is fetched, broadcast, used
+and destroyed; the rows are read once for each.
 """
 
 from __future__ import annotations
@@ -48,8 +50,8 @@ def _segment(h: np.ndarray) -> np.ndarray:
     return (h.astype(np.uint64, copy=False) >> np.uint64(58)).astype(np.int32)
 
 
-def possibly_repeated(hashes: DataFrame, column: str, filter_bits: int) -> list[bytes]:
-    """The filter of positions set at least twice, as one packed bitmap for each segment, filter_bits bits in all."""
+def possibly_repeated(hashes: DataFrame, column: str, filter_bits: int) -> DataFrame:
+    """seg, twice: the filter of positions set at least twice, as one packed bitmap for each segment that has any, filter_bits bits in all."""
     bits = filter_bits // SEGMENTS
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,9 +90,13 @@ def possibly_repeated(hashes: DataFrame, column: str, filter_bits: int) -> list[
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(two).tobytes()], pa.binary())], ["seg", "twice"])
 
     parts = hashes.select(column).mapInArrow(mapped, "seg int, once binary, twice binary")
-    found = parts.repartition(SEGMENTS, "seg").mapInArrow(merged, "seg int, twice binary").collect()
-    maps = [bytes((bits + 7) // 8)] * SEGMENTS
-    for r in found:
+    return parts.repartition(SEGMENTS, "seg").mapInArrow(merged, "seg int, twice binary")
+
+
+def _fetched(table: DataFrame, filter_bits: int) -> list[bytes]:
+    """The bitmaps of a filter, at most LARGEST bits."""
+    maps = [bytes((filter_bits // SEGMENTS + 7) // 8)] * SEGMENTS
+    for r in table.collect():
         maps[r["seg"]] = bytes(r["twice"])
     return maps
 
@@ -106,13 +112,14 @@ def _slice(h: Column, slices: int) -> Column:
     return F.pmod(F.hash(h), F.lit(slices))
 
 
-def _tested(rows: DataFrame, filters: list, bits: int) -> DataFrame:
-    """rows with `maybe`, told by their hash column h, in place of h."""
+def _tested(rows: DataFrame, filters: list[DataFrame], bits: int) -> DataFrame:
+    """rows with `maybe`, told by their hash column h, in place of h. With several filters each one's rows are written before the next is fetched."""
     rest = [c for c in rows.columns if c != "h"]
     schema = T.StructType([rows.schema[c] for c in rest] + [T.StructField("maybe", T.BooleanType())])
     width = bits // SEGMENTS
     out = None
-    for k, maps in enumerate(filters):
+    for k, table in enumerate(filters):
+        maps = rows.sparkSession.sparkContext.broadcast(_fetched(table, bits))
 
         def run(batches: Iterator[pa.RecordBatch], maps=maps) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -124,8 +131,10 @@ def _tested(rows: DataFrame, filters: list, bits: int) -> DataFrame:
                     maybe[own] = ((bitmap[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1).all(axis=1)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(maybe)], [*rest, "maybe"])
 
-        own = rows if len(filters) == 1 else rows.where(_slice(F.col("h"), len(filters)) == k)
-        part = own.mapInArrow(run, schema)
+        if len(filters) == 1:
+            return rows.mapInArrow(run, schema)
+        part = written(rows.where(_slice(F.col("h"), len(filters)) == k).mapInArrow(run, schema), "tested")
+        maps.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -142,7 +151,7 @@ def _copies(docs: DataFrame) -> tuple[DataFrame, DataFrame, list, int]:
     # texts are read once; from here on rows are narrow, and their numbers must not change
     narrow = written(docs.select("doc_id", *_digested()).withColumn("row", F.monotonically_increasing_id()), "exact")
     bits, slices = _sized(narrow.count())
-    filters = [spark.sparkContext.broadcast(possibly_repeated(narrow if slices == 1 else narrow.where(_slice(F.col("h"), slices) == k), "h", bits)) for k in range(slices)]
+    filters = [written(possibly_repeated(narrow if slices == 1 else narrow.where(_slice(F.col("h"), slices) == k), "h", bits), "filter") for k in range(slices)]
     rows = _tested(narrow, filters, bits)
     alone = rows.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     some = written(rows.where("maybe"), "maybe")
