@@ -40,6 +40,21 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def text_pieces(text: bytes, table: bytes, most: int = 1 << 20):
+    """The text through a translation table that makes separators blanks, cut at blanks into pieces of about `most` bytes."""
+    at = 0
+    while len(text) - at > most:
+        piece = text[at : at + most].translate(table)
+        cut = piece.rfind(b" ") + 1
+        while not cut:  # one word is longer than a piece
+            end = at + len(piece) + most
+            piece = text[at:end].translate(table)
+            cut = piece.rfind(b" ") + 1 if end < len(text) else len(piece)
+        yield piece[:cut]
+        at += cut
+    yield text[at:].translate(table)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
     """Cut a batch into runs of rows of about `most` text bytes; one long text makes a run of its own."""
     lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()

@@ -1,4 +1,4 @@
-"""Queries op1 to op10 over the driver's tables, and their SQL where SQL can express them."""
+"""Queries op1 to op13 over the driver's tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, langid, mixing, pii, simhash, substring_dedup, suffix_dedup, token_store
+from . import ann, bpe, divergence, exact_dedup, langid, mixing, pii, simhash, substring_dedup, suffix_dedup, token_store
 from .common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copies(_documents(spark, sf_dir))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_documents(spark, sf_dir))
+
+
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP10_SQL = f"""
@@ -104,9 +108,43 @@ SELECT d.doc_id, d.size, b.source_size, b.target,
 FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN y ON d.source IS NOT DISTINCT FROM y.source"""
 
 
+_LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP11_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all({_NORMAL}, '{_LETTERS}') AS words FROM documents),
+t AS (SELECT r, lang, source, unnest(words) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+g AS (
+  SELECT lang, source, coalesce(total, 0) AS total, coalesce(terms, 0) AS terms
+  FROM (SELECT DISTINCT lang, source FROM d)
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source) USING (lang, source)
+  LEFT JOIN (SELECT lang, count(*) AS terms FROM k GROUP BY lang) USING (lang)),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + (CAST(coalesce(c.n, 0) + 5 AS HUGEINT) * 1000000000) // CAST(g.total + 5 * g.terms AS HUGEINT) AS p
+  FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+l AS (
+  SELECT lang, term, 1 + (CAST(sum(n) + 5 AS HUGEINT) * 1000000000) // CAST(any_value(total) + 5 * any_value(terms) AS HUGEINT) AS q
+  FROM p JOIN (SELECT lang, sum(total) AS total, any_value(terms) AS terms FROM g GROUP BY lang) USING (lang) GROUP BY lang, term),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0) AS value
+  FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p AS x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN p AS y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY a.lang, a.source, b.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p JOIN l USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+       CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 50"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ann, op2_mixing, op3_langid, op4_suffix_dedup, op5_simhash, op6_token_store, op7_substring_dedup, op8_bpe, op9_pii, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_ann, op2_mixing, op3_langid, op4_suffix_dedup, op5_simhash, op6_token_store, op7_substring_dedup, op8_bpe, op9_pii, op10_exact_dedup, op11_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op2_mixing": OP2_SQL, "op10_exact_dedup": OP10_SQL, "op11_divergence": OP11_SQL}
