@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, divergence, exact_dedup, langid, mixing, pii, simhash, substring_dedup, suffix_dedup, token_store
+from . import ann, bpe, divergence, exact_dedup, langid, mixing, pii, simhash, substring_dedup, suffix_dedup, token_store, vector_codes
 from .common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,11 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_documents(spark, sf_dir))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digits = F.concat_ws("", F.transform("code", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))))
+    return vector_codes.compressed(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).select("vec_id", digits.alias("code"), "error", "label_error", "codebooks_sha256")
+
+
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP10_SQL = f"""
@@ -142,9 +147,37 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
 FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 50"""
 
 
+def _op12_sql(rounds: int = 4) -> str:
+    near = """SELECT i, p, arg_min(e, d * 256 + e) AS e, min(d) AS d FROM (
+    SELECT x.i, x.p, c.e, CAST(list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM x JOIN {c} AS c ON c.p = x.p) GROUP BY i, p"""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS (" + near.format(c=f"c{r}") + ")")
+        if r < rounds:
+            steps.append(f"""m{r} AS (
+  SELECT p, e, list(v ORDER BY place) AS v FROM (
+    SELECT p, e, place, CAST(floor(CAST(sum(n) AS DOUBLE) / count(*)) AS BIGINT) AS v FROM (
+      SELECT a.p, a.e, unnest(x.v) AS n, generate_subscripts(x.v, 1) AS place FROM a{r} AS a JOIN x ON x.i = a.i AND x.p = a.p)
+    GROUP BY p, e, place) GROUP BY p, e),
+c{r + 1} AS (SELECT c.p, c.e, coalesce(m.v, c.v) AS v FROM c{r} AS c LEFT JOIN m{r} AS m ON m.p = c.p AND m.e = c.e)""")
+    return f"""
+WITH k AS (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, vec_id, label,
+         list_transform(embedding, lambda y: CAST(floor(1024 * CAST(y AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+x AS MATERIALIZED (
+  SELECT i, p, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] AS v FROM k, (SELECT unnest(range(4)) AS p)),
+c0 AS (SELECT p, i AS e, v FROM x WHERE i < 256),
+{(',' + chr(10)).join(s.replace(' AS (', ' AS MATERIALIZED (', 1) for s in steps)},
+b AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds}),
+r AS (SELECT i, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY i)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM k JOIN r USING (i), b"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ann, op2_mixing, op3_langid, op4_suffix_dedup, op5_simhash, op6_token_store, op7_substring_dedup, op8_bpe, op9_pii, op10_exact_dedup, op11_divergence)}
+    return {f.__name__: f for f in (op1_ann, op2_mixing, op3_langid, op4_suffix_dedup, op5_simhash, op6_token_store, op7_substring_dedup, op8_bpe, op9_pii, op10_exact_dedup, op11_divergence, op12_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL, "op10_exact_dedup": OP10_SQL, "op11_divergence": OP11_SQL}
+    return {"op2_mixing": OP2_SQL, "op10_exact_dedup": OP10_SQL, "op11_divergence": OP11_SQL, "op12_vector_codes": _op12_sql()}
