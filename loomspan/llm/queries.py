@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, divergence, exact_dedup, langid, mixing, pii, simhash, substring_dedup, suffix_dedup, token_store, vector_codes
+from . import ann, bpe, contamination, divergence, exact_dedup, langid, mixing, pii, simhash, substring_dedup, suffix_dedup, token_store, vector_codes
 from .common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compressed(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).select("vec_id", digits.alias("code"), "error", "label_error", "codebooks_sha256")
 
 
+def op13_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.report(contamination.matched(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP10_SQL = f"""
@@ -175,9 +179,30 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 FROM k JOIN r USING (i), b"""
 
 
+_WORDS = rf"regexp_extract_all({_NORMAL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP13_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+i AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[s : s + least(10, len(w)) - 1], ' ') AS x
+  FROM b, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS t(s) WHERE len(w) > 0),
+o AS (
+  SELECT d.r, s, n.n, array_to_string(w[s : s + n.n - 1], ' ') AS x
+  FROM d, (SELECT DISTINCT n FROM i) AS n, unnest(range(1, len(d.w) - n.n + 2)) AS t(s)),
+m AS MATERIALIZED (SELECT DISTINCT o.r, o.s, o.n, i.item_id FROM o JOIN i ON o.n = i.n AND o.x = i.x),
+h AS (SELECT r, count(DISTINCT p) AS n_hit FROM m, unnest(range(s, s + n)) AS t(p) GROUP BY r),
+g AS (
+  SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN g USING (r)"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ann, op2_mixing, op3_langid, op4_suffix_dedup, op5_simhash, op6_token_store, op7_substring_dedup, op8_bpe, op9_pii, op10_exact_dedup, op11_divergence, op12_vector_codes)}
+    return {f.__name__: f for f in (op1_ann, op2_mixing, op3_langid, op4_suffix_dedup, op5_simhash, op6_token_store, op7_substring_dedup, op8_bpe, op9_pii, op10_exact_dedup, op11_divergence, op12_vector_codes, op13_contamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL, "op10_exact_dedup": OP10_SQL, "op11_divergence": OP11_SQL, "op12_vector_codes": _op12_sql()}
+    return {"op2_mixing": OP2_SQL, "op10_exact_dedup": OP10_SQL, "op11_divergence": OP11_SQL, "op12_vector_codes": _op12_sql(), "op13_contamination": OP13_SQL}
