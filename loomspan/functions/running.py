@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..staging import written
+
 
 def sums_before(counts: DataFrame, key: str, value: str, *, by: tuple[str, ...] = (), width: int = 1024, levels: int = 2) -> DataFrame:
     """counts with `base`: the sum of value over all smaller keys, within each `by`.
@@ -28,3 +30,20 @@ def sums_before(counts: DataFrame, key: str, value: str, *, by: tuple[str, ...]
         condition = condition & c
     met = cut.join(above, condition)
     return met.select(*counts.columns, (F.col("base__") + preceding(W.partitionBy(*by, up))).alias("base"))
+
+
+def ordered(df: DataFrame, order: list[Column], **values: str | Column) -> DataFrame:
+    """df with `place` (from 1 in the given order) and a column for each of values: its sum over all rows before.
+
+    Rows are dealt to ranges of the order and written; a range's rows are
+    numbered and summed in a task of their own, above the sums of the ranges
+    before it, of which there is a row for each partition.
+    """
+    ranged = written(df.withColumns({f"{k}__": F.col(v) if isinstance(v, str) else v for k, v in values.items()}).repartitionByRange(*order).withColumn("part__", F.spark_partition_id()), "ranged")
+    totals = ranged.groupBy("part__").agg(F.count("*").alias("n__"), *[F.sum(f"{k}__").alias(f"{k}__") for k in values])
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = W.partitionBy().orderBy("part__")
+    base = totals.select("part__", before("n__", parts).alias("rows__"), *[before(f"{k}__", parts).alias(f"{k}_base__") for k in values])
+    local = W.partitionBy("part__").orderBy(*order)
+    met = ranged.join(F.broadcast(base), "part__")  # a row for each partition
+    return met.select(*df.columns, (F.col("rows__") + F.row_number().over(local)).alias("place"), *[(F.col(f"{k}_base__") + before(f"{k}__", local)).alias(k) for k in values])

@@ -21,9 +21,15 @@ class ChatService:
     timeout: float = 60.0
     temperature: float = 0.1
     tokens: int = 2048
+    key: str | None = None
+
+    def _request(self, path: str, body: dict | None = None) -> Request:
+        """A key is sent as a bearer token."""
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
+        return Request(f"{self.url.rstrip('/')}{path}", json.dumps(body).encode() if body else None, headers)  # noqa: S310
 
     def models(self) -> list[str]:
-        with urlopen(f"{self.url.rstrip('/')}/api/tags", timeout=self.timeout) as answer:  # noqa: S310
+        with urlopen(self._request("/api/tags"), timeout=self.timeout) as answer:  # noqa: S310
             return [m["name"] for m in json.load(answer)["models"]]
 
     def healthy(self) -> bool:
@@ -37,8 +43,7 @@ class ChatService:
         def ask(text: str) -> str:
             messages = [{"role": "system", "content": instruction(self.labels)}, {"role": "user", "content": text}]
             body = {"model": self.model, "messages": messages, "stream": False, "options": {"temperature": self.temperature, "num_predict": self.tokens}}
-            request = Request(f"{self.url.rstrip('/')}/api/chat", json.dumps(body).encode(), {"Content-Type": "application/json"})  # noqa: S310
-            with urlopen(request, timeout=self.timeout) as answer:  # noqa: S310
+            with urlopen(self._request("/api/chat", body), timeout=self.timeout) as answer:  # noqa: S310
                 return json.load(answer)["message"]["content"]
 
         return ask

@@ -63,6 +63,17 @@ def encoded(texts: DataFrame, load: Callable[[], Encoder], *, column: str = "tex
     return texts.withColumn("embedding", encode(F.col(column)))
 
 
+def pooled(tokens: Column, pooling: str) -> Column:
+    """One vector for a sequence of token vectors: the first one's (`cls`), or the mean of all (`mean`). Null for an empty sequence; vectors are of one length."""
+    if pooling not in ("cls", "mean"):
+        raise ValueError(f"unknown pooling: {pooling}")
+    if pooling == "cls":
+        return F.get(tokens, F.lit(0))
+    start = F.transform(F.get(tokens, F.lit(0)), lambda _: F.lit(0.0))
+    total = F.aggregate(tokens, start, lambda s, t: F.zip_with(s, t, lambda x, y: x + y.cast("double")))
+    return F.transform(total, lambda x: x / F.size(tokens))
+
+
 def hashed_words(text: Column, dims: int = 64) -> Column:
     """A deterministic stand-in for a trained encoder: counts of words by hash, in native expressions."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")

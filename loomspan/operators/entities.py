@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import heapq
+import time
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor
+from concurrent.futures import wait as futures_wait
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import extracted_json, strip
@@ -37,35 +41,53 @@ def parsed(answers: DataFrame, column: str = "answer") -> DataFrame:
     return answers.withColumn("entities", F.coalesce(F.from_json(content, f"struct<entities:{ENTITY}>")["entities"], F.array().cast(ENTITY)))
 
 
-def asked(docs: DataFrame, client: Callable[[], Callable[[str], str]], *, key: str = "doc_id", attempts: int = 4, wait: float = 1.0) -> DataFrame:
+def answered(call: Callable[[str], str], texts: Sequence[str], *, attempts: int = 4, wait: float = 1.0, at_once: int = 8) -> list[tuple[str | None, str | None]]:
+    """answer, error of each text, in order, with at most `at_once` calls under way.
+
+    A call that raises is made again after wait, 2 wait, 4 wait ... seconds; its
+    place is free for other texts meanwhile. After the last attempt its error stays.
+    """
+    out: list[tuple[str | None, str | None]] = [(None, None)] * len(texts)
+    due = [(0.0, i, 0) for i in range(len(texts))]  # when, which text, attempts made: a heap
+    under_way: dict[Future, tuple[int, int]] = {}
+    with ThreadPoolExecutor(at_once) as pool:
+        while due or under_way:
+            now = time.monotonic()
+            while due and len(under_way) < at_once and due[0][0] <= now:
+                _, i, made = heapq.heappop(due)
+                under_way[pool.submit(call, texts[i])] = (i, made + 1)
+            later = max(0.0, due[0][0] - now) if due and len(under_way) < at_once else None
+            if not under_way:
+                time.sleep(later or 0.0)
+                continue
+            for done in futures_wait(under_way, timeout=later, return_when=FIRST_COMPLETED).done:
+                i, made = under_way.pop(done)
+                failed = done.exception()
+                if failed is None:
+                    out[i] = (done.result(), None)
+                elif made < attempts:
+                    heapq.heappush(due, (time.monotonic() + wait * 2 ** (made - 1), i, made))
+                else:
+                    out[i] = (None, str(failed))
+    return out
+
+
+def asked(docs: DataFrame, client: Callable[[], Callable[[str], str]], *, key: str = "doc_id", attempts: int = 4, wait: float = 1.0, at_once: int = 8) -> DataFrame:
     """key, answer, error: what a model says to the first PROMPT_CHARACTERS characters of each text.
 
     client() is called once for each task and returns a function from text to
-    answer. A call that raises is tried again after wait, 2 wait, 4 wait ...
-    seconds; after the last attempt the row carries the error and a null answer.
+    answer, which several threads call: at most `at_once` in a task. Calls that
+    raise are made again, see answered; then the row carries the error and a
+    null answer.
     """
     ship(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import time
-
         call = client()
         for batch in batches:
-            answers, errors = [], []
-            for text in batch["text"]:
-                answer = error = None
-                for attempt in range(attempts):
-                    try:
-                        answer, error = call(text), None
-                        break
-                    except Exception as e:  # noqa: BLE001  whatever a client raises is a failed attempt
-                        error = str(e)
-                        if attempt + 1 < attempts:
-                            time.sleep(wait * 2**attempt)
-                answers.append(answer)
-                errors.append(error)
-            yield pd.DataFrame({key: batch[key], "answer": answers, "error": errors})
+            found = answered(call, batch["text"].tolist(), attempts=attempts, wait=wait, at_once=at_once)
+            yield pd.DataFrame({key: batch[key], "answer": [a for a, _ in found], "error": [e for _, e in found]})
 
     return docs.select(key, F.substring("text", 1, PROMPT_CHARACTERS).alias("text")).mapInPandas(run, f"{key} {kind}, answer string, error string")
 
@@ -76,6 +98,14 @@ def named(answers: DataFrame, docs: DataFrame, labels: DataFrame, *, key: str =
     return located(docs, valid(each, labels), key=key).dropDuplicates([key, "start", "end", "label"])
 
 
+def observed_rate(answers: DataFrame) -> tuple[DataFrame, Observation]:
+    """answers, and what success_rate() says of them, counted while they are written."""
+    seen = Observation("answers")
+    failed = F.count(F.when(F.col("error").isNotNull(), 1))
+    share = F.coalesce(F.try_divide((F.count("*") - failed) * 100.0, F.count("*")), F.lit(0.0))
+    return answers.observe(seen, F.count("*").alias("documents"), failed.alias("failed"), share.alias("success_percentage")), seen
+
+
 def success_rate(answers: DataFrame) -> DataFrame:
     """documents, failed, success_percentage of the rows of asked(); 0 percent without documents."""
     failed = F.count(F.when(F.col("error").isNotNull(), 1))

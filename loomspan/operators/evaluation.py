@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import written
+from .quantiles import quantiles
 
 
 def similarity_statistics(scores: DataFrame) -> DataFrame:
-    """mean, population deviation, least, largest and median score."""
-    return scores.agg(
-        F.avg("score").alias("mean_similarity"), F.stddev_pop("score").alias("std_similarity"), F.min("score").alias("min_similarity"), F.max("score").alias("max_similarity"), F.median("score").alias("median_similarity")
-    )
+    """mean, population deviation, least, largest and median score; the median by selection, so no task holds the scores. Without scores all are null."""
+    held = written(scores.select("score"), "scores")
+    simple = held.agg(F.avg("score").alias("mean_similarity"), F.stddev_pop("score").alias("std_similarity"), F.min("score").alias("min_similarity"), F.max("score").alias("max_similarity"))
+    median = quantiles(held, [0.5], column="score").select(F.col("quantile").alias("median_similarity"))
+    return simple.join(F.broadcast(median), F.lit(True), "left")  # one row each
 
 
 def judged(found: DataFrame, relevant: DataFrame) -> DataFrame:

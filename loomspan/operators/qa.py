@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -38,11 +38,18 @@ def groups(spans: DataFrame, *, fewest: int = 1, key: str = "doc_id") -> DataFra
     return made.where(F.col("n") >= fewest)
 
 
-def anchored(answers: Column, text: Column) -> Column:
-    """Answers whose slice of the text is right, others moved to their first exact occurrence; out of bounds or absent ones go."""
+def unique_texts(spans: DataFrame, *, key: str = "doc_id") -> DataFrame:
+    """key, label, start, text of the first span of each text, whatever its case, within a document and label."""
+    nth = F.row_number().over(W.partitionBy(key, "label", F.lower("text")).orderBy("start"))
+    return spans.withColumn("nth", nth).where("nth = 1").select(key, "label", "start", "text")
+
+
+def anchored(answers: Column, text: Column, length: Column | None = None) -> Column:
+    """Answers whose slice of the text is right, others moved to their first exact occurrence; out of bounds or absent ones go. length: the text's, where it is at hand, since counting code points reads the whole text."""
+    n = F.length(text) if length is None else length
 
     def place(a: Column) -> Column:
-        inside = (a["start"] < F.length(text)) & (a["start"] + F.length(a["text"]) <= F.length(text))
+        inside = (a["start"] < n) & (a["start"] + F.length(a["text"]) <= n)
         exact = F.substr(text, a["start"] + 1, F.length(a["text"])) == a["text"]
         return F.when(inside & exact, a["start"]).when(inside, F.nullif(F.instr(text, a["text"]) - 1, F.lit(-1)))
 
@@ -50,9 +57,8 @@ def anchored(answers: Column, text: Column) -> Column:
     return F.filter(moved, lambda a: a["start"].isNotNull())
 
 
-def window_start(answers: Column, text: Column, most: int) -> tuple[Column, Column]:
-    """Start and end of the context: the text if it isn't longer than `most`, its beginning if the answers lie too far apart, else the answers with equal room on both sides, moved inside."""
-    n = F.length(text)
+def window_start(answers: Column, n: Column, most: int) -> tuple[Column, Column]:
+    """Start and end of the context in a text of n characters: the text if it isn't longer than `most`, its beginning if the answers lie too far apart, else the answers with equal room on both sides, moved inside."""
     low = F.array_min(F.transform(answers, lambda a: a["start"]))
     high = F.array_max(F.transform(answers, lambda a: a["start"] + F.length(a["text"])))
     room = F.floor((F.lit(most) - (high - low)) / 2).cast("int")
@@ -64,31 +70,43 @@ def window_start(answers: Column, text: Column, most: int) -> tuple[Column, Colu
     return final_start.cast("int"), final_end.cast("int")
 
 
-def pairs(docs: DataFrame, spans: DataFrame, templates_: DataFrame, *, seed: int = 42, most_context: int = 4000, fewest: int = 1, most: int = 10, key: str = "doc_id") -> DataFrame:
-    """id, key, label, question, context, answers: one row for each document and label with an answer left.
+def placed_pairs(docs: DataFrame, spans: DataFrame, *, most_context: int = 4000, fewest: int = 1, most: int = 10, key: str = "doc_id") -> DataFrame:
+    """id, key, label, number, answers, from, to, begins: the pairs of pairs() without texts, as a table.
 
-    The question is picked by a hash of document, label and seed. Ids number
-    the emitted pairs in order of document and first span: counts of ranges of
-    documents come first, so that numbering takes no single-task sort.
+    from and to bound the context in the text; begins marks a document's first
+    pair. Texts meet the spans once, the answers are placed once for each row,
+    and all that follows reads these narrow rows. Ids number the pairs in order
+    of document and first span: counts of ranges of documents come first, so
+    that numbering takes no single-task sort.
     """
     g = groups(chosen(spans, most=most, key=key), fewest=fewest, key=key)
-    placed = docs.select(key, "text").join(g, key).withColumn("answers", anchored(F.col("answers"), F.col("text"))).where(F.size("answers") > 0)
-    start, end = window_start(F.col("answers"), F.col("text"), most_context)
-    # without texts: spans are found once, and only narrow rows are numbered
+    # a length is taken once for each text; the filter stays behind the write, since before it Spark would place the answers again to test them
+    met = docs.select(key, "text", F.length("text").alias("n__")).join(g, key)
+    met = met.select(key, "label", "first", "n__", anchored(F.col("answers"), F.col("text"), F.col("n__")).alias("answers"))
+    placed = written(met, "placed").where(F.size("answers") > 0)
+    start, end = window_start(F.col("answers"), F.col("n__"), most_context)
     placed = written(placed.select(key, "label", "first", "answers", start.alias("from"), end.alias("to")), "pairs")
-    numbered = global_number(placed, [key, "first", "label"], key)
-    made = numbered.join(docs.select(key, "text"), key)
+    numbered = global_number(placed, [key, "first", "label"], key, first="begins")
+    return numbered.withColumn("id", F.concat(F.col(key).cast("string"), F.lit("_q"), F.col("number").cast("string"), F.lit("_"), "label"))
+
+
+def pairs(docs: DataFrame, spans: DataFrame, templates_: DataFrame, *, seed: int = 42, most_context: int = 4000, fewest: int = 1, most: int = 10, key: str = "doc_id") -> DataFrame:
+    """id, key, label, question, context, answers, begins: one row for each document and label with an answer left.
+
+    The question is picked by a hash of document, label and seed. See placed_pairs.
+    """
+    made = placed_pairs(docs, spans, most_context=most_context, fewest=fewest, most=most, key=key).join(docs.select(key, "text"), key)
     made = made.withColumn("context", F.substr("text", F.col("from") + 1, F.col("to") - F.col("from")))
     made = made.withColumn("answers", F.transform("answers", lambda a: F.struct((a["start"] - F.col("from")).cast("int").alias("start"), a["text"].alias("text"))))
     n_templates = templates_.groupBy("label").agg(F.count("*").alias("n_t"))
     pick = portable_hash(F.concat_ws("|", F.col(key).cast("string"), "label", F.lit(str(seed))))
     made = made.join(n_templates, "label", "left").withColumn("template_no", F.pmod(pick, F.col("n_t")).cast("int"))
     made = made.join(templates_, ["label", "template_no"], "left").withColumn("question", F.coalesce("question", default_question(F.col("label"))))
-    return made.select(F.concat(F.col(key).cast("string"), F.lit("_q"), F.col("number").cast("string"), F.lit("_"), "label").alias("id"), key, "label", "question", "context", "answers")
+    return made.select("id", key, "label", "question", "context", "answers", "begins")
 
 
-def global_number(df: DataFrame, order: list[str], key: str) -> DataFrame:
-    """df with `number` from 1 in the given order, which begins with the integer column key.
+def global_number(df: DataFrame, order: list[str], key: str, first: str | None = None) -> DataFrame:
+    """df with `number` from 1 in the given order, which begins with the integer column key; `first`, where given, names a column that marks the first row of each key.
 
     df is read several times, so it should be a table. A row's number is its
     place among the rows of its key, and the rows of all smaller keys.
@@ -96,7 +114,8 @@ def global_number(df: DataFrame, order: list[str], key: str) -> DataFrame:
     counts = df.groupBy(key).agg(F.count("*").alias("n__"))
     base = sums_before(written(counts, "counts"), key, "n__").select(key, "base")
     local = F.row_number().over(W.partitionBy(key).orderBy(*order))
-    return df.join(base, key).withColumn("number", F.col("base") + local).drop("base")
+    out = df.join(base, key).withColumn("number", F.col("base") + local)
+    return (out.withColumn(first, F.col("number") == F.col("base") + 1) if first else out).drop("base")
 
 
 def ratios(train: float, validation: float, test: float) -> tuple[float, float, float]:
@@ -105,6 +124,12 @@ def ratios(train: float, validation: float, test: float) -> tuple[float, float,
     return (train, validation, test) if abs(total - 1) <= 0.01 else (train / total, validation / total, test / total)
 
 
+def with_ratios(rows: DataFrame, *columns: str) -> DataFrame:
+    """rows with the shares in `columns` brought to a sum of 1, as ratios() does; a row whose sum is 0 gets nulls."""
+    total = sum((F.col(c) for c in columns[1:]), F.col(columns[0]))
+    return rows.withColumns({c: F.when(F.abs(total - 1) <= 0.01, F.col(c)).otherwise(F.try_divide(F.col(c), total)) for c in columns})
+
+
 def split(rows: DataFrame, *, by: str = "id", train: float = 0.7, validation: float = 0.15, test: float = 0.15, seed: int = 42) -> DataFrame:
     """rows with `split`: in order of a hash of `by` and seed, the first int(n train) are for training, the next int(n validation) for validation, the rest for testing.
 
@@ -131,6 +156,14 @@ def dataset_statistics(rows: DataFrame, *, key: str = "doc_id") -> DataFrame:
     return rows.agg(F.count("*").alias("n_pairs"), F.countDistinct(key).alias("n_docs"), (F.count("*") / F.countDistinct(key)).alias("mean_pairs"), part("train"), part("validation"), part("test"))
 
 
+def observed_statistics(rows: DataFrame) -> tuple[DataFrame, Observation]:
+    """rows, and what dataset_statistics() says of them, counted while they are written. `begins` marks a document's first pair."""
+    seen = Observation("dataset")
+    docs = F.count(F.when(F.col("begins"), 1))
+    part = lambda s: F.count(F.when(F.col("split") == s, 1)).alias(f"n_{s}")
+    return rows.observe(seen, F.count("*").alias("n_pairs"), docs.alias("n_docs"), F.try_divide(F.count("*"), docs).alias("mean_pairs"), part("train"), part("validation"), part("test")), seen
+
+
 def issues(example: DataFrame) -> DataFrame:
     """example with `issues`, an array of texts that is empty for a valid row.
 
@@ -184,6 +217,19 @@ def valid_label_counts(checked: DataFrame) -> DataFrame:
     return checked.where(F.size("issues") == 0).groupBy(F.coalesce("label", F.lit("unknown")).alias("label")).agg(F.count("*").alias("n"))
 
 
+def checked_summary(checked: DataFrame, k: int = 10) -> tuple[dict, list, list]:
+    """The figures of validation_report(), the k commonest issues and the labels of valid rows, each with its count, from one reading of the rows."""
+    seen = Observation("checked")
+    ok = F.count(F.when(F.size("issues") == 0, 1))
+    watched = checked.observe(seen, F.count("*").alias("total"), ok.alias("valid"), (F.count("*") - ok).alias("invalid"), F.try_divide(ok * 100.0, F.count("*")).alias("valid_percentage"), F.try_divide((F.count("*") - ok) * 100.0, F.count("*")).alias("invalid_percentage"))
+    issue = F.transform("issues", lambda i: F.struct(F.lit("issue").alias("kind"), i.alias("value")))
+    label = F.array(F.struct(F.lit("label").alias("kind"), F.coalesce("label", F.lit("unknown")).alias("value")))
+    counted = watched.select(F.explode(F.when(F.size("issues") == 0, label).otherwise(issue)).alias("x")).groupBy("x.kind", "x.value").agg(F.count("*").alias("n"))
+    place = F.row_number().over(W.partitionBy("kind").orderBy(F.desc("n"), "value"))
+    top = counted.withColumn("place", place).where((F.col("place") <= k) | (F.col("kind") == "label")).orderBy("kind", "place").collect()
+    return seen.get, [(r["value"], r["n"]) for r in top if r["kind"] == "issue"], [(r["value"], r["n"]) for r in top if r["kind"] == "label"]
+
+
 def label_counters(pairs_: DataFrame, *, key: str = "doc_id") -> DataFrame:
     """label, pairs, documents, answers of a dataset."""
     return pairs_.groupBy("label").agg(F.count("*").alias("n_pairs"), F.countDistinct(key).alias("n_docs"), F.sum(F.size("answers")).alias("n_answers"))
@@ -210,5 +256,10 @@ def training_pairs(rows: DataFrame, most: int | None = None) -> DataFrame:
     return out.limit(most) if most is not None else out
 
 
+def warm_up(n: Column, *, batch: int = 32, epochs: int = 3, ratio: float = 0.1) -> Column:
+    """warm_up_steps() of a column of numbers of examples."""
+    return F.greatest(F.lit(1).cast("long"), F.floor(F.lit(ratio) * F.ceil(n / batch) * epochs))
+
+
 def warm_up_steps(n: int, *, batch: int = 32, epochs: int = 3, ratio: float = 0.1) -> int:
     return max(1, int(ratio * -(-n // batch) * epochs))

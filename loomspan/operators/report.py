@@ -30,6 +30,12 @@ def mean_deviation(metrics: DataFrame, columns: list[str]) -> DataFrame:
     return each.withColumn("shown", F.format_string("%.4f ± %.4f", "mean", "deviation"))
 
 
+def similarity_table(scores: DataFrame, key: str = "model") -> DataFrame:
+    """key, n, mean and population deviation of the scores of each model, and both as one text with four places. scores: key, score."""
+    each = scores.groupBy(key).agg(F.count("score").alias("n"), F.avg("score").alias("mean_similarity"), F.stddev_pop("score").alias("std_similarity"))
+    return each.withColumn("shown", F.format_string("%.4f ± %.4f", "mean_similarity", "std_similarity"))
+
+
 def time_similarity(metrics: DataFrame) -> DataFrame:
     """model, inference_time_ms, mean_similarity, fastest first: the points of a scatter chart."""
     return metrics.select("model", "inference_time_ms", "mean_similarity").orderBy("inference_time_ms", "model")

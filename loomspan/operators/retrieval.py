@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,8 +10,8 @@ from ..functions.running import sums_before
 from ..functions.vector import dot, norm, unit
 from ..staging import written
 
-#: Queries that are broadcast at most.
-ROUND = 4096
+#: Queries that are broadcast at most, and rows of a corpus that one block of more queries meets at once.
+ROUND, SPAN = 4096, 1 << 18
 
 
 def similarity(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -19,21 +19,36 @@ def similarity(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return pairs.withColumn("score", dot(F.col(a), F.col(b)) / (norm(F.col(a)) * norm(F.col(b))))
 
 
-def _meeting(corpus: DataFrame, queries: DataFrame, condition: Column) -> DataFrame:
-    """Every row of corpus with every query: queries are broadcast if a count shows that they are few, and else meet the corpus block by block, each pair of partitions in a task of its own."""
-    return corpus.join(F.broadcast(queries) if queries.count() <= ROUND else queries.hint("shuffle_replicate_nl"), condition)
+def _meeting(corpus: DataFrame, queries: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Every row of corpus with every query that is equal in `by`.
+
+    Queries are broadcast if a count shows that they are few. More are cut into
+    blocks of about ROUND, and the corpus into blocks of about SPAN rows; each
+    block of the one meets each of the other under a key of its own, in a join
+    on that key. So a task holds a block, and no two models meet.
+    """
+    on = F.lit(True)
+    for c in by:
+        on = on & corpus[c].eqNullSafe(queries[c])
+    asked = queries.count()
+    if asked <= ROUND:
+        return corpus.join(F.broadcast(queries), on).drop(*[queries[c] for c in by])
+    down, across = -(-asked // ROUND), max(1, -(-corpus.count() // SPAN))
+    blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    mine = queries.withColumn("down__", F.pmod(F.xxhash64("query_id"), F.lit(down)).cast("int")).withColumn("across__", blocks(across))
+    theirs = corpus.withColumn("across__", F.pmod(F.xxhash64("doc_id"), F.lit(across)).cast("int")).withColumn("down__", blocks(down))
+    return theirs.join(mine.hint("shuffle_hash"), [*by, "down__", "across__"]).drop("down__", "across__")
 
 
 def scored(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """query_id, doc_id, score of every query against every row of the corpus.
 
     queries: query_id, embedding; corpus: doc_id, embedding. Vectors are
-    brought to unit length once, then every score is a dot product. It is one
-    stage whatever the number of queries, and the corpus isn't dealt by a key.
+    brought to unit length once, then every score is a dot product.
     """
     q = queries.select("query_id", unit(F.col("embedding")).alias("q"))
     c = corpus.select("doc_id", unit(F.col("embedding")).alias("c"))
-    return _meeting(c, q, F.lit(True)).select("query_id", "doc_id", dot(F.col("q"), F.col("c")).alias("score"))
+    return _meeting(c, q).select("query_id", "doc_id", dot(F.col("q"), F.col("c")).alias("score"))
 
 
 def ranked(scores: DataFrame, k: int | None = None, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -61,8 +76,8 @@ def rank_contexts(query: DataFrame, contexts: DataFrame) -> DataFrame:
 def search_models(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
     """model, query_id, rank, doc_id, score: as retrieve(), within each model. queries and corpus also carry `model`."""
     q = queries.select("model", "query_id", unit(F.col("embedding")).alias("q"))
-    c = corpus.select(F.col("model").alias("m"), "doc_id", unit(F.col("embedding")).alias("c"))
-    met = _meeting(c, q, F.col("m") == F.col("model")).select("model", "query_id", "doc_id", dot(F.col("q"), F.col("c")).alias("score"))
+    c = corpus.select("model", "doc_id", unit(F.col("embedding")).alias("c"))
+    met = _meeting(c, q, ("model",)).select("model", "query_id", "doc_id", dot(F.col("q"), F.col("c")).alias("score"))
     return ranked(met, k, ("model", "query_id")).select("model", "query_id", "rank", "doc_id", "score")
 
 
@@ -81,27 +96,6 @@ def exported(results: DataFrame) -> DataFrame:
     return results.withColumn("score", F.round("score", 4))
 
 
-class Corpora:
-    """Corpora by name. Vectors are brought to unit length once, when a corpus is added, and kept as a table."""
-
-    def __init__(self) -> None:
-        self._held: dict[str, DataFrame] = {}
-
-    def add(self, name: str, corpus: DataFrame) -> None:
-        """corpus: embedding, and doc_id; without ids rows are called doc_0, doc_1 ... in order of the hash of their context. An empty corpus raises, and a known name is replaced."""
-        if corpus.isEmpty():
-            raise ValueError(f"corpus {name} is empty")
-        if "doc_id" not in corpus.columns:
-            corpus = numbered(corpus)
-        self._held[name] = written(corpus.select("doc_id", unit(F.col("embedding")).alias("embedding")), "corpus")
-
-    def names(self) -> list[str]:
-        return sorted(self._held)
-
-    def retrieve(self, name: str, queries: DataFrame, k: int = 10) -> DataFrame:
-        return retrieve(queries, self._held[name], k)
-
-
 def numbered(corpus: DataFrame) -> DataFrame:
     """corpus with doc_id from the order of its contexts' hashes: ranges of their hash are counted first, so nothing is sorted in one task."""
     ranged = corpus.withColumn("range__", F.conv(F.substring(F.md5("context"), 1, 5), 16, 10).cast("long"))

@@ -11,19 +11,25 @@ from pyspark.sql import functions as F
 from ..functions.running import sums_before
 from ..staging import written
 from .lexicon import Entry
+from .literals import with_needed
 
 
 def matches(docs: DataFrame, entries: Sequence[Entry], *, key: str = "doc_id") -> DataFrame:
     """key, label, label_ord, start, end, text of all matches of all patterns, overlaps included.
 
-    One scan applies every pattern. With m the matches and q the pieces between
-    them, match i starts where the first i pieces and the matches before it
-    end. Patterns mustn't match the empty string.
+    One scan applies every pattern, or, where entries know literals that they
+    need, just those that a text can match (see literals). With m the matches
+    and q the pieces between them, match i starts where the first i pieces and
+    the matches before it end. Patterns mustn't match the empty string.
     """
-    per_label = F.array(
-        *[F.struct(F.lit(e.label).alias("label"), F.lit(i).alias("label_ord"), F.regexp_extract_all("text", F.lit(e.pattern), F.lit(0)).alias("m"), F.split("text", e.pattern, -1).alias("q")) for i, e in enumerate(entries)]
-    )
-    long = docs.select(key, F.explode(per_label).alias("x")).where(F.size("x.m") > 0)
+    some = any(e.needs for e in entries)
+    texts = with_needed(docs.select(key, "text"), entries) if some else docs.select(key, "text")
+
+    def searched(i: int, e: Entry) -> Column:
+        found = F.struct(F.lit(e.label).alias("label"), F.lit(i).alias("label_ord"), F.regexp_extract_all("text", F.lit(e.pattern), F.lit(0)).alias("m"), F.split("text", e.pattern, -1).alias("q"))
+        return F.when(F.array_contains("needed__", i), found) if some else found
+
+    long = texts.select(key, F.explode(F.array(*[searched(i, e) for i, e in enumerate(entries)])).alias("x")).where(F.size("x.m") > 0)
     gaps = F.transform(F.slice("x.q", 1, F.size("x.m")), F.length)
     each = long.select(key, "x.label", "x.label_ord", F.posexplode(F.arrays_zip(F.col("x.m").alias("m"), gaps.alias("gap"))))
     w = W.partitionBy(key, "label_ord").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import first_date, first_number, sentences
+from ..staging import written
 from .retrieval import scored
 
 #: Countries and the names that count for each.
@@ -40,27 +43,54 @@ COUNTRIES: dict[str, str] = {
 SECTIONS = {"popu": "Population", "topic": "topic", "outcome": "outcome", "intervention": "intervention"}
 
 
-def _leaves(tree: dict, category: str, sub: str = "", field: str = "") -> Iterator[tuple[str, str, str, str, str]]:
-    for key, value in tree.items():
-        here = (category, sub or key, field or key)
-        if isinstance(value, dict):
-            yield from _leaves(value, *here)
-        elif isinstance(value, list):
-            for item in value:
-                pair = (item,) if isinstance(item, str) else item if isinstance(item, tuple) else ()
-                if len(pair) in (1, 2) and str(pair[0]).strip():
-                    yield (*here, str(pair[-1]).strip(), str(pair[0]).strip())
+def definition(spark: SparkSession, tree: dict[str, Any]) -> DataFrame:
+    """definition: one row with a nested dict as JSON; tuples become arrays."""
+    return spark.createDataFrame([(json.dumps(tree),)], "definition string")
 
 
-def tag_index(spark: SparkSession, tree: dict[str, Any]) -> DataFrame:
-    """tag_id, cat, sub, field, code, phrase of a nested definition.
+def tag_index(definitions: DataFrame, *, column: str = "definition", by: Sequence[str] = ()) -> DataFrame:
+    """by, tag_id, cat, sub, field, code, phrase, path of stored tag definitions: one JSON object a row, for each of `by` one.
 
-    A list's items are (phrase, code), (phrase,) or a phrase; others are left
-    out. Below a nested dict the first key on the way is both sub and field. A
-    category that is no dict is left out.
+    An object's keys are nodes, and an array's items are tags: a phrase,
+    [phrase] or [phrase, code]; others are left out, as are blank phrases,
+    arrays right below the top, and rows that don't parse. path has the keys
+    from the top, whose first is the category; the second is both sub and
+    field, however deep the tag lies. tag_id numbers a definition's tags from 0
+    in order of path and place. Depths may differ: the rows that are objects go
+    down a level at a time, until none is left.
     """
-    rows = [leaf for category, value in tree.items() if isinstance(value, dict) for leaf in _leaves(value, category)]
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "tag_id int, cat string, sub string, field string, code string, phrase string")
+    spark = definitions.sparkSession
+    is_a = lambda v, kind: F.startswith(F.schema_of_variant(v), F.lit(kind))
+    # parsed again on each level, since variants aren't kept in tables of all formats
+    nodes = definitions.select(*by, F.col(column).alias("json"), F.array().cast("array<string>").alias("path"))
+    lists = None
+    while True:
+        parsed = nodes.withColumn("v", F.try_parse_json("json")).where("v IS NOT NULL").where(is_a(F.col("v"), "OBJECT"))
+        below = parsed.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(*by, F.concat("path", F.array("key")).alias("path"), F.to_json("value").alias("json"), is_a(F.col("value"), "OBJECT").alias("object"), is_a(F.col("value"), "ARRAY").alias("list"))
+        below = written(below.where("object OR list"), "nodes")
+        here = below.where("list").where(F.size("path") > 1).select(*by, "path", "json")
+        lists = here if lists is None else lists.unionByName(here)
+        nodes = below.where("object").select(*by, "json", "path")
+        if nodes.isEmpty():
+            break
+    items = lists.withColumn("v", F.parse_json("json")).lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).where("value IS NOT NULL")
+    one, several = F.try_variant_get("value", "$", "string"), F.try_variant_get("value", "$", "array<string>")
+    pair = F.when(is_a(F.col("value"), "STRING"), F.array(one)).when(is_a(F.col("value"), "ARRAY") & (F.size(several) <= 2), several)
+    found = items.select(*by, "path", "pos", pair.alias("pair")).where(F.length(F.trim(F.get("pair", F.lit(0)))) > 0)
+    place = F.row_number().over(W.partitionBy(*by).orderBy("path", "pos")) - 1
+    return found.select(*by, place.alias("tag_id"), F.col("path")[0].alias("cat"), F.col("path")[1].alias("sub"), F.col("path")[1].alias("field"), F.trim(F.element_at("pair", -1)).alias("code"), F.trim(F.col("pair")[0]).alias("phrase"), "path")
+
+
+def rolled_up(scores: DataFrame, tags: DataFrame, *, by: Sequence[str] = (), key: str = "doc_id") -> DataFrame:
+    """key, node, score, tags, best: for each node above a tag the best score of any tag below it, their number, and the tag that has it, the first on ties.
+
+    scores: key, tag_id, score, and the columns `by` that tell definitions
+    apart; tags: from tag_index. node is the node's path.
+    """
+    prefixes = F.transform(F.sequence(F.lit(1), F.size("path")), lambda k: F.slice("path", 1, k))
+    above = tags.select(*by, "tag_id", F.explode(prefixes).alias("node"))
+    met = scores.join(above, [*by, "tag_id"])
+    return met.groupBy(key, "node").agg(F.max("score").alias("score"), F.count("*").alias("tags"), F.min_by("tag_id", F.struct(-F.col("score"), "tag_id")).alias("best"))
 
 
 def sentence_table(docs: DataFrame, *, key: str = "doc_id", longer_than: int = 20) -> DataFrame:

@@ -1,6 +1,6 @@
 """The catalog of queries over the driver's tables."""
 
-from . import document_queries, qa_queries, record_queries, span_queries, vector_queries  # noqa: F401
+from . import document_queries, qa_queries, record_queries, span_queries, stream_queries, vector_queries  # noqa: F401
 from .catalog import CATALOG
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import DATE_FORMS, chunks, first_date, first_number, preview
+from ..functions.dates import FORMS
+from ..functions.text import chunks, first_date, first_number, preview
 from ..operators import tagging
 from ..operators.entities import PROMPT_CHARACTERS
 from ..sources import files
@@ -72,7 +73,7 @@ _DATED = """text || CASE doc_id % 7 WHEN 0 THEN ' searched on 3 May 2021 and Jun
   WHEN 3 THEN ' 12-11-2016 or so' WHEN 4 THEN ' in march 1999' WHEN 5 THEN ' 1,240 studies' ELSE '' END"""
 
 
-@register(f"SELECT doc_id, coalesce({', '.join(f'''nullif(regexp_extract({_DATED}, '{p}'), '')''' for p in DATE_FORMS)}, 'Not specified') AS found FROM documents")
+@register(f"SELECT doc_id, coalesce({', '.join(f'''nullif(regexp_extract({_DATED}, '{p}'), '')''' for p in FORMS)}, 'Not specified') AS found FROM documents")
 def first_dates(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.expr(_DATED).alias("text")).select("doc_id", first_date(F.col("text")).alias("found"))
 

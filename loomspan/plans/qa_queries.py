@@ -38,6 +38,11 @@ def qa_select_spans(spark, sf_dir):
     return qa.chosen(_spans(spark, sf_dir)).select("doc_id", "label", F.col("start").alias("start_pos"), F.col("text").alias("span_text"))
 
 
+@register(f"{RES}, {_PICK} SELECT doc_id, label, start AS start_pos, text AS span_text FROM again WHERE again = 1")
+def qa_unique_answers(spark, sf_dir):
+    return qa.unique_texts(_spans(spark, sf_dir)).select("doc_id", "label", F.col("start").alias("start_pos"), F.col("text").alias("span_text"))
+
+
 @register(f"{RES}, {_PICK}, {_GROUPS} SELECT doc_id, label, n, first, answers FROM g WHERE n >= 2")
 def qa_groups(spark, sf_dir):
     g = qa.groups(qa.chosen(_spans(spark, sf_dir)), fewest=2)
@@ -61,7 +66,8 @@ SELECT count(*) AS n_pairs, count(DISTINCT doc_id) AS n_docs, round(count(*) / c
   count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'validation') AS n_validation, count(*) FILTER (split = 'test') AS n_test FROM s"""
 )
 def qa_dataset_statistics(spark, sf_dir):
-    return qa.dataset_statistics(qa.split(_pairs(spark, sf_dir))).withColumn("mean_pairs", F.round("mean_pairs", 6))
+    narrow = qa.placed_pairs(documents(spark, sf_dir).select("doc_id", "text"), _spans(spark, sf_dir)).select("id", "doc_id")
+    return qa.dataset_statistics(qa.split(narrow)).withColumn("mean_pairs", F.round("mean_pairs", 6))
 
 
 @register(
@@ -98,7 +104,7 @@ def qa_context(spark, sf_dir):
     low = F.least(F.length("text") - 1, F.col("doc_id") * 37 % 5000).cast("int")
     high = F.least(F.length("text"), F.col("doc_id") * 37 % 5000 + 100 + F.col("doc_id") * 91 % 5000).cast("int")
     one = docs.withColumn("answers", F.array(F.struct(low.alias("start"), F.substr("text", low + 1, high - low).alias("text"))))
-    start, end = qa.window_start(F.col("answers"), F.col("text"), 4000)
+    start, end = qa.window_start(F.col("answers"), F.length("text"), 4000)
     return one.select("doc_id", start.cast("long").alias("start_pos"), end.cast("long").alias("end_pos"))
 
 

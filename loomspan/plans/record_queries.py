@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..operators import encoders, entities, evaluation, qa, report, retrieval, spans, tagging
+from ..operators import corpora, encoders, entities, evaluation, qa, report, retrieval, spans, tagging
 from ..operators.lexicon import study_lexicon
 from ..sources import files
-from ..staging import shared_folder, written
+from ..staging import folder, written
 from .catalog import register
 from .qa_queries import _PAIRS, _pairs
 from .span_queries import E, RES, documents, found, spread
-from .vector_queries import _HITS, _MODELS, _TOP, _V, _compared, _corpus, _judged, _queries, _six, _vectors
+from .vector_queries import _HITS, _MODELS, _TOP, _V, _compared, _corpus, _judged, _queries, _searched, _six, _vectors
 
 #: A sentence for each label: what stands before, the phrase, what follows.
 SENTENCES = (
@@ -73,68 +71,115 @@ SENTENCES = (
     ("CI", "They gave ", "95% CI 0.30 to 0.62", " then."),
     ("PVALUE", "They gave ", "p < 0.001", " then."),
 )
-_ROWS = ", ".join(f"('{a}', '{b}', '{c}', '{d}')" for a, b, c, d in SENTENCES)
 
 
-@register(f"SELECT label, length(b) AS start_pos, length(b) + length(p) AS end_pos, p AS span_text FROM (VALUES {_ROWS}) t(label, b, p, a)")
+#: Each text is followed by the sentence of one label, told by the id.
+_PLANTED = "(VALUES " + ", ".join(f"({i}, " + ", ".join(f"'{x}'" for x in s) + ")" for i, s in enumerate(SENTENCES)) + ") t(k, label, b, p, a)"
+
+
+def _planted(docs, text="text"):
+    """docs with `text` and the label that was planted after it, whose sentence begins at `begin`."""
+    sentences = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(f". {b}{c}{d}").alias("said")) for a, b, c, d in SENTENCES])
+    said = docs.withColumn("s__", sentences[F.pmod("doc_id", F.lit(len(SENTENCES))).cast("int")])
+    return said.select("doc_id", F.concat(F.col(text), F.col("s__.said")).alias("text"), F.col("s__.label").alias("planted"), F.length(text).alias("begin"))
+
+
+@register(f"SELECT doc_id, label, length(text) + 2 + length(b) AS start_pos, length(text) + 2 + length(b) + length(p) AS end_pos, p AS span_text FROM documents JOIN {_PLANTED} ON k = doc_id % {len(SENTENCES)}")
 def study_labels(spark, sf_dir):
-    """Each of the 55 labels finds its phrase in a sentence of its own, and just there."""
-    rows = spark.createDataFrame([(a, b + c + d) for a, b, c, d in SENTENCES], "doc_id string, text string")
-    own = spans.matches(rows, study_lexicon()).where("doc_id = label")
-    return own.select("label", F.col("start").cast("long").alias("start_pos"), F.col("end").cast("long").alias("end_pos"), F.col("text").alias("span_text"))
+    """The study lexicon over whole documents, each with a sentence planted after it: the planted label's spans there."""
+    docs = _planted(spread(documents(spark, sf_dir).select("doc_id", "text")))
+    own = spans.matches(docs, study_lexicon()).join(docs.select("doc_id", "planted", "begin"), "doc_id").where("label = planted AND start >= begin")
+    return own.select("doc_id", "label", F.col("start").cast("long").alias("start_pos"), F.col("end").cast("long").alias("end_pos"), F.col("text").alias("span_text"))
 
 
 @register()
 def study_spans(spark, sf_dir):
-    """The study lexicon over whole documents. Its patterns look around, which SQL can't, so there is none."""
-    got = spans.resolved(spans.matches(spread(documents(spark, sf_dir).select("doc_id", "text")), study_lexicon()))
-    return got.select("doc_id", "label", F.col("start").cast("long").alias("start_pos"), F.col("end").cast("long").alias("end_pos"), F.col("text").alias("span_text"))
-
-
-TREE = {
-    "popu": {"age": [("older adults", "OLD"), ("children",), "infants"], "risk": {"high": {"x": ["smokers"]}, "low": [("none", "N")]}},
-    "topic": {"t": [("safety", "S"), ("cost", "C")]},
-    "flat": ["no dict, so left out"],
-}
+    """The study lexicon over whole documents and pages, each with a planted sentence. Its patterns look around, which SQL can't, so there is none."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    both = documents(spark, sf_dir).select("doc_id", "text"), pages
+    parts = [spans.resolved(spans.matches(_planted(spread(d)), study_lexicon())).withColumn("kind", F.lit(kind)) for d, kind in zip(both, ("document", "page"), strict=True)]
+    got = parts[0].unionByName(parts[1])
+    return got.select("kind", "doc_id", "label", F.col("start").cast("long").alias("start_pos"), F.col("end").cast("long").alias("end_pos"), F.col("text").alias("span_text"))
+
+
+#: A definition for each document: its longer words under its source and language, at a depth that depends on the id, besides items that are no phrases.
+_DEFINITION = """CASE doc_id % 3 WHEN 0 THEN '{"popu": {"' || source || '": ' || l || '}, "flat": ' || l || '}'
+  WHEN 1 THEN '{"topic": {"z": ["zz"], "' || lang || '": {"' || source || '": {"x": ' || l || ', "w": [" a ", ["", "b"]]}}}, "n": 5}'
+  ELSE '{"outcome": {"b": {"' || source || '": [["p"], ["p", "q", "r"], 5, null, {"k": ["v"]}]}, "a": ' || l || '}, "popu": {"' || lang || '": {}}}' END AS definition"""
+_TREE_WORDS = "SELECT doc_id, coalesce(source, 'none') AS source, coalesce(lang, 'none') AS lang, text, '[' || array_to_string(list_transform(list_sort(list_distinct(regexp_extract_all(text, '[a-z]{9,}'))), lambda x: CASE WHEN length(x) % 2 = 0 THEN '[\"' || x || '\", \"C' || length(x) || '\"]' ELSE '\"' || x || '\"' END), ', ') || ']' AS l FROM documents"
+_TREE = f"""WITH RECURSIVE w AS ({_TREE_WORDS}), d AS (SELECT doc_id, text, {_DEFINITION} FROM w),
+t AS (SELECT doc_id, definition::JSON AS v, []::VARCHAR[] AS path FROM d
+  UNION ALL SELECT doc_id, json_extract(v, '$."' || k || '"'), list_append(path, k) FROM (SELECT *, unnest(json_keys(v)) AS k FROM t WHERE json_type(v) = 'OBJECT')),
+i AS (SELECT doc_id, path, unnest(range(CAST(json_array_length(v) AS BIGINT))) AS n, v FROM t WHERE json_type(v) = 'ARRAY' AND len(path) > 1),
+x AS (SELECT doc_id, path, n, json_extract(v, '$[' || n || ']') AS x FROM i),
+p AS (SELECT doc_id, path, n, CASE WHEN json_type(x) = 'VARCHAR' THEN [x->>'$'] WHEN json_type(x) = 'ARRAY' AND json_array_length(x) <= 2 THEN CAST(x AS VARCHAR[]) ELSE [] END AS pair FROM x),
+leaf AS (SELECT doc_id, path, row_number() OVER (PARTITION BY doc_id ORDER BY path, n) - 1 AS tag_id, trim(pair[len(pair)]) AS code, trim(pair[1]) AS phrase FROM p WHERE trim(coalesce(pair[1], '')) <> '')"""
+
+
+def _tree(spark, sf_dir):
+    words = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]{9,}"), F.lit(0))))
+    quoted = lambda *x: F.concat(F.lit('"'), *x, F.lit('"'))
+    items = F.transform(words, lambda w: F.when(F.length(w) % 2 == 0, F.concat(F.lit("["), quoted(w), F.lit(", "), quoted(F.lit("C"), F.length(w).cast("string")), F.lit("]"))).otherwise(quoted(w)))
+    listed = F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
+    w = documents(spark, sf_dir).select("doc_id", F.coalesce("source", F.lit("none")).alias("source"), F.coalesce("lang", F.lit("none")).alias("lang"), "text", listed.alias("l"))
+    given = w.select("doc_id", "text", F.expr(_DEFINITION))
+    return tagging.tag_index(given.select("doc_id", "definition"), by=["doc_id"]), given
+
+
+@register(f"{_TREE} SELECT doc_id, tag_id, path[1] AS cat, path[2] AS sub, path[2] AS field, code, phrase, len(path) AS depth FROM leaf")
+def tag_tree(spark, sf_dir):
+    """Tag definitions that are stored as JSON, of any depth."""
+    return _tree(spark, sf_dir)[0].select("doc_id", F.col("tag_id").cast("long").alias("tag_id"), "cat", "sub", "field", "code", "phrase", F.size("path").cast("long").alias("depth"))
 
 
 @register(
-    """SELECT * FROM (VALUES (0, 'popu', 'age', 'age', 'OLD', 'older adults'), (1, 'popu', 'age', 'age', 'children', 'children'), (2, 'popu', 'age', 'age', 'infants', 'infants'),
-(3, 'popu', 'risk', 'risk', 'smokers', 'smokers'), (4, 'popu', 'risk', 'risk', 'N', 'none'), (5, 'topic', 't', 't', 'S', 'safety'), (6, 'topic', 't', 't', 'C', 'cost')) v(tag_id, cat, sub, field, code, phrase)"""
+    f"""{_TREE}, s AS (SELECT leaf.*, (length(text) - length(replace(text, phrase, ''))) // length(phrase) AS score FROM leaf JOIN d USING (doc_id)),
+u AS (SELECT doc_id, tag_id, score, array_to_string(path[1:k], '/') AS node FROM s, unnest(range(1, len(path) + 1)) AS r(k))
+SELECT doc_id, node, CAST(max(score) AS BIGINT) AS score, count(*) AS tags, arg_min(tag_id, (-score, tag_id)) AS best FROM u GROUP BY doc_id, node"""
 )
-def tag_tree(spark, sf_dir):
-    return tagging.tag_index(spark, TREE)
+def tag_rollup(spark, sf_dir):
+    """How often the phrases of a document's tags stand in it, rolled up to every node above them."""
+    tags, given = _tree(spark, sf_dir)
+    times = F.floor((F.length("text") - F.length(F.replace("text", F.col("phrase"), F.lit("")))) / F.length("phrase"))
+    scores = tags.join(given.select("doc_id", "text"), "doc_id").select("doc_id", "tag_id", times.alias("score"))
+    up = tagging.rolled_up(scores, tags, by=["doc_id"], key="doc_id")
+    return up.select("doc_id", F.array_join("node", "/").alias("node"), "score", "tags", F.col("best").cast("long").alias("best"))
+
 
+_LABEL = "upper(concat_ws('_', lang, source, 'SIZE'))"
 
-@register("SELECT label, 'What is the ' || lower(replace(label, '_', ' ')) || '?' AS question FROM (VALUES " + ", ".join(f"('{e.label}')" for e in study_lexicon()) + ") v(label)")
+
+@register(f"SELECT label, 'What is the ' || lower(replace(label, '_', ' ')) || '?' AS question, n FROM (SELECT {_LABEL} AS label, count(*) AS n FROM documents GROUP BY 1)")
 def default_questions(spark, sf_dir):
-    labels = spark.createDataFrame([(e.label,) for e in study_lexicon()], "label string")
-    return labels.withColumn("question", qa.default_question(F.col("label")))
+    """The question for each label that has no template: labels made of the documents' languages and sources."""
+    labels = documents(spark, sf_dir).groupBy(F.expr(_LABEL).alias("label")).agg(F.count("*").alias("n"))
+    return labels.select("label", qa.default_question(F.col("label")).alias("question"), "n")
 
 
-@register("SELECT n, greatest(1, CAST(floor(0.1::DOUBLE * ceil(n / 32.0::DOUBLE) * 3) AS BIGINT)) AS steps FROM (VALUES (0), (5), (320), (3200), (100000)) v(n)")
+@register("SELECT source, n, greatest(1, CAST(floor(0.1::DOUBLE * ceil(n / 32.0::DOUBLE) * 3) AS BIGINT)) AS steps, greatest(1, CAST(floor(0.25::DOUBLE * ceil(n / 4.0::DOUBLE) * 10) AS BIGINT)) AS more FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)")
 def warm_up(spark, sf_dir):
-    return spark.createDataFrame([(n, qa.warm_up_steps(n)) for n in (0, 5, 320, 3200, 100_000)], "n int, steps long")
+    """Steps of warming up where the documents of a source are the examples."""
+    n = documents(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"))
+    return n.select("source", "n", qa.warm_up(F.col("n")).alias("steps"), qa.warm_up(F.col("n"), batch=4, epochs=10, ratio=0.25).alias("more"))
 
 
-@register("SELECT a, b, c, round(CASE WHEN abs(a + b + c - 1) <= 0.01 THEN a ELSE a / (a + b + c) END, 6) AS train FROM (VALUES (0.7::DOUBLE, 0.15::DOUBLE, 0.15::DOUBLE), (1.4, 0.3, 0.3), (2.0, 1.0, 1.0)) v(a, b, c)")
+@register("WITH c AS (SELECT source, count(*) FILTER (lang = 'en') / 100.0::DOUBLE AS a, count(*) FILTER (lang = 'fr') / 100.0::DOUBLE AS b, count(*) FILTER (lang NOT IN ('en', 'fr')) / 100.0::DOUBLE AS c FROM documents GROUP BY source), s AS (SELECT *, a + b + c AS t FROM c) SELECT source, " + ", ".join(f"round(CASE WHEN abs(t - 1) <= 0.01 THEN {x} WHEN t <> 0 THEN {x} / t END, 6) AS {y}" for x, y in zip("abc", ("train", "validation", "test"), strict=True)) + " FROM s")
 def split_ratios(spark, sf_dir):
-    given = [(0.7, 0.15, 0.15), (1.4, 0.3, 0.3), (2.0, 1.0, 1.0)]
-    return spark.createDataFrame([(*g, round(qa.ratios(*g)[0], 6)) for g in given], "a double, b double, c double, train double")
-
-
-def _folder(spark, name):
-    return f"{shared_folder(spark)}/loomspan-{name}-{uuid.uuid4().hex}"
+    """Shares of a split, brought to a sum of 1: here those of three groups of languages within each source."""
+    share = lambda c: F.count(F.when(c, 1)) / 100.0
+    lang = F.col("lang")
+    given = documents(spark, sf_dir).groupBy("source").agg(share(lang == "en").alias("train"), share(lang == "fr").alias("validation"), share(~lang.isin("en", "fr")).alias("test"))
+    return _six(qa.with_ratios(given, "train", "validation", "test"), "train", "validation", "test")
 
 
 @register(f"{RES}, c AS (SELECT doc_id, count(*) AS n, count(DISTINCT label) AS labels FROM res GROUP BY doc_id) SELECT CAST(d.doc_id AS VARCHAR) AS doc_id, coalesce(n, 0) AS n_spans, coalesce(labels, 0) AS n_labels, md5(text) AS hash, length(text) AS file_size, least(length(text), 2003) AS preview_length FROM documents d LEFT JOIN c USING (doc_id) WHERE regexp_replace(text, '\\s+', '', 'g') <> ''")
 def extraction_files(spark, sf_dir):
     """Extractions written as JSON lines, written again with resume (which adds nothing), and read."""
-    docs, folder = documents(spark, sf_dir).select("doc_id", "text"), _folder(spark, "extractions")
+    docs, place = documents(spark, sf_dir).select("doc_id", "text"), folder(spark, "extractions")
     records = spans.records(docs, found(spark, sf_dir))
-    files.append_extractions(records, folder)
-    files.append_extractions(records, folder)
-    rows = files.extraction_rows(spark, folder)
+    files.append_extractions(records, place)
+    files.append_extractions(records, place)
+    rows = files.extraction_rows(spark, place)
     long = lambda c: F.col(c).cast("long")
     return rows.select("doc_id", F.size("spans").cast("long").alias("n_spans"), long("metadata.total_labels_found").alias("n_labels"), "metadata.hash", long("metadata.file_size").alias("file_size"), F.length("text").cast("long").alias("preview_length"))
 
@@ -157,9 +202,9 @@ f AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY id) AS k FROM s)
 )
 def qa_split_samples(spark, sf_dir):
     """The dataset written by split as JSON lines, read again, and the first hundred rows of each split."""
-    folder = _folder(spark, "dataset")
-    files.write_splits(qa.split(_pairs(spark, sf_dir)), folder)
-    return files.split_samples(spark.read.json(folder)).select("id", "split", "question", F.size("answers").cast("long").alias("n_answers"))
+    place = folder(spark, "dataset")
+    files.write_splits(qa.split(_pairs(spark, sf_dir)), place)
+    return files.split_samples(spark.read.json(place)).select("id", "split", "question", F.size("answers").cast("long").alias("n_answers"))
 
 
 _LINES = """CASE doc_id % 4 WHEN 0 THEN '{"id": "' || doc_id || '", "question": "q?", "context": "alpha beta", "answers": {"text": ["beta"], "answer_start": [6]}, "metadata": {"entity_label": "L' || doc_id % 3 || '"}}'
@@ -224,12 +269,17 @@ def ir_equal_text(spark, sf_dir):
     return marks.join(n, "query_id").select("query_id", "rank", "hit", "n")
 
 
-@register(f"{_TOP} SELECT query_id, rank, doc_id, round(score, 4) AS score FROM r WHERE rank <= 3")
+@register(
+    f"""{_TOP.replace("SELECT q.vec_id AS query_id", "SELECT CASE WHEN c.label % 2 = 0 THEN 'even' ELSE 'odd' END AS name, q.vec_id AS query_id").replace("PARTITION BY query_id", "PARTITION BY name, query_id").replace("doc_id)", "CAST(doc_id AS VARCHAR))")}
+SELECT name, query_id, rank, CAST(doc_id AS VARCHAR) AS doc_id, round(score, 4) AS score FROM r WHERE rank <= 3 AND name IS NOT NULL"""
+)
 def corpus_search(spark, sf_dir):
-    """A named corpus, normalised once, searched and exported with rounded scores."""
-    corpora = retrieval.Corpora()
-    corpora.add("all", _corpus(spark, sf_dir).select("doc_id", "embedding").where(F.exists("embedding", lambda x: x != 0)))
-    return retrieval.exported(corpora.retrieve("all", _queries(spark, sf_dir), 3)).withColumn("rank", F.col("rank").cast("long"))
+    """Two stored corpora, opened again in another session, searched there, and exported with rounded scores."""
+    store = folder(spark, "corpora")
+    for name, rest in (("even", 0), ("odd", 1), ("unused", 0)):
+        corpora.Corpora(spark, store).add(name, _corpus(spark, sf_dir).where(f"label % 2 = {rest}"))
+    found = corpora.Corpora(spark.newSession(), store).retrieve(_queries(spark, sf_dir), "even", "odd", k=3)
+    return retrieval.exported(found).withColumn("rank", F.col("rank").cast("long"))
 
 
 @register(r"SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '')) AS BIGINT) AS words, CAST(length(text) AS BIGINT) AS n FROM (SELECT doc_id, regexp_replace(text, '[^ -~]', ' ', 'g') AS text FROM documents)")
@@ -249,9 +299,27 @@ def _counter():
 MODELS = [encoders.ModelConfig(f"m{d}", f"example/m{d}", p, 512, c, f"{d} dimensions") for d, p, c in ((16, "cls", "small"), (32, "mean", "small"), (64, "mean", "large"))]
 
 
-@register("SELECT 'm' || d AS key, 'example/m' || d AS hf_name, p AS pooling, 512 AS max_seq_length, c AS category, d || ' dimensions' AS description FROM (VALUES (16, 'cls', 'small'), (32, 'mean', 'small'), (64, 'mean', 'large')) v(d, p, c)")
+@register(
+    "WITH m(key, hf_name, pooling, category, k) AS (VALUES ('m16', 'example/m16', 'cls', 'small', 0), ('m32', 'example/m32', 'mean', 'small', 1), ('m64', 'example/m64', 'mean', 'large', 2)) "
+    "SELECT key, hf_name, pooling, category, count(*) AS n, CAST(min(vec_id) AS BIGINT) AS first FROM embeddings JOIN m ON k = label % 3 GROUP BY ALL"
+)
 def model_registry(spark, sf_dir):
-    return encoders.registry(spark, MODELS)
+    """Vectors look up the model that their label stands for."""
+    key = F.element_at(F.array(*[F.lit(m.key) for m in MODELS]), (F.col("label") % 3 + 1).cast("int"))
+    v = _vectors(spark, sf_dir).select("vec_id", key.alias("key")).join(encoders.registry(spark, MODELS), "key")
+    return v.groupBy("key", "hf_name", "pooling", "category").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
+
+
+@register(
+    "WITH s AS (SELECT vec_id // 5 AS seq, vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS place FROM embeddings), "
+    "p AS (SELECT seq, place, arg_min(x, vec_id) AS c, avg(x) AS m FROM s GROUP BY seq, place) SELECT seq, round(sum(c * place), 4) AS cls, round(sum(m * place), 4) AS mean, count(*) AS dims FROM p GROUP BY seq"
+)
+def pooled_vectors(spark, sf_dir):
+    """One vector for five that stand for a sequence's tokens, by both ways of pooling; each is shown by a weighted sum of its components."""
+    v = _vectors(spark, sf_dir)
+    seq = v.groupBy(F.floor(F.col("vec_id") / 5).alias("seq")).agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias("tokens"))
+    shown = lambda how: F.round(F.aggregate(F.transform(encoders.pooled(F.col("tokens"), how), lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda s, x: s + x), 4)
+    return seq.select("seq", shown("cls").alias("cls"), shown("mean").alias("mean"), F.size(encoders.pooled(F.col("tokens"), "mean")).cast("long").alias("dims"))
 
 
 _TIMES = "k AS (SELECT model, avg_score AS mean_similarity, max_score, CAST(substr(model, 2) AS BIGINT) * 1000000 AS params, CAST(substr(model, 2) AS DOUBLE) / 3 AS inference_time_ms, CAST(substr(model, 2) AS DOUBLE) / 7 AS model_size_mb FROM m)"
@@ -287,13 +355,43 @@ def report_transposed(spark, sf_dir):
 @register(f"WITH {E} SELECT label, count(*) AS n, 'q' || label AS chart FROM e GROUP BY label")
 def report_files(spark, sf_dir):
     """A report table written as JSON and CSV files, and read again from the latter."""
-    folder = _folder(spark, "report")
-    files.write_report(found(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n")).withColumn("chart", F.concat(F.lit("q"), F.col("label"))), folder)
-    return spark.read.schema("label string, n long, chart string").option("header", True).csv(f"{folder}/csv")
+    place = folder(spark, "report")
+    files.write_report(found(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n")).withColumn("chart", F.concat(F.lit("q"), F.col("label"))), place)
+    return spark.read.schema("label string, n long, chart string").option("header", True).csv(f"{place}/csv")
+
+
+#: What is said of countries after each text, by the id: fixed values where the names are.
+_ABROAD = ("germany, USA; the US and us. South Africa. Indiana", "England and the United Kingdom", "nowhere", "united states, CHINA, china")
+_NAMES = ", ".join("('" + c + "', [" + ", ".join(f"' {x.replace(' ', '  ')} '" for x in p.lower().split("|")) + "])" for c, p in tagging.COUNTRIES.items())
 
 
-@register("SELECT * FROM (VALUES (1, 'USA', 3), (1, 'Germany', 1), (1, 'South Africa', 1), (2, 'UK', 2)) v(doc_id, country, n)")
+@register(
+    "WITH d AS (SELECT doc_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(text || '. ' || CASE doc_id % 4 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_ABROAD)) + r""" END), '[^\pL\pN_]+'), lambda x: x <> ''), '  ') || ' ' AS t FROM documents),
+p(country, names) AS (VALUES """
+    + _NAMES
+    + "), n AS (SELECT doc_id, country, list_sum(list_transform(names, lambda x: (length(t) - length(replace(t, x, ''))) // length(x))) AS n FROM d, p) SELECT doc_id, country, CAST(n AS BIGINT) AS n FROM n WHERE n > 0"
+)
 def country_names(spark, sf_dir):
-    """The countries' own names, over literal texts, since the documents name none."""
-    docs = spark.createDataFrame([(1, "germany, USA; the us and us. South Africa. Indiana"), (2, "England and the United Kingdom"), (3, "nowhere")], "doc_id int, text string")
-    return tagging.country_counts(docs)
+    """The countries' own names in whole documents, each with a line about countries after it."""
+    said = F.element_at(F.array(*map(F.lit, _ABROAD)), (F.col("doc_id") % len(_ABROAD) + 1).cast("int"))
+    docs = spread(documents(spark, sf_dir).select("doc_id", F.concat("text", F.lit(". "), said).alias("text")))
+    return tagging.country_counts(docs).withColumn("n", F.col("n").cast("long"))
+
+
+@register(f"{_MODELS} SELECT model, count(*) AS n, round(avg(score), 6) AS mean_similarity, round(stddev_pop(score), 6) AS std_similarity FROM t GROUP BY model")
+def report_similarity(spark, sf_dir):
+    """Mean and deviation of the similarities by model."""
+    return _six(report.similarity_table(_searched(spark, sf_dir)).drop("shown"), "mean_similarity", "std_similarity")
+
+
+_QA_LINES = """CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN '{broken' WHEN 2 THEN '{"id": "' || doc_id || '", "question": "q", "context": ""}'
+  WHEN 3 THEN '{"question": "q' || doc_id || '", "context": "c' || n_chars || '"}' ELSE '{"id": "' || doc_id || '", "doc_id": "' || source || '", "question": "q", "context": "' || md5(text) || '"}' END"""
+
+
+@register("SELECT CASE doc_id % 5 WHEN 4 THEN CAST(doc_id AS VARCHAR) ELSE '' END AS id, CASE doc_id % 5 WHEN 4 THEN source ELSE '' END AS doc_id, CASE doc_id % 5 WHEN 3 THEN 'q' || doc_id ELSE 'q' END AS question, CASE doc_id % 5 WHEN 3 THEN 'c' || n_chars ELSE md5(text) END AS context, (SELECT least(250, count(*)) FROM documents WHERE doc_id % 5 >= 3) AS capped FROM documents WHERE doc_id % 5 >= 3")
+def qa_rows_read(spark, sf_dir):
+    """A dataset's lines, some of them blank, broken or without a field, read with defaults; and how many rows a bound of 250 leaves."""
+    place = folder(spark, "lines")
+    documents(spark, sf_dir).select(F.expr(_QA_LINES).alias("value")).write.text(place)
+    rows = files.qa_rows(spark, place).select("id", "doc_id", "question", "context")
+    return rows.join(F.broadcast(files.qa_rows(spark, place, 250).agg(F.count("*").alias("capped"))), F.lit(True))

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import entities, spans
 from ..operators.lexicon import GENERIC, dimension
-from ..staging import shared_folder
+from ..staging import folder
 from ..streaming.incremental import document_stream, extract_stream
 from .catalog import register
 
@@ -159,8 +157,8 @@ def llm_json_extract(spark, sf_dir):
 @register(f"{RES} SELECT {OUT} FROM res")
 def stream_spans(spark, sf_dir):
     """The resolved spans again, by way of a file stream."""
-    folder = f"{shared_folder(spark)}/loomspan-stream-{uuid.uuid4().hex}"
+    place = folder(spark, "stream")
     # a pattern, because a stream source takes a plain path for a folder, and the table may be one file
     docs = document_stream(spark, f"{sf_dir}/documents.parque[t]", documents(spark, sf_dir).schema).select("doc_id", "text")
-    extract_stream(docs, GENERIC, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return _out(spark.read.parquet(f"{folder}/out"))
+    extract_stream(docs, GENERIC, f"{place}/out", f"{place}/checkpoint").awaitTermination()
+    return _out(spark.read.parquet(f"{place}/out"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import DATE_FORMS
-from ..operators import evaluation, report, retrieval, spans, tagging
+from ..functions.dates import FORMS
+from ..operators import bounds, evaluation, quantiles, report, retrieval, spans, tagging
 from ..operators.lexicon import GENERIC, dimension
 from ..staging import written
 from .catalog import register
@@ -61,6 +61,26 @@ def similarity_stats(spark, sf_dir):
     return _six(s, *s.columns)
 
 
+_CUTS = (0.05, 0.25, 0.5, 0.75, 0.95)
+
+
+@register(
+    f"WITH p AS ({_PAIR.replace('a.vec_id AS query_id', 'a.label, a.vec_id AS query_id').replace('round(list_dot_product(a.e, b.e), 6)', 'list_dot_product(a.e, b.e)')}), q AS (SELECT label, count(*) AS n, quantile_cont(score, [{', '.join(map(str, _CUTS))}]) AS v FROM p GROUP BY label) "
+    f"SELECT label, unnest([{', '.join(f'{c}::DOUBLE' for c in _CUTS)}]) AS at, n, round(unnest(v), 6) AS quantile FROM q"
+)
+def similarity_quantiles(spark, sf_dir):
+    """The distribution of the pairs' similarities by the label of the first."""
+    labels = _vectors(spark, sf_dir).select(F.col("vec_id").alias("query_id"), "label")
+    scores = written(_pairs(spark, sf_dir).where("score is not null").join(labels, "query_id").select("label", "score"), "scores")
+    return _six(quantiles.quantiles(scores, _CUTS, by=["label"], column="score"), "quantile")
+
+
+@register("SELECT lang, source, unnest([0.1::DOUBLE, 0.5, 0.99]) AS at, n, unnest(v) AS quantile FROM (SELECT lang, source, count(n_chars) AS n, quantile_cont(n_chars, [0.1, 0.5, 0.99]) AS v FROM documents GROUP BY lang, source HAVING count(n_chars) > 0)")
+def length_quantiles(spark, sf_dir):
+    """Lengths of documents by language and source."""
+    return _six(quantiles.quantiles(documents(spark, sf_dir).select("lang", "source", "n_chars"), [0.1, 0.5, 0.99], by=["lang", "source"], column="n_chars"), "quantile")
+
+
 @register(f"{_TOP.replace(_Q, 'q.vec_id = 0')} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 10")
 def topk(spark, sf_dir):
     return _ranks(retrieval.retrieve(_queries(spark, sf_dir).where("query_id = 0"), _corpus(spark, sf_dir)))
@@ -71,6 +91,18 @@ def topk_batch(spark, sf_dir):
     return _ranks(retrieval.retrieve(_queries(spark, sf_dir), _corpus(spark, sf_dir)))
 
 
+@register(f"{_TOP} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 10")
+def topk_bounded(spark, sf_dir):
+    """topk_batch by way of clusters that are ruled out."""
+    return _ranks(bounds.Clustered(_corpus(spark, sf_dir)).nearest(_queries(spark, sf_dir))[0])
+
+
+@register(f"{_TOP} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r WHERE score >= 0.3")
+def search_above(spark, sf_dir):
+    """All rows at or above a score, however many, by way of clusters that are ruled out."""
+    return _ranks(retrieval.ranked(bounds.Clustered(_corpus(spark, sf_dir)).above(_queries(spark, sf_dir), 0.3)[0]))
+
+
 @register(f"{_TOP} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 10 AND score >= 0.3")
 def search_threshold(spark, sf_dir):
     return _ranks(retrieval.search(_queries(spark, sf_dir), _corpus(spark, sf_dir), 10, 0.3))
@@ -272,7 +304,7 @@ _COUNTRY = "WITH p(country, words) AS (VALUES " + ", ".join(f"('{c}', ['{w.repla
 n AS (SELECT doc_id, country, len(list_filter(l, lambda x: list_contains(words, x))) AS n FROM t, p),
 c AS (SELECT doc_id, string_agg(country || '=' || n, ',' ORDER BY n DESC, country) AS countries FROM n WHERE n > 0 GROUP BY doc_id),
 k AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS topics FROM e GROUP BY doc_id)
-SELECT d.doc_id, coalesce({", ".join(f"nullif(regexp_extract({_DATED}, '{p}'), '')" for p in DATE_FORMS)}, 'Not specified') AS date,
+SELECT d.doc_id, coalesce({", ".join(f"nullif(regexp_extract({_DATED}, '{p}'), '')" for p in FORMS)}, 'Not specified') AS date,
 coalesce(nullif(regexp_extract({_DATED}, '\b([0-9]+)\b', 1), ''), 'Not specified') AS number, coalesce(topics, '') AS topics, coalesce(countries, '') AS countries
 FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)"""
 )

@@ -28,6 +28,13 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, which goes at interpreter exit with all that it holds."""
+    path = f"{shared_folder(spark)}/loomspan-{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet below the shared folder and read it back.
 
@@ -35,8 +42,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     from running the same work twice. Folders go at interpreter exit.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/loomspan-{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
+    path = folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

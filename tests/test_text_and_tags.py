@@ -48,6 +48,11 @@ def test_sentences_split_decimals_and_drop_short_ones(spark):
         ("in may 2019", "may 2019"),
         ("2020-01-05 or 1/2/2021", "2020-01-05"),
         ("at 01/02/2017", "01/02/2017"),
+        ("5th of Mayor 2019, Marching 1999, Decibel 2001", "Not specified"),
+        ("room 12/34 in 2019-2020", "Not specified"),
+        ("by sept. 5th, 2018", "sept. 5th, 2018"),
+        ("on 3 May 1821 or 12 Oct 2021", "Oct 2021"),
+        ("on 12-11-2016x and 2016-11-12", "2016-11-12"),
         ("none", "Not specified"),
     ],
 )
@@ -69,7 +74,8 @@ def test_tag_tree(spark):
         "popu": {"age": [("older adults", "OLD"), ("child",), "infant", ("a", "b", "c"), None], "risk": {"high": {"x": ["smoker"]}, "low": [("none", "N")]}},
         "flat": ["ignored"],
     }
-    got = [tuple(r) for r in tagging.tag_index(spark, tree).orderBy("tag_id").collect()]
+    found = tagging.tag_index(tagging.definition(spark, tree))
+    got = [tuple(r) for r in found.drop("path").orderBy("tag_id").collect()]
     assert got == [
         (0, "popu", "age", "age", "OLD", "older adults"),
         (1, "popu", "age", "age", "child", "child"),
@@ -79,6 +85,15 @@ def test_tag_tree(spark):
     ]
 
 
+def test_tags_of_many_definitions(spark):
+    rows = [(1, '{"a": {"b": {"c": {"d": ["x", ["y", "Y"]]}}, "e": []}}'), (2, "broken {"), (3, None), (4, "[1]"), (5, '{"a": {"b": ["x", " "]}, "A": {"k": ["z"]}}')]
+    tags = tagging.tag_index(spark.createDataFrame(rows, "def_id int, definition string"), by=["def_id"])
+    assert sorted((r.def_id, r.tag_id, r.cat, r.sub, r.code, len(r.path)) for r in tags.collect()) == [(1, 0, "a", "b", "x", 4), (1, 1, "a", "b", "Y", 4), (5, 0, "A", "k", "z", 2), (5, 1, "a", "b", "x", 2)]
+    scores = spark.createDataFrame([("p", 1, 0, 0.5), ("p", 1, 1, 0.5), ("q", 5, 1, 0.1), ("q", 5, 0, 0.9)], "doc_id string, def_id int, tag_id int, score double")
+    up = {(r.doc_id, "/".join(r.node)): (r.score, r.tags, r.best) for r in tagging.rolled_up(scores, tags, by=["def_id"]).collect()}
+    assert up == {("p", "a"): (0.5, 2, 0), ("p", "a/b"): (0.5, 2, 0), ("p", "a/b/c"): (0.5, 2, 0), ("p", "a/b/c/d"): (0.5, 2, 0), ("q", "A"): (0.9, 1, 0), ("q", "A/k"): (0.9, 1, 0), ("q", "a"): (0.1, 1, 1), ("q", "a/b"): (0.1, 1, 1)}
+
+
 def test_records_from_tags(spark):
     tags = spark.createDataFrame([(0, "popu", "age", "A"), (1, "popu", "age", "A"), (2, "popu", "age", "B"), (3, "other", "z", "Z"), (4, "topic", "t", "T")], "tag_id int, cat string, sub string, code string")
     scores = spark.createDataFrame([(1, 0, 0.9), (1, 1, 0.9), (1, 2, 0.65), (1, 3, 0.9), (1, 4, 0.64)], "doc_id int, tag_id int, score double")
