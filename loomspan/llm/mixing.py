@@ -10,10 +10,11 @@ hash, and a larger budget only raises the threshold, so mixes are nested.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.running import ordered
 from .common import word_count, written
 
 HASH_BITS = 60
@@ -25,10 +26,14 @@ MOST = 3
 FEW = 100_000
 
 
+def _hash(doc_id: Column, text: Column) -> Column:
+    key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size and hash of each row. The hash depends on id and text, so equal rows share it."""
-    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("text", F.lit("")))
-    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long").alias("hash"))
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _hash(F.col("doc_id"), F.col("text")).alias("hash"))
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -37,23 +42,26 @@ def targets(sizes: DataFrame) -> DataFrame:
     Sources in code-point order (null last) weigh 1, 2, 3, repeating. A target
     stops at MOST times the source's size and the excess goes to the others by
     weight. In order of cap over weight the capped sources come first, so one
-    running sum over the small table of sources finds the common level.
+    running sum over sources finds the common level. Sources may be many: their
+    order and sums are taken in ranges.
     """
-    order = W.orderBy(F.col("source").asc_nulls_last())
+    by_name = F.col("source").asc_nulls_last()
     sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    weighed = sums.select("source", "source_size", (F.pmod(F.row_number().over(order) - 1, F.lit(3)) + 1).cast("double").alias("weight"), (F.lit(float(MOST)) * F.col("source_size")).alias("cap"))
-    by_cap = W.orderBy((F.col("cap") / F.col("weight")), F.col("source").asc_nulls_last())
-    before = by_cap.rowsBetween(W.unboundedPreceding, -1)
-    everything = W.orderBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    levelled = weighed.withColumn("level", level)
+    weight = (F.pmod(F.col("place") - 1, F.lit(3)) + 1).cast("double")
+    weighed = ordered(sums, [by_name]).select("source", "source_size", weight.alias("weight"), (F.lit(float(MOST)) * F.col("source_size")).alias("cap"))
+    weighed = weighed.withColumn("at", F.col("cap") / F.col("weight"))
+    levelled = written(ordered(weighed, [F.col("at").asc(), by_name], capped="cap", lighter="weight"), "levels")
+    whole = levelled.agg(F.sum("source_size").alias("all_sizes"), F.sum("weight").alias("all_weights"))
+    level = (F.col("all_sizes") - F.col("capped")) / (F.col("all_weights") - F.col("lighter"))
     # the level of the first source that its cap does not stop holds for all that follow
-    first = F.min(F.when(F.col("cap") / F.col("weight") >= F.col("level"), F.struct((F.col("cap") / F.col("weight")).alias("at"), F.col("level")))).over(everything)
-    return levelled.select("source", "source_size", F.least(F.col("cap"), F.coalesce(first["level"] * F.col("weight"), F.col("cap"))).alias("target"))
+    held = levelled.join(F.broadcast(whole), F.lit(True)).select("at", level.alias("level"))
+    common = held.agg(F.min(F.when(F.col("at") >= F.col("level"), F.struct("at", "level")))["level"].alias("level"))
+    target = F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap")))
+    return levelled.join(F.broadcast(common), F.lit(True)).select("source", "source_size", target.alias("target"))  # one row each
 
 
 def thresholds(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """For each source: whole (times every document is taken), threshold (hashes below it are taken once more), and included (whether documents at the threshold are, too)."""
+    """For each source: whole (times every document is taken), threshold (hashes below it are taken once more; none where whole copies are all), and included (whether documents at the threshold are, too)."""
     share = F.col("target") / F.col("source_size")
     whole = F.when(F.col("source_size") > 0, F.floor(share)).otherwise(F.lit(0)).cast("long")
     wanted = written(wanted, "targets")
@@ -75,7 +83,7 @@ def thresholds(sizes: DataFrame, wanted: DataFrame) -> DataFrame:
         crossed = cells.groupBy("source").agg(F.coalesce(F.min(F.when(F.col("upto") > F.col("budget"), here)), F.max(here)).alias("hit"), *same)
         state = crossed.select("source", *carried, F.col("hit.bucket").alias("prefix"), (F.col("hit.upto") - F.col("hit.n")).alias("before"), F.col("hit.n").alias("n"))
     nearer = F.abs(F.col("before") + F.col("n") - F.col("budget")) <= F.abs(F.col("before") - F.col("budget"))
-    return state.select("source", "source_size", "target", "whole", F.col("prefix").alias("threshold"), (nearer & (F.col("budget") > 0)).alias("included"))
+    return state.select("source", "source_size", "target", "whole", F.when(F.col("budget") > 0, F.col("prefix")).otherwise(F.lit(-1)).alias("threshold"), (nearer & (F.col("budget") > 0)).alias("included"))
 
 
 def _small(plan: DataFrame) -> DataFrame:
@@ -100,14 +108,14 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 
 def mixture(docs: DataFrame) -> DataFrame:
-    """docs as often as the mix takes each: absent, once, or up to MOST times. A text without words is taken as a text with words of its hash would be."""
+    """docs as often as the mix takes each: absent, once, or up to MOST times. A text without words is taken as a text with words of its hash would be.
+
+    All columns stay, whatever their names.
+    """
     sizes = written(sized(docs), "sizes")
-    names = ("source", "whole", "threshold", "included")
-    p = written(thresholds(sizes, targets(sizes)), "mix").select(*[F.col(c).alias(f"loomspan_{c}") for c in names])
-    key = F.concat(F.coalesce(docs.doc_id.cast("string"), F.lit("")), F.lit("|"), F.coalesce(docs.text, F.lit("")))
-    h = F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
-    more = (h < F.col("loomspan_threshold")) | ((h == F.col("loomspan_threshold")) & F.col("loomspan_included"))
-    joined = docs.join(_small(p), docs.source.eqNullSafe(F.col("loomspan_source")))
-    times = (F.col("loomspan_whole") + more.cast("long")).cast("int")
-    taken = joined.select(*[docs[c] for c in docs.columns], F.sequence(F.lit(0), times).alias("loomspan_n"))
-    return taken.withColumn("loomspan_n", F.explode("loomspan_n")).where("loomspan_n > 0").drop("loomspan_n")
+    p = _small(written(thresholds(sizes, targets(sizes)), "mix").select("source", "whole", "threshold", "included"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["source"].alias("own"), _hash(docs["doc_id"], docs["text"]).alias("hash"))
+    more = (F.col("hash") < F.col("threshold")) | ((F.col("hash") == F.col("threshold")) & F.col("included"))
+    times = F.sequence(F.lit(0), (F.col("whole") + more.cast("long")).cast("int"))
+    taken = rows.join(p, F.col("own").eqNullSafe(F.col("source"))).select("row", F.explode(times).alias("n"))
+    return taken.where("n > 0").select("row.*")

@@ -194,10 +194,10 @@ def mix_times(rows, bits=60, most=3):
         budget = target[s] - whole * sums[s]
         own = sorted((key(d, t), size(t), d, t) for d, t, x in rows if x == s)
         upto, taken = 0, set()
-        for h in sorted({o[0] for o in own}):
+        for h in sorted({o[0] for o in own}) if budget > 0 else ():
             n = sum(o[1] for o in own if o[0] == h)
             if upto + n > budget:
-                if budget > 0 and abs(upto + n - budget) <= abs(upto - budget):
+                if abs(upto + n - budget) <= abs(upto - budget):
                     taken.add(h)
                 break
             taken.add(h)
