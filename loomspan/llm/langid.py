@@ -9,6 +9,7 @@ profile's length if it isn't there.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import prepared, slices, written
 
@@ -32,8 +34,8 @@ class _Grams:
     Letters are numbered in code-point order (1 is the blank), so numbers sort as the n-grams do.
     """
 
-    def __init__(self, texts: list[str]) -> None:
-        low = [t.lower() for t in texts]
+    def __init__(self, low: list[str], counted: int = 0, closed: bool = True) -> None:
+        """low: texts in lower case. A piece of a text begins with `counted` characters whose n-grams another piece counts, and unless `closed` it has no end of its own."""
         # a newline on either side of each text, and anything but a letter becomes the blank
         code = np.frombuffer(("\n" + "\n\n".join(low) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
         seen = np.unique(code)
@@ -45,16 +47,20 @@ class _Grams:
         table = np.ones(int(seen[-1]) + 1, np.int32)
         table[seen] = number
         x = table[code]
-        doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) + 2 for t in low])
+        doc = np.repeat(np.arange(len(low), dtype=np.int32), [len(t) + 2 for t in low])
+        own = np.ones(len(x), bool)  # may end an n-gram
+        if counted or not closed:
+            own[: counted + 1] = False
+            own[-1] = closed
         keep = np.ones(len(x), bool)
         keep[1:] = (x[1:] != 1) | (x[:-1] != 1) | (doc[1:] != doc[:-1])
-        x, doc = x[keep].astype(np.int64), doc[keep]
+        x, doc, own = x[keep].astype(np.int64), doc[keep], own[keep]
         b, n = self.base, len(x)
         same1, same2 = doc[1:] == doc[:-1], doc[2:] == doc[:-2]
-        one = x != 1
+        one = (x != 1) & own
         # a blank may begin or end an n-gram, no more; one letter counts without blanks
-        two = same1 & ((x[1:] != 1) | (x[:-1] != 1))
-        three = same2 & (x[1:-1] != 1)
+        two = same1 & ((x[1:] != 1) | (x[:-1] != 1)) & own[1:]
+        three = same2 & (x[1:-1] != 1) & own[2:]
         self.doc = np.concatenate([doc[one], doc[: n - 1][two], doc[: n - 2][three]]) if n > 2 else doc[:0]
         self.gram = np.concatenate([x[one] * b * b, (x[:-1] * b * b + x[1:] * b)[two], (x[:-2] * b * b + x[1:-1] * b + x[2:])[three]]) if n > 2 else x[:0]
 
@@ -79,6 +85,32 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[at].astype(np.int64), np.diff(np.append(at, len(keys)))
 
 
+def _pieces(low: str, size: int = SLICE) -> Iterator[_Grams]:
+    """The n-grams of a long text, a piece at a time; pieces overlap by the two letters that may stand before one."""
+    for at in range(0, len(low), size):
+        counted = min(at, 2)
+        yield _Grams([low[at - counted : at + size]], counted, at + size >= len(low))
+
+
+def _of_long_text(low: str) -> Counter:
+    """How often each n-gram occurs in a text of any length."""
+    out: Counter = Counter()
+    for grams in _pieces(low):
+        keys, n = _counted(grams.gram)
+        for k, v in zip(keys.tolist(), n.tolist(), strict=True):
+            out[grams.text(k)] += v
+    return out
+
+
+def _lowered(batch: pa.RecordBatch) -> list[str]:
+    return [(t or "").lower() for t in batch.column("text").to_pylist()]
+
+
+def _is_long(low: list[str]) -> bool:
+    """A text beyond a slice's size is a slice of its own."""
+    return len(low) == 1 and len(low[0]) > SLICE
+
+
 def profiles(labelled: DataFrame, *, length: int = LENGTH) -> DataFrame:
     """lang, gram, rank (from 0): the most frequent n-grams of each language over all rows of labelled (text, lang). Ties go by code point. Rows without text or lang count for nothing."""
 
@@ -86,9 +118,14 @@ def profiles(labelled: DataFrame, *, length: int = LENGTH) -> DataFrame:
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
                 langs = batch.column("lang").to_pylist()
+                low = _lowered(batch)
+                if _is_long(low):
+                    counted = _of_long_text(low[0])
+                    yield pa.RecordBatch.from_arrays([pa.array(langs * len(counted), pa.string()), pa.array(list(counted), pa.string()), pa.array(list(counted.values()), pa.int64())], ["lang", "gram", "n"])
+                    continue
                 names = sorted(set(langs))
                 place = {l: i for i, l in enumerate(names)}  # noqa: E741
-                grams = _Grams(batch.column("text").to_pylist())
+                grams = _Grams(low)
                 of = np.array([place[l] for l in langs], np.int64)[grams.doc]  # noqa: E741
                 cube = grams.base**3
                 keys, n = _counted(of * cube + grams.gram)
@@ -102,7 +139,12 @@ def profiles(labelled: DataFrame, *, length: int = LENGTH) -> DataFrame:
 
 
 def _distances(texts: list[str], known: dict[str, dict[str, int]], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Out-of-place distance of each text to each language, and the number of n-grams compared."""
+    """Out-of-place distance of each text, in lower case, to each language, and the number of n-grams compared."""
+    if _is_long(texts):
+        counted = _of_long_text(texts[0])
+        own = sorted(counted, key=lambda g: (-counted[g], g))[:length]
+        far = [sum(min(abs(i - ranks[g]), length) if g in ranks else length for i, g in enumerate(own)) for ranks in known.values()]
+        return np.array([far], float).reshape(1, len(known)), np.array([len(own)])
     grams = _Grams(texts)
     cube = grams.base**3
     keys, n = _counted(grams.doc.astype(np.int64) * cube + grams.gram)
@@ -134,7 +176,7 @@ def _distances(texts: list[str], known: dict[str, dict[str, int]], length: int)
 
 
 def predicted(docs: DataFrame, learned: DataFrame, *, length: int = LENGTH, lettered: str | None = None) -> DataFrame:
-    """docs with lang_pred and score (0 to 1) in place of text, from profiles().
+    """docs with lang_pred and score (0 to 1) in place of text, from profiles(). Columns that docs has under these two names are replaced; all others stay, whatever their names.
 
     The score is 1 less the distance over the largest possible one. A null
     text, or one without letters, is `und` with score 0, as is every text when
@@ -149,12 +191,13 @@ def predicted(docs: DataFrame, learned: DataFrame, *, length: int = LENGTH, lett
     prepared(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast({k: known[k] for k in names})
     rest = [c for c in docs.columns if c not in ("text", "lang_pred", "score")]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest), "lang_pred string, score double", *([f"{lettered} boolean"] if lettered else [])])
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *([T.StructField(lettered, T.BooleanType())] if lettered else [])]
+    schema = T.StructType([*(docs.schema[c] for c in rest), *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
-                far, compared = _distances([t or "" for t in batch.column("text").to_pylist()], sent.value, length)
+                far, compared = _distances(_lowered(batch), sent.value, length)
                 some = (compared > 0) & bool(names)
                 best = far.argmin(axis=1) if names else np.zeros(len(far), int)
                 score = np.zeros(len(far))
@@ -171,6 +214,9 @@ def identified(docs: DataFrame) -> DataFrame:
 
     Profiles come from the rows whose crc32(doc_id as text) mod 5 isn't 0; the
     others are held out. A null doc_id counts as the empty text (crc32 0, held out).
+    Repeated rows are predicted each and learned from each. Languages at equal
+    distance go by code point. An empty table gives no rows. Texts of any length
+    are counted a piece at a time. Other columns are ignored, whatever their names.
     """
     held = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5) == 0
     learned = written(profiles(docs.where(~held)), "profiles")
