@@ -165,14 +165,16 @@ def _encoder(spec: str) -> WordBpe:
 def encoded(docs: DataFrame, *, path: str | None = None, decode: bool = False) -> DataFrame:
     """docs with `text` replaced by ids (array of int), and `decoded` if asked for.
 
-    A null or blank text has no ids and decodes to the empty string. Other
-    columns pass through, repeated rows stay, and an empty table stays empty.
+    A null or blank text has no ids and decodes to the empty string. Columns
+    that docs has under the names of the result's are replaced; all others pass
+    through, whatever their names. Repeated rows stay, and an empty table stays
+    empty. Texts may have any length: words are encoded one by one.
     The file is read on the driver and broadcast; its size is the vocabulary's.
     """
     prepared(docs.sparkSession)
     with open(path or default_path(), encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
-    rest = [c for c in docs.columns if c not in ("text", "ids", "decoded")]
+    rest = [c for c in docs.columns if c not in ("text", "ids", *["decoded"] * decode)]
     schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField("ids", T.ArrayType(T.IntegerType(), False))] + [T.StructField("decoded", T.StringType())] * decode)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

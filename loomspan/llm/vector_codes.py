@@ -215,8 +215,8 @@ def compressed(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, r
 
     Vectors that are null or have null or non-finite components take no part,
     nor do vectors of another length than that of the smallest vec_id. That
-    length must be a multiple of `parts`: else it is an error, as is an error
-    sum beyond 64 bits. Rows that repeat an id or are alike altogether are coded
+    length must be a multiple of `parts`: else it is an error, as are an error
+    sum beyond 64 bits and a component's sum beyond 38 digits. Rows that repeat an id or are alike altogether are coded
     each. An empty table gives no rows. Other columns are ignored.
     """
     codes = Codes(vectors, parts, entries, rounds, scale)

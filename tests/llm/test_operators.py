@@ -17,8 +17,8 @@ from loomspan.llm import ann, bpe, exact_dedup, langid, mixing, pii, simhash, su
 from . import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-#: Names that operators use inside, as extra columns of the input.
-CLASHING = ("row", "spans", "fp", "ids", "sig", "doc", "size", "whole", "kept", "root", "hash")
+#: Names that operators use inside or that need quoting, as extra columns of the input.
+CLASHING = ("a b", "x-y", "loomspan_source", "loomspan_row", "lettered", "threshold", "own", "row", "spans", "fp", "ids", "sig", "doc", "size", "whole", "kept", "root", "hash")
 
 
 def _sha(x: bytes | str) -> str:
@@ -58,7 +58,7 @@ def docs(spark, rows):
     out = spark.createDataFrame(rows, SCHEMA).repartition(3)
     for c in CLASHING:
         out = out.selectExpr("*", f"'-' as `{c}`")
-    return out.cache()
+    return out.selectExpr("*", "named_struct('a b', 1, 'x-y', array('z')) as nested").cache()
 
 
 @pytest.fixture(scope="module")
@@ -201,6 +201,63 @@ def test_mixing_without_words(spark):
     assert got[0].taken == got[2].taken == 0 and got[0].target == 0 and got[1].source_size == 3
 
 
+def test_mixing_never_passes_the_most(spark):
+    """A source at its cap is taken three times whole, its texts without words too."""
+    made = [(i, " " if i % 2 else "one two", "en", "small", 0) for i in range(40)] + [(100 + i, "many words of a large source " * 50, "en", "large", 0) for i in range(5)]
+    df = spark.createDataFrame(made, SCHEMA)
+    got = {g.doc_id: g for g in mixing.mixed(df).collect()}
+    assert got[0].target == 3 * got[0].source_size and all(got[i].times == 3 for i in range(40))
+    times = Counter(r.doc_id for r in mixing.mixture(df).collect())
+    assert max(times.values()) == 3 and all(times[i] == 3 for i in range(40))
+
+
+def test_targets_of_many_sources(spark):
+    """Order, caps and the common level over ranges of sources, against the plain loop."""
+    r = random.Random(4)
+    made = [(i, "w " * r.choice([0, 1, 3, 40, 900]), "en", r.choice([None, "", "é"]) if i % 50 == 0 else f"s{r.randint(0, 120)}", 0) for i in range(600)]
+    df = spark.createDataFrame(made, SCHEMA).repartition(3)
+    sizes = Counter()
+    for m in made:
+        sizes[m[3]] += len(m[1].split())
+    names = sorted((s for s in sizes if s is not None), key=str.encode) + [None]
+    weight, total, target, free = {s: i % 3 + 1 for i, s in enumerate(names)}, sum(sizes.values()), {}, set(names)
+    while free:
+        rest = total - sum(target.values())
+        want = {s: rest * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if want[s] > 3 * sizes[s]]
+        target |= {s: 3.0 * sizes[s] for s in over} if over else want
+        free = free - set(over) if over else set()
+    got = {t.source: (t.source_size, t.target) for t in mixing.targets(mixing.sized(df)).collect()}
+    assert got.keys() == target.keys() and all(got[s] == (sizes[s], pytest.approx(target[s])) for s in names)
+
+
+def test_names_of_columns_that_the_result_has(spark):
+    df = spark.createDataFrame([(i, "stone river thing", "en", "s", 0) for i in range(9)], SCHEMA).selectExpr("*", "7 as lang_pred", "8 as decoded", "9 as ids", "'kept' as `Row`")
+    out = langid.predicted(df, langid.profiles(df)).first()
+    assert out.lang_pred == "en" and out.decoded == 8 and out.Row == "kept"
+    assert bpe.encoded(df).columns == ["doc_id", "lang", "source", "n_chars", "lang_pred", "decoded", "Row", "ids"] and bpe.encoded(df).first().decoded == 8
+    assert langid.accepted(df).columns == mixing.mixture(df).columns == df.columns
+
+
+def test_language_of_long_texts_by_pieces(monkeypatch):
+    """A text cut into pieces, in words and between them, has the n-grams that it has whole."""
+    r = random.Random(2)
+    for text in ("", "a", "ab  cd", "x" * 50, " . " * 30, "".join(r.choices("aé ß.Σ中\n", k=300)), " ".join(r.choices(["kala", "où", "i"], k=80))):
+        low = text.lower()
+        whole = langid._Grams([low])
+        want = Counter(whole.text(g) for g in whole.gram.tolist())
+        for size in (1, 2, 3, 7, 1000):
+            got = Counter()
+            for grams in langid._pieces(low, size):
+                got.update(grams.text(g) for g in grams.gram.tolist())
+            assert got == want, (text, size)
+    known = {"a": {"ka": 0, " k": 3, "é": 5}, "b": {"où": 1}}
+    text = " ".join(r.choices(["kala", "où", "été"], k=200))
+    far, n = langid._distances([text], known, 20)
+    monkeypatch.setattr(langid, "SLICE", 64)
+    assert (langid._distances([text], known, 20)[0] == far).all() and langid._distances([text], known, 20)[1] == n
+
+
 def test_accepted_languages(spark):
     """A text that matches no profile goes; where no row has a lang, all with letters stay."""
     made = [(i, "stone river thing with", "en", "s", 0) for i in range(20)] + [(20, "ψωξ ψωξ", None, "s", 0), (21, "12 ...", "en", "s", 0)]
