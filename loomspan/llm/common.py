@@ -8,7 +8,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from ..staging import shared_folder, written  # noqa: F401
+from ..staging import folder, written  # noqa: F401
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -33,6 +33,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
+#: Translation that leaves all bytes as they are but the six ASCII blanks, which become one, for text_pieces.
+BLANKS = bytes(32 if c in b" \t\n\v\f\r" else c for c in range(256))
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null gives empty."""
     if isinstance(column, pa.ChunkedArray):

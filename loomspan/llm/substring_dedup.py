@@ -20,18 +20,24 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepared, slices, text_bytes, written
-from .superkmer import FLAG, LEVEL, PIECE, RUN, compared, ranges, runs, table
+from .common import BLANKS, prepared, slices, text_bytes, text_pieces, written
+from .superkmer import FLAG, LEVEL, PIECE, RUN, compared, parts_of, piecewise, ranges, runs, table
 
 WINDOW = 50
 GRAM = 8
+#: Bytes of packed runs that a task sends at once.
+PACKED = 4 << 20
 _LAST = (1 << 63) - 1  # what a null id counts as: later than all others, and not earlier than another null
 
 
+def _digests(words: list[bytes]) -> np.ndarray:
+    digest = xxhash.xxh64_digest
+    return np.frombuffer(b"".join([digest(w) for w in words]), "<u8").astype(np.uint64)
+
+
 def _words_of(texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
     words = [t.split() for t in texts]
-    digest = xxhash.xxh64_digest
-    elements = np.frombuffer(b"".join([digest(w) for ws in words for w in ws]), "<u8").astype(np.uint64)
+    elements = _digests([w for ws in words for w in ws])
     return words, elements, np.array([len(w) for w in words], np.int64)
 
 
@@ -40,18 +46,42 @@ def _ends(words: list[bytes]) -> list[int]:
     return [0, *accumulate(len(w) + 1 for w in words)]
 
 
+class _Words(list):
+    """The words of a piece of a text, for superkmer.piecewise."""
+
+    def elements(self) -> np.ndarray:
+        return _digests(self)
+
+    def __add__(self, other: list) -> _Words:
+        return _Words([*self, *other])
+
+    def __getitem__(self, at):
+        return _Words(list.__getitem__(self, at)) if isinstance(at, slice) else list.__getitem__(self, at)
+
+
+def _contents(words: list[bytes], first: list[int], count: list[int]) -> list[int]:
+    joined, ends = b" ".join(words), _ends(words)
+    return [xxhash.xxh64_intdigest(joined[ends[a] : ends[a + n + WINDOW - 1] - 1]) - (1 << 63) for a, n in zip(first, count, strict=True)]
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text"):
             doc, sig = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "sig"))
-            words, elements, lengths = _words_of(text_bytes(batch.column("text")))
+            texts = text_bytes(batch.column("text"))
+            if len(texts) == 1:  # it may be of any length
+                pieces = (_Words(p.split()) for p in text_pieces(texts[0], BLANKS))
+                for _, base, words, first, count, off, mini in piecewise([pieces], WINDOW, GRAM):
+                    content = _contents(words, first.tolist(), count.tolist())
+                    yield table(RUN, [np.repeat(doc, len(first)), np.repeat(sig, len(first)), (base + first).astype(np.int32), count.astype(np.int32), off.astype(np.int32), mini.view(np.int64), content])
+                continue
+            words, elements, lengths = _words_of(texts)
             text, first, count, off, mini = runs(elements, lengths, WINDOW, GRAM)
-            content = np.empty(len(text), np.int64)
-            held = joined = ends = None
-            for i, (t, a, n) in enumerate(zip(text.tolist(), first.tolist(), count.tolist(), strict=True)):
-                if t != held:
-                    held, joined, ends = t, b" ".join(words[t]), _ends(words[t])
-                content[i] = xxhash.xxh64_intdigest(joined[ends[a] : ends[a + n + WINDOW - 1] - 1]) - (1 << 63)
+            content: list[int] = []
+            cut = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
+            for t, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
+                if b > a:
+                    content += _contents(words[t], first[a:b].tolist(), count[a:b].tolist())
             yield table(RUN, [doc[text], sig[text], first.astype(np.int32), count.astype(np.int32), off.astype(np.int32), mini.view(np.int64), content])
 
 
@@ -59,12 +89,30 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text"):
             out: list[tuple] = []
-            for text, parts in zip(text_bytes(batch.column("text")), batch.column("parts").to_pylist(), strict=True):
-                words = text.split()
-                out += [(p["mini"], p["content"], p["w"], p["off"], b" ".join(words[p["first"] : p["first"] + p["count"] + WINDOW - 1])) for p in parts]
+            size = 0
+            for row, text in enumerate(text_bytes(batch.column("text"))):
+                for p, packed in _packed(text, (p for parts in parts_of(batch, row) for p in parts)):
+                    out.append((p["mini"], p["content"], p["w"], p["off"], packed))
+                    size += len(packed)
+                    if size > PACKED:
+                        yield table(LEVEL, list(zip(*out, strict=True)))
+                        out, size = [], 0
             yield table(LEVEL, list(zip(*out, strict=True)) or [()] * 5)
 
 
+def _packed(text: bytes, parts: Iterator[dict]) -> Iterator[tuple[dict, bytes]]:
+    """Each part with its words, joined by a space. Parts are in order, so a piece of the text is enough at a time."""
+    held: list[bytes] = []
+    base, pieces = 0, iter(text_pieces(text, BLANKS))
+    for p in parts:
+        end = p["first"] + p["count"] + WINDOW - 1
+        while base + len(held) < end:
+            keep = max(0, p["first"] - base)
+            base, held = base + min(keep, len(held)), held[keep:]
+            held += next(pieces).split()
+        yield p, b" ".join(held[p["first"] - base : end - base])
+
+
 def _split(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,6 +177,28 @@ def _sorted_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield flagged(list(flush()))
 
 
+def _stripped(text: bytes, spans) -> tuple[int, int, bytes]:
+    """Number of words, number of those within spans (runs of windows, in order), and the others, joined by a space."""
+    upto, n, gone = 0, 0, 0  # words before `upto` go if a span covers them
+    left: list[bytes] = []
+    spans = iter([*spans, None])
+    span = next(spans)
+    for piece in text_pieces(text, BLANKS):
+        words = piece.split()
+        at, end = n, n + len(words)
+        while at < end:
+            if at < upto:
+                gone, at = gone + min(upto, end) - at, min(upto, end)
+            elif span is not None and span["first"] <= at:
+                upto, span = max(upto, span["first"] + span["count"] + WINDOW - 1), next(spans)
+            else:
+                stop = min(end, span["first"]) if span is not None else end
+                left.append(b" ".join(words[at - n : stop - n]))
+                at = stop
+        n = end
+    return n, gone, b" ".join(left)
+
+
 def _key_columns() -> tuple[Column, ...]:
     """doc (a null id is the last), sig (hash of the text, which tells rows with one id apart), text."""
     text = F.coalesce("text", F.lit(""))
@@ -149,7 +219,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     document with a smaller id; windows are judged on the input. Null texts
     have no words. A null id counts as later than all others, and two nulls as
     neither earlier. Rows that repeat an id are one document to the rule, so
-    they never remove each other's words. Other columns are ignored.
+    they never remove each other's words. Texts of any length are cut into pieces
+    whose runs are those of the whole. An empty table gives no rows. Other
+    columns are ignored, whatever their names.
     """
     found = repeated_windows(docs)
     spans = written(found.groupBy("doc", "sig").agg(F.sort_array(F.collect_set(F.struct("first", "count"))).alias("spans")), "spans")
@@ -161,17 +233,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             for batch in slices(whole_batch, "text"):
                 n_words, n_removed, kept = [], [], []
                 for raw, spans in zip(text_bytes(batch.column("text")), batch.column("spans").to_pylist(), strict=True):
-                    words = raw.split()
-                    left, at, gone = [], 0, 0
-                    for s in spans or ():
-                        a, b = max(at, s["first"]), s["first"] + s["count"] + WINDOW - 1
-                        if b > at:
-                            left += words[at:a]
-                            gone, at = gone + b - a, b
-                    left += words[at:]
-                    n_words.append(len(words))
+                    n, gone, left = _stripped(raw, spans or ())
+                    n_words.append(n)
                     n_removed.append(gone)
-                    kept.append(b" ".join(left))
+                    kept.append(left)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

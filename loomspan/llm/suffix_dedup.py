@@ -28,11 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepared, slices, text_bytes, written
-from .superkmer import FLAG, LEVEL, PIECE, RUN, compared, ranges, runs, table
+from .superkmer import FLAG, LEVEL, PIECE, RUN, compared, parts_of, piecewise, ranges, runs, table
 
 WINDOW = 200
 GRAM = 32
 STEP = 8
+#: Bytes of text whose windows are looked at together; a longer text is cut into pieces.
+PIECE_BYTES = 2 << 20
 #: Bytes of shards that are merged together where buckets are small.
 BYTES = 1 << 19
 
@@ -149,26 +151,51 @@ def _stretches(of: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return of[cut], at[cut], np.diff(np.append(cut, len(of)))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class _Bytes(bytes):
+    """A piece of a text, for superkmer.piecewise."""
+
+    def elements(self) -> np.ndarray:
+        return np.frombuffer(self, np.uint8).astype(np.uint64) + np.uint64(1)
+
+    def __add__(self, other: bytes) -> _Bytes:
+        return _Bytes(bytes(self) + bytes(other))
+
+    def __getitem__(self, at):
+        return _Bytes(bytes.__getitem__(self, at))
+
+
+def _run_rows(doc, sig, first, count, off, mini, joined: bytes, begin: np.ndarray) -> pa.RecordBatch:
     digest = xxhash.xxh64_digest
+    content = np.frombuffer(b"".join([digest(joined[a:b]) for a, b in zip(begin.tolist(), (begin + count + WINDOW - 1).tolist(), strict=True)]), "<i8")
+    return table(RUN, [doc, sig, first.astype(np.int32), count.astype(np.int32), off.astype(np.int32), mini.view(np.int64), content.astype(np.int64)])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in slices(whole, "text"):
+        for batch in slices(whole, "text", PIECE_BYTES):
             doc, sig = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "sig"))
             texts = text_bytes(batch.column("text"))
+            if len(texts) == 1:
+                pieces = (_Bytes(texts[0][i : i + PIECE_BYTES]) for i in range(0, len(texts[0]), PIECE_BYTES))
+                for _, base, piece, first, count, off, mini in piecewise([pieces], WINDOW, GRAM):
+                    yield _run_rows(np.repeat(doc, len(first)), np.repeat(sig, len(first)), base + first, count, off, mini, bytes(piece), first)
+                continue
             joined = b"".join(texts)
             lengths = np.array([len(t) for t in texts], np.int64)
             text, first, count, off, mini = runs(np.frombuffer(joined, np.uint8).astype(np.uint64) + np.uint64(1), lengths, WINDOW, GRAM)
-            begin = (np.cumsum(lengths) - lengths)[text] + first
-            content = np.frombuffer(b"".join([digest(joined[a:b]) for a, b in zip(begin.tolist(), (begin + count + WINDOW - 1).tolist(), strict=True)]), "<i8")
-            yield table(RUN, [doc[text], sig[text], first.astype(np.int32), count.astype(np.int32), off.astype(np.int32), mini.view(np.int64), content.astype(np.int64)])
+            yield _run_rows(doc[text], sig[text], first, count, off, mini, joined, (np.cumsum(lengths) - lengths)[text] + first)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "text"):
             out: list[tuple] = []
-            for text, parts in zip(text_bytes(batch.column("text")), batch.column("parts").to_pylist(), strict=True):
-                out += [(p["mini"], p["content"], p["w"], p["off"], text[p["first"] : p["first"] + p["count"] + WINDOW - 1]) for p in parts]
+            for row, text in enumerate(text_bytes(batch.column("text"))):
+                for parts in parts_of(batch, row):
+                    out += [(p["mini"], p["content"], p["w"], p["off"], text[p["first"] : p["first"] + p["count"] + WINDOW - 1]) for p in parts]
+                    if len(out) > 20_000:
+                        yield table(LEVEL, list(zip(*out, strict=True)))
+                        out = []
             yield table(LEVEL, list(zip(*out, strict=True)) or [()] * 5)
 
 
@@ -235,7 +262,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     in this row or another; strings are judged on the input. Null texts are
     empty, repeated rows repeat each other's strings, and n_spans counts
     maximal removed runs. What is kept may cut a character, so it stays binary.
-    Other columns are ignored.
+    Texts of any length are cut into pieces whose runs are those of the whole.
+    An empty table gives no rows. Other columns are ignored, whatever their names.
     """
     found = repeated_windows(docs)
     spans = written(found.groupBy("doc", "sig").agg(F.sort_array(F.collect_set(F.struct("first", "count"))).alias("spans")), "spans")

@@ -104,6 +104,45 @@ def runs(elements: np.ndarray, lengths: np.ndarray, window: int, gram: int) -> t
     return text[cut], at[cut] - starts[text[cut]], count, place[cut] - at[cut], hashes[place[cut]]
 
 
+def piecewise(texts: Iterator, window: int, gram: int):
+    """The super-k-mers of texts that come in pieces, the same as those of the whole.
+
+    texts: for each text the pieces, each an object that `+` joins, a slice
+    cuts, and `elements()` turns into the numbers that runs() takes; a lone text
+    has one. A piece's last run may go on in the next one, so it is left for
+    that, with all from its first window on. For each piece that has runs:
+    number of the text, first window of the piece in it, the piece, and runs()
+    of it without the number of the text.
+    """
+    for number, pieces in enumerate(texts):
+        base, held = 0, None
+        pieces = iter(pieces)
+        piece = next(pieces, None)
+        while piece is not None:
+            then = next(pieces, None)
+            held = piece if held is None else held + piece
+            _, first, count, off, mini = runs(held.elements(), np.array([len(held)]), window, gram)
+            if then is not None:
+                if not len(first):
+                    piece = then
+                    continue
+                cut = int(first[-1])
+                first, count, off, mini = first[:-1], count[:-1], off[:-1], mini[:-1]
+            if len(first):
+                yield number, base, held, first, count, off, mini
+            if then is not None:
+                base, held = base + cut, held[cut:]
+            piece = then
+
+
+def parts_of(batch: pa.RecordBatch, row: int, most: int = 4096) -> Iterator[list[dict]]:
+    """A row's `parts`, so many at a time."""
+    listed = batch.column("parts")
+    start, end = listed.offsets[row].as_py(), listed.offsets[row + 1].as_py()
+    for at in range(start, end, most):
+        yield listed.values.slice(at, min(most, end - at)).to_pylist()
+
+
 def table(schema: str, columns) -> pa.RecordBatch:
     """A batch of the named columns; `schema` as Spark reads it."""
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
@@ -164,7 +203,7 @@ def compared(texts: DataFrame, *, width: int, cut: Callable, pack: Callable, spl
     some = written(every.groupBy("mini").agg(partnered.alias("some")).where("some").select("mini"), "minimisers")
     runs_ = written(every.join(some, "mini", "left_semi"), "shared")
     contents = runs_.groupBy("mini", "content").agg(weight.alias("w"), *_any("doc", "sig", "first", "count", "off"))
-    wanted = contents.groupBy("doc", "sig").agg(F.collect_list(F.struct("first", "count", "off", "mini", "content", "w")).alias("parts"))
+    wanted = contents.groupBy("doc", "sig").agg(F.array_sort(F.collect_list(F.struct("first", "count", "off", "mini", "content", "w"))).alias("parts"))
     level = written(texts.join(wanted, ["doc", "sig"]).select("text", "parts").mapInArrow(pack, LEVEL), "packed")
     found = _decided(level, width, again, split, merge)
     flags = written(found.groupBy(F.col("key").alias("mini"), F.col("sub").alias("content")).agg(F.collect_set(F.struct("at", "many", "w")).alias("flags")), "flags")
