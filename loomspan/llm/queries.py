@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, contamination, divergence, exact_dedup, langid, mixing, pii, simhash, substring_dedup, suffix_dedup, token_store, vector_codes
-from .common import shared_folder
+from .common import folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,9 +39,9 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    folder = f"{shared_folder(spark)}/loomspan-store-{uuid.uuid4().hex}"
-    token_store.write(docs, folder)
-    return token_store.digests(spark, folder, token_store.keys_of(docs)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    store = folder(spark, "store")
+    token_store.write(docs, store)
+    return token_store.digests(spark, store, token_store.keys_of(docs)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

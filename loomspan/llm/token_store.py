@@ -5,7 +5,9 @@ file system serve it:
 
 * blocks: shard, block, n_ids, docs and lengths of the documents in it, and
   payload, their ids one after another as raw little-endian 16- or 32-bit
-  integers. Shards hold ranges of doc_id in ascending order, null ids last.
+  integers. Shards hold ranges of doc_id in ascending order, null ids last; an
+  id, or null, with more documents than a shard has SUBS of them, by the first
+  byte of the payload.
 * index: for each bucket of keys the levels of a minimal perfect hash, with the
   number of bits before each word of them, and for each of its slots a 32-bit fingerprint and the shard, block, offset and
   length that a key of this slot has. Keys themselves aren't stored.
@@ -28,12 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.running import sums_before
 from .bpe import default_path
-from .common import prepared, slices, text_bytes
+from .common import prepared, slices, text_bytes, written
 
 END = 2  # appended to each document
 BLOCK_BYTES = 64 << 10
@@ -41,7 +45,10 @@ ROW_GROUP = 16 << 20  # bytes that a writer of payloads holds
 KEYS = 4096  # in a bucket of the index, on average
 #: Keys of a level go to twice as many bits; those that share a bit go on to the next level.
 SPREAD = 2
-SHARDS = 10_000  # at most
+#: Bytes of text of a shard, on average, and shards of an id that is repeated more often than a shard has documents.
+SHARD_BYTES, SUBS = 32 << 20, 256
+#: Blocks that a request can touch for the others to be skipped by a broadcast of their numbers.
+FEW = 100_000
 
 
 def _by_word(spec: dict) -> tuple[bool, bool]:
@@ -206,8 +213,55 @@ def _key_hash(doc: Column, place: Column) -> tuple[Column, Column]:
     return F.xxhash64(*parts).alias("key"), F.hash(*parts).alias("mark")
 
 
-def write(docs: DataFrame, folder: str, *, path: str | None = None, docs_per_shard: int = 20_000) -> None:
-    """Encode docs (doc_id, text) and write a store. Null texts have just the end id; repeated ids keep one entry each, in order of their ids' bytes."""
+class _Ranges:
+    """Which shard a document goes to, in order of doc_id and, for an id that fills more than a shard, of the payload's first byte."""
+
+    def __init__(self, bounds: list[int], hot: list[int], hot_null: bool) -> None:
+        """bounds: the last id of each range but the last; hot: ids with ranges of their own."""
+        self.bounds = np.array(sorted({*bounds, *hot, *(h - 1 for h in hot if h > -(1 << 63))}), np.int64)
+        own = np.searchsorted(self.bounds, np.array(sorted(hot), np.int64))
+        self.hot = np.zeros(len(self.bounds) + 2, bool)
+        self.hot[own] = True
+        self.hot[-1] = hot_null
+        wide = np.where(self.hot, SUBS, 1)
+        self.first = np.cumsum(wide) - wide
+        self.shards = int(wide.sum())
+
+    def of(self, docs: list[int | None], payload: list[bytes]) -> np.ndarray:
+        null = np.array([d is None for d in docs], bool)
+        at = np.searchsorted(self.bounds, np.array([d or 0 for d in docs], np.int64))
+        at[null] = len(self.hot) - 1
+        sub = np.array([p[0] for p in payload], np.int64)  # the end id is always there
+        return self.first[at] + np.where(self.hot[at], sub, 0)
+
+    def split(self) -> list[tuple[int, int]]:
+        """First and last shard of each id that has several."""
+        return [(int(self.first[i]), int(self.first[i]) + SUBS - 1) for i in np.flatnonzero(self.hot)]
+
+
+def _ranges(docs: DataFrame, ids: DataFrame, docs_per_shard: int | None) -> tuple[_Ranges, int]:
+    """Ranges of about docs_per_shard documents, or SHARD_BYTES of text where that is None; and the number of documents."""
+    size = F.sum(F.octet_length("text")) if docs_per_shard is None else F.lit(0)
+    count, total = docs.agg(F.count("*"), size).first()
+    each = docs_per_shard or max(1, -(-count * SHARD_BYTES // max(1, total or 1)))
+    n = max(1, -(-count // each))
+    if n == 1:
+        return _Ranges([], [], False), count
+    many = ids.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > each).collect()  # fewer than there are shards
+    ranged = ids.where("doc_id IS NOT NULL").repartitionByRange(n, "doc_id").groupBy(F.spark_partition_id()).agg(F.max("doc_id").alias("last")).toArrow()
+    last = sorted(ranged.column("last").to_pylist())[:-1]
+    return _Ranges(last, [r["doc_id"] for r in many if r["doc_id"] is not None], any(r["doc_id"] is None for r in many)), count
+
+
+def write(docs: DataFrame, folder: str, *, path: str | None = None, docs_per_shard: int | None = None) -> None:
+    """Encode docs (doc_id, text) and write a store. Null texts have just the end id; repeated ids keep one entry each, in order of their ids' bytes.
+
+    Rows without an id are documents of the id null, the last. Texts may have
+    any length, but a document is one payload, which a task holds. An empty
+    table gives a store without documents. Other columns are ignored, whatever
+    their names. Shards are cut by bytes of text, unless docs_per_shard says how
+    many documents one has; there is no bound on their number.
+    """
     spark = docs.sparkSession
     prepared(spark)
     with open(path or default_path(), encoding="utf-8") as f:
@@ -217,17 +271,15 @@ def write(docs: DataFrame, folder: str, *, path: str | None = None, docs_per_sha
     width = "<u2" if Tokenizer.from_str(text).get_vocab_size() <= 1 << 16 else "<u4"
     spec = spark.sparkContext.broadcast(text)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    count = ids.count()
-    n_shards = max(1, min(SHARDS, -(-count // docs_per_shard)))
-    bounds = np.array(sorted(set(ids.approxQuantile("doc_id", [i / n_shards for i in range(1, n_shards)], 0.2 / n_shards))) if n_shards > 1 else [], np.float64)
+    ranges, count = _ranges(docs, ids, docs_per_shard)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(spec.value, width)
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
-                docs_ = batch.column("doc_id")
-                shard = [len(bounds) + 1 if d is None else int(np.searchsorted(bounds, d, side="left")) for d in docs_.to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), docs_, encoder.encode(batch.column("text"))], ["shard", "doc_id", "payload"])
+                docs_, payload = batch.column("doc_id"), encoder.encode(batch.column("text"))
+                heads = pa.compute.binary_slice(payload, 0, 1).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array(ranges.of(docs_.to_pylist(), heads).astype(np.int32)), docs_, payload], ["shard", "doc_id", "payload"])
         encoder.forget()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,15 +310,20 @@ def write(docs: DataFrame, folder: str, *, path: str | None = None, docs_per_sha
             yield made()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "shard int, doc_id long, payload binary")
-    dealt = rows.repartition(n_shards + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_last(), "payload")
+    dealt = rows.repartition(ranges.shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_last(), "payload")
     dealt.mapInArrow(pack, "shard int, block int, n_ids long, docs array<long>, places array<int>, lengths array<int>, payload binary").withColumn("width", F.lit(width)).write.option("parquet.block.size", ROW_GROUP).parquet(f"{folder}/blocks")
     blocks = spark.read.parquet(f"{folder}/blocks")
-    # running sums: over the shards (SHARDS rows at most), and within each of them
-    each = blocks.select("shard", "block", "n_ids")
-    before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    shards = each.groupBy("shard").agg(F.sum("n_ids").alias("n_ids")).select("shard", before(W.orderBy("shard")).alias("base"))
-    starts = each.withColumn("within", before(W.partitionBy("shard").orderBy("block"))).join(F.broadcast(shards), "shard")
-    starts.select("shard", "block", (F.col("base") + F.col("within")).alias("start")).write.parquet(f"{folder}/starts")
+    each = blocks.select("shard", "block", "n_ids", F.size("docs").alias("n_docs"))
+    before = F.coalesce(F.sum("n_ids").over(W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    totals = written(each.groupBy("shard").agg(F.sum("n_ids").alias("n_ids"), F.sum("n_docs").alias("n_docs")), "shards")
+    shards = sums_before(totals.select("shard", "n_ids"), "shard", "n_ids").select("shard", "base")
+    each.withColumn("within", before).join(shards, "shard").select("shard", "block", (F.col("base") + F.col("within")).alias("start")).write.parquet(f"{folder}/starts")
+    # places of one id go on from one of its shards to the next
+    earlier: dict[int, int] = {}
+    for first, last in ranges.split():
+        n = {r["shard"]: r["n_docs"] for r in totals.where(F.col("shard").between(first, last)).collect()}
+        for shard in range(first + 1, last + 1):
+            earlier[shard] = earlier.get(shard - 1, 0) + n.get(shard - 1, 0)
     buckets = max(1, -(-count // KEYS))
 
     def offsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,6 +331,7 @@ def write(docs: DataFrame, folder: str, *, path: str | None = None, docs_per_sha
         _forget()
         for batch in batches:
             shard, block, docs_, places, lengths = (batch.column(c).to_pylist() for c in ("shard", "block", "docs", "places", "lengths"))
+            places = [[p + earlier[s] for p in x] if earlier.get(s) else x for s, x in zip(shard, places, strict=True)]
             n = [len(x) for x in lengths]
             flat = np.concatenate([np.array(x, np.int64) for x in lengths]) if n else np.empty(0, np.int64)
             off = np.concatenate([np.cumsum(x) - x for x in (np.array(x, np.int64) for x in lengths)]) if n else flat
@@ -381,7 +439,7 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def keys_of(docs: DataFrame) -> DataFrame:
-    """doc_id, place of each row of docs: the keys of a store of docs. Places of one id count from 0."""
+    """doc_id, place of each row of docs: the keys of a store of docs. Places of one id, or of null, count from 0. An empty table has no keys; other columns are ignored."""
     n = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n"))
     return n.select("doc_id", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("place"))
 
@@ -424,44 +482,48 @@ def look_up(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
 
 
 def _sections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The keys' documents of joined blocks."""
+    """Where each document of the blocks begins and ends, and its ids."""
     _forget()
     for batch in batches:
-        for start, payload, width, wanted in zip(*(batch.column(c).to_pylist() for c in ("start", "payload", "width", "wanted")), strict=True):
-            step = int(width[-1])
-            columns = [
-                pa.array([w["doc_id"] for w in wanted], pa.int64()),
-                pa.array([w["place"] for w in wanted], pa.int32()),
-                pa.array([start + w["offset"] for w in wanted], pa.int64()),
-                pa.array([payload[w["offset"] * step : (w["offset"] + w["length"]) * step] for w in wanted], pa.binary()),
-                pa.array([width] * len(wanted), pa.string()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "place", "start", "ids", "width"])
-
-
-def _blocks_of(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
-    at = look_up(spark, folder, keys).groupBy("shard", "block").agg(F.collect_list(F.struct("doc_id", "place", "offset", "length")).alias("wanted"))
-    blocks = spark.read.parquet(f"{folder}/blocks").select("shard", "block", "payload", "width")
-    starts = spark.read.parquet(f"{folder}/starts")
+        for shard, block, lengths, payload, width in zip(*(batch.column(c).to_pylist() for c in ("shard", "block", "lengths", "payload", "width")), strict=True):
+            n, step = np.array(lengths, np.int64), int(width[-1])
+            upto = np.cumsum(n)
+            ids = [payload[a:b] for a, b in zip(((upto - n) * step).tolist(), (upto * step).tolist(), strict=True)]
+            columns = [pa.array([shard] * len(n), pa.int32()), pa.array([block] * len(n), pa.int32()), pa.array(upto - n), pa.array(n), pa.array(ids, pa.binary()), pa.array([width] * len(n), pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "block", "offset", "length", "ids", "width"])
 
-    return blocks.join(at, ["shard", "block"]).join(starts, ["shard", "block"]).select("start", "payload", "width", "wanted")
 
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sections with a digest in place of the ids."""
+    for batch in _sections(batches):
+        crc = [zlib.crc32(np.frombuffer(raw, width).astype("<u4").tobytes()) for raw, width in zip(batch.column("ids").to_pylist(), batch.column("width").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(crc, pa.int64())], ["shard", "block", "offset", "length", "ids_crc32"])
 
-def read(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
-    """doc_id, place, start (ids of all documents before it), ids (raw bytes), width of the keys' documents, from the files."""
-    return _blocks_of(spark, folder, keys).mapInArrow(_sections, "doc_id long, place int, start long, ids binary, width string")
 
+_SECTION = "shard int, block int, offset long, length long"
 
-def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n, crc = [], []
-        for raw, width in zip(batch.column("ids").to_pylist(), batch.column("width").to_pylist(), strict=True):
-            ids = np.frombuffer(raw, width)
-            n.append(len(ids))
-            crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+def _found(spark: SparkSession, folder: str, keys: DataFrame, run, more: str) -> DataFrame:
+    """What the index says of the keys, with start and what `run` makes of each section (columns `more`).
+
+    Blocks are read where they lie, and only sections meet the requests. Few
+    blocks are told by their numbers, which are broadcast behind a count.
+    """
+    at = written(look_up(spark, folder, keys), "found")
+    touched = at.select("shard", "block").distinct()
+    blocks = spark.read.parquet(f"{folder}/blocks").select("shard", "block", "lengths", "payload", "width")
+    if touched.count() <= FEW:
+        blocks = blocks.join(F.broadcast(touched), ["shard", "block"], "left_semi")
+    sections = blocks.mapInArrow(run, f"{_SECTION}, {more}")
+    starts = spark.read.parquet(f"{folder}/starts")
+    return at.join(sections, ["shard", "block", "offset", "length"]).join(starts, ["shard", "block"]).withColumn("start", F.col("start") + F.col("offset"))
+
+
+def read(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
+    """doc_id, place, start (ids of all documents before it), ids (raw bytes), width of the keys' documents, from the files."""
+    return _found(spark, folder, keys, _sections, "ids binary, width string").select("doc_id", "place", "start", "ids", "width")
 
 
 def digests(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers) of what read() gives; one Python worker a task does both."""
-    return _blocks_of(spark, folder, keys).mapInArrow(lambda batches: _digested(_sections(batches)), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    """doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers) of what read() gives; ids are digested where they lie."""
+    return _found(spark, folder, keys, _digested, "ids_crc32 long").select("doc_id", "start", F.col("length").alias("n_tokens"), "ids_crc32")
