@@ -1,18 +1,22 @@
 """Personal data: pattern spans, and terms whose co-occurrence gives protected values away. DataFrame operations only.
 
 The base finds e-mail addresses, IP addresses, card and phone numbers. Each
-distinct value is a protected entity. The corpus says how much a term near it,
-a run of letters within REACH code points, reveals of it. All counts are of
-different texts, so copies of a text count once: N of all, n(e) of those with
-the entity, n(t) with the term and n(e, t) with the term near the entity. With
-I(e) = log2(N / n(e)) the information of an entity, what the term tells of it
-is estimated as log2(N (n(e, t) - DISCOUNT) / (n(e) n(t))): absolute discounting
-keeps a single meeting of two rare things from counting as much as it seems to,
-and matters less the more often they meet, so every value is assessed, however
-rare. A term that tells at least
-disclosure * I(e) nearly names the entity. In documents that hold the entity
-such terms become spans too. Sanitised text has values generalised to their
-kind, and disclosing terms removed.
+distinct value is a protected entity, and so is what it can be generalised to:
+the domain of an address, the network of an ip, the issuer of a card, the
+country of a phone, which many values share. The corpus says how much a term
+near an entity, a run of letters within REACH code points, reveals of it. All
+counts are of different texts, so copies of a text count once: N of all, n(e) of
+those with the entity, n(t) with the term and n(e, t) with the term near the
+entity. With I(e) = log2(N / n(e)) the information of an entity, what the term
+tells of it is estimated as log2(N (n(e, t) - DISCOUNT) / (n(e) n(t))). Half a
+text is taken off each count of meetings, so that a term has to tell a bit more
+where it met the entity once than where it met it often; a word that no other
+text has gives a value away that no other text has, once the corpus is large
+enough for that bit to be a tenth of the information. A term that tells at
+least disclosure * I(e) nearly names the entity. In documents that hold the
+entity such terms become spans too. Sanitised text has values generalised, to
+what at least COMMON texts share or else to their kind, and disclosing terms
+removed.
 
 The patterns below accept the same strings as the plain ones of the contract.
 They start only where a run of the leading class starts (or the last match
@@ -41,7 +45,9 @@ TERM = r"\p{L}+"
 REACH = 80  # code points of context on either side of a value
 TERM_KIND = len(KINDS)
 #: Taken off the number of texts in which a term is near an entity.
-DISCOUNT = 0.9
+DISCOUNT = 0.5
+#: Texts that share what a value is generalised to.
+COMMON = 5
 
 
 def _luhn(digits: Column) -> Column:
@@ -93,15 +99,26 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def disclosing_terms(docs: DataFrame, contexts: DataFrame, n_texts: int, *, disclosure: float) -> DataFrame:
-    """entity, terms: the array of terms that disclose each entity that has any.
+def general_form(kind: Column, value: Column) -> Column:
+    """What a value is generalised to: domain, first half of an ip, first six digits, the digits after the plus (three at most)."""
+    value = F.lower(value)
+    return (
+        F.when(kind == 0, F.regexp_extract(value, "@(.*)$", 1))
+        .when(kind == 1, F.regexp_extract(value, r"^[0-9]+\.[0-9]+", 0))
+        .when(kind == 2, F.substring(F.regexp_replace(value, "[^0-9]", ""), 1, 6))
+        .otherwise(F.regexp_extract(value, r"^\+[0-9]{1,3}", 0))
+    )
+
+
+def disclosing_terms(docs: DataFrame, contexts: DataFrame, entities: DataFrame, n_texts: int, *, disclosure: float) -> DataFrame:
+    """entity, term: the terms that disclose each entity.
 
-    contexts: row, id, entity, around; id is the hash of the row's text. An
-    entity that is in every text has no information, and no term discloses it.
+    contexts: row, id, entity, around; id is the hash of the row's text.
+    entities: entity, n_e. An entity that is in every text has no information,
+    and no term discloses it.
     """
     near = contexts.select("entity", "id", F.explode(_terms(F.col("around"))).alias("term")).distinct()
     pairs = written(near.groupBy("entity", "term").agg(F.count("*").alias("both")), "pairs")
-    entities = written(contexts.select("entity", "id").distinct().groupBy("entity").agg(F.count("*").alias("n_e")), "entities")
     # counts of all terms are summed in each task and then joined, so the join makes a row for each pair and no more;
     # both sides are tables, so that Spark can split a term or entity that very many pairs have
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).distinct()
@@ -110,16 +127,18 @@ def disclosing_terms(docs: DataFrame, contexts: DataFrame, n_texts: int, *, disc
     told = F.log2(n * (F.col("both") - DISCOUNT) / (F.col("n_e") * F.col("n_t")))
     information = F.log2(n / F.col("n_e"))
     joined = pairs.join(entities, "entity").join(df, "term")
-    return joined.where((information > 0) & (told >= F.lit(disclosure) * information)).groupBy("entity").agg(F.collect_set("term").alias("terms"))
+    return joined.where((information > 0) & (told >= F.lit(disclosure) * information)).select("entity", "term")
 
 
-def found(docs: DataFrame, *, disclosure: float = 0.9) -> DataFrame:
-    """row, doc_id, text (null where nothing was found), spans: array of (kind, start, end, value), sorted.
+def found(docs: DataFrame, *, disclosure: float = 0.9, common: int = COMMON) -> DataFrame:
+    """row, doc_id, text (null where nothing was found), spans: array of (kind, start, end, value, general), sorted.
 
     One row for each row of docs, repeated ones too; a null text counts as
     empty, and texts may have any length. Offsets are in code points, end
-    exclusive. Kinds are places in KINDS, and TERM_KIND. An empty table gives
-    no rows. Other columns are ignored, whatever their names.
+    exclusive. Kinds are places in KINDS, and TERM_KIND. general is what a value
+    is generalised to where at least `common` different texts have it, else
+    null. An empty table gives no rows. Other columns are ignored, whatever
+    their names.
     """
     matched = written(_matched(docs), "pii")
     base = written(_base_spans(matched), "spans")
@@ -131,20 +150,30 @@ def found(docs: DataFrame, *, disclosure: float = 0.9) -> DataFrame:
         F.lit(" \n "),
         F.regexp_replace(F.substring("text", (s["end"] + 1).cast("int"), F.lit(REACH)), r"\p{L}+$", ""),
     )
-    contexts = own.join(texts, "row").select("row", identity.alias("id"), F.explode(F.transform("spans", lambda s: F.struct(F.concat(s["kind"].cast("string"), F.lit(":"), F.lower(s["value"])).alias("entity"), around(s).alias("around")))).alias("x"))
-    contexts = written(contexts.select("row", "id", "x.entity", "x.around"), "contexts")
+    named = lambda kind, mark, value: F.concat(kind.cast("string"), F.lit(mark), value)
+    both = lambda s: F.array(named(s["kind"], ":", F.lower(s["value"])), named(s["kind"], "~", general_form(s["kind"], s["value"])))
+    contexts = own.join(texts, "row").select("row", identity.alias("id"), F.explode(F.transform("spans", lambda s: F.struct(both(s).alias("entities"), around(s).alias("around")))).alias("x"))
+    contexts = written(contexts.select("row", "id", F.explode("x.entities").alias("entity"), "x.around"), "contexts")
+    entities = written(contexts.select("entity", "id").distinct().groupBy("entity").agg(F.count("*").alias("n_e")), "entities")
     n_texts = docs.select(identity.alias("id")).distinct().count()
-    flagged = written(disclosing_terms(docs, contexts, n_texts, disclosure=disclosure), "flagged")
+    flagged = written(disclosing_terms(docs, contexts, entities, n_texts, disclosure=disclosure), "flagged")
+    # a row looks for those of its own terms that disclose one of its entities, and for no others
+    terms_of = written(texts.select("row", F.explode(_terms(F.col("text"))).alias("term")).join(flagged.select("term").distinct(), "term", "left_semi"), "telling")
+    entities_of = written(contexts.select("row", "entity").distinct().join(flagged.select("entity").distinct(), "entity", "left_semi"), "held")
+    listed = entities_of.join(flagged, "entity").select("row", "term").distinct().join(terms_of, ["row", "term"]).groupBy("row").agg(F.collect_set("term").alias("terms"))
     # one pattern for all the terms of a row, so its text is searched once
-    listed = contexts.select("row", "entity").join(flagged, "entity").groupBy("row").agg(F.array_distinct(F.flatten(F.collect_set("terms"))).alias("terms"))
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
     at = listed.join(texts, "row").select("row", "text", pattern.alias("pattern"))
     hits = F.arrays_zip(F.regexp_extract_all("text", F.col("pattern"), F.lit(0)).alias("m"), F.transform(F.split("text", F.col("pattern"), -1), F.length).alias("l"))
     cut = at.select("row", F.posexplode(hits)).where("col.m is not null")
     w = W.partitionBy("row").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     cut = cut.withColumn("end", F.sum(F.col("col.l") + F.length("col.m")).over(w))
-    terms = cut.select("row", F.lit(TERM_KIND).alias("kind"), (F.col("end") - F.length("col.m")).alias("start"), "end", F.col("col.m").alias("value"))
-    spans = base.unionByName(terms).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end", "value"))).alias("spans"))
+    terms = cut.select("row", F.lit(TERM_KIND).alias("kind"), (F.col("end") - F.length("col.m")).alias("start"), "end", F.col("col.m").alias("value"), F.lit(None).cast("string").alias("general"))
+    shared = entities.where(F.contains("entity", F.lit("~")) & (F.col("n_e") >= common)).select("entity")
+    form = general_form(F.col("kind"), F.col("value"))
+    values = base.withColumn("entity", named(F.col("kind"), "~", form)).join(shared.withColumn("general", F.substring_index("entity", "~", -1)), "entity", "left").drop("entity")
+    item = F.struct("kind", "start", "end", "value", "general")
+    spans = values.select("row", item.alias("s")).unionByName(terms.select("row", item.alias("s"))).groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("spans"))
     return matched.select("row", "doc_id", "text").join(spans, "row", "left").withColumn("spans", F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType)))
 
 
@@ -161,13 +190,14 @@ def report(spans: DataFrame) -> DataFrame:
 
 
 def sanitised(spans: DataFrame) -> DataFrame:
-    """doc_id, text of the rows with spans, from found(): values become their kind in brackets, disclosing terms are removed. Overlapping spans are replaced once."""
-    names = F.array(*map(F.lit, [f"[{k.upper()}]" for k in KINDS] + [""]))
-    order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    """doc_id, text of the rows with spans, from found(): values become their kind in brackets, with what they are generalised to where there is that; disclosing terms are removed. Overlapping spans are replaced once."""
+    names = F.array(*map(F.lit, [k.upper() for k in KINDS]))
+    order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["general"].alias("general"))))
     none = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    shown = lambda s: F.when(s["kind"] == TERM_KIND, F.lit("")).otherwise(F.concat(F.lit("["), F.concat_ws(" ", F.get(names, s["kind"]), s["general"]), F.lit("]")))
 
     def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(acc["out"], F.substring("text", (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.element_at(names, s["kind"] + 1))
+        piece = F.concat(acc["out"], F.substring("text", (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), shown(s))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], piece).otherwise(acc["out"]).alias("out"))
 
     done = F.aggregate(order, none, step, lambda acc: F.concat(acc["out"], F.substring("text", (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
