@@ -35,15 +35,15 @@ def folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet below the shared folder and read it back.
+def written(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write df as Parquet below the shared folder, in partitions by the columns `by`, and read it back.
 
     This cuts the lineage, survives lost executors and keeps later branches
     from running the same work twice. Folders go at interpreter exit.
     """
     spark = df.sparkSession
     path = folder(spark, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
