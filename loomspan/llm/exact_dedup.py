@@ -11,8 +11,9 @@ A filter has BITS bits for each row, counted first, so the share of rows that
 are shuffled in vain is the same at every size, about one in two hundred. No
 more than LARGEST bits are fetched and broadcast at once: the hashes of more
 rows than these serve are cut into slices, each with a filter of its own. Then
-filters are kept as tables, and one after another is fetched, broadcast, used
-and destroyed; the rows are read once for each.
+hashes and ids are dealt to a partition for each slice, and one filter after
+another is fetched, broadcast, used on its own slice and destroyed. So hashes
+are read twice and texts once, whatever the number of slices.
 """
 
 from __future__ import annotations
@@ -112,31 +113,29 @@ def _slice(h: Column, slices: int) -> Column:
     return F.pmod(F.hash(h), F.lit(slices))
 
 
-def _tested(rows: DataFrame, filters: list[DataFrame], bits: int) -> DataFrame:
-    """rows with `maybe`, told by their hash column h, in place of h. With several filters each one's rows are written before the next is fetched."""
+def _tested(rows: DataFrame, table: DataFrame, bits: int, last: bool = True) -> DataFrame:
+    """rows with `maybe`, told by their hash column h, in place of h. Unless it is the last one, the filter is used at once and destroyed."""
     rest = [c for c in rows.columns if c != "h"]
     schema = T.StructType([rows.schema[c] for c in rest] + [T.StructField("maybe", T.BooleanType())])
     width = bits // SEGMENTS
-    out = None
-    for k, table in enumerate(filters):
-        maps = rows.sparkSession.sparkContext.broadcast(_fetched(table, bits))
-
-        def run(batches: Iterator[pa.RecordBatch], maps=maps) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                h = batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
-                seg, pos, maybe = _segment(h), _positions(h, width), np.zeros(len(h), bool)
-                for s in np.unique(seg):
-                    bitmap, own = np.frombuffer(maps.value[s], np.uint8), seg == s
-                    p = pos[own]
-                    maybe[own] = ((bitmap[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1).all(axis=1)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(maybe)], [*rest, "maybe"])
-
-        if len(filters) == 1:
-            return rows.mapInArrow(run, schema)
-        part = written(rows.where(_slice(F.col("h"), len(filters)) == k).mapInArrow(run, schema), "tested")
-        maps.destroy()
-        out = part if out is None else out.unionByName(part)
-    return out
+    maps = rows.sparkSession.sparkContext.broadcast(_fetched(table, bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
+            seg, pos, maybe = _segment(h), _positions(h, width), np.zeros(len(h), bool)
+            for s in np.unique(seg):
+                bitmap, own = np.frombuffer(maps.value[s], np.uint8), seg == s
+                p = pos[own]
+                maybe[own] = ((bitmap[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1).all(axis=1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(maybe)], [*rest, "maybe"])
+
+    tested = rows.mapInArrow(run, schema)
+    if last:
+        return tested
+    tested = written(tested, "tested")
+    maps.destroy()
+    return tested
 
 
 def _digested() -> tuple[Column, Column]:
@@ -146,13 +145,24 @@ def _digested() -> tuple[Column, Column]:
 
 def _copies(docs: DataFrame) -> tuple[DataFrame, DataFrame, list, int]:
     """The rows of copies() that pass straight through, those that are shuffled, and the filters with their bits."""
-    spark = docs.sparkSession
-    prepared(spark)
+    prepared(docs.sparkSession)
+    bits, slices = _sized(docs.count())
     # texts are read once; from here on rows are narrow, and their numbers must not change
-    narrow = written(docs.select("doc_id", *_digested()).withColumn("row", F.monotonically_increasing_id()), "exact")
-    bits, slices = _sized(narrow.count())
-    filters = [written(possibly_repeated(narrow if slices == 1 else narrow.where(_slice(F.col("h"), slices) == k), "h", bits), "filter") for k in range(slices)]
-    rows = _tested(narrow, filters, bits)
+    narrow = docs.select("doc_id", *_digested()).withColumn("row", F.monotonically_increasing_id())
+    filters = []
+    if slices == 1:
+        narrow = written(narrow, "exact")
+        filters = [written(possibly_repeated(narrow, "h", bits), "filter")]
+        rows = _tested(narrow, filters[0], bits)
+    else:
+        # rows go to their slice's partition, a slice to several tasks, and each pass reads its own
+        dealt = narrow.withColumn("slice", _slice(F.col("h"), slices))
+        narrow = written(dealt.repartition("slice", F.pmod("row", F.lit(SALTS))), "exact", ("slice",))
+        rows = None
+        for k in range(slices):
+            own = narrow.where(F.col("slice") == k).drop("slice")
+            part = _tested(own, written(possibly_repeated(own, "h", bits), "filter"), bits, last=False)
+            rows = part if rows is None else rows.unionByName(part)
     alone = rows.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     some = written(rows.where("maybe"), "maybe")
     groups = (
@@ -187,12 +197,22 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Rows that are alike in that, too, are alike altogether.
 
     Texts that the filter tells to be alone go straight through. Only the
-    others are shuffled, to the ids and digests that stay.
+    others are shuffled, to the ids and digests that stay. Beyond one filter's
+    rows, ids and digests of the rows that go are joined instead; either way
+    texts are read three times, for the digests, for those alone and for the others.
     """
     _, shared, filters, bits = _copies(docs)
-    stay = written(shared.where("kept").select(F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_sha")), "stay")
-    rows = _tested(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("whole"), F.col("doc_id").alias("own_id"), *_digested()), filters, bits)
-    alone = rows.where(~F.col("maybe")).select("whole.*")
-    some = rows.where("maybe").join(stay, F.col("own_id").eqNullSafe(F.col("stay_id")) & (F.col("text_sha256") == F.col("stay_sha")), "left_semi")
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("whole"), F.col("doc_id").alias("own_id"), *_digested())
+    if filters:
+        stay = written(shared.where("kept").select(F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_sha")), "stay")
+        rows = _tested(whole, filters[0], bits)
+        alone = rows.where(~F.col("maybe"))
+        some = rows.where("maybe").join(stay, F.col("own_id").eqNullSafe(F.col("stay_id")) & (F.col("text_sha256") == F.col("stay_sha")), "left_semi")
+    else:
+        # no filter for all rows fits an executor: the rows that go, or that share id and text with others, are named instead
+        fates = shared.groupBy(F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_sha")).agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("NOT kept OR n > 1")
+        fates = written(fates.select("stay_id", "stay_sha", "kept"), "fates")
+        rows = whole.join(fates, F.col("own_id").eqNullSafe(F.col("stay_id")) & (F.col("text_sha256") == F.col("stay_sha")), "left")
+        alone, some = rows.where(F.col("kept").isNull()), rows.where("kept")
     first = some.groupBy("own_id", "text_sha256").agg(F.min_by("whole", F.struct("whole.text", F.to_json("whole"))).alias("whole"))
-    return alone.unionByName(first.select("whole.*")).select(*docs.columns)
+    return alone.select("whole.*").unionByName(first.select("whole.*")).select(*docs.columns)

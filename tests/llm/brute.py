@@ -104,8 +104,17 @@ def pii(rows):
     return out
 
 
-def pii_spans(rows, reach=80, disclosure=0.9, discount=0.9):
-    """doc_id and all spans, disclosing terms included."""
+def general(kind, value):
+    """What a value is generalised to."""
+    if kind == 0:
+        return value.rpartition("@")[2] if value.count("@") == 1 else value.partition("@")[2]
+    if kind == 1:
+        return ".".join(value.split(".")[:2])
+    return re.sub("[^0-9]", "", value)[:6] if kind == 2 else re.match(r"\+[0-9]{1,3}", value).group()
+
+
+def pii_spans(rows, reach=80, disclosure=0.9, discount=0.5, common=5):
+    """doc_id, all spans, disclosing terms included, and the sanitised text of each row with spans."""
     base, near, holds, terms_of = [], Counter(), Counter(), {}
     letters = re.compile(r"[^\W\d_]+")
     texts = [t or "" for _, t in rows]
@@ -122,8 +131,8 @@ def pii_spans(rows, reach=80, disclosure=0.9, discount=0.9):
                     own.append((k, kind, m.start(), m.end()))
                     left, right = t[max(0, m.start() - reach) : m.start()], t[m.end() : m.end() + reach]
                     left, right = re.sub(r"^[^\W\d_]+", "", left), re.sub(r"[^\W\d_]+$", "", right)
-                    e = (k, m.group().lower())
-                    pairs |= {(e, None)} | {(e, w.lower()) for w in letters.findall(left) + letters.findall(right)}
+                    for e in ((k, m.group().lower()), (k, "~", general(k, m.group().lower()))):
+                        pairs |= {(e, None)} | {(e, w.lower()) for w in letters.findall(left) + letters.findall(right)}
         spans_of[t], seen_by[t] = own, {e for e, _ in pairs}
         near.update(p for p in pairs if p[1] is not None)
         holds.update(seen_by[t])
@@ -138,7 +147,14 @@ def pii_spans(rows, reach=80, disclosure=0.9, discount=0.9):
         t = text or ""
         words = set().union(*[told.get(e, set()) for e in seen_by[t]])
         found = list(spans_of[t]) + [(4, "term", m.start(), m.end()) for m in letters.finditer(t) if m.group().lower() in words]
-        out.append((doc, ",".join(f"{kind}:{a}:{b}" for _, kind, a, b in sorted(found))))
+        at, clean = 0, ""
+        for a, b, k in sorted((a, b, k) for k, _, a, b in found):
+            if a >= at:
+                form = general(k, t[a:b].lower()) if k < 4 else None
+                shown = "" if k == 4 else f"[{PII[k][0].upper()}{' ' + form if holds[k, '~', form] >= common else ''}]"
+                clean += t[at:a] + shown
+            at = max(at, b)
+        out.append((doc, ",".join(f"{kind}:{a}:{b}" for _, kind, a, b in sorted(found)), clean + t[at:] if found else None))
     return out
 
 

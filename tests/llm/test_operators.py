@@ -12,7 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import loomspan.llm as llm_package  # noqa: F401
-from loomspan.llm import ann, bpe, exact_dedup, langid, mixing, pii, simhash, substring_dedup, suffix_dedup, superkmer, token_store
+from loomspan.llm import ann, bpe, common, exact_dedup, langid, mixing, pii, simhash, substring_dedup, suffix_dedup, superkmer, token_store
 
 from . import brute
 
@@ -104,6 +104,26 @@ def test_copies_of_one_id_leave_the_first_row(spark):
     assert Counter(map(tuple, left.collect())) == Counter([made[2], made[4]])
 
 
+def test_reads_do_not_grow_with_the_slices(spark, monkeypatch):
+    """However many slices there are, rows are counted once and texts read once for copies(), and twice more for deduplicated(): for those alone, and for the others."""
+    monkeypatch.setattr(exact_dedup, "SMALLEST", 1 << 6)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([(i, f"text {i % 90}", "en", "s", 0) for i in range(120)], SCHEMA)
+    for largest, slices in ((1 << 30, 1), (1 << 8, 8), (1 << 6, 30)):
+        monkeypatch.setattr(exact_dedup, "LARGEST", largest)
+        assert exact_dedup._sized(120)[1] == slices
+        seen = df.mapInArrow(counted, df.schema)
+        before = read.value
+        assert exact_dedup.copies(seen).count() == 120 and read.value - before == 2 * 120
+        assert exact_dedup.deduplicated(seen).count() == 90 and read.value - before == 6 * 120
+
+
 def test_filters_follow_the_count():
     assert exact_dedup._sized(0) == (1 << 20, 1)
     for rows in (10**5, 10**7, 10**9):
@@ -195,6 +215,35 @@ def test_long_texts(spark):
     assert len({g.fingerprint for g in simhash.near_duplicates(df).collect()}) >= 3
 
 
+def test_runs_of_pieces_are_those_of_the_whole(monkeypatch):
+    """Cut into pieces of any size, a text has the same super-k-mers, packed runs and kept words as whole."""
+    r = random.Random(6)
+    word = lambda: bytes(r.choices(b"abc", k=r.randint(1, 3)))
+    for n in (0, 40, 49, 50, 51, 400):
+        words = [word() for _ in range(n)]
+        text = b"  ".join(words)
+        whole = superkmer.runs(substring_dedup._digests(words), np.array([n]), 50, 8)
+        spans = [{"first": f, "count": 3} for f in range(0, max(0, n - 52), 70)]
+        for size in (1, 30, 97, 10_000):
+            cut = common.text_pieces
+            monkeypatch.setattr(substring_dedup, "text_pieces", lambda t, table, size=size: cut(t, table, size))
+            pieces = (substring_dedup._Words(p.split()) for p in substring_dedup.text_pieces(text, common.BLANKS))
+            got = [(base + f, c, o, m) for _, base, _, *x in superkmer.piecewise([pieces], 50, 8) for f, c, o, m in zip(*(v.tolist() for v in x), strict=True)]
+            assert got == list(zip(*(v.tolist() for v in whole[1:]), strict=True))
+            parts = [{"first": f, "count": c} for f, c, *_ in got]
+            assert [p for _, p in substring_dedup._packed(text, iter(parts))] == [b" ".join(words[f : f + c + 49]) for f, c, *_ in got]
+            gone = {k for s in spans for k in range(s["first"], s["first"] + 52)}
+            assert substring_dedup._stripped(text, spans) == (n, len(gone), b" ".join(w for k, w in enumerate(words) if k not in gone))
+            monkeypatch.undo()
+    for n in (0, 150, 199, 200, 201, 3000):
+        text = bytes(r.choices(b"ab", k=n))
+        whole = superkmer.runs(suffix_dedup._Bytes(text).elements(), np.array([n]), 200, 32)
+        for size in (1, 64, 333, 10_000):
+            pieces = (suffix_dedup._Bytes(text[i : i + size]) for i in range(0, n, size))
+            got = [(base + f, c, o, m) for _, base, _, *x in superkmer.piecewise([pieces], 200, 32) for f, c, o, m in zip(*(v.tolist() for v in x), strict=True)]
+            assert got == list(zip(*(v.tolist() for v in whole[1:]), strict=True))
+
+
 def test_mixing_without_words(spark):
     """A source whose texts have no words has size and target 0, and none of it is taken."""
     got = {g.doc_id: g for g in mixing.mixed(spark.createDataFrame([(0, " ", "en", "a", 0), (1, "x y z", "en", "b", 0), (2, None, "en", "a", 0)], SCHEMA)).collect()}
@@ -408,6 +457,31 @@ def test_token_store(spark, docs, rows, empty, library, tmp_path):
     assert token_store.read(spark, str(tmp_path / "none"), token_store.keys_of(empty)).count() == 0
 
 
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_token_store_with_hot_ids(spark, library, tmp_path, monkeypatch, few):
+    """An id, and null, that fill more than a shard are split by payload; places go on; few or all blocks may be touched."""
+    monkeypatch.setattr(token_store, "FEW", few)
+    r = random.Random(3)
+    prose = lambda: " ".join(r.choices(["the", "cat", "saw", "Oslo", "é", "x9", "and"], k=r.randint(0, 9)))
+    made = [(r.choice([5, 5, 5, None, None, i, -i]), prose()) for i in range(150)] + [(9, None)]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    folder = str(tmp_path / "hot")
+    token_store.write(df, folder, docs_per_shard=12)
+    shards = spark.read.parquet(f"{folder}/blocks").where("array_contains(docs, 5)").select("shard").distinct().count()
+    assert shards > 3
+    rows = sorted(((d is None, d or 0, np.array(library.encode(t or "", add_special_tokens=False).ids + [2], "<u2").tobytes()) for d, t in made))
+    want, start, place = {}, 0, Counter()
+    for null, d, ids in rows:
+        key = None if null else d
+        want[key, place[key]] = (start, ids)
+        place[key] += 1
+        start += len(ids) // 2
+    got = {(g.doc_id, g.place): (g.start, bytes(g.ids)) for g in token_store.read(spark, folder, token_store.keys_of(df)).collect()}
+    assert got == want
+    some = spark.createDataFrame([(5, 1), (5, 10**6), (9, 0)], "doc_id long, place int")
+    assert {(g.doc_id, g.place): bytes(g.ids) for g in token_store.read(spark, folder, some).collect()} == {k: want[k][1] for k in ((5, 1), (9, 0))}
+
+
 def test_whole_documents_where_words_depend_on_white_space(spark, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = spark.createDataFrame([(1, " a  b\nThe end"), (0, None)], "doc_id long, text string")
@@ -452,7 +526,7 @@ def test_pii_terms(spark):
     assert all(not by[i].spans for i in range(5, 60))
     assert all(texts[x.doc_id][s.start : s.end] == s.value for x in by.values() for s in x.spans)
     clean = {x.doc_id: x.text for x in pii.sanitised(found).collect()}
-    assert set(clean) == set(range(5)) and all("[EMAIL]" in t and "zanzibarite" not in t and "@" not in t for t in clean.values())
+    assert set(clean) == set(range(5)) and all("[EMAIL firm.example.org]" in t and "zanzibarite" not in t and "@" not in t for t in clean.values())
 
 
 def test_pii_terms_in_a_group_of_copies(spark):
@@ -479,10 +553,31 @@ def test_pii_spans(docs, rows, spark):
     texts += [texts[0]] * 5 + [texts[3], "", None, "ip 10.0.0.1 " * 30]
     made = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
     for frame, pairs in ((docs, _pairs(rows)), (spark.createDataFrame(made, SCHEMA).repartition(3), list(enumerate(texts)))):
-        got = Counter((x.doc_id, x.spans) for x in pii.report(pii.found(frame)).collect())
+        held = pii.found(frame)
         want = brute.pii_spans(pairs)
-        assert got == Counter(want)
-    assert any("term:" in w[1] for w in want)
+        assert Counter((x.doc_id, x.spans) for x in pii.report(held).collect()) == Counter(w[:2] for w in want)
+        assert Counter(map(tuple, pii.sanitised(held).collect())) == Counter((w[0], w[2]) for w in want if w[2] is not None)
+    assert any("term:" in w[1] for w in want) and any("[EMAIL firm.example]" in (w[2] or "") for w in want)
+
+
+def test_pii_terms_on_a_driver_table(spark):
+    """Spans and sanitised texts equal the plain version's, and there are terms among them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = brute.pii_spans([tuple(r) for r in docs.collect()])
+    held = pii.found(docs)
+    assert Counter((x.doc_id, x.spans) for x in pii.report(held).collect()) == Counter(w[:2] for w in want)
+
+
+def test_pii_terms_of_what_values_share(spark):
+    """A word that meets many addresses of one domain, each of them once, discloses the domain; where words are everywhere, nothing is disclosed."""
+    r = random.Random(11)
+    vocab = ["".join(r.choices("bcdfgaeiou", k=6)) for _ in range(40)]
+    prose = lambda k: " ".join(r.choices(vocab, k=k))
+    texts = [f"{prose(9)} quagmirella user{i}@firm.example.org {prose(9)}" for i in range(12)] + [prose(20) for _ in range(300)]
+    held = pii.found(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    by = {x.doc_id: [s.value for s in x.spans if s.kind == pii.TERM_KIND] for x in held.collect()}
+    assert all(by[i] == ["quagmirella"] for i in range(12)) and not any(by[i] for i in range(12, len(texts)))
+    assert all("[EMAIL firm.example.org]" in x.text and "quagmirella" not in x.text for x in pii.sanitised(held).collect())
 
 
 def _vectors(n=900, dims=16, seed=0):
