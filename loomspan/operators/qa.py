@@ -57,8 +57,9 @@ def anchored(answers: Column, text: Column, length: Column | None = None) -> Col
     return F.filter(moved, lambda a: a["start"].isNotNull())
 
 
-def window_start(answers: Column, n: Column, most: int) -> tuple[Column, Column]:
-    """Start and end of the context in a text of n characters: the text if it isn't longer than `most`, its beginning if the answers lie too far apart, else the answers with equal room on both sides, moved inside."""
+def window_start(answers: Column, text: Column, most: int, length: Column | None = None) -> tuple[Column, Column]:
+    """Start and end of the context: the text if it isn't longer than `most`, its beginning if the answers lie too far apart, else the answers with equal room on both sides, moved inside."""
+    n = F.length(text) if length is None else length
     low = F.array_min(F.transform(answers, lambda a: a["start"]))
     high = F.array_max(F.transform(answers, lambda a: a["start"] + F.length(a["text"])))
     room = F.floor((F.lit(most) - (high - low)) / 2).cast("int")
@@ -84,7 +85,7 @@ def placed_pairs(docs: DataFrame, spans: DataFrame, *, most_context: int = 4000,
     met = docs.select(key, "text", F.length("text").alias("n__")).join(g, key)
     met = met.select(key, "label", "first", "n__", anchored(F.col("answers"), F.col("text"), F.col("n__")).alias("answers"))
     placed = written(met, "placed").where(F.size("answers") > 0)
-    start, end = window_start(F.col("answers"), F.col("n__"), most_context)
+    start, end = window_start(F.col("answers"), F.lit(None).cast("string"), most_context, F.col("n__"))
     placed = written(placed.select(key, "label", "first", "answers", start.alias("from"), end.alias("to")), "pairs")
     numbered = global_number(placed, [key, "first", "label"], key, first="begins")
     return numbered.withColumn("id", F.concat(F.col(key).cast("string"), F.lit("_q"), F.col("number").cast("string"), F.lit("_"), "label"))

@@ -14,6 +14,18 @@ from .lexicon import Entry
 from .literals import with_needed
 
 
+#: Stands on either side of a match while a text is cut; a text that has it is searched twice instead.
+_MARK = "\ue0f1"
+
+
+def _cut_at(text: Column, pattern: str) -> Column:
+    """The pieces of a text and the matches between them, by turns, from one search: matches are marked, and the text is cut at the marks."""
+    marked = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{_MARK}$0{_MARK}")), _MARK, -1)
+    found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    twice = F.flatten(F.zip_with(pieces, found, lambda q, m: F.when(m.isNull(), F.array(q)).otherwise(F.array(q, m))))
+    return F.when(F.contains(text, F.lit(_MARK)), twice).otherwise(marked)
+
+
 def matches(docs: DataFrame, entries: Sequence[Entry], *, key: str = "doc_id") -> DataFrame:
     """key, label, label_ord, start, end, text of all matches of all patterns, overlaps included.
 
@@ -26,12 +38,13 @@ def matches(docs: DataFrame, entries: Sequence[Entry], *, key: str = "doc_id") -
     texts = with_needed(docs.select(key, "text"), entries) if some else docs.select(key, "text")
 
     def searched(i: int, e: Entry) -> Column:
-        found = F.struct(F.lit(e.label).alias("label"), F.lit(i).alias("label_ord"), F.regexp_extract_all("text", F.lit(e.pattern), F.lit(0)).alias("m"), F.split("text", e.pattern, -1).alias("q"))
+        found = F.struct(F.lit(e.label).alias("label"), F.lit(i).alias("label_ord"), _cut_at(F.col("text"), e.pattern).alias("cut"))
         return F.when(F.array_contains("needed__", i), found) if some else found
 
-    long = texts.select(key, F.explode(F.array(*[searched(i, e) for i, e in enumerate(entries)])).alias("x")).where(F.size("x.m") > 0)
-    gaps = F.transform(F.slice("x.q", 1, F.size("x.m")), F.length)
-    each = long.select(key, "x.label", "x.label_ord", F.posexplode(F.arrays_zip(F.col("x.m").alias("m"), gaps.alias("gap"))))
+    long = texts.select(key, F.explode(F.array(*[searched(i, e) for i, e in enumerate(entries)])).alias("x")).where(F.size("x.cut") > 1)
+    # pieces and matches by turns: each match with the length of the piece before it
+    turns = F.transform(F.sequence(F.lit(0), F.floor(F.size("x.cut") / 2).cast("int") - 1), lambda k: F.struct(F.col("x.cut")[2 * k + 1].alias("m"), F.length(F.col("x.cut")[2 * k]).alias("gap")))
+    each = long.select(key, "x.label", "x.label_ord", F.posexplode(turns))
     w = W.partitionBy(key, "label_ord").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     ended = each.withColumn("end", F.sum(F.col("col.gap") + F.length("col.m")).over(w))
     return ended.select(key, "label", "label_ord", (F.col("end") - F.length("col.m")).alias("start"), "end", F.col("col.m").alias("text"))

@@ -24,19 +24,6 @@ def test_many_queries_meet_the_corpus_in_blocks(spark, monkeypatch):
     assert retrieval.search_models(models.withColumnRenamed("doc_id", "query_id"), models, 2).count() == 40
 
 
-def test_named_corpora(spark):
-    rows = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 2.0])], "context string, embedding array<float>")
-    corpora = retrieval.Corpora()
-    corpora.add("small", rows)
-    queries = spark.createDataFrame([(1, [0.0, 1.0])], "query_id long, embedding array<float>")
-    assert [(r["rank"], r.doc_id) for r in corpora.retrieve("small", queries, 2).orderBy("rank").collect()] in ([(1, "doc_1"), (2, "doc_0")], [(1, "doc_0"), (2, "doc_1")])
-    assert corpora.names() == ["small"]
-    with pytest.raises(ValueError, match="empty"):
-        corpora.add("none", rows.limit(0))
-    with pytest.raises(KeyError):
-        corpora.retrieve("other", queries)
-
-
 def test_metrics(spark):
     marks = spark.createDataFrame([(q, r, h) for q, hits in ((1, (0, 1, 1)), (2, (0, 0, 0)), (3, (1, 0, 1))) for r, h in enumerate(map(float, hits), 1)], "query_id int, rank int, hit double")
     first = evaluation.first_hits(marks, 3)
