@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -20,6 +21,7 @@ def ship(spark: SparkSession) -> None:
         return
     root = os.path.dirname(os.path.abspath(__file__))
     made = tempfile.mkdtemp(prefix="loomspan-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
     copy = shutil.copytree(root, os.path.join(made, "tree", "loomspan"), ignore=shutil.ignore_patterns("__pycache__"))
     sc.addPyFile(shutil.make_archive(os.path.join(made, "loomspan"), "zip", os.path.dirname(copy)))
     sc._loomspan_shipped = True
