@@ -609,6 +609,22 @@ def test_ann(spark, monkeypatch, block):
     assert hits >= 0.9 * 20 * len(got)
 
 
+def test_ann_recall_on_a_driver_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = df.select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    got = defaultdict(set)
+    for g in ann.nearest(df).collect():
+        got[g.query_id].add(g.vec_id)
+    hits = total = 0
+    for q in range(len(ids)):
+        if ids[q] % 20 == 0:
+            score = x @ x[q]
+            best = [int(ids[i]) for i in np.lexsort((ids, -score)) if i != q][:20]
+            hits, total = hits + len(got[int(ids[q])] & set(best)), total + len(best)
+    assert total and hits >= 0.9 * total
+
+
 def test_ann_verifies_less_than_all():
     """On vectors with some structure the test leaves most rows unverified; on isotropic ones it leaves a part."""
     r = np.random.default_rng(1)
