@@ -36,8 +36,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.running import sums_before
-from .bpe import default_path
-from .common import prepared, slices, text_bytes, written
+from .bpe import _byte_letters, default_path
+from .common import BLANKS, prepared, slices, text_bytes, written
 
 END = 2  # appended to each document
 BLOCK_BYTES = 64 << 10
@@ -62,9 +62,20 @@ def _by_word(spec: dict) -> tuple[bool, bool]:
 #: Punctuation that, after letters, is split from a word; an apostrophe may belong to a contraction.
 _TAIL = string.punctuation.replace("'", "")
 #: Bytes of text that are encoded together, and bytes of a cache of words, with what a dictionary needs for each entry.
-SLICE, CACHE, ENTRY = 4 << 20, 48 << 20, 160
-#: Words that are asked for in one text.
-ASKED = 2000
+SLICE, CACHE, ENTRY = 4 << 20, 16 << 20, 160
+#: Words that are asked for in one text, and pieces of letters that each half of their cache has at most.
+ASKED, PIECES = 2000, 60_000
+#: Fixed value: the split pattern by which letters, and other characters but digits, that stand together are one piece each.
+_LETTERS_ALONE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters in lower case that normalisation leaves alone.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+
+
+def _by_piece(spec: dict) -> bool:
+    """Whether a run of plain letters is one piece of the model's, whatever stands around it."""
+    parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    split = parts[0].get("pattern", {}).get("Regex") if parts else None
+    return split == _LETTERS_ALONE and [p.get("type") for p in parts[1:]] == ["ByteLevel"] and not parts[1].get("add_prefix_space", True) and not parts[1].get("use_regex", True)
 
 
 def _words(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,8 +95,9 @@ class _Ids:
 
     Where the tokenizer drops white space and looks at nothing beyond a word,
     a document's ids are its words' ids, and the library is asked for distinct
-    words. Words of letters, or of letters and closing punctuation, are asked
-    for in one text: a number of word ends in its ids that is the least
+    words. Where a run of letters is a piece of its own, the model is asked for
+    the plain letters of a word, and for what punctuation ends it. Other words of
+    letters, or of letters and closing punctuation, are asked for in one text: a number of word ends in its ids that is the least
     possible one tells that each word has just its own. Other words, and words
     of a text where the number is greater, are asked for one by one. Other
     tokenizers get whole documents.
@@ -107,6 +119,11 @@ class _Ids:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
+        self.model = self.tokenizer.model if self.by_word and self.lower and _by_piece(json.loads(spec)) else None
+        self.letters = {b: c for b, c in _byte_letters().items() if b > 127}
+        self.pieces: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
+        self.tails: dict[str, bytes] = {}
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.size = 0
@@ -137,7 +154,46 @@ class _Ids:
         out.update(zip([words[i] for i in odd], self._each([texts[i] for i in odd]), strict=True))
         return out
 
+    def _piece(self, core: str) -> bytes | None:
+        """The ids of plain letters, None for anything else."""
+        low = core.lower()
+        ids = self.older.get(core)
+        if ids is None and _PLAIN.fullmatch(low):
+            ids = array(self.kind, [t.id for t in self.model.tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        if len(self.pieces) >= PIECES:
+            self.older = dict(self.pieces)
+            self.pieces.clear()  # the same dictionary, which a loop may hold
+        if len(core) <= 64:
+            self.pieces[core] = ids
+        return ids
+
+    def _tail(self, tail: str) -> bytes:
+        ids = self._each([tail])[0]
+        if len(tail) <= 8 and len(self.tails) < PIECES:
+            self.tails[tail] = ids
+        return ids
+
     def _known(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words."""
+        if self.model is None or not words:
+            return self._cached(words)
+        out: list[bytes | None] = []
+        odd: list[int] = []
+        piece, tail = self.pieces.get, self.tails.get
+        for i, text in enumerate(b" ".join(words).decode().split(" ")):
+            core = text.rstrip(_TAIL)
+            ids = piece(core) or self._piece(core)
+            if ids is None:
+                odd.append(i)
+            elif len(core) < len(text):
+                end = text[len(core) :]
+                ids += tail(end) or self._tail(end)
+            out.append(ids)
+        for i, ids in zip(odd, self._cached([words[i] for i in odd]), strict=True):
+            out[i] = ids
+        return out
+
+    def _cached(self, words: list[bytes]) -> list[bytes]:
         new, old = self.new, self.old
         out = [new.get(w) for w in words]
         missing = [i for i, x in enumerate(out) if x is None]
@@ -161,6 +217,9 @@ class _Ids:
     def forget(self) -> None:
         """Empty the cache at the end of a task, so that a worker that waits for others holds the tokenizer only."""
         self.old, self.new, self.size = {}, {}, 0
+        self.pieces.clear()
+        self.older.clear()
+        self.tails.clear()
         pa.default_memory_pool().release_unused()
 
     def encode(self, column: pa.Array) -> pa.Array:
@@ -171,13 +230,13 @@ class _Ids:
         texts = text_bytes(column)
         if self.lower:  # special tokens are told before lower-casing, so a text that might hold one keeps its case
             texts = [t if self.marks.search(t) else t.lower() for t in texts]
-        joined = b"".join(texts)
+        joined = b"".join(texts).translate(BLANKS)  # so that words differ by what follows them less often
         begin = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         first, many = _words(np.frombuffer(joined, np.uint8), begin)
         # words reach to the next one here; the blanks go once words are distinct
         spread = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(np.append(first, len(joined)).astype(np.int64)), pa.py_buffer(joined)])
         coded = spread.dictionary_encode()
-        ids = self._known([w.rstrip(b" \t\n\v\f\r") for w in coded.dictionary.to_pylist()])
+        ids = self._known([w.rstrip(b" ") for w in coded.dictionary.to_pylist()])
         pool = np.frombuffer(b"".join(ids), self.width)
         size = np.array([len(x) for x in ids], np.int64) // pool.itemsize
         of = coded.indices.to_numpy(zero_copy_only=False)

@@ -457,6 +457,22 @@ def test_token_store(spark, docs, rows, empty, library, tmp_path):
     assert token_store.read(spark, str(tmp_path / "none"), token_store.keys_of(empty)).count() == 0
 
 
+def test_words_asked_of_the_model_are_the_librarys(library):
+    """Plain letters with and without closing punctuation, and all that must go another way."""
+    import pyarrow as pa
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        ids = token_store._Ids(f.read(), "<u2")
+    assert ids.model is not None
+    r = random.Random(8)
+    texts = [" ".join("".join(r.choices("theCARionéÉßÿŸΣİıſ'12.,-<|>!ªµ中\U0001f600\u0301\xa0ÀäÖ", k=r.randint(1, 7))) for _ in range(60)) for _ in range(150)]
+    texts += ["", None, "<|endoftext|>", "word<|endoftext|>", "The word<|startoftext|>.", "it's don't x's' 'tis ''s", "a\x1cb e\u0301 E\u0301t ÉTÉ... ÉTÉ!?! (été)", "x" * 100 + ", " + "é" * 90, "\t a\n\n b\r\v\f c "]
+    for _ in range(2):
+        got = [np.frombuffer(x, "<u2").tolist() for x in ids.encode(pa.array(texts, pa.string())).to_pylist()]
+        assert got == [library.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    ids.forget()
+
+
 @pytest.mark.parametrize("few", [100_000, 0])
 def test_token_store_with_hot_ids(spark, library, tmp_path, monkeypatch, few):
     """An id, and null, that fill more than a shard are split by payload; places go on; few or all blocks may be touched."""
