@@ -62,9 +62,9 @@ def _by_word(spec: dict) -> tuple[bool, bool]:
 #: Punctuation that, after letters, is split from a word; an apostrophe may belong to a contraction.
 _TAIL = string.punctuation.replace("'", "")
 #: Bytes of text that are encoded together, and bytes of a cache of words, with what a dictionary needs for each entry.
-SLICE, CACHE, ENTRY = 4 << 20, 16 << 20, 160
+SLICE, CACHE, ENTRY = 6 << 20, 24 << 20, 160
 #: Words that are asked for in one text, and pieces of letters that each half of their cache has at most.
-ASKED, PIECES = 2000, 60_000
+ASKED, PIECES = 2000, 100_000
 #: Fixed value: the split pattern by which letters, and other characters but digits, that stand together are one piece each.
 _LETTERS_ALONE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Letters in lower case that normalisation leaves alone.
