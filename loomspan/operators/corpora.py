@@ -14,8 +14,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vector import dot, unit
-from .retrieval import _meeting, numbered, ranked
+from ..functions.vector import unit
+from . import blocks
+from .retrieval import numbered, ranked
 
 #: Buckets of ids within a corpus.
 BUCKETS = 16
@@ -78,8 +79,9 @@ class Corpora:
     def retrieve(self, queries: DataFrame, *names: str, k: int = 10) -> DataFrame:
         """name, query_id, rank, doc_id, score of the k nearest rows of each named corpus. queries: query_id, embedding."""
         corpus = self.vectors(*names).select("name", "doc_id", F.col("embedding").alias("c"))
-        q = queries.dropDuplicates(["query_id"]).select("query_id", unit(F.col("embedding")).alias("q")).where("q IS NOT NULL")
-        scores = _meeting(corpus, q).select("name", "query_id", "doc_id", dot(F.col("q"), F.col("c")).alias("score"))
+        # each query asks every corpus named
+        q = queries.dropDuplicates(["query_id"]).select(F.explode(F.array(*map(F.lit, sorted(set(names))))).alias("name"), "query_id", unit(F.col("embedding")).alias("q"))
+        scores = blocks.met(q, corpus, k=k, by=("name",))
         return ranked(scores, k, ("name", "query_id")).select("name", "query_id", "rank", "doc_id", "score")
 
     def look_up(self, name: str, ids: DataFrame) -> DataFrame:
