@@ -11,7 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import first_date, first_number, sentences
+from ..functions.vector import unit
 from ..staging import written
+from . import blocks
 from .retrieval import scored
 
 #: Countries and the names that count for each.
@@ -103,9 +105,10 @@ def tag_scores(sentence_vectors: DataFrame, tag_vectors: DataFrame, *, key: str
 
     sentence_vectors: key, sentence_no, embedding; tag_vectors: tag_id, embedding.
     """
-    rows = sentence_vectors.select(F.struct(key, "sentence_no").alias("doc_id"), "embedding")
-    tags = tag_vectors.select(F.col("tag_id").alias("query_id"), "embedding")
-    return scored(tags, rows).groupBy(F.col(f"doc_id.{key}").alias(key), F.col("query_id").alias("tag_id")).agg(F.max("score").alias("score"))
+    rows = sentence_vectors.select(F.col(key).alias("doc_id"), F.struct(key, "sentence_no").alias("part__"), unit(F.col("embedding")).alias("c"))
+    tags = tag_vectors.select(F.col("tag_id").alias("query_id"), unit(F.col("embedding")).alias("q"))
+    tops = blocks.met(tags, rows, top=True)  # of each pair of blocks
+    return tops.groupBy(F.col("doc_id").alias(key), F.col("query_id").alias("tag_id")).agg(F.max("score").alias("score"))
 
 
 def best_sentences(scores: DataFrame, *, key: str = "doc_id") -> DataFrame:
