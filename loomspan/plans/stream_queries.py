@@ -39,12 +39,15 @@ def stream_unique_events(spark, sf_dir):
 
 @register(f"WITH {E}, c AS (SELECT doc_id, label, count(*) AS n FROM e GROUP BY ALL) SELECT doc_id, label, n, CAST(sum(n) OVER (PARTITION BY label ORDER BY doc_id) AS BIGINT) AS running FROM c")
 def stream_running_counts(spark, sf_dir):
-    """The running label counts again, by a stream that carries them as state and gets one piece twice."""
+    """The running label counts again, by a stream that carries them as state and gets one piece twice.
+
+    A piece is as many files as Spark writes it in, and a batch is the files that
+    came since the last: the stream goes on from its checkpoint after each piece.
+    """
     docs, place = documents(spark, sf_dir).select("doc_id", "text"), folder(spark, "running")
     first, second, third = _pieces(docs, "doc_id")
-    for pieces in ((first, second), (second, third)):
-        for piece in pieces:
-            docs.where(piece).coalesce(1).write.mode("append").parquet(f"{place}/in")
-        arriving = document_stream(spark, f"{place}/in", docs.schema, files_per_batch=1)
+    for piece in (first, second, second, third):
+        docs.where(piece).write.mode("append").parquet(f"{place}/in")
+        arriving = document_stream(spark, f"{place}/in", docs.schema, files_per_batch=1 << 30)
         appended(running_count_stream(arriving, GENERIC), f"{place}/out", f"{place}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{place}/out").select("doc_id", "label", "n", "running")
