@@ -24,7 +24,8 @@ def valid(entities: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows (text, label, ...) with a known label, in upper case, and a text of two characters or more that is no trivial word."""
     text = strip(F.col("text"))
     kept = entities.where((F.length(text) >= 2) & ~F.lower(text).isin(*TRIVIAL)).withColumn("label", F.upper("label"))
-    return kept.join(labels.select("label").distinct(), "label", "left_semi").select(entities.columns)
+    # a lexicon's labels: joined by shuffle, all rows of a label would meet in one task
+    return kept.join(F.broadcast(labels.select("label").distinct()), "label", "left_semi").select(entities.columns)
 
 
 def located(docs: DataFrame, entities: DataFrame, *, key: str = "doc_id") -> DataFrame:
