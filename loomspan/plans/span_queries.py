@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import entities, spans
 from ..operators.lexicon import GENERIC, dimension
-from ..staging import folder
+from ..staging import folder, written
 from ..streaming.incremental import document_stream, extract_stream
 from .catalog import register
 
@@ -75,7 +75,7 @@ m AS (SELECT DISTINCT doc_id, label, start, "end", text FROM (SELECT * FROM one
 {kept("m", 'start, "end", label', "res")} SELECT {OUT} FROM res"""
 )
 def span_merged(spark, sf_dir):
-    m = found(spark, sf_dir)
+    m = written(found(spark, sf_dir), "matches")  # read for both sources
     return _out(spans.merged(spans.resolved(m.where(F.col("label_ord") < CUT)), m.where(F.col("label_ord") >= CUT)))
 
 
@@ -105,7 +105,7 @@ def span_top_labels(spark, sf_dir):
 @register(f"WITH {E} SELECT label, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM e WHERE label IN (SELECT label FROM lex WHERE label_group IN ('contact', 'quantity')) GROUP BY label")
 def label_semijoin(spark, sf_dir):
     known = dimension(spark, GENERIC).where(F.col("label_group").isin("contact", "quantity"))
-    hit = found(spark, sf_dir).join(known, "label", "left_semi")
+    hit = found(spark, sf_dir).join(F.broadcast(known), "label", "left_semi")  # a lexicon's labels
     return hit.groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
