@@ -101,8 +101,9 @@ def pairs(docs: DataFrame, spans: DataFrame, templates_: DataFrame, *, seed: int
     made = made.withColumn("answers", F.transform("answers", lambda a: F.struct((a["start"] - F.col("from")).cast("int").alias("start"), a["text"].alias("text"))))
     n_templates = templates_.groupBy("label").agg(F.count("*").alias("n_t"))
     pick = portable_hash(F.concat_ws("|", F.col(key).cast("string"), "label", F.lit(str(seed))))
-    made = made.join(n_templates, "label", "left").withColumn("template_no", F.pmod(pick, F.col("n_t")).cast("int"))
-    made = made.join(templates_, ["label", "template_no"], "left").withColumn("question", F.coalesce("question", default_question(F.col("label"))))
+    # templates are a lexicon's: joined by shuffle, all contexts of a label would meet in one task
+    made = made.join(F.broadcast(n_templates), "label", "left").withColumn("template_no", F.pmod(pick, F.col("n_t")).cast("int"))
+    made = made.join(F.broadcast(templates_), ["label", "template_no"], "left").withColumn("question", F.coalesce("question", default_question(F.col("label"))))
     return made.select("id", key, "label", "question", "context", "answers", "begins")
 
 

@@ -38,13 +38,14 @@ def matches(docs: DataFrame, entries: Sequence[Entry], *, key: str = "doc_id") -
     texts = with_needed(docs.select(key, "text"), entries) if some else docs.select(key, "text")
 
     def searched(i: int, e: Entry) -> Column:
-        found = F.struct(F.lit(e.label).alias("label"), F.lit(i).alias("label_ord"), _cut_at(F.col("text"), e.pattern).alias("cut"))
+        found = F.struct(F.lit(e.label).alias("label"), F.lit(i).alias("label_ord"), _cut_at(F.col("text"), e.once or e.pattern).alias("cut"))
         return F.when(F.array_contains("needed__", i), found) if some else found
 
     long = texts.select(key, F.explode(F.array(*[searched(i, e) for i, e in enumerate(entries)])).alias("x")).where(F.size("x.cut") > 1)
     # pieces and matches by turns: each match with the length of the piece before it
     turns = F.transform(F.sequence(F.lit(0), F.floor(F.size("x.cut") / 2).cast("int") - 1), lambda k: F.struct(F.col("x.cut")[2 * k + 1].alias("m"), F.length(F.col("x.cut")[2 * k]).alias("gap")))
-    each = long.select(key, "x.label", "x.label_ord", F.posexplode(turns))
+    # dealt by document once: all that is told within a document, or within parts of it, follows without another shuffle
+    each = long.select(key, "x.label", "x.label_ord", F.posexplode(turns)).repartition(key)
     w = W.partitionBy(key, "label_ord").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     ended = each.withColumn("end", F.sum(F.col("col.gap") + F.length("col.m")).over(w))
     return ended.select(key, "label", "label_ord", (F.col("end") - F.length("col.m")).alias("start"), "end", F.col("col.m").alias("text"))

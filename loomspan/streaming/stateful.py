@@ -56,7 +56,7 @@ def running_count_stream(docs: DataFrame, entries: Sequence[Entry], *, key: str
     """
     ship(docs.sparkSession)
     arrived = unique_stream(docs.select(F.col(key).cast("long").alias("key"), "text").withColumn("arrived", F.current_timestamp()), "arrived", delay, ["key"])
-    each = F.array(*[F.struct(F.lit(e.label).alias("label"), F.regexp_count("text", F.lit(e.pattern)).cast("long").alias("n")) for e in entries])
+    each = F.array(*[F.struct(F.lit(e.label).alias("label"), F.regexp_count("text", F.lit(e.once or e.pattern)).cast("long").alias("n")) for e in entries])
     counts = arrived.select("key", F.explode(each).alias("x")).select("key", "x.label", "x.n").where("n > 0")
     out = counts.groupBy("label").applyInPandasWithState(_run_on, "key long, label string, n long, running long", "total long", "append", GroupStateTimeout.NoTimeout)
     return out.withColumnRenamed("key", key)
