@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 from typing import Any
 
@@ -124,10 +125,26 @@ def paper_fields(papers: DataFrame, *, key: str = "doc_id", countries: dict[str,
 
 
 def _named(countries: dict[str, str] | None) -> Column:
-    each = F.array(*[F.struct(F.lit(c).alias("country"), F.regexp_count("text", F.lit(rf"(?i)\b(?:{p})\b")).alias("n")) for c, p in (countries or COUNTRIES).items()])
+    given = countries or COUNTRIES
+    names = {c: p.lower().split("|") for c, p in given.items()}
+    if _apart(names):  # one search of the text finds the names of all
+        found = F.transform(F.regexp_extract_all("text", F.lit(rf"(?i)\b(?:{'|'.join(given.values())})\b"), F.lit(0)), F.lower)
+        own = lambda x, c: F.size(F.filter(x, lambda v: v.isin(*names[c])))
+        each = lambda x: F.array(*[F.struct(F.lit(c).alias("country"), own(x, c).alias("n")) for c in given])
+        return F.filter(F.get(F.transform(F.array(found), each), F.lit(0)), lambda x: x["n"] > 0)
+    each = F.array(*[F.struct(F.lit(c).alias("country"), F.regexp_count("text", F.lit(rf"(?i)\b(?:{p})\b")).alias("n")) for c, p in given.items()])
     return F.filter(each, lambda x: x["n"] > 0)
 
 
+def _apart(names: dict[str, list[str]]) -> bool:
+    """Whether all names are ASCII words, and no name of one country can overlap one of another in a text."""
+    if not all(re.fullmatch("[a-z]+( [a-z]+)*", n) for own in names.values() for n in own):
+        return False
+    split = [(c, n.split()) for c, own in names.items() for n in own]
+    meet = lambda a, b: any(a[i : i + len(b)] == b[: len(a) - i] for i in range(len(a)))
+    return not any(c != d and meet(a, b) for c, a in split for d, b in split)
+
+
 def country_counts(docs: DataFrame, *, key: str = "doc_id", countries: dict[str, str] | None = None) -> DataFrame:
     """key, country, n of the countries that occur, whatever the case."""
     return docs.select(key, F.explode(_named(countries)).alias("x")).select(key, "x.country", "x.n")
