@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from loomspan.functions.vector import unit
 from loomspan.operators import encoders, evaluation, report, retrieval
 
 
@@ -93,3 +94,11 @@ def test_a_page_shows_whole_tables_only(spark):
     with pytest.raises(ValueError, match="more than"):
         report.chart_page({"t": df})
     assert report.chart_page({"t": df.where("id > 0")}).count("<tr><td>") == report.PAGE_ROWS
+
+
+def test_a_length_is_added_up_once_for_each_vector(spark):
+    """Within the function over components it was added up again for each of them: the square of their number for each vector."""
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,), ([float("nan"), 1.0],)], "e array<float>").select(unit(F.col("e")).alias("u"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().lower().count("sqrt(") == 1
+    got = [r["u"] for r in df.collect()]
+    assert got[:3] == [[0.6, 0.8], None, None] and len(got[3]) == 2 and all(x != x for x in got[3])
