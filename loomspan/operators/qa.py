@@ -27,7 +27,8 @@ def chosen(spans: DataFrame, *, most: int = 10, key: str = "doc_id") -> DataFram
     """At most `most` spans for each document and label: first one of each text (whatever its case) by position, then further ones by position. Groups of `most` or fewer stay whole."""
     group = W.partitionBy(key, "label")
     again = F.row_number().over(W.partitionBy(key, "label", F.lower("text")).orderBy("start"))
-    seen = spans.withColumn("again", again)
+    # dealt by document once, for both windows and what is grouped by document and label afterwards
+    seen = spans.repartition(key).withColumn("again", again)
     return seen.withColumn("pick", F.row_number().over(group.orderBy((F.col("again") > 1).cast("int"), "start"))).where(F.col("pick") <= most).drop("again", "pick")
 
 

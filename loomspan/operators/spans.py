@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.running import sums_before
+from ..shipping import ship
 from ..staging import written
 from .lexicon import Entry
 from .literals import with_needed
 
 
+#: Documents whose matches are held at once.
+DOCUMENTS = 256
 #: Stands on either side of a match while a text is cut; a text that has it is searched twice instead.
 _MARK = "\ue0f1"
 
@@ -26,14 +33,50 @@ def _cut_at(text: Column, pattern: str) -> Column:
     return F.when(F.contains(text, F.lit(_MARK)), twice).otherwise(marked)
 
 
+def _scanned(texts: DataFrame, entries: Sequence[Entry], key: str) -> DataFrame:
+    """matches() by the entries' forms that read once, dealt by document."""
+    ship(texts.sparkSession)
+    given = tuple(entries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searched = [(i, re.compile(e.once).finditer, e.holds) for i, e in enumerate(given)]
+        labels = pa.array([e.label for e in given])
+        for whole in batches:
+            for a in range(0, whole.num_rows, DOCUMENTS):
+                batch = whole.slice(a, DOCUMENTS)
+                rows, ords, starts, ends, found = [], [], [], [], []
+                for row, raw in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
+                    text = raw.decode("utf-8", "replace") if raw else ""
+                    for i, search, holds in searched:
+                        if holds and not any(x in text for x in holds):
+                            continue
+                        for m in search(text):
+                            start, end = m.span()
+                            rows.append(row)
+                            ords.append(i)
+                            starts.append(start)
+                            ends.append(end)
+                            found.append(m[0])
+                ords = pa.array(ords, pa.int32())
+                columns = [batch.column(0).take(pa.array(rows, pa.int64())), labels.take(ords), ords, pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(found, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, [key, "label", "label_ord", "start", "end", "text"])
+
+    kind = T.StructType([texts.schema[key], *T._parse_datatype_string("label string, label_ord int, start long, `end` long, text string").fields])
+    return texts.mapInArrow(run, kind).repartition(key)
+
+
 def matches(docs: DataFrame, entries: Sequence[Entry], *, key: str = "doc_id") -> DataFrame:
     """key, label, label_ord, start, end, text of all matches of all patterns, overlaps included.
 
     One scan applies every pattern, or, where entries know literals that they
     need, just those that a text can match (see literals). With m the matches
     and q the pieces between them, match i starts where the first i pieces and
-    the matches before it end. Patterns mustn't match the empty string.
+    the matches before it end. Patterns mustn't match the empty string. Entries
+    that all have a form that reads once are scanned for in Python, which tells
+    where a match is.
     """
+    if all(e.once and not e.needs for e in entries):
+        return _scanned(docs.select(key, "text"), entries, key)
     some = any(e.needs for e in entries)
     texts = with_needed(docs.select(key, "text"), entries) if some else docs.select(key, "text")
 
@@ -54,31 +97,34 @@ def matches(docs: DataFrame, entries: Sequence[Entry], *, key: str = "doc_id") -
 def _kept(spans: DataFrame, key: str, order: list[Column], fields: list[str]) -> DataFrame:
     """Greedy choice in the given order: a span stays if it starts at or after the end of the last one that stayed.
 
-    A span that starts at or after every earlier end begins a cluster, and the
-    choice starts afresh there. So the fold runs over clusters of overlapping
-    spans and not over whole documents.
+    Spark deals the spans by document and sorts them, once; a task then reads
+    them in that order and holds one end, so no document is gathered. order:
+    columns of spans, up or down, since Spark would sort again for expressions.
     """
-    w = W.partitionBy(key).orderBy(*order)
-    before = F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))
-    numbered = spans.withColumn("place", F.row_number().over(w)).withColumn("fresh", (F.col("start") >= F.coalesce(before, F.lit(0))).cast("int"))
-    numbered = numbered.withColumn("cluster", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    members = F.array_sort(F.collect_list(F.struct("place", *fields)))
-    grouped = numbered.groupBy(key, "cluster").agg(members.alias("s"))
-    kind = grouped.schema["s"].dataType.simpleString()
-    none = F.struct(F.lit(-1).cast("long").alias("last"), F.array().cast(kind).alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        more = F.struct(s["end"].cast("long").alias("last"), F.concat(acc["out"], F.array(s)).alias("out"))
-        return F.when(s["start"] >= acc["last"], more).otherwise(acc)
-
-    chosen = grouped.select(key, F.explode(F.aggregate("s", none, step, lambda acc: acc["out"])).alias("s"))
-    return chosen.select(key, *[f"s.{f}" for f in fields])
+    ship(spans.sparkSession)
+    place = F.row_number().over(W.partitionBy(key).orderBy(*order))
+    placed = spans.where("start IS NOT NULL").withColumn("place__", place).select(key, *fields, "place__")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            starts = batch.column("start")
+            ends = pc.coalesce(batch.column("end"), starts)
+            keep = []
+            for first, start, end in zip(pc.equal(batch.column("place__"), 1).to_pylist(), starts.to_pylist(), ends.to_pylist(), strict=True):
+                stays = first or start >= last
+                keep.append(stays)
+                if stays:
+                    last = end
+            yield batch.drop_columns(["place__"]).filter(pa.array(keep, pa.bool_()))
+
+    return placed.mapInArrow(run, placed.drop("place__").schema)
 
 
 def resolved(spans: DataFrame, *, key: str = "doc_id") -> DataFrame:
     """Without overlaps: leftmost first, the longest of those that start together, then label order."""
-    order = [F.col("start"), F.desc(F.col("end") - F.col("start")), F.col("label_ord")]
-    return _kept(spans, key, order, ["label", "label_ord", "start", "end", "text"])
+    sized = spans.withColumn("length__", F.col("end") - F.col("start"))
+    return _kept(sized, key, [F.col("start"), F.desc("length__"), F.col("label_ord")], ["label", "label_ord", "start", "end", "text"])
 
 
 def merged(*sources: DataFrame, key: str = "doc_id", prefer: str = "shortest") -> DataFrame:

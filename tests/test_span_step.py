@@ -38,3 +38,33 @@ def test_spans_are_dealt_once(spark):
     df = spans.resolved(spans.matches(docs, GENERIC))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_spans_are_sorted_once(spark):
+    """Matches were sorted for their places, and three times more for windows that were ordered by an expression; each cluster was a group."""
+    docs = spark.createDataFrame(list(enumerate(_texts()))[:50], "doc_id long, text string")
+    plan = _plan(spans.resolved(spans.matches(docs, GENERIC)))
+    assert plan.count("Sort [") == 1 and "Aggregate" not in plan
+
+
+def test_greedy_choice_over_batches(spark):
+    """Chains of overlaps, longer than a batch of Arrow."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        r = random.Random(3)
+        rows = [(d, "AB"[r.randint(0, 1)], i % 3, s, s + r.randint(1, 9), "x") for d in range(40) for i, s in enumerate(r.choices(range(60), k=r.randint(1, 50)))]
+        got = spans.resolved(spark.createDataFrame(rows, "doc_id long, label string, label_ord int, start long, `end` long, text string")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = set()
+    for d in range(40):
+        last = 0
+        for x in sorted((x for x in rows if x[0] == d), key=lambda x: (x[3], x[3] - x[4], x[2])):
+            if x[3] >= last:
+                last = x[4]
+                want.add((d, x[3], x[4]))
+    assert sorted((g.doc_id, g.start, g.end) for g in got) == sorted(want)
