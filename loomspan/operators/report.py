@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..staging import written
+
 
 def long_form(metrics: DataFrame, columns: list[str], key: str = "model") -> DataFrame:
     """key, metric, value."""
@@ -42,7 +44,11 @@ def time_similarity(metrics: DataFrame) -> DataFrame:
 
 
 def transposed(metrics: DataFrame, columns: list[str], key: str = "model") -> DataFrame:
-    """A row for each metric and a column for each model. A table without models raises."""
+    """A row for each metric and a column for each model. A table without models raises.
+
+    The metrics are written first: the models' names are collected before the rows are pivoted, and what they come from would run twice.
+    """
+    metrics = written(metrics.select(key, *columns), "metrics")
     models = [r[0] for r in metrics.select(key).distinct().orderBy(key).collect()]  # as many as models compared
     if not models:
         raise ValueError("no results to report")

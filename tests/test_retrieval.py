@@ -102,3 +102,17 @@ def test_a_length_is_added_up_once_for_each_vector(spark):
     assert df._jdf.queryExecution().optimizedPlan().toString().lower().count("sqrt(") == 1
     got = [r["u"] for r in df.collect()]
     assert got[:3] == [[0.6, 0.8], None, None] and len(got[3]) == 2 and all(x != x for x in got[3])
+
+
+def test_a_transposed_report_runs_its_metrics_once(spark):
+    """The models' names were collected from the whole search, which then ran again for the rows."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([("a", 1.0, 5.0), ("b", 3.0, None)], "model string, x double, y double")
+    got = report.transposed(df.mapInArrow(counted, df.schema), ["x", "y"])
+    assert sorted(map(tuple, got.collect())) == [("x", 1.0, 3.0), ("y", 5.0, None)] and read.value == 2
