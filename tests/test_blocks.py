@@ -44,6 +44,22 @@ def test_blocks_give_what_all_pairs_give(spark, monkeypatch, size):
     assert _rows(got, "paper", "tag_id", "score") == _rows(pairs.groupBy("label", "query_id").agg(F.max("score").alias("score")), "label", "query_id", "score")
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_whole_rankings_sort_lists(spark, monkeypatch, kind):
+    """A row for each pair was shuffled and sorted."""
+    monkeypatch.setattr(retrieval, "ROUND", 20)
+    monkeypatch.setattr(retrieval, "SPAN", 40)
+    corpus = _vectors(spark).withColumn("doc_id", F.when(F.col("doc_id") != 60, F.col("doc_id")).cast(kind))
+    queries = _vectors(spark).where("doc_id % 25 = 0 OR doc_id > 299").select(F.col("doc_id").cast(kind).alias("query_id"), "embedding")
+    got = retrieval.rank_contexts(queries, corpus)
+    columns = ("query_id", "rank", "doc_id", "score")
+    assert got.schema["rank"].dataType.typeName() == "integer" and got.schema["doc_id"].dataType.typeName() == kind
+    assert _rows(got, *columns) == _rows(retrieval.ranked(_plain(queries, corpus)), *columns)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "FlatMapGroupsInArrow" in plan
+    assert retrieval.rank_contexts(queries.where("false"), corpus).count() == 0 and retrieval.rank_contexts(queries, corpus.where("false")).count() == 0
+
+
 def test_no_search_makes_a_row_for_each_pair(spark):
     """Pairs of rows were joined one by one, which took most of a search's time."""
     corpus = _vectors(spark)
