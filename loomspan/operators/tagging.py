@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import Any
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import first_date, first_number, sentences
 from ..functions.vector import unit
+from ..shipping import ship
 from ..staging import written
 from . import blocks
 from .retrieval import scored
@@ -84,6 +88,47 @@ def tag_index(definitions: DataFrame, *, column: str = "definition", by: Sequenc
     return found.select(*by, place.alias("tag_id"), F.col("path")[0].alias("cat"), F.col("path")[1].alias("sub"), F.col("path")[1].alias("field"), F.trim(F.element_at("pair", -1)).alias("code"), F.trim(F.col("pair")[0]).alias("phrase"), "path")
 
 
+def _times(text: str, phrases: Sequence[str]) -> list[int]:
+    """How often each phrase stands in the text, as str.count has it, from one pass over the text."""
+    import ahocorasick
+
+    trie = ahocorasick.Automaton()
+    for p in phrases:
+        if p:
+            trie.add_word(p, (p, len(p)))
+    n, last = dict.fromkeys(phrases, 0), dict.fromkeys(phrases, -1)
+    if len(trie):
+        trie.make_automaton()
+        for end, (p, length) in trie.iter(text):
+            if end - length >= last[p]:
+                n[p] += 1
+                last[p] = end
+    return [n[p] for p in phrases]
+
+
+def phrase_counts(docs: DataFrame, tags: DataFrame, *, key: str = "doc_id") -> DataFrame:
+    """key, tag_id, score: how often the phrase of each of a document's own tags stands in its text; an occurrence that overlaps one counted before isn't counted.
+
+    docs: key, text; tags: key, tag_id, phrase. A text is read once for all of
+    its phrases, so the work grows with the texts and what is found in them.
+    """
+    ship(docs.sparkSession)
+    own = tags.groupBy(key).agg(F.collect_list(F.struct("tag_id", "phrase")).alias("tags"))
+    met = docs.select(key, "text").join(own, key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("tags")
+            tag_ids, phrases = lists.flatten().flatten()
+            phrases, n, at = phrases.to_pylist(), [], 0
+            for raw, size in zip(batch.column("text").cast(pa.binary()).to_pylist(), lists.value_lengths().to_pylist(), strict=True):
+                n += _times(raw.decode("utf-8", "replace"), phrases[at : at + size]) if raw is not None else [None] * size
+                at += size
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pc.list_parent_indices(lists)), tag_ids, pa.array(n, pa.int64())], [key, "tag_id", "score"])
+
+    return met.mapInArrow(run, T.StructType([docs.schema[key], tags.schema["tag_id"], T.StructField("score", T.LongType())]))
+
+
 def rolled_up(scores: DataFrame, tags: DataFrame, *, by: Sequence[str] = (), key: str = "doc_id") -> DataFrame:
     """key, node, score, tags, best: for each node above a tag the best score of any tag below it, their number, and the tag that has it, the first on ties.
 

@@ -108,3 +108,18 @@ def test_best_sentence_is_the_first_on_ties(spark):
     rows = [(1, 0, "low", 0.1), (1, 1, "first", 0.9), (1, 2, "second", 0.9)]
     df = spark.createDataFrame(rows, "doc_id int, sentence_no int, sentence string, score double")
     assert tagging.best_sentences(df).first().sentence == "first"
+
+
+def test_a_text_is_read_once_for_all_phrases_of_its_tags(spark):
+    """Each tag went over the whole text, twice, and every tag's row carried the text."""
+    docs = [(1, "aaaa b aaa \U0001f600 na\u00efve banana"), (2, ""), (3, None), (4, "no tags"), (5, "xyxyx zz")]
+    tags = [(1, 0, "aa"), (1, 1, "a"), (1, 2, "na\u00efve"), (1, 3, "ana"), (1, 4, "aa"), (1, 5, "\U0001f600"), (1, 6, "aaaa b"), (2, 0, "a"), (3, 0, "a"), (5, 0, "xyx"), (5, 1, "q")]
+    left = spark.createDataFrame(docs, "doc_id long, text string")
+    right = spark.createDataFrame(tags, "doc_id long, tag_id int, phrase string").repartition(3)
+    times = F.floor((F.length("text") - F.length(F.replace("text", F.col("phrase"), F.lit("")))) / F.length("phrase"))
+    plain = right.join(left, "doc_id").select("doc_id", "tag_id", times.alias("score"))
+    got = tagging.phrase_counts(left, right)
+    key = lambda r: (r.doc_id, r.tag_id)
+    assert sorted(got.collect(), key=key) == sorted(plain.collect(), key=key) and got.schema == plain.schema
+    many = [f"word{i}x" for i in range(3000)]
+    assert tagging._times(" ".join(many) * 2, many) == [2] * 3000
