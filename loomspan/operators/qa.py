@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.running import sums_before
 from ..functions.text import portable_hash, word_count
+from ..shipping import ship
 from ..staging import written
 from .lexicon import questions
 
@@ -39,6 +44,63 @@ def groups(spans: DataFrame, *, fewest: int = 1, key: str = "doc_id") -> DataFra
     return made.where(F.col("n") >= fewest)
 
 
+class _Chosen:
+    """The spans of a document and label, which come by position: the first ones of each text, and further ones, `most` of either."""
+
+    def __init__(self, most: int) -> None:
+        self._most, self._seen, self._first, self._further = most, set(), [], []
+
+    def add(self, lowered: str | None, span: tuple[int, str | None]) -> None:
+        if len(self._first) < self._most:
+            if lowered not in self._seen:
+                self._seen.add(lowered)
+                self._first.append(span)
+            elif len(self._further) < self._most:
+                self._further.append(span)
+
+    def spans(self) -> list[tuple[int, str | None]]:
+        return sorted(self._first + self._further[: self._most - len(self._first)], key=lambda s: (s[0], s[1] is not None, s[1] or ""))
+
+
+def chosen_groups(spans: DataFrame, *, fewest: int = 1, most: int = 10, in_order: bool = False, key: str = "doc_id") -> DataFrame:
+    """groups() of chosen(), from one reading of the spans by position, which holds at most 2 * most spans of each label.
+
+    in_order: spans already come document by document and by position, as spans.resolved() gives them; others are sorted first.
+    """
+    ship(spans.sparkSession)
+    given = spans.select(key, "label", "start", "text", F.lower("text").alias("lowered__")).where("start IS NOT NULL")
+    given = given if in_order else given.repartition(key).sortWithinPartitions(key, "start")
+    answers = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("text", spans.schema["text"].dataType)]))
+    kind = T.StructType([spans.schema[key], spans.schema["label"], T.StructField("n", T.LongType()), T.StructField("first", spans.schema["start"].dataType), T.StructField("answers", answers)])
+
+    def table(done: list, like: pa.Schema) -> pa.RecordBatch:
+        done = [(own, s) for own, g in done if len(s := g.spans()) >= fewest]
+        every, to = [x for _, s in done for x in s], [0]
+        for _, s in done:
+            to.append(to[-1] + len(s))
+        items = pa.StructArray.from_arrays([pa.array([x[0] for x in every], pa.int32()), pa.array([x[1] for x in every], like.field("text").type)], ["start", "text"])
+        own = [pa.array([o[i] for o, _ in done], like.field(c).type) for i, c in enumerate((key, "label"))]
+        first = pa.array([s[0][0] for _, s in done], like.field("start").type)
+        return pa.RecordBatch.from_arrays([*own, pa.array([len(s) for _, s in done], pa.int64()), first, pa.ListArray.from_arrays(pa.array(to, pa.int32()), items)], kind.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, like = None, {}, None
+        for batch in batches:
+            done, like = [], batch.schema
+            for doc, label, start, text, lowered in zip(*(batch.column(c).to_pylist() for c in like.names), strict=True):
+                if doc != now:
+                    done += [((now, own), g) for own, g in held.items()]
+                    now, held = doc, {}
+                if label not in held:
+                    held[label] = _Chosen(most)
+                held[label].add(lowered, (start, text))
+            yield table(done, like)
+        if held:
+            yield table([((now, own), g) for own, g in held.items()], like)
+
+    return given.mapInArrow(run, kind)
+
+
 def unique_texts(spans: DataFrame, *, key: str = "doc_id") -> DataFrame:
     """key, label, start, text of the first span of each text, whatever its case, within a document and label."""
     nth = F.row_number().over(W.partitionBy(key, "label", F.lower("text")).orderBy("start"))
@@ -72,8 +134,8 @@ def window_start(answers: Column, text: Column, most: int, length: Column | None
     return final_start.cast("int"), final_end.cast("int")
 
 
-def placed_pairs(docs: DataFrame, spans: DataFrame, *, most_context: int = 4000, fewest: int = 1, most: int = 10, key: str = "doc_id") -> DataFrame:
-    """id, key, label, number, answers, from, to, begins: the pairs of pairs() without texts, as a table.
+def placed_pairs(docs: DataFrame, spans: DataFrame, *, most_context: int = 4000, fewest: int = 1, most: int = 10, in_order: bool = False, key: str = "doc_id") -> DataFrame:
+    """id, key, label, number, answers, from, to, begins: the pairs of pairs() without texts, as a table. in_order: see chosen_groups.
 
     from and to bound the context in the text; begins marks a document's first
     pair. Texts meet the spans once, the answers are placed once for each row,
@@ -81,7 +143,7 @@ def placed_pairs(docs: DataFrame, spans: DataFrame, *, most_context: int = 4000,
     of document and first span: counts of ranges of documents come first, so
     that numbering takes no single-task sort.
     """
-    g = groups(chosen(spans, most=most, key=key), fewest=fewest, key=key)
+    g = chosen_groups(spans, fewest=fewest, most=most, in_order=in_order, key=key)
     # a length is taken once for each text; the filter stays behind the write, since before it Spark would place the answers again to test them
     met = docs.select(key, "text", F.length("text").alias("n__")).join(g, key)
     met = met.select(key, "label", "first", "n__", anchored(F.col("answers"), F.col("text"), F.col("n__")).alias("answers"))
@@ -92,12 +154,12 @@ def placed_pairs(docs: DataFrame, spans: DataFrame, *, most_context: int = 4000,
     return numbered.withColumn("id", F.concat(F.col(key).cast("string"), F.lit("_q"), F.col("number").cast("string"), F.lit("_"), "label"))
 
 
-def pairs(docs: DataFrame, spans: DataFrame, templates_: DataFrame, *, seed: int = 42, most_context: int = 4000, fewest: int = 1, most: int = 10, key: str = "doc_id") -> DataFrame:
+def pairs(docs: DataFrame, spans: DataFrame, templates_: DataFrame, *, seed: int = 42, most_context: int = 4000, fewest: int = 1, most: int = 10, in_order: bool = False, key: str = "doc_id") -> DataFrame:
     """id, key, label, question, context, answers, begins: one row for each document and label with an answer left.
 
     The question is picked by a hash of document, label and seed. See placed_pairs.
     """
-    made = placed_pairs(docs, spans, most_context=most_context, fewest=fewest, most=most, key=key).join(docs.select(key, "text"), key)
+    made = placed_pairs(docs, spans, most_context=most_context, fewest=fewest, most=most, in_order=in_order, key=key).join(docs.select(key, "text"), key)
     made = made.withColumn("context", F.substr("text", F.col("from") + 1, F.col("to") - F.col("from")))
     made = made.withColumn("answers", F.transform("answers", lambda a: F.struct((a["start"] - F.col("from")).cast("int").alias("start"), a["text"].alias("text"))))
     n_templates = templates_.groupBy("label").agg(F.count("*").alias("n_t"))

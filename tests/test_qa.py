@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loomspan.operators import qa
+from loomspan.operators import qa, spans
 
 
 def _spans(spark, rows):
@@ -89,3 +89,26 @@ def test_whole_texts_are_validated(spark, tmp_path):
     got = {r.doc_id: r.issues for r in all_queries()["qa_validate_whole"][0](spark, str(tmp_path)).collect()}
     assert got[0] == "" and "stands at 4500 instead of 4501" in got[1] and "starts at 9000, outside of 9000 characters" in got[2]
     assert "absent: zz#zz" in got[3]
+
+
+def test_spans_are_chosen_and_grouped_in_one_reading(spark):
+    """Two windows and an aggregation sorted and grouped the spans, one after another."""
+    words = ["Ab", "ab", "c", "D", "d", "e", "f", "\u0130x", "i\u0307x", None]
+    rows = [(d, f"L{label}" if label else None, 3 * i, words[(i * (d + 1) + label) % (d + 3)]) for d in range(1, 8) for label in range(3) for i in range(40 if d % 2 else 3)]
+    df = spark.createDataFrame(rows, "doc_id long, label string, start long, text string").repartition(6)
+    for most, fewest in ((10, 1), (3, 2), (1, 1), (10, 4)):
+        want = qa.groups(qa.chosen(df, most=most), fewest=fewest)
+        got = qa.chosen_groups(df, most=most, fewest=fewest)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.columns == want.columns
+        assert [t for _, t in got.dtypes] == [t for _, t in want.dtypes]
+    plan = qa.chosen_groups(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Sort ") == 1
+    assert qa.chosen_groups(df.where("false")).count() == 0
+    kept = spans.resolved(df.withColumns({"end": F.col("start") + 3, "label_ord": F.lit(0)}))
+    want = qa.groups(qa.chosen(kept))
+    got = qa.chosen_groups(kept, in_order=True)
+    exchanges = [d._jdf.queryExecution().executedPlan().toString().count("Exchange") for d in (kept, got, qa.chosen_groups(kept))]
+    assert exchanges[0] == exchanges[1] < exchanges[2]
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    docs = spark.createDataFrame([(d, "x" * 200) for d in range(9)], "doc_id long, text string")
+    assert "number" in qa.placed_pairs(docs, df.where("text IS NOT NULL")).columns
