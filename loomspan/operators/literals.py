@@ -21,9 +21,20 @@ from .lexicon import Entry
 
 #: ASCII capitals, and the characters that patterns in any case take for ASCII letters.
 FOLDED = {i: i + 32 for i in range(65, 91)} | {0x130: "i", 0x131: "i", 0x17F: "s", 0x212A: "k"}
+_LOWER = bytes(range(256)).lower()
+_OTHERS = [(chr(i), c) for i, c in FOLDED.items() if i > 127]
 _WORD = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")
 
 
+def folded(text: str) -> str:
+    """text.translate(FOLDED), which goes through a text that isn't all ASCII character by character: capitals are replaced as bytes, of which no other character has any."""
+    out = text.encode("utf-8", "surrogatepass").translate(_LOWER).decode("utf-8", "surrogatepass")
+    if not text.isascii():
+        for other, letter in _OTHERS:
+            out = out.replace(other, letter)
+    return out
+
+
 class LiteralIndex:
     """The literals of the entries, and for each what it takes to count and the numbers of the entries that need it."""
 
@@ -47,7 +58,7 @@ class LiteralIndex:
         found = set(self.always)
         if self._empty or not text:
             return sorted(found)
-        for end, (length, ways) in self._trie.iter(text.translate(FOLDED)):
+        for end, (length, ways) in self._trie.iter(folded(text)):
             start = end - length + 1
             for exact, inside, own in ways:
                 if (inside or not start or text[start - 1] not in _WORD) and (exact is None or text.startswith(exact, start)):
