@@ -81,7 +81,8 @@ class Corpora:
         corpus = self.vectors(*names).select("name", "doc_id", F.col("embedding").alias("c"))
         # each query asks every corpus named
         q = queries.dropDuplicates(["query_id"]).select(F.explode(F.array(*map(F.lit, sorted(set(names))))).alias("name"), "query_id", unit(F.col("embedding")).alias("q"))
-        scores = blocks.met(q, corpus, k=k, by=("name",))
+        dims = self.index().where(F.col("name").isin(*names)).agg(F.max("dims")).first()[0]
+        scores = blocks.met(q, corpus, k=k, by=("name",), size=blocks.sized(dims or 0))
         return ranked(scores, k, ("name", "query_id")).select("name", "query_id", "rank", "doc_id", "score")
 
     def look_up(self, name: str, ids: DataFrame) -> DataFrame:

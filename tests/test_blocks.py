@@ -1,5 +1,7 @@
 """Scores of blocks of queries against blocks of a corpus, held against every pair."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -89,3 +91,45 @@ def test_clusters_of_many_rows_are_cut(spark, monkeypatch):
     got = held._scored(reached, queries, least=0.2, size=(20, 11))
     assert _rows(got, *columns) == _rows(pairs.where("score >= 0.2"), *columns)
     assert _rows(held.nearest(queries, 4)[0], *columns, "rank") == _rows(retrieval.ranked(pairs, 4), *columns, "rank")
+
+
+@pytest.mark.parametrize("k", [1, 5])
+def test_best_is_cut_where_scores_are_nearly_alike(k):
+    """Every row whose score was within a rounding of the k-th came out; in single precision far more are."""
+    r = np.random.default_rng(9)
+    c = r.standard_normal((5 * 4 * blocks.STRIDE + 7, 12))
+    c[100:300] = c[3] + r.standard_normal((200, 12)) * 1e-8  # nearly alike: single precision can't tell
+    c[300:340] = c[4] + r.standard_normal((40, 12)) * 1e-12
+    c[400:420] = c[5]  # copies
+    q = np.concatenate([c[[3, 4, 5]], r.standard_normal((40, 12))])
+    c[600:603], q[9] = np.nan, np.nan
+    c, q = (x / np.sqrt((x * x).sum(axis=1))[:, None] for x in (c, q))
+    for some in (c, np.delete(c, slice(600, 603), axis=0)):
+        i, j, s = blocks.best(q, some, k)
+        assert (np.bincount(i) == k).all()
+        for a in range(len(q)):
+            every = blocks.summed(q, some, np.full(len(some), a), np.arange(len(some)))
+            first = np.lexsort((np.arange(len(some)), -every, ~np.isnan(every)))[:k]
+            assert sorted(j[i == a]) == sorted(first) and np.array_equal(np.sort(s[i == a]), np.sort(every[first]), equal_nan=True)
+
+
+def test_models_are_dealt_to_blocks_of_their_own_size(spark, monkeypatch):
+    """The corpus was dealt out once for each block of the queries of all models together."""
+    monkeypatch.setattr(retrieval, "ROUND", 70)
+    corpus = _vectors(spark).select("doc_id", "embedding", F.explode(F.array(*map(F.lit, "abc"))).alias("model"))
+    queries = corpus.where("doc_id % 5 = 0 AND doc_id < 300").withColumnRenamed("doc_id", "query_id")
+    plan = retrieval.search_models(queries, corpus, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert set(re.findall(r"pmod\(xxhash64\(query_id#\d+L?, 42\), (\d+)\)", plan)) == {"1"}
+
+
+def test_vectors_are_brought_to_unit_length_once(spark):
+    """A filter for null vectors added every vector's length up a second time."""
+    corpus = _vectors(spark)
+    queries = corpus.where("doc_id % 5 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
+    plan = retrieval.retrieve(queries, corpus, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.lower().count("sqrt(") == 2
+
+
+def test_long_vectors_have_small_blocks():
+    assert blocks.sized(64) == (1 << 15, 1 << 15) and blocks.sized(64, (20, 40)) == (20, 40)
+    assert blocks.sized(1 << 11) == (1 << 10, 1 << 10) and blocks.sized(1 << 30) == (1, 1) and blocks.sized(0) == (1 << 15, 1 << 15)
