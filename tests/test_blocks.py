@@ -62,6 +62,20 @@ def test_whole_rankings_sort_lists(spark, monkeypatch, kind):
     assert retrieval.rank_contexts(queries.where("false"), corpus).count() == 0 and retrieval.rank_contexts(queries, corpus.where("false")).count() == 0
 
 
+def test_whole_rankings_shuffle_no_scores(spark, monkeypatch):
+    """Lists of all scores were shuffled, which is the square of the input; the corpus is now sent to each block of queries."""
+    monkeypatch.setattr(blocks, "SPOOLED", 100, raising=False)
+    monkeypatch.setattr(blocks, "GIVEN", 50, raising=False)
+    monkeypatch.setattr(blocks, "HELD", 700)
+    corpus = _vectors(spark).union(_vectors(spark).where("doc_id IN (3, 8, 303)"))  # ids that stand twice
+    queries = corpus.where("doc_id % 25 = 3 OR doc_id > 299").select((F.col("doc_id") % 60).alias("query_id"), "embedding")  # and queries of other lengths under one id
+    got = retrieval.rank_contexts(queries, corpus)
+    assert queries.distinct().count() > queries.select("query_id").distinct().count()
+    assert _rows(got, "query_id", "rank", "doc_id", "score") == _rows(retrieval.ranked(_plain(queries, corpus)), "query_id", "rank", "doc_id", "score")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("InArrow") == 1  # what makes scores also ranks them
+
+
 def test_no_search_makes_a_row_for_each_pair(spark):
     """Pairs of rows were joined one by one, which took most of a search's time."""
     corpus = _vectors(spark)
