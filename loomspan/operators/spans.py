@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.running import sums_before
 from ..shipping import ship
@@ -21,6 +23,8 @@ from .literals import with_needed
 
 #: Documents whose matches are held at once.
 DOCUMENTS = 256
+#: Start, end, number of the entry, text.
+Found = tuple[int, int, int, str]
 #: Stands on either side of a match while a text is cut; a text that has it is searched twice instead.
 _MARK = "\ue0f1"
 
@@ -33,30 +37,34 @@ def _cut_at(text: Column, pattern: str) -> Column:
     return F.when(F.contains(text, F.lit(_MARK)), twice).otherwise(marked)
 
 
+def _search(entries: Sequence[Entry]) -> Callable[[bytes | None], list[Found]]:
+    """What finds all matches of the entries' forms that read once in a text: start, end, number of the entry, what stands there."""
+    searched = [(i, re.compile(e.once).finditer, e.holds) for i, e in enumerate(entries)]
+
+    def found(raw: bytes | None) -> list[Found]:
+        text = raw.decode("utf-8", "replace") if raw else ""
+        return [(*m.span(), i, m[0]) for i, search, holds in searched if not holds or any(x in text for x in holds) for m in search(text)]
+
+    return found
+
+
 def _scanned(texts: DataFrame, entries: Sequence[Entry], key: str) -> DataFrame:
     """matches() by the entries' forms that read once, dealt by document."""
     ship(texts.sparkSession)
     given = tuple(entries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searched = [(i, re.compile(e.once).finditer, e.holds) for i, e in enumerate(given)]
+        search = _search(given)
         labels = pa.array([e.label for e in given])
         for whole in batches:
             for a in range(0, whole.num_rows, DOCUMENTS):
                 batch = whole.slice(a, DOCUMENTS)
-                rows, ords, starts, ends, found = [], [], [], [], []
+                rows, spans = [], []
                 for row, raw in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                    text = raw.decode("utf-8", "replace") if raw else ""
-                    for i, search, holds in searched:
-                        if holds and not any(x in text for x in holds):
-                            continue
-                        for m in search(text):
-                            start, end = m.span()
-                            rows.append(row)
-                            ords.append(i)
-                            starts.append(start)
-                            ends.append(end)
-                            found.append(m[0])
+                    some = search(raw)
+                    rows += [row] * len(some)
+                    spans += some
+                starts, ends, ords, found = zip(*spans, strict=True) if spans else ((), (), (), ())
                 ords = pa.array(ords, pa.int32())
                 columns = [batch.column(0).take(pa.array(rows, pa.int64())), labels.take(ords), ords, pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(found, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, [key, "label", "label_ord", "start", "end", "text"])
@@ -94,6 +102,62 @@ def matches(docs: DataFrame, entries: Sequence[Entry], *, key: str = "doc_id") -
     return ended.select(key, "label", "label_ord", (F.col("end") - F.length("col.m")).alias("start"), "end", F.col("col.m").alias("text"))
 
 
+def greedy(found: list[Found]) -> list[Found]:
+    """resolved() of the matches of one document."""
+    kept, last = [], 0
+    for span in sorted(found, key=lambda s: (s[0], s[0] - s[1], s[2])):
+        if not kept or span[0] >= last:
+            kept.append(span)
+            last = span[1]
+    return kept
+
+
+def told(docs: DataFrame, entries: Sequence[Entry], tell: Callable[[list[Found]], tuple], kind: T.StructType, *, key: str = "doc_id") -> DataFrame:
+    """docs with the columns `kind`, whose values tell() gives for all matches of a document; rows without a key have none.
+
+    entries all have a form that reads once. Texts are dealt by key and sorted,
+    and a document is searched where it then lies, so no span is shuffled. A task
+    holds the rows and matches of one key, and a batch of what it gives.
+    """
+    ship(docs.sparkSession)
+    given, types = tuple(entries), [to_arrow_type(f.dataType) for f in kind]
+    dealt = docs.repartition(key).sortWithinPartitions(key)
+    at, own = docs.columns.index("text"), docs.columns.index(key)
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordBatch], list[Found]]]:
+        search, now, rows, found = _search(given), None, [], []
+        for whole in batches:
+            for a in range(0, whole.num_rows, DOCUMENTS):
+                batch = whole.slice(a, DOCUMENTS)
+                for row, (doc, raw) in enumerate(zip(batch.column(own).to_pylist(), batch.column(at).cast(pa.binary()).to_pylist(), strict=True)):
+                    if rows and (doc is None or doc != now):
+                        yield rows, found
+                        rows, found = [], []
+                    now = doc
+                    rows.append(batch.slice(row, 1))
+                    found += search(raw) if doc is not None else []
+        if rows:
+            yield rows, found
+
+    def table(rows: list[pa.RecordBatch], values: list[tuple]) -> pa.RecordBatch:
+        new = [pa.array(v, t) for v, t in zip(zip(*values, strict=True), types, strict=True)]
+        same = [pa.concat_arrays(c) for c in zip(*(r.columns for r in rows), strict=True)]
+        return pa.RecordBatch.from_arrays([*same, *new], [*rows[0].schema.names, *kind.names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready, values = [], []
+        for rows, found in documents(batches):
+            ready += rows
+            values += [tell(found)] * len(rows)
+            if len(ready) >= DOCUMENTS:
+                yield table(ready, values)
+                ready, values = [], []
+        if ready:
+            yield table(ready, values)
+
+    return dealt.mapInArrow(run, T.StructType([*docs.schema.fields, *kind.fields]))
+
+
 def _kept(spans: DataFrame, key: str, order: list[Column], fields: list[str]) -> DataFrame:
     """Greedy choice in the given order: a span stays if it starts at or after the end of the last one that stayed.
 
@@ -174,9 +238,27 @@ def records(docs: DataFrame, rule: DataFrame, other: DataFrame | None = None, *,
         out = out.join(other.groupBy(key).agg(F.count("*").cast("int").alias("n_other")), key, "left")
     else:
         out = out.withColumn("n_other", F.lit(0))
+    return _record(out, docs.columns, key)
+
+
+def scanned_records(docs: DataFrame, entries: Sequence[Entry], *, key: str = "doc_id") -> DataFrame:
+    """records() of docs and matches(docs, entries), for entries that all have a form that reads once: nothing but the texts is shuffled, and those once."""
+    labels, counts = [e.label for e in entries], "map<string,int>"
+    kind = T._parse_datatype_string(f"spans array<struct<start:int,end:int,label:string,text:string>>, label_distribution {counts}, rule_stats {counts}, n_rule int, n_other int")
+
+    def tell(found: list[Found]) -> tuple:
+        kept = greedy(found)
+        n, every = (sorted(Counter(labels[s[2]] for s in some).items()) for some in (kept, found))
+        return [(start, end, labels[i], text) for start, end, i, text in kept], n, every, len(kept), 0
+
+    return _record(told(docs.where(F.col("text").rlike(r"\S")), entries, tell, kind, key=key), docs.columns, key)
+
+
+def _record(out: DataFrame, given_: list[str], key: str) -> DataFrame:
+    """Documents with their spans and counts as rows of extractions; given_: the columns that came with the documents."""
     empty_map = F.create_map().cast("map<string,int>")
-    dist_, none = F.coalesce("label_distribution", empty_map), F.array().cast(spans.schema["spans"].dataType)
-    given = lambda c, other: F.col(c) if c in docs.columns else other
+    dist_, none = F.coalesce("label_distribution", empty_map), F.array().cast(out.schema["spans"].dataType)
+    given = lambda c, other: F.col(c) if c in given_ else other
     return out.select(
         key,
         "text",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import preview, strip
 from ..schemas import EXTRACTION, QA
+from ..staging import written
 
 
 def text_files(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
@@ -50,26 +51,36 @@ def qa_rows(spark: SparkSession, path: str, most: int | None = None) -> DataFram
     return rows.limit(most) if most is not None else rows
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def unprocessed(docs: DataFrame, path: str) -> DataFrame:
-    """Documents that the output at path doesn't have; all of them where there is no output yet."""
+    """Documents that the output at path doesn't have; all of them where there is no output yet.
+
+    The ids that are left are told without texts and written. Where most is done
+    they are few, and texts aren't dealt out to be compared with them.
+    """
     spark = docs.sparkSession
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-    return pending(docs, processed_ids(spark, path)) if there else docs
+    if not _there(spark, path):
+        return docs
+    left = written(pending(docs.select("doc_id"), processed_ids(spark, path)), "pending").distinct().withColumnRenamed("doc_id", "left__")
+    return docs.join(left, F.col("doc_id").eqNullSafe(F.col("left__")), "left_semi")
 
 
-def append_extractions(records: DataFrame, path: str, *, resume: bool = True) -> dict:
-    """Append records as JSON lines, texts cut to a preview. With resume, documents that the output already has are skipped, so a rerun adds nothing.
+def append_extractions(records: DataFrame, path: str, *, resume: bool = True, compression: str | None = None) -> dict:
+    """Append records as JSON lines, texts cut to a preview. With resume, documents that the output already has are skipped, so a rerun adds nothing; where the documents were given to unprocessed() before, that is done. compression: of the files, for example gzip.
 
     What was written is counted in passing: documents, characters, and entities in all and by source.
     """
     out = records.withColumn("text", preview(F.col("text")))
-    if resume:
-        out = unprocessed(out.withColumn("doc_id", F.col("doc_id").cast("string")), path)
+    if resume and _there(out.sparkSession, path):
+        out = pending(out.withColumn("doc_id", F.col("doc_id").cast("string")), processed_ids(out.sparkSession, path))
     seen = Observation("extractions")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     counts = [F.count("*").alias("documents"), total("metadata.file_size").alias("characters"), *[total(f"stats.{c}").alias(c) for c in ("total_entities", "rule_based_entities", "llm_entities")]]
-    out.observe(seen, *counts).write.mode("append").json(path)
+    out.observe(seen, *counts).write.mode("append").json(path, compression=compression)
     return seen.get
 
 
