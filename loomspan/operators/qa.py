@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -14,7 +14,8 @@ from ..functions.running import sums_before
 from ..functions.text import portable_hash, word_count
 from ..shipping import ship
 from ..staging import written
-from .lexicon import questions
+from .lexicon import Entry, questions
+from .spans import Found, greedy, told
 
 ANSWER = "array<struct<start:int,text:string>>"
 
@@ -101,6 +102,23 @@ def chosen_groups(spans: DataFrame, *, fewest: int = 1, most: int = 10, in_order
     return given.mapInArrow(run, kind)
 
 
+def scanned_groups(docs: DataFrame, entries: Sequence[Entry], *, fewest: int = 1, most: int = 10, key: str = "doc_id") -> DataFrame:
+    """chosen_groups() of the resolved matches of entries that all have a form that reads once, each with its document's text and `n__`, the text's length: texts are dealt once, and neither spans nor groups are."""
+    labels = [e.label for e in entries]
+    kind = T._parse_datatype_string(f"groups__ array<struct<label:string,n:long,first:long,answers:{ANSWER}>>")
+
+    def tell(found: list[Found]) -> tuple:
+        held: dict[str, _Chosen] = {}
+        for start, _, i, text in greedy(found):
+            held.setdefault(labels[i], _Chosen(most)).add(text.lower(), (start, text))
+        given = [(label, g.spans()) for label, g in held.items()]
+        return ([(label, len(s), s[0][0], s) for label, s in given if len(s) >= fewest],)
+
+    each = told(docs.select(key, "text"), entries, tell, kind, key=key)
+    # rows without a key meet no spans
+    return each.where(F.col(key).isNotNull()).select(key, "text", F.length("text").alias("n__"), F.explode("groups__").alias("g__")).select(key, "text", "n__", "g__.*")
+
+
 def unique_texts(spans: DataFrame, *, key: str = "doc_id") -> DataFrame:
     """key, label, start, text of the first span of each text, whatever its case, within a document and label."""
     nth = F.row_number().over(W.partitionBy(key, "label", F.lower("text")).orderBy("start"))
@@ -134,8 +152,8 @@ def window_start(answers: Column, text: Column, most: int, length: Column | None
     return final_start.cast("int"), final_end.cast("int")
 
 
-def placed_pairs(docs: DataFrame, spans: DataFrame, *, most_context: int = 4000, fewest: int = 1, most: int = 10, in_order: bool = False, key: str = "doc_id") -> DataFrame:
-    """id, key, label, number, answers, from, to, begins: the pairs of pairs() without texts, as a table. in_order: see chosen_groups.
+def placed_pairs(docs: DataFrame, spans: DataFrame | Sequence[Entry], *, most_context: int = 4000, fewest: int = 1, most: int = 10, in_order: bool = False, key: str = "doc_id") -> DataFrame:
+    """id, key, label, number, answers, from, to, begins: the pairs of pairs() without texts, as a table. in_order: see chosen_groups. spans: or entries, whose resolved matches are the spans; see scanned_groups.
 
     from and to bound the context in the text; begins marks a document's first
     pair. Texts meet the spans once, the answers are placed once for each row,
@@ -143,23 +161,42 @@ def placed_pairs(docs: DataFrame, spans: DataFrame, *, most_context: int = 4000,
     of document and first span: counts of ranges of documents come first, so
     that numbering takes no single-task sort.
     """
-    g = chosen_groups(spans, fewest=fewest, most=most, in_order=in_order, key=key)
+    return _numbered(_placed(docs, spans, most_context, fewest, most, in_order, key).drop("row__"), key)
+
+
+def _placed(docs: DataFrame, spans: DataFrame | Sequence[Entry], most_context: int, fewest: int, most: int, in_order: bool, key: str) -> DataFrame:
+    """key, label, first, answers, from, to and row__, a number of the row's own, as a table."""
     # a length is taken once for each text; the filter stays behind the write, since before it Spark would place the answers again to test them
-    met = docs.select(key, "text", F.length("text").alias("n__")).join(g, key)
+    if isinstance(spans, DataFrame):
+        met = docs.select(key, "text", F.length("text").alias("n__")).join(chosen_groups(spans, fewest=fewest, most=most, in_order=in_order, key=key), key)
+    else:
+        met = scanned_groups(docs, spans, fewest=fewest, most=most, key=key)
     met = met.select(key, "label", "first", "n__", anchored(F.col("answers"), F.col("text"), F.col("n__")).alias("answers"))
     placed = written(met, "placed").where(F.size("answers") > 0)
     start, end = window_start(F.col("answers"), F.lit(None).cast("string"), most_context, F.col("n__"))
-    placed = written(placed.select(key, "label", "first", "answers", start.alias("from"), end.alias("to")), "pairs")
+    return written(placed.select(key, "label", "first", "answers", start.alias("from"), end.alias("to"), F.monotonically_increasing_id().alias("row__")), "pairs")
+
+
+def _numbered(placed: DataFrame, key: str) -> DataFrame:
     numbered = global_number(placed, [key, "first", "label"], key, first="begins")
     return numbered.withColumn("id", F.concat(F.col(key).cast("string"), F.lit("_q"), F.col("number").cast("string"), F.lit("_"), "label"))
 
 
-def pairs(docs: DataFrame, spans: DataFrame, templates_: DataFrame, *, seed: int = 42, most_context: int = 4000, fewest: int = 1, most: int = 10, in_order: bool = False, key: str = "doc_id") -> DataFrame:
+def pairs(docs: DataFrame, spans: DataFrame | Sequence[Entry], templates_: DataFrame, *, seed: int = 42, most_context: int = 4000, fewest: int = 1, most: int = 10, in_order: bool = False, key: str = "doc_id", splits: bool = False) -> DataFrame:
     """id, key, label, question, context, answers, begins: one row for each document and label with an answer left.
 
     The question is picked by a hash of document, label and seed. See placed_pairs.
+    splits: with the `split` that split() gives, told from ids alone, so that contexts and answers aren't shuffled by it.
     """
-    made = placed_pairs(docs, spans, most_context=most_context, fewest=fewest, most=most, in_order=in_order, key=key).join(docs.select(key, "text"), key)
+    placed = _placed(docs, spans, most_context, fewest, most, in_order, key)
+    if splits:
+        ids = split(_numbered(placed.select(key, "label", "first", "row__"), key).select("id", key, "row__", "begins"), seed=seed)
+        own = ids.groupBy(key).agg(F.collect_list(F.struct("row__", "id", "begins", "split")).alias("own__"))
+        made = placed.join(own, key).withColumn("own__", F.filter("own__", lambda x: x["row__"] == F.col("row__"))[0])
+        made = made.select(key, "label", "answers", "from", "to", "own__.id", "own__.begins", "own__.split")
+    else:
+        made = _numbered(placed, key)
+    made = made.join(docs.select(key, "text"), key)
     made = made.withColumn("context", F.substr("text", F.col("from") + 1, F.col("to") - F.col("from")))
     made = made.withColumn("answers", F.transform("answers", lambda a: F.struct((a["start"] - F.col("from")).cast("int").alias("start"), a["text"].alias("text"))))
     n_templates = templates_.groupBy("label").agg(F.count("*").alias("n_t"))
@@ -167,7 +204,7 @@ def pairs(docs: DataFrame, spans: DataFrame, templates_: DataFrame, *, seed: int
     # templates are a lexicon's: joined by shuffle, all contexts of a label would meet in one task
     made = made.join(F.broadcast(n_templates), "label", "left").withColumn("template_no", F.pmod(pick, F.col("n_t")).cast("int"))
     made = made.join(F.broadcast(templates_), ["label", "template_no"], "left").withColumn("question", F.coalesce("question", default_question(F.col("label"))))
-    return made.select("id", key, "label", "question", "context", "answers", "begins")
+    return made.select("id", key, "label", "question", "context", "answers", "begins", *["split"] * splits)
 
 
 def global_number(df: DataFrame, order: list[str], key: str, first: str | None = None) -> DataFrame:

@@ -49,9 +49,9 @@ def qa_groups(spark, sf_dir):
     return g.select("doc_id", "label", "n", "first", _listed("answers").alias("answers"))
 
 
-def _pairs(spark, sf_dir):
+def _pairs(spark, sf_dir, splits=False):
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return qa.pairs(docs, _spans(spark, sf_dir), qa.templates(spark, [e.label for e in GENERIC]), in_order=True)
+    return qa.pairs(docs, GENERIC, qa.templates(spark, [e.label for e in GENERIC]), splits=splits)
 
 
 @register(f"{_PAIRS} SELECT * FROM prs")
@@ -66,7 +66,7 @@ SELECT count(*) AS n_pairs, count(DISTINCT doc_id) AS n_docs, round(count(*) / c
   count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'validation') AS n_validation, count(*) FILTER (split = 'test') AS n_test FROM s"""
 )
 def qa_dataset_statistics(spark, sf_dir):
-    narrow = qa.placed_pairs(documents(spark, sf_dir).select("doc_id", "text"), _spans(spark, sf_dir), in_order=True).select("id", "doc_id")
+    narrow = qa.placed_pairs(documents(spark, sf_dir).select("doc_id", "text"), GENERIC).select("id", "doc_id")
     return qa.dataset_statistics(qa.split(narrow)).withColumn("mean_pairs", F.round("mean_pairs", 6))
 
 

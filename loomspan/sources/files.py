@@ -84,9 +84,10 @@ def append_extractions(records: DataFrame, path: str, *, resume: bool = True, co
     return seen.get
 
 
-def write_splits(rows: DataFrame, folder: str) -> None:
-    """A folder of JSON lines for each split."""
-    rows.write.mode("overwrite").partitionBy("split").json(folder)
+def write_splits(rows: DataFrame, folder: str, *, compression: str | None = None) -> None:
+    """A folder of JSON lines for each split, where rows of a document follow one another, since their contexts are much alike. compression: of the files, for example gzip."""
+    near = [c for c in ("doc_id",) if c in rows.columns]
+    rows.sortWithinPartitions("split", *near).write.mode("overwrite").partitionBy("split").json(folder, compression=compression)
 
 
 def split_samples(rows: DataFrame, n: int = 100) -> DataFrame:

@@ -1,13 +1,14 @@
 """What queries write to disk besides their results, held against their texts."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from loomspan.operators import spans
+from loomspan.operators import qa, spans
 from loomspan.operators.lexicon import GENERIC
-from loomspan.plans import all_queries
+from loomspan.plans import all_queries, record_queries
 
 
 def _table(spark, tmp_path, n=300):
@@ -47,3 +48,34 @@ def test_records_of_scanned_documents(spark, kind):
         want = spans.records(given, spans.matches(given, GENERIC))
         assert got.dtypes == want.dtypes and shown(got) == shown(want)
     assert spans.scanned_records(docs.where("false"), GENERIC).count() == 0
+
+
+def test_split_samples_shuffle_no_contexts(spark, tmp_path):
+    """Contexts, spans and groups were shuffled besides the texts, and the dataset lay there as plain text."""
+    place, size = _table(spark, tmp_path)
+    before = _shuffled(spark)
+    made = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(record_queries, "folder", lambda spark, name: made.append(f"{tmp_path}/{name}") or made[-1])
+        assert all_queries()["qa_split_samples"][0](spark, place).count() == 300
+    assert _shuffled(spark) - before < 4 * size
+    files = [p for p in Path(made[0]).rglob("part-*") if p.is_file()]
+    lines = spark.read.json(made[0])
+    assert lines.where("length(context) > 3000").count() > 1000 and set(lines.columns) == {"id", "doc_id", "label", "question", "context", "answers", "begins", "split"}
+    assert sum(p.stat().st_size for p in files) < 0.5 * lines.agg(F.sum(F.length("context"))).first()[0]
+
+
+def test_pairs_of_scanned_documents(spark):
+    texts = ["", None, "no", "The 12 nations of 1.2.3.4 saw the cat. ", "a@b.c the Nation 7.", "é 5 le mot.", "The Zed 7 the zed " * 300]
+    rows = [(i, t) for i, t in enumerate(texts * 30)] + [(3, "again 99 the end. 12"), (None, "the 5.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    templates = qa.templates(spark, [e.label for e in GENERIC])
+    shown = lambda df, *drop: sorted(str(r) for r in df.drop(*drop).collect())
+    found = spans.resolved(spans.matches(docs, GENERIC))
+    got = qa.pairs(docs, GENERIC, templates, fewest=2, most=3)
+    want = qa.pairs(docs, found, templates, fewest=2, most=3, in_order=True)
+    assert got.dtypes == want.dtypes and shown(got, "begins") == shown(want, "begins") and got.count() > 50
+    alone = docs.where("doc_id <> 3")
+    split = qa.pairs(alone, GENERIC, templates, seed=7, splits=True)
+    assert shown(split) == shown(qa.split(qa.pairs(alone, GENERIC, templates, seed=7), seed=7).select(split.columns))
+    assert qa.pairs(docs.where("false"), GENERIC, templates, splits=True).count() == 0
